@@ -86,7 +86,7 @@ class _Cache(dict):
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
-            if len(key) > CACHE_CHARS:
+            if isinstance(key, str) and len(key) > CACHE_CHARS:
                 return value
         self[key] = value
         return value
@@ -137,10 +137,10 @@ class BpeModel:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether ``left`` followed by ``right`` survives as two tokens."""
-        return self._fits[left, right]
+        return self._fits[left << 20 | right]
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
-        left, right = pair
+    def _compatible(self, pair: int) -> bool:
+        left, right = pair >> 20, pair & 0xFFFFF
         rank, parts, merge = self.rank, self.parts, self.merge
         limit = len(merge) + 1
         while True:
@@ -168,7 +168,7 @@ class BpeModel:
             if end < done:
                 continue
             start = end + 1 - size
-            if start == 0 or (before := last[start]) >= 0 and fits[before, token]:
+            if start == 0 or (before := last[start]) >= 0 and fits[before << 20 | token]:
                 done = end + 1
                 last[done], start_of[done] = token, start
         ids, at = [], len(symbols)
