@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, packing, quality, sharding, topk, warc
+from . import ann, bpe, langid, neardup, packing, quality, sharding, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Query]:
         "op5_quality": op5_quality,
         "op6_nearest_neighbours": op6_nearest_neighbours,
         "op7_language": op7_language,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_warc": op9_warc,
         "op10_bpe": op10_bpe,
     }
