@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, neardup, packing, quality, sharding, topk, warc
+from . import ann, bpe, langid, neardup, packing, quality, sharding, suffixes, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_exact_top_k": op2_exact_top_k,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_sharding": op4_sharding,
         "op5_quality": op5_quality,
         "op6_nearest_neighbours": op6_nearest_neighbours,
