@@ -10,8 +10,10 @@ else in the corpus, the same text included.
    holds twice are settled there; one row of each goes on.
 2. One shuffle by anchor.  An anchor that occurs once is done; equal contexts
    (by anchor and a second 64-bit hash) repeat whole and are settled.
-3. Anchors with several different contexts, the borders of repeated passages,
-   fetch the bytes of one context of each kind.  Tasks that hold whole anchors cut
+3. Anchors with several different contexts are the borders of repeated passages.
+   Two contexts share a window only if they share one of ``CORES`` parts of it,
+   ``LENGTH - SHIFT`` bytes each; contexts that share none, by hash, are done.  Of
+   the rest one of each kind fetches its bytes.  Tasks that hold whole anchors cut
    these into shards, sort each shard's suffixes to ``LENGTH`` bytes, and merge the
    shards' Burrows-Wheeler transforms by interleave refinement: only the vector of
    shard numbers is permuted, one block of ``STEP`` bytes a round, and the places
@@ -43,7 +45,9 @@ from .textbytes import slices
 LENGTH = 200
 GRAM = 40
 STARTS = LENGTH - GRAM + 1  # anchors a window can have
-STEP = 8  # bytes a refinement round goes deeper; LENGTH is a multiple
+STEP = 40  # bytes a refinement round goes deeper; LENGTH is a multiple
+CORES = 8
+SHIFT = (LENGTH - GRAM) // CORES
 SHARD_BYTES = 1 << 18
 TASK_BYTES = 3 << 20
 HOT = 16_384
@@ -120,7 +124,8 @@ def merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[new], high[np.concatenate([new[1:], [True]])]
 
 
-ROW = "doc_id long, digest long, kind int, anchor long, context long, low long, high long"
+CORE_COLUMNS = [f"cores{k}" for k in range(CORES // 2)]  # two 32-bit hashes each
+ROW = "doc_id long, digest long, kind int, anchor long, context long, low long, high long, " + ", ".join(f"{c} long" for c in CORE_COLUMNS)
 ONE, SEVERAL, SETTLED = 0, 1, 2  # kinds: context once or more often in its batch; a run that is repeated
 
 
@@ -129,6 +134,27 @@ def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(body).alias("digest"), body.alias("text"))
 
 
+def core_hashes(hashes: RangeHash, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+    """32-bit hashes, two a column, of the parts of each context that windows by their distance from the anchor share; 0 where the text ends before."""
+    halves = []
+    for k in range(CORES):
+        a, b = place - k * SHIFT, place + LENGTH - (k + 1) * SHIFT
+        inside = (a >= low) & (b <= high)
+        h = hashes.of(np.where(inside, a, 0), np.where(inside, b, 0)) >> np.uint64(32)
+        halves.append(np.where(inside, h | np.uint64(1), np.uint64(0)))
+    return [(halves[k] << np.uint64(32) | halves[k + 1]).view("int64") for k in range(0, CORES, 2)]
+
+
+def share_a_core(of_anchor: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """Rows (different contexts) of which another row with the same anchor has an equal core."""
+    out = np.zeros(len(of_anchor), bool)
+    for column in columns:
+        for half in (column.view("uint64") >> np.uint64(32), column.view("uint64") & np.uint64(0xFFFFFFFF)):
+            _, back, count = np.unique(of_anchor.astype("uint64") << np.uint64(32) | half, return_inverse=True, return_counts=True)
+            out |= (count[back] > 1) & (half > 0)
+    return out
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
     """Anchor rows and settled runs of ``docs`` (doc_id, digest, text)."""
 
@@ -145,7 +171,8 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 low = np.maximum(place - (STARTS - 1), starts[text])
                 high = np.minimum(place + LENGTH, starts[text + 1])
                 anchor = first.of(place, place + GRAM)
-                context = RangeHash(data, _B2).of(low, high) ^ (place - low).astype("uint64")
+                second = RangeHash(data, _B2)
+                context = second.of(low, high) ^ (place - low).astype("uint64")
                 _, kind, back, count = np.unique(np.stack([anchor, context], axis=1).view("V16").ravel(), return_index=True, return_inverse=True, return_counts=True)
                 several = count[back] > 1
                 run_low, run_high = merged(low[several], high[several])
@@ -158,14 +185,17 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 which = np.concatenate([text[kind], own]) + begin
                 zero = np.concatenate([starts[text[kind]], starts[own]])
                 kinds = np.concatenate([np.where(count > 1, SEVERAL, ONE), np.full(len(own), SETTLED)])
+                cores = core_hashes(second, place[kind], low[kind], high[kind])
+                none = np.zeros(len(own), "int64")
                 spread = _mixed(own.astype("uint64") + np.uint64(begin) + data[run_low].astype("uint64") * _M)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(kinds, pa.int32()),
                         pa.array(np.concatenate([anchor[kind], spread]).view("int64")), pa.array(np.concatenate([context[kind], np.zeros(len(own), "uint64")]).view("int64")),
                         pa.array(np.concatenate([low[kind], run_low]) - zero), pa.array(np.concatenate([high[kind], run_high]) - zero),
+                        *[pa.array(np.concatenate([c, none])) for c in cores],
                     ],
-                    names=["doc_id", "digest", "kind", "anchor", "context", "low", "high"],
+                    names=["doc_id", "digest", "kind", "anchor", "context", "low", "high", *CORE_COLUMNS],
                 )
 
     return docs.mapInArrow(run, ROW)
@@ -190,11 +220,14 @@ def sort_out(rows: DataFrame) -> DataFrame:
             kinds_of_anchor = np.bincount(of_anchor, weights=new_kind, minlength=len(a))[of_anchor]
             # copies settled in their batch stand for themselves; others that repeat are settled now
             done = np.concatenate([np.flatnonzero(settled), real[often & (kind[real] == ONE)], real[often & (kind[real] == SEVERAL)]])
-            need = real[new_kind & (kinds_of_anchor > 1)]
+            need = np.flatnonzero(new_kind & (kinds_of_anchor > 1))
+            need = need[share_a_core(of_anchor[need], [group.column(c).to_numpy()[real[need]] for c in CORE_COLUMNS])]
+            sharing = np.bincount(of_anchor[need], minlength=len(a))[of_anchor[need]]
+            need = real[need]
             take = np.concatenate([done, need])
             out = group.take(pa.array(take)).combine_chunks()
             kinds = np.concatenate([np.full(len(done), SETTLED), np.full(len(need), ONE)])
-            n = np.concatenate([np.zeros(len(done)), kinds_of_anchor[new_kind & (kinds_of_anchor > 1)]]).astype("int64")
+            n = np.concatenate([np.zeros(len(done)), sharing]).astype("int64")
             table = out.select(["doc_id", "digest", "anchor", "low", "high"]).append_column("kind", pa.array(kinds, pa.int32())).append_column("contexts", pa.array(n))
             yield from table.combine_chunks().to_batches()
 
@@ -209,19 +242,38 @@ def _stable_order(keys: np.ndarray, most: int) -> np.ndarray:
     return order
 
 
+def _ranks(*columns: np.ndarray) -> np.ndarray:
+    """Dense ranks of pairs of ranks."""
+    key = columns[0].astype("int64")
+    for c in columns[1:]:
+        key = key * (int(c.max()) + 1) + c
+    return np.unique(key, return_inverse=True)[1]
+
+
+def block_ranks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Rank of the ``STEP`` bytes at each place, the letters of the transforms; every shard is cyclic on its own."""
+    at = np.arange(len(data))
+    base, size = np.repeat(starts[:-1], np.diff(starts)), np.repeat(np.diff(starts), np.diff(starts))
+    ahead = lambda d: base + (at - base + d) % size
+    word = np.zeros(len(data), "uint64")
+    for k in range(8):
+        word = word << np.uint64(8) | data[ahead(k)].astype("uint64")
+    eight = np.unique(word, return_inverse=True)[1]
+    sixteen = _ranks(eight, eight[ahead(8)])
+    thirty_two = _ranks(sixteen, sixteen[ahead(16)])
+    return _ranks(thirty_two, eight[ahead(32)])
+
+
 def shard_suffixes(blocks: np.ndarray) -> np.ndarray:
     """Places of a shard in the order of their ``LENGTH`` bytes; ``blocks``: rank of the ``STEP`` bytes at each place, cyclic."""
-    ranks, depth = {STEP: blocks.astype("int64")}, STEP
+    ranks, depth = {STEP: blocks}, STEP
     while 2 * depth <= LENGTH:
-        r = ranks[depth]
-        _, ranks[2 * depth] = np.unique(r * (r.max() + 1) + np.roll(r, -depth), return_inverse=True)
+        ranks[2 * depth] = _ranks(ranks[depth], np.roll(ranks[depth], -depth))
         depth *= 2
-    total, at = None, 0
+    total, at = ranks[depth], depth
     for d in sorted(ranks, reverse=True):
         while at + d <= LENGTH:
-            part = np.roll(ranks[d], -at)
-            total = part if total is None else np.unique(total * (part.max() + 1) + part, return_inverse=True)[1]
-            at += d
+            total, at = _ranks(total, np.roll(ranks[d], -at)), at + d
     return np.argsort(total, kind="stable")
 
 
@@ -255,20 +307,14 @@ def repeated_windows(texts: list[bytes], identity: np.ndarray) -> list[np.ndarra
         shards.append((at, end))
         at = end
     data = np.frombuffer(b"".join(texts), "uint8")
-    pieces = []
-    for a, b in shards:  # every shard is cyclic on its own
-        own = data[starts[a] : starts[b]]
-        wrapped = np.resize(own, len(own) + STEP)
-        wrapped[: len(own)] = own
-        pieces.append(np.lib.stride_tricks.sliding_window_view(wrapped, STEP)[: len(own)].copy().view(">u8").ravel().astype("uint64"))
-    values, blocks = np.unique(np.concatenate(pieces), return_inverse=True)
+    blocks = block_ranks(data, starts[[a for a, _ in shards] + [len(texts)]])
     transforms, places = [], []
     for a, b in shards:
         own = blocks[starts[a] : starts[b]]
         order = shard_suffixes(own)
         transforms.append(np.roll(own, STEP)[order].astype("int64"))
         places.append(order + starts[a])
-    shard, classes = merge_transforms(transforms, len(values))
+    shard, classes = merge_transforms(transforms, int(blocks.max()))
     place = np.empty(len(data), "int64")
     place[np.argsort(shard, kind="stable")] = np.concatenate(places)
     text = np.searchsorted(starts, place, side="right") - 1
