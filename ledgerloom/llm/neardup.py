@@ -10,9 +10,10 @@
    split again by two chosen tokens.  Larger nodes are branched by shuffles in the
    same way.  A node yields clusters: items connected by sketch similarities that
    no true link can miss (five standard deviations under the threshold).
-4. Clusters found by several trees are one.  The full sets of clustered items are
-   compared exactly and confirmed links reported as stars; clusters of more than
-   ``BIG_CLUSTER`` items are compared in pairs of blocks.
+4. Clusters that share an item are joined over all trees, so that an item is in one
+   cluster.  The full sets of a cluster's items are compared exactly and confirmed
+   links reported as stars; clusters of more than ``BIG_CLUSTER`` items are
+   compared in pairs of blocks.
 5. Stars are joined into components by alternating large-star and small-star steps.
 
 A linked pair (similarity s >= 0.8) stays together in a tree with a probability
@@ -45,7 +46,7 @@ BIG_NODE = 20_000
 BIG_CLUSTER = 8_192
 DEPTH = 8
 LINK = 0.62  # sketch similarity that a linked pair reaches
-CORE, AROUND = 0.90, 0.30  # whoever is linked to an item this near a leader is at least so near it
+CORE, AROUND = 0.70, 0.15  # whoever is linked to an item this near a leader is at least so near it, by the triangle inequality and four standard deviations
 WORD_CACHE = 400_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -211,23 +212,33 @@ def _bytes_matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "uint8").reshape(-1, COORDINATES)
 
 
-def _cluster_rows(clusters, ids: np.ndarray):
-    """(cluster, item) rows; a cluster's key is a digest of its items, so all trees name it alike."""
-    import pyarrow as pa
-
-    names, members = [], []
-    for rows in clusters:
-        own = np.unique(ids[rows])
-        if len(own) > 1:
-            names += [hashlib.blake2b(own.tobytes(), digest_size=16).digest()] * len(own)
-            members.append(own)
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.concatenate(members) if members else np.zeros(0, "int64"), pa.int64())], names=["cluster", "item"])
+def star_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One (smallest item, item) edge for every other item of each component of the edges (a, b)."""
+    names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = flat[: len(a)], flat[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[left], label[right])
+        after = label.copy()
+        np.minimum.at(after, label[left], low)
+        np.minimum.at(after, label[right], low)
+        np.minimum.at(after, left, low)
+        np.minimum.at(after, right, low)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    other = np.flatnonzero(label != np.arange(len(names)))
+    return names[label[other]], names[other]
 
 
 def tree_clusters(nodes: DataFrame) -> DataFrame:
-    """(cluster, item) of nodes (key, item, sketch) of up to ``BIG_NODE`` items."""
+    """(a, b): stars that connect the clusters of nodes (key, item, sketch) of up to ``BIG_NODE`` items; a task joins what it finds."""
 
     def run(it):
+        import pyarrow as pa
+
+        left, right, held = [], [], 0
         for group in _whole_groups(it, "key"):
             keys, ids = group.column("key").to_numpy(), group.column("item").to_numpy()
             runs = _runs(keys)
@@ -235,13 +246,22 @@ def tree_clusters(nodes: DataFrame) -> DataFrame:
                 continue
             take = np.concatenate([np.arange(a, b) for a, b in runs])
             sketches = _bytes_matrix(group.column("sketch").take(take))
-            mine, at, found = ids[take], 0, []
+            mine, at = ids[take], 0
             for a, b in runs:
-                found += node_clusters(sketches, np.arange(at, at + b - a), np.random.default_rng(int(keys[a]) & 0xFFFFFFFF))
+                for rows in node_clusters(sketches, np.arange(at, at + b - a), np.random.default_rng(int(keys[a]) & 0xFFFFFFFF)):
+                    left.append(np.full(len(rows) - 1, mine[rows[0]]))
+                    right.append(mine[rows[1:]])
+                    held += len(rows)
                 at += b - a
-            yield _cluster_rows(found, mine)
+            if held > 1_000_000:
+                found = star_edges(np.concatenate(left), np.concatenate(right))
+                left, right, held = [found[0]], [found[1]], 0
+        if left:
+            a, b = star_edges(np.concatenate(left), np.concatenate(right))
+            for at in range(0, len(a), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])], names=["a", "b"])
 
-    return nodes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "cluster binary, item long")
+    return nodes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def _branch_big(nodes: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
@@ -254,10 +274,10 @@ def _branch_big(nodes: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     def same(a, b):
         return F.aggregate(F.sequence(F.lit(1), F.lit(COORDINATES)), F.lit(0), lambda n, i: n + (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))).cast("int")) / COORDINATES
 
-    leaders = nodes.groupBy("key").agg(F.min_by("sketch", F.xxhash64("item", F.lit(level))).alias("_leader"))
+    leaders = nodes.groupBy("key").agg(F.min_by("sketch", F.xxhash64("item", F.lit(level))).alias("_leader"), F.min_by("item", F.xxhash64("item", F.lit(level))).alias("_lead_item"))
     near = same(F.col("sketch"), F.col("_leader"))
-    marked = materialise(nodes.join(leaders, "key").select("key", "item", "sketch", near.alias("_near")), "branch")
-    around = marked.filter(F.col("_near") >= AROUND).select(F.sha2(F.concat_ws(",", "key", F.lit(level)), 256).cast("binary").alias("cluster"), "item")
+    marked = materialise(nodes.join(leaders, "key").select("key", "item", "sketch", "_lead_item", near.alias("_near")), "branch")
+    around = marked.filter((F.col("_near") >= AROUND) & (F.col("item") != F.col("_lead_item"))).select(F.col("_lead_item").alias("a"), F.col("item").alias("b"))
     rest = marked.filter(F.col("_near") < CORE)
     chosen = np.random.default_rng(level).choice(COORDINATES, 2, replace=False)
     split = [rest.select(F.xxhash64("key", F.lit(int(c)), F.substring("sketch", int(c) + 1, 1)).alias("key"), "item", "sketch") for c in chosen]
@@ -265,7 +285,7 @@ def _branch_big(nodes: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
 
 
 def candidate_clusters(items: DataFrame) -> DataFrame:
-    """Distinct (cluster, item) of all trees over ``items`` (item, sketch, keys)."""
+    """(cluster, item): each item that is like another by sketch, in the one cluster that all trees connect; ``items``: (item, sketch, keys)."""
     nodes = items.select("item", "sketch", F.explode("keys").alias("key"))
     out, level = None, 0
     while True:  # every step takes out the cores of each large node and splits the rest, down to small nodes
@@ -279,7 +299,8 @@ def candidate_clusters(items: DataFrame) -> DataFrame:
         around, nodes = _branch_big(nodes.join(big, "key", "left_semi"), level)
         out = out.unionByName(around)
         level += 1
-    return out.distinct()
+    found = components(out)
+    return found.select(F.col("component").alias("cluster"), "item").unionByName(found.select(F.col("component").alias("cluster"), F.col("component").alias("item"))).distinct()
 
 
 def confirmed_stars(sets: list[np.ndarray], threshold: int = THRESHOLD) -> list[tuple[int, int]]:
