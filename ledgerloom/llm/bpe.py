@@ -31,6 +31,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 END = "\x01"  # stands for the end-of-word mark inside the automaton
 CACHE_WORDS = 250_000  # of each of a cache's two generations
 CACHE_CHARS = 48
@@ -293,5 +295,6 @@ def digests(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_i
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bounded_batches(docs.sparkSession)
     slim = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
     return slim.mapInArrow(batches, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")

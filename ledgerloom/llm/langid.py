@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .textbytes import slices
 
 BUCKETS = 1 << 15
@@ -75,6 +76,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities, buckets x languages."""
+    bounded_batches(docs.sparkSession)
     learned = docs.filter((fold(docs[doc_id]) != 2) & docs[lang].isNotNull() & docs[text].isNotNull())
     counts = count_grams(learned.select(docs[lang].cast("string").alias("lang"), docs[text].cast("string").alias("text"))).toPandas()
     names = sorted(counts["lang"].unique())

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded_batches, materialise
 
 WIDTH = 2
 THRESHOLD = 80  # per cent
@@ -47,7 +47,7 @@ BIG_CLUSTER = 8_192
 DEPTH = 8
 LINK = 0.62  # sketch similarity that a linked pair reaches
 CORE, AROUND = 0.70, 0.15  # whoever is linked to an item this near a leader is at least so near it, by the triangle inequality and four standard deviations
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _rng = np.random.default_rng(8)
@@ -130,7 +130,9 @@ def signatures(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text
                     sketches.append(None)
                     keys.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "sketch", "keys"])
+        _WORDS.clear()  # the worker goes on to other work
 
+    bounded_batches(docs.sparkSession)
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, SIGNATURE)
 
 
@@ -347,6 +349,7 @@ def confirm(docs: DataFrame, clusters: DataFrame, width: int, threshold: int, do
         for batch in it:
             sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["item", "hashes"])
+        _WORDS.clear()
 
     sets = slim.join(items, "item", "left_semi").mapInArrow(to_sets, "item long, hashes binary").filter(F.length("hashes") > 0)
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("_n"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, model
-from .common import input_partitions, materialise
+from .common import bounded_batches, input_partitions, materialise
 
 CAPACITY = 4096
 END_ID = 1
@@ -167,6 +167,7 @@ def pieces_of(docs: DataFrame, vocabulary: str | None = None, capacity: int = CA
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(FIELDS[:-1]))
 
+    bounded_batches(docs.sparkSession)
     slim = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .textbytes import slices
 
 TRAIN_ROWS = 4000
@@ -221,6 +222,7 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = FIT_STEPS) -> tuple[np.ndarra
 
 def train(docs: DataFrame, text: str = "text", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights, intercept and labeller accuracies learned from ``docs``."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(docs[text].cast("string").alias("text"))
     counted = vote_patterns(slim).toPandas().sort_values("pattern")
     posterior = np.full(3 ** len(LABELLERS), 0.5)

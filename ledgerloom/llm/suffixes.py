@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import bounded_batches, materialise
 from .neardup import _runs, _whole_groups
 from .textbytes import slices
 
@@ -49,8 +49,8 @@ STEP = 40  # bytes a refinement round goes deeper; LENGTH is a multiple
 CORES = 8
 SHIFT = (LENGTH - GRAM) // CORES
 SHARD_BYTES = 1 << 18
-TASK_BYTES = 3 << 20
-HOT = 16_384
+TASK_BYTES = 3 << 19
+HOT = 6_000
 
 _B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _M = np.uint64(0xFF51AFD7ED558CCD)
@@ -130,6 +130,7 @@ ONE, SEVERAL, SETTLED = 0, 1, 2  # kinds: context once or more often in its batc
 
 
 def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(body).alias("digest"), body.alias("text"))
 
@@ -247,18 +248,19 @@ def _ranks(*columns: np.ndarray) -> np.ndarray:
     key = columns[0].astype("int64")
     for c in columns[1:]:
         key = key * (int(c.max()) + 1) + c
-    return np.unique(key, return_inverse=True)[1]
+    return np.unique(key, return_inverse=True)[1].astype("int32")
 
 
 def block_ranks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Rank of the ``STEP`` bytes at each place, the letters of the transforms; every shard is cyclic on its own."""
-    at = np.arange(len(data))
-    base, size = np.repeat(starts[:-1], np.diff(starts)), np.repeat(np.diff(starts), np.diff(starts))
+    at = np.arange(len(data), dtype="int32")
+    base, size = (np.repeat(x.astype("int32"), np.diff(starts)) for x in (starts[:-1], np.diff(starts)))
     ahead = lambda d: base + (at - base + d) % size
     word = np.zeros(len(data), "uint64")
     for k in range(8):
         word = word << np.uint64(8) | data[ahead(k)].astype("uint64")
-    eight = np.unique(word, return_inverse=True)[1]
+    eight = np.unique(word, return_inverse=True)[1].astype("int32")
+    del word
     sixteen = _ranks(eight, eight[ahead(8)])
     thirty_two = _ranks(sixteen, sixteen[ahead(16)])
     return _ranks(thirty_two, eight[ahead(32)])
@@ -285,7 +287,7 @@ def merge_transforms(transforms: list[np.ndarray], most: int) -> tuple[np.ndarra
     """
     joined = np.concatenate(transforms)
     shard = np.repeat(np.arange(len(transforms), dtype="uint16"), [len(t) for t in transforms])
-    classes = np.zeros(len(joined), "int64")
+    classes = np.zeros(len(joined), "int32")
     before = np.empty_like(joined)
     for _ in range(LENGTH // STEP):
         before[np.argsort(shard, kind="stable")] = joined
@@ -293,7 +295,7 @@ def merge_transforms(transforms: list[np.ndarray], most: int) -> tuple[np.ndarra
         block, old = before[order], classes[order]
         shard = shard[order]
         edge = (block[1:] != block[:-1]) | (old[1:] != old[:-1])  # neighbours whose common prefix ends in this block
-        classes = np.concatenate([[0], np.cumsum(edge)])
+        classes = np.concatenate([np.zeros(1, "int32"), np.cumsum(edge, dtype="int32")])
     return shard, classes
 
 
@@ -312,10 +314,10 @@ def repeated_windows(texts: list[bytes], identity: np.ndarray) -> list[np.ndarra
     for a, b in shards:
         own = blocks[starts[a] : starts[b]]
         order = shard_suffixes(own)
-        transforms.append(np.roll(own, STEP)[order].astype("int64"))
-        places.append(order + starts[a])
+        transforms.append(np.roll(own, STEP)[order])
+        places.append((order + starts[a]).astype("int32"))
     shard, classes = merge_transforms(transforms, int(blocks.max()))
-    place = np.empty(len(data), "int64")
+    place = np.empty(len(data), "int32")
     place[np.argsort(shard, kind="stable")] = np.concatenate(places)
     text = np.searchsorted(starts, place, side="right") - 1
     whole = place + LENGTH <= starts[text + 1]
@@ -328,7 +330,7 @@ def repeated_windows(texts: list[bytes], identity: np.ndarray) -> list[np.ndarra
     again = np.repeat(differs, np.diff(np.concatenate([edge, [len(classes)]])))
     place, text = place[again], text[again]
     order = np.argsort(place)
-    place, text = place[order] - starts[text[order]], text[order]
+    place, text = place[order].astype("int64") - starts[text[order]], text[order]
     return np.split(place, np.searchsorted(text, np.arange(1, len(texts))))
 
 

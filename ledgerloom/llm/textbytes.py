@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def slices(texts, lower: bool = False, pad: bytes = b"\n\n") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
