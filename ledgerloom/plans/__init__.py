@@ -1,0 +1,3 @@
+"""Registered queries; importing the package registers all of them."""
+
+from . import queries, upkeep_queries  # noqa: F401
