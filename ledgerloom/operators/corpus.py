@@ -127,10 +127,20 @@ def qa_verdict(findings: DataFrame) -> DataFrame:
 
 
 def deterministic_sample(df: DataFrame, key: str, seed: str, share: float, least: int) -> DataFrame:
-    """The rows with the smallest seeded digests: ``share`` of them, ``least`` at least."""
-    place = F.row_number().over(Window.orderBy(F.sha2(F.concat(F.col(key).cast("string"), F.lit(seed)), 256)))
-    n = df.count()
-    return df.withColumn("_place", place).filter(F.col("_place") <= max(int(share * n), least)).drop("_place")
+    """The rows with the smallest seeded digests: ``share`` of them, ``least`` at least.
+
+    Counts of rows by the digests' first four hex digits (65,536 at most) give
+    the one bucket in which the cut lies; only that one is ranked.
+    """
+    marked = df.withColumn("_digest", F.sha2(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed)), 256)).withColumn("_bucket", F.substring("_digest", 1, 4))
+    sizes = marked.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    upto = sizes.withColumn("_upto", F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = sizes.agg(F.greatest(F.floor(F.coalesce(F.sum("_n"), F.lit(0)) * share), F.lit(least)).alias("_wanted")).first()["_wanted"]
+    room = upto.select("_bucket", (F.lit(wanted) - F.col("_upto") + F.col("_n")).alias("_room"), "_n").filter("_room > 0")
+    j = marked.join(F.broadcast(room), "_bucket")
+    whole = j.filter("_n <= _room")
+    cut = j.filter("_n > _room").withColumn("_place", F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", key))).filter("_place <= _room").drop("_place")
+    return whole.unionByName(cut).drop("_digest", "_bucket", "_room", "_n")
 
 
 def split_sections(docs: DataFrame, doc: str, text: str, heading: str) -> DataFrame:

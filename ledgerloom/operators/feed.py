@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import global_position
+
 REJECTED = "autorejected"
 
 
@@ -168,7 +170,7 @@ def selection_diff(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def sort_listing(df: DataFrame, invalid: Column, value: Column, text: Column, tie: Column, name: str = "position") -> DataFrame:
     """Position with invalid values last whichever way ``value`` runs."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(invalid.cast("int").asc(), value, text, tie)))
+    return global_position(df, [invalid.cast("int").asc(), value, text, tie], name)
 
 
 def recent(feed: DataFrame, rejected: DataFrame, n: int = 10) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import rules
 from ..functions import text as tx
 from ..operators import corpus as cp
 from ..operators import feed as fd
+from ..operators.ranking import shared_folder
 from ..sources import readers as rd
 from ..streaming import streams as st
 
@@ -554,10 +555,7 @@ def t06(spark, sf_dir):
 
 def _streamed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Final state of a stream over the events table's files, written batch by batch to the shared folder."""
-    import tempfile
-    import uuid
-
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    shared = shared_folder(spark, "stream")
     like = table(spark, sf_dir, "events")
     stream = build(spark.readStream.schema(like.schema).parquet(f"{sf_dir}/events.parquet*"))
 

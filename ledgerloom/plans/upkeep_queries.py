@@ -41,9 +41,9 @@ def j09(spark, sf_dir):
     return up.merge_stored(new, stored, "p_partkey")
 
 
-@query("J11_profile_for_source", "SELECT doc_id, CASE WHEN lower(source) IN ('web', 'forum') THEN 'open' WHEN lower(source) IN ('code', 'web') THEN 'technical' ELSE 'default' END AS profile FROM documents")
+@query("J11_profile_for_source", "SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN 'open' WHEN source IN ('src1', 'src2') THEN 'technical' ELSE 'default' END AS profile FROM documents")
 def j11(spark, sf_dir):
-    return up.profile_for_source(table(spark, sf_dir, "documents"), [("open", ["Web", "forum"]), ("technical", ["code", "web"])], "source", "default").select("doc_id", "profile")
+    return up.profile_for_source(table(spark, sf_dir, "documents"), [("open", ["SRC0", "src1"]), ("technical", ["src1", "src2"])], "source", "default").select("doc_id", "profile")
 
 
 @query("G03_bucket_counts", f"WITH {FEED_SQL} SELECT c_custkey AS entity_id, count_if(status = '{PUBLISHED}') AS published, count_if(status = '{DOWNLOADED}') AS downloaded, count_if(status = '{ANALYZED}') AS analyzed FROM customer LEFT JOIN feed ON entity_id = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY c_custkey")
@@ -235,12 +235,11 @@ def m12(spark, sf_dir):
     return out.select("id", "next_status", "cleared")
 
 
-@query("M13_preserve_removed", f"WITH o AS (SELECT l_orderkey AS item, l_linenumber AS uuid, l_returnflag = 'R' AS was, l_shipdate AS since, l_quantity > 20 AS f FROM lineitem), n AS (SELECT l_orderkey AS item, l_linenumber AS uuid FROM lineitem WHERE l_linestatus = 'F') SELECT item, uuid, n.uuid IS NULL AS removed, CASE WHEN n.uuid IS NULL THEN CASE WHEN was THEN since ELSE TIMESTAMP '{NOW}' END END AS removed_at, NOT was AS compared FROM o LEFT JOIN n USING (item, uuid) WHERE n.uuid IS NOT NULL OR was OR f")
+@query("M13_preserve_removed", f"WITH o AS (SELECT user_id AS item, event_id AS uuid, event_id % 3 = 0 AS was, ts AS since, event_id % 5 < 2 AS f FROM events), n AS (SELECT event_id AS uuid FROM events WHERE event_id % 2 = 0) SELECT item, uuid, n.uuid IS NULL AS removed, CASE WHEN n.uuid IS NULL THEN CASE WHEN was THEN since ELSE TIMESTAMP '{NOW}' END END AS removed_at, NOT was AS compared FROM o LEFT JOIN n USING (uuid) WHERE n.uuid IS NOT NULL OR was OR f")
 def m13(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem")
-    key = [c("l_orderkey").alias("item"), c("l_linenumber").alias("uuid")]
-    old = l.select(*key, (c("l_returnflag") == "R").alias("removed"), c("l_shipdate").alias("removed_at"), (c("l_quantity") > 20).alias("has_file"))
-    return up.preserve_removed(old, l.filter("l_linestatus = 'F'").select(*key), "item", "uuid", now())
+    k = c("event_id")
+    e = table(spark, sf_dir, "events").select(c("user_id").alias("item"), k.alias("uuid"), (k % 3 == 0).alias("removed"), c("ts").alias("removed_at"), (k % 5 < 2).alias("has_file"))
+    return up.preserve_removed(e, e.filter("uuid % 2 = 0"), "item", "uuid", now())
 
 
 @query("M14_retention_split", f"WITH {FEED_SQL} SELECT id, promoted_at IS NULL AND first_seen < TIMESTAMP '1998-01-01' - INTERVAL 90 DAY AS purge FROM feed")
