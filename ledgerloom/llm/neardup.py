@@ -7,8 +7,8 @@
 3. A node of a tree holds the items that share its path of tokens.  Nodes of up to
    ``BIG_NODE`` items are branched inside one task: small nodes are compared
    exhaustively, items around a leader are taken out together, and what remains is
-   split again by two chosen tokens.  Larger nodes are branched by shuffles in the
-   same way.  A node yields clusters: items connected by sketch similarities that
+   split again by two chosen tokens.  Larger nodes are branched by joins in the
+   same way, and only what remains or surrounds a leader is dealt anew.  A node yields clusters: items connected by sketch similarities that
    no true link can miss (five standard deviations under the threshold).
 4. Clusters that share an item are joined over all trees, so that an item is in one
    cluster.  The full sets of a cluster's items are compared exactly and confirmed
@@ -266,40 +266,51 @@ def tree_clusters(nodes: DataFrame) -> DataFrame:
     return nodes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def _branch_big(nodes: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """One step for nodes too large for a task: the leader's surroundings as a cluster, and the rest split by two tokens.
+def _leaders(nodes: DataFrame, items: DataFrame, level: int) -> DataFrame:
+    """(key, _lead_item, _leader) of each node of more than ``BIG_NODE`` items: its leader and the leader's sketch.
 
-    Whoever is linked to a core is in the surroundings too, so cores need not
-    be split on.  Large surroundings are compared in pairs of blocks later.
+    It is written, so that the joins with it are planned by its real size.
+    """
+    large = nodes.groupBy("key").agg(F.count("*").alias("_n"), F.min_by("item", F.xxhash64("item", F.lit(level))).alias("_lead_item")).filter(F.col("_n") > BIG_NODE)
+    sketches = items.select(F.col("item").alias("_lead_item"), F.col("sketch").alias("_leader"))
+    return materialise(large.join(sketches, "_lead_item").select("key", "_lead_item", "_leader"), "leaders")
+
+
+def _branch_big(nodes: DataFrame, leaders: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """One step for nodes too large for a task: (stars, the nodes of the next level).
+
+    Whoever is linked to a core is in the leader's surroundings too, so cores need
+    not be split on: the surroundings become a node of their own, and the rest is
+    split by two tokens.  Surroundings that are again too large for a task are one
+    cluster, which is compared in pairs of blocks later.
     """
 
     def same(a, b):
         return F.aggregate(F.sequence(F.lit(1), F.lit(COORDINATES)), F.lit(0), lambda n, i: n + (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))).cast("int")) / COORDINATES
 
-    leaders = nodes.groupBy("key").agg(F.min_by("sketch", F.xxhash64("item", F.lit(level))).alias("_leader"), F.min_by("item", F.xxhash64("item", F.lit(level))).alias("_lead_item"))
     near = same(F.col("sketch"), F.col("_leader"))
-    marked = materialise(nodes.join(leaders, "key").select("key", "item", "sketch", "_lead_item", near.alias("_near")), "branch")
-    around = marked.filter((F.col("_near") >= AROUND) & (F.col("item") != F.col("_lead_item"))).select(F.col("_lead_item").alias("a"), F.col("item").alias("b"))
-    rest = marked.filter(F.col("_near") < CORE)
+    marked = materialise(nodes.join(leaders, "key").select("key", "item", "sketch", "shell", "_lead_item", near.alias("_near")), "branch")
+    stars = marked.filter(F.col("shell") & (F.col("_near") >= AROUND) & (F.col("item") != F.col("_lead_item"))).select(F.col("_lead_item").alias("a"), F.col("item").alias("b"))
     chosen = np.random.default_rng(level).choice(COORDINATES, 2, replace=False)
-    split = [rest.select(F.xxhash64("key", F.lit(int(c)), F.substring("sketch", int(c) + 1, 1)).alias("key"), "item", "sketch") for c in chosen]
-    return around, split[0].unionByName(split[1])
+    split = [F.when(F.col("_near") < CORE, F.struct(F.xxhash64("key", F.lit(int(c)), F.substring("sketch", int(c) + 1, 1)).alias("key"), F.lit(False).alias("shell"))) for c in chosen]
+    around = F.when(~F.col("shell") & (F.col("_near") >= AROUND), F.struct(F.xxhash64("key", F.lit(-1)).alias("key"), F.lit(True).alias("shell")))
+    after = marked.select("item", "sketch", F.explode(F.array_compact(F.array(*split, around))).alias("_to"))
+    return stars, after.select("item", "sketch", F.col("_to.key").alias("key"), F.col("_to.shell").alias("shell"))
 
 
 def candidate_clusters(items: DataFrame) -> DataFrame:
     """(cluster, item): each item that is like another by sketch, in the one cluster that all trees connect; ``items``: (item, sketch, keys)."""
-    nodes = items.select("item", "sketch", F.explode("keys").alias("key"))
+    nodes = items.select("item", "sketch", F.explode("keys").alias("key")).withColumn("shell", F.lit(False))
     out, level = None, 0
     while True:  # every step takes out the cores of each large node and splits the rest, down to small nodes
-        big = nodes.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > BIG_NODE).select("key")
-        large = big.count()
-        small = nodes if not large else nodes.join(big, "key", "left_anti")
-        found = tree_clusters(small)
+        leaders = _leaders(nodes, items, level)
+        large = leaders.count()
+        found = tree_clusters((nodes.join(leaders, "key", "left_anti") if large else nodes).select("key", "item", "sketch"))
         out = found if out is None else out.unionByName(found)
         if not large:
             break
-        around, nodes = _branch_big(nodes.join(big, "key", "left_semi"), level)
-        out = out.unionByName(around)
+        stars, nodes = _branch_big(nodes, leaders, level)
+        out = out.unionByName(stars)
         level += 1
     found = components(out)
     return found.select(F.col("component").alias("cluster"), "item").unionByName(found.select(F.col("component").alias("cluster"), F.col("component").alias("item"))).distinct()
