@@ -1,25 +1,85 @@
-"""Streams over files: upserts, duplicates, first and last sight, live counts."""
+"""Streams over files: upserts, changes, duplicates, due items, first and last sight, live counts.
+
+What a batch writes goes to a folder of its batch id, from the folder of the one
+before: a batch that is run again after a loss gives the same tables.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.feed import due_for_refresh, preferred, upsert_feed
+from ..sources.readers import read_snapshot, write_snapshot
+
+Batch = Callable[[DataFrame, int], None]
+
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame, files_a_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
-def stream_upsert(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def stream_upsert(stream: DataFrame, apply: Batch, checkpoint: str) -> StreamingQuery:
     """Each batch is merged by ``apply(batch, batch_id)``, which must be idempotent by batch id."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_table(path: str, key: Sequence[str], digest: str, values: Sequence[str], order: Sequence[Column]) -> Batch:
+    """For ``stream_upsert``: version ``batch_id`` of the feed at ``path`` is the one before with the batch merged in."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        columns = [*key, digest, *values]
+        old = read_snapshot(batch.sparkSession, path, batch_id - 1) if batch_id else batch.select(*columns).limit(0)
+        write_snapshot(upsert_feed(old, batch, key, digest, values, order)[0].select(*columns), path, batch_id)
+
+    return apply
+
+
+def change_table(path: str, key: Sequence[str], value: str, order: str) -> Batch:
+    """For ``stream_upsert``: each batch's changes at ``path``/changes, the last value of every key at ``path``/state.
+
+    A row is ``added`` (first of its key) or ``modified`` (value differs from the
+    key's last one).  Rows that do not advance the key's ``order`` are late and
+    go; of rows of equal order in a batch the smallest value counts; rows with a
+    blank key or order take no part.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        rows = preferred(batch.select(*key, value, order), [*key, order], [F.asc_nulls_last(value)])
+        if batch_id:
+            old = read_snapshot(batch.sparkSession, f"{path}/state", batch_id - 1)
+        else:
+            old = rows.limit(0)
+        last = old.select(*key, F.col(value).alias("_value"), F.col(order).alias("_order"))
+        rows = rows.join(last, list(key), "left").filter(F.col("_order").isNull() | (F.col(order) > F.col("_order")))
+        w = Window.partitionBy(*key).orderBy(order)
+        first = F.row_number().over(w) == 1
+        rows = rows.withColumns({"first": first & F.col("_order").isNull(), "old": F.when(first, F.col("_value")).otherwise(F.lag(value).over(w))})
+        kind = F.when(F.col("first"), "added").when(~F.col(value).eqNullSafe(F.col("old")), "modified")
+        changes = rows.select(*key, order, kind.alias("kind"), "old", F.col(value).alias("new")).filter("kind IS NOT NULL")
+        write_snapshot(changes, f"{path}/changes", batch_id)
+        state = old.select(*key, value, order).unionByName(rows.select(*key, value, order))
+        newest = state.groupBy(*key).agg(F.max_by(F.struct(value, order), order).alias("_s")).select(*key, f"_s.{value}", f"_s.{order}")
+        write_snapshot(newest, f"{path}/state", batch_id)
+
+    return apply
+
+
+def due_table(path: str, items: Callable[[], DataFrame], tick: str, checked: str, deadline: str) -> Batch:
+    """For ``stream_upsert`` over a clock's ticks: at each batch the items due at its latest tick, written at ``path``."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        now = batch.agg(F.max(tick).cast("timestamp")).first()[0]
+        write_snapshot(due_for_refresh(items(), F.lit(now).cast("timestamp"), checked, deadline), path, batch_id)
+
+    return apply
+
+
 def stream_dedupe(stream: DataFrame, key: list[str], ts: str, delay: str) -> DataFrame:
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
 
 
 def first_last_seen(stream: DataFrame, keys: list[str], ts: str) -> DataFrame:
