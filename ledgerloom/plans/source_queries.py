@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import corpus as cp
 from ..operators.ranking import shared_folder
 from ..operators.refresh import Refreshed, refresh_changes
+from ..sources import layouts as ly
 from ..sources import readers as rd
 from ..streaming import streams as st
 from .queries import NOW, c, now, query, scalar, table
@@ -135,3 +136,49 @@ def c08_changes(spark, sf_dir):
   FROM lineitem WHERE NOT ({TAKEN.format('l_orderkey')} AND l_linenumber % 3 = 0 AND l_linenumber % 2 = 1)""")
 def c08_documents(spark, sf_dir):
     return _refreshed(spark, sf_dir).documents
+
+
+@query("A05_extract_schedule", """SELECT page_id, CAST(n AS INTEGER) AS place, CASE n WHEN 0 THEN 'Bases' || page_id ELSE 'Registro' END AS stage, '0' || (page_id % 9 + 1) || '/02/2024' AS starts, 'fin' AS ends
+  FROM pages, (VALUES (0), (1)) v(n) WHERE n = 0 OR page_id % 3 > 0""")
+def a05(spark, sf_dir):
+    row = lambda stage: F.concat(F.lit("<tr><td>"), stage, F.lit("</td><td>0"), (c("page_id") % 9 + 1).cast("string"), F.lit("/02/2024</td><td><b>fin</b></td></tr>"))
+    second = F.when(c("page_id") % 3 > 0, row(F.lit("Registro (Electrónica)"))).otherwise("")
+    head = F.lit('<table><tr><td><table id="tbFicha:j_idt7"><tr><th>Etapa</th><th>Fecha Inicio</th><th>Fecha Fin</th></tr>')
+    body = F.concat(head, row(F.concat(F.lit("Bases A TRAVES DEL SEACE "), c("page_id").cast("string"))), second, F.lit("</table></td></tr></table>"), F.coalesce("html", F.lit("")))
+    body = F.replace(body, F.lit("SEACE "), F.lit("SEACE&nbsp;"))
+    return ly.extract_schedule(table(spark, sf_dir, "pages").withColumn("html", body), "page_id", "html")
+
+
+@query("A06_extract_nested_processes", """SELECT page_id, 'P-' || page_id AS code, CASE WHEN page_id % 2 = 0 THEN page_id || '.pdf' END AS file, CASE WHEN page_id % 2 = 0 THEN '01.02.24' END AS valid_from FROM pages""")
+def a06(spark, sf_dir):
+    k = c("page_id").cast("string")
+    doc = F.concat(F.lit('<div class="container-participations-item"><span class="title">T</span><span class="excerpt">Fecha de vigencia: Desde 01.02.24 Hasta 02.03.24</span><a href="getFile_store_competition_download?name_file='), k, F.lit('.pdf">x</a></div>'))
+    html = F.concat(F.coalesce("html", F.lit("")), F.lit('<li class="parent-main-competition"><div class="container-title-competition"><span class="title">P-'), k, F.lit("</span></div>"), F.when(c("page_id") % 2 == 0, doc).otherwise(""), F.lit("</li>"))
+    return ly.extract_nested_processes(table(spark, sf_dir, "pages").withColumn("html", html), "page_id", "html").select("page_id", "code", "file", "valid_from")
+
+
+@query("A10_read_bom_variants", "SELECT p_partkey, CAST(0 AS INTEGER) AS place, p_name AS name, CAST(p_size AS VARCHAR) AS size, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'own' END AS grp FROM part")
+def a10(spark, sf_dir):
+    items = F.array(F.struct(c("p_name").alias("name"), c("p_size").alias("size"), c("p_type").alias("grupo")))
+    rescued = F.to_json(F.struct(items.alias("items"), F.array(F.lit("own")).alias("grupos_identificados")))
+    files = table(spark, sf_dir, "part").select("p_partkey", F.when(c("p_partkey") % 2 == 0, F.to_json(items)).otherwise('{"items": [{"na').alias("body"), rescued.alias("rescued"))
+    return ly.read_bom_variants(files, "p_partkey", "body", "rescued", ["name", "size"]).select("p_partkey", "place", "name", "size", c("groups")[0].alias("grp"))
+
+
+@query("A12_layout_blocks", """SELECT doc_id, CAST(n AS INTEGER) AS place, CASE n WHEN 0 THEN 'text' ELSE 'table' END AS type, md5(CASE n WHEN 0 THEN coalesce(text, '') ELSE trim(coalesce(lang, '') || ' ' || coalesce(source, '')) END) AS digest
+  FROM documents, (VALUES (0), (1)) v(n)""")
+def a12(spark, sf_dir):
+    text = lambda x: F.struct(F.struct(F.coalesce(x, F.lit("")).alias("text")).alias("textBlock"))
+    cell = F.struct(F.array(text(c("lang")), text(c("source"))).alias("blocks"))
+    block = F.to_json(F.struct(F.struct(F.coalesce("text", F.lit("")).alias("text")).alias("textBlock")))
+    grid = F.to_json(F.struct(F.struct(F.array(F.struct(F.array(cell).alias("cells"))).alias("bodyRows")).alias("tableBlock")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("["), block, F.lit(","), grid, F.lit("]")).alias("body"), F.lit(0).alias("at"))
+    got = ly.parse_layout_blocks(docs, "doc_id", "body", "at")
+    return got.select("doc_id", "place", "type", F.md5(F.coalesce("text", c("table_rows")[0][0])).alias("digest"))
+
+
+@query("A12_chunks", "SELECT doc_id, md5(coalesce(text, '')) AS digest, CAST(1 + doc_id % 5 AS INTEGER) AS page_start, contains(coalesce(text, ''), '__START_OF_ANNOTATION__') OR contains(coalesce(text, ''), '**Image Description') AS image FROM documents")
+def a12_chunks(spark, sf_dir):
+    chunk = F.to_json(F.array(F.struct(F.coalesce("text", F.lit("")).alias("content"), F.struct(F.lit(1).alias("pageStart")).alias("pageSpan"))))
+    got = ly.parse_chunks(table(spark, sf_dir, "documents").select("doc_id", chunk.alias("body"), (c("doc_id") % 5).cast("int").alias("at")), "doc_id", "body", "at")
+    return got.select("doc_id", F.md5("content").alias("digest"), "page_start", c("is_image_annotation").alias("image"))
