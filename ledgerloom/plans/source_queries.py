@@ -11,10 +11,11 @@ from ..functions import text as tx
 from ..operators import corpus as cp
 from ..operators.ranking import shared_folder
 from ..operators.refresh import Refreshed, refresh_changes
+from ..operators.scan import scan_actions, scan_cycle
 from ..sources import layouts as ly
 from ..sources import readers as rd
 from ..streaming import streams as st
-from .queries import NOW, c, now, query, scalar, table
+from .queries import ANALYZED, NOW, PUBLISHED, c, now, query, scalar, table
 
 scalar("A02_decode_bytes", "part", "p_partkey", lambda: rd.decode_bytes(F.when(c("p_partkey") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("p_name", "UTF-8"))).when(c("p_partkey") % 3 == 1, F.encode(F.concat(F.lit("ñ "), "p_name"), "UTF-8")).otherwise(F.concat(F.unhex(F.lit("F120")), F.encode("p_name", "UTF-8")))), "CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'ñ ' || p_name END")
 scalar("A04_extract_total_pages", "pages", "page_id", lambda: rd.extract_total_pages(F.concat(F.when(c("page_id") % 3 == 0, F.concat(F.lit("totalPages: "), (c("page_id") % 50).cast("string"), F.lit(","))).when(c("page_id") % 3 == 1, F.concat(F.lit("Página: 1/"), (c("page_id") % 70).cast("string"), F.lit(" "))).otherwise(""), F.coalesce("html", F.lit("")))), "CAST(CASE page_id % 3 WHEN 0 THEN page_id % 50 WHEN 1 THEN page_id % 70 ELSE 1 END AS INTEGER)")
@@ -115,6 +116,7 @@ def _refreshed(spark: SparkSession, sf_dir: str) -> Refreshed:
     return refresh_changes(items, fresh, lines, lines.filter("uuid % 3 <> 0"), "id", ["status"], ["stages"], "uuid", "checked", "deadline", now())
 
 
+DISCARDED = "descartada"
 TAKEN = "{0} % 4 <> 1 AND {0} % 3 <> 0 AND {0} % 5 <> 0"
 _TAKEN = TAKEN.format("o_orderkey")
 
@@ -182,3 +184,35 @@ def a12_chunks(spark, sf_dir):
     chunk = F.to_json(F.array(F.struct(F.coalesce("text", F.lit("")).alias("content"), F.struct(F.lit(1).alias("pageStart")).alias("pageSpan"))))
     got = ly.parse_chunks(table(spark, sf_dir, "documents").select("doc_id", chunk.alias("body"), (c("doc_id") % 5).cast("int").alias("at")), "doc_id", "body", "at")
     return got.select("doc_id", F.md5("content").alias("digest"), "page_start", c("is_image_annotation").alias("image"))
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as the feed (without those of 7) and all of them listed again, one of three under a higher reference."""
+    k = c("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    feed_ = o.filter(k % 7 != 0).select(
+        k.alias("id"), k.cast("string").alias("source_ref"), F.concat(F.lit("key "), k.cast("string")).alias("key"), F.when(k % 5 == 0, DISCARDED).when(k % 2 == 0, ANALYZED).otherwise(PUBLISHED).alias("status"),
+        (k % 2 == 0).alias("claimed"), F.md5("o_orderpriority").alias("digest"), c("o_orderpriority").alias("title"), F.lit("2024-01-01").cast("timestamp").alias("last_seen"), F.lit(None).cast("timestamp").alias("promoted_at"),
+        F.lit(False).alias("has_data"), F.lit(False).alias("has_analysis"), F.lit(False).alias("rejected"),
+    )
+    title = F.when(k % 11 == 0, "changed").otherwise(c("o_orderpriority"))
+    listed = o.select(F.when(k % 3 == 0, k + 100_000_000).otherwise(k).cast("string").alias("source_ref"), F.concat(F.lit(" KEY  "), k.cast("string")).alias("key"), F.md5(title).alias("digest"), title.alias("title"))
+    return feed_, scan_actions(feed_, listed, [F.asc("source_ref")], PUBLISHED, [DISCARDED], c("id") % 13 == 0)
+
+
+SCAN_SQL = f"""o AS (SELECT o_orderkey AS k, o_orderpriority AS p, CASE WHEN o_orderkey % 5 = 0 THEN '{DISCARDED}' WHEN o_orderkey % 2 = 0 THEN '{ANALYZED}' ELSE '{PUBLISHED}' END AS status, o_orderkey % 7 = 0 AS new, o_orderkey % 3 = 0 AS moved FROM orders),
+  a AS (SELECT *, CASE WHEN new THEN 'insert' WHEN moved AND (k % 2 = 0 OR status = '{PUBLISHED}') THEN 'adopt' WHEN moved THEN 'insert' WHEN status = '{DISCARDED}' THEN 'touch' WHEN k % 11 = 0 THEN 'update' WHEN k % 13 = 0 THEN 'refresh' ELSE 'touch' END AS action FROM o)"""
+
+
+@query("M01_scan_actions", f"WITH {SCAN_SQL} SELECT CAST(CASE WHEN moved THEN k + 100000000 ELSE k END AS VARCHAR) AS source_ref, action, CASE WHEN action <> 'insert' THEN k END AS target FROM a")
+def m01_actions(spark, sf_dir):
+    return _scan(spark, sf_dir)[1].select("source_ref", "action", "target")
+
+
+@query("M01_scan_cycle", f"""WITH {SCAN_SQL} SELECT CAST(CASE WHEN action = 'adopt' THEN k + 100000000 ELSE k END AS VARCHAR) AS source_ref, CASE WHEN action = 'update' THEN 'changed' ELSE p END AS title, status, NOT (moved AND action = 'insert') AS seen FROM a WHERE NOT new
+  UNION ALL SELECT CAST(CASE WHEN moved THEN k + 100000000 ELSE k END AS VARCHAR), CASE WHEN k % 11 = 0 THEN 'changed' ELSE p END, '{PUBLISHED}', TRUE FROM a WHERE action = 'insert'""")
+def m01_cycle(spark, sf_dir):
+    items, actions = _scan(spark, sf_dir)
+    decisions_ = spark.createDataFrame([], "tenant_id string, feed_item_id long, decision string")
+    out, _ = scan_cycle(items, decisions_, actions, ["title"], PUBLISHED, now(), F.xxhash64("source_ref"))
+    return out.select("source_ref", "title", "status", (c("last_seen") == now()).alias("seen"))
