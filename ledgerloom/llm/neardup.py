@@ -32,7 +32,7 @@ import hashlib
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialise
@@ -276,6 +276,13 @@ def _leaders(nodes: DataFrame, items: DataFrame, level: int) -> DataFrame:
     return materialise(large.join(sketches, "_lead_item").select("key", "_lead_item", "_leader"), "leaders")
 
 
+def node_coordinates(level: int) -> tuple[Column, Column]:
+    """Two different coordinates of each node (``key``), drawn for every node on its own: trees, and the branches of one, stay independent."""
+    first = F.pmod(F.xxhash64("key", F.lit(level), F.lit("first")), F.lit(COORDINATES)).cast("int")
+    step = F.pmod(F.xxhash64("key", F.lit(level), F.lit("second")), F.lit(COORDINATES - 1)).cast("int")
+    return first, F.pmod(first + 1 + step, F.lit(COORDINATES))
+
+
 def _branch_big(nodes: DataFrame, leaders: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     """One step for nodes too large for a task: (stars, the nodes of the next level).
 
@@ -291,8 +298,7 @@ def _branch_big(nodes: DataFrame, leaders: DataFrame, level: int) -> tuple[DataF
     near = same(F.col("sketch"), F.col("_leader"))
     marked = materialise(nodes.join(leaders, "key").select("key", "item", "sketch", "shell", "_lead_item", near.alias("_near")), "branch")
     stars = marked.filter(F.col("shell") & (F.col("_near") >= AROUND) & (F.col("item") != F.col("_lead_item"))).select(F.col("_lead_item").alias("a"), F.col("item").alias("b"))
-    chosen = np.random.default_rng(level).choice(COORDINATES, 2, replace=False)
-    split = [F.when(F.col("_near") < CORE, F.struct(F.xxhash64("key", F.lit(int(c)), F.substring("sketch", int(c) + 1, 1)).alias("key"), F.lit(False).alias("shell"))) for c in chosen]
+    split = [F.when(F.col("_near") < CORE, F.struct(F.xxhash64("key", c, F.substring(F.col("sketch"), c + 1, F.lit(1))).alias("key"), F.lit(False).alias("shell"))) for c in node_coordinates(level)]
     around = F.when(~F.col("shell") & (F.col("_near") >= AROUND), F.struct(F.xxhash64("key", F.lit(-1)).alias("key"), F.lit(True).alias("shell")))
     after = marked.select("item", "sketch", F.explode(F.array_compact(F.array(*split, around))).alias("_to"))
     return stars, after.select("item", "sketch", F.col("_to.key").alias("key"), F.col("_to.shell").alias("shell"))

@@ -149,6 +149,22 @@ def test_near_duplicates(spark, docs, monkeypatch, limits):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_large_nodes_are_split_independently(spark, monkeypatch):
+    """Pairs of similarity 0.80 to 0.85 whose roots are large in every tree; no two pairs are alike."""
+    monkeypatch.setattr(neardup, "BIG_NODE", 100)
+    rng = np.random.default_rng(4)
+    pairs, rows = 600, []
+    for k in range(pairs):
+        one = rng.integers(0, 256, neardup.COORDINATES, dtype="uint8")
+        two = one.copy()
+        two[rng.choice(neardup.COORDINATES, int(rng.integers(19, 26)), replace=False)] += np.uint8(1)
+        rows += [(2 * k, bytearray(one), list(range(neardup.TREES))), (2 * k + 1, bytearray(two), list(range(neardup.TREES)))]
+    items = spark.createDataFrame(rows, "item long, sketch binary, keys array<long>")
+    cluster = {r.item: r.cluster for r in neardup.candidate_clusters(items).collect()}
+    missed = [k for k in range(pairs) if 2 * k not in cluster or cluster[2 * k] != cluster.get(2 * k + 1)]
+    assert missed == []
+
+
 def test_quality_and_language_keep_clean(spark):
     rng = random.Random(5)
     en, de = ["the", "and", "of", "with", "there", "house", "walking"], ["der", "und", "nicht", "über", "haus", "gehen", "schön"]
