@@ -3,8 +3,8 @@
 Overlapping heuristic labellers vote good, bad or nothing on each document.
 Expectation-maximisation over the counts of vote patterns (at most
 3^labellers rows, whatever the input) estimates each labeller's accuracy and the
-share of good documents.  The posteriors label a bounded sample
-(``TRAIN_ROWS``), on which a linear scorer over hashed character-class trigrams
+share of good documents.  The posteriors label a bounded sample of different texts
+(``TRAIN_ROWS``), each weighted by the rows it stands for, on which a linear scorer over hashed character-class trigrams
 is fitted, with the share of repeated words; the scorer, ``FEATURES`` weights, is broadcast and judges every whole text.
 
 Defined results: null, empty or blank text gets no vote, score 0 and is
@@ -182,16 +182,37 @@ def trigrams(data: np.ndarray) -> np.ndarray:
     return (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
 
 
-def _training_rows(docs: DataFrame, posterior: np.ndarray, total: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features and posterior labels of a sample chosen by text digest; ``docs`` has one column, text."""
-    share = min(1.0, rows / max(total, 1))
-    chosen = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+def sampled_texts(docs: DataFrame, rows: int) -> DataFrame:
+    """(digest, weight) of at most ``rows`` different texts with ink; ``docs`` has one column, text.
+
+    Priority sampling: a text with n copies has the priority n / u, u drawn by its
+    digest; the ``rows`` highest are taken, with the weight n or the highest priority
+    left out, whichever is more.  So a text weighs as much as its copies do among all
+    rows, whether it is taken or others stand for it.
+    """
+    inked = docs.filter(F.col("text").rlike("[^\\t\\n\\r ]"))
+    counts = inked.groupBy(F.xxhash64("text").alias("digest")).agg(F.count("*").alias("n"))
+    u = (F.shiftrightunsigned(F.xxhash64("digest"), 11).cast("double") + 0.5) / float(1 << 53)
+    top = counts.withColumn("priority", F.col("n") / u).orderBy(F.desc("priority"), "digest").limit(rows + 1).toPandas()
+    left_out = float(top["priority"].iloc[rows]) if len(top) > rows else 0.0
+    taken = top.iloc[:rows]
+    weights = np.maximum(taken["n"].to_numpy("float64"), left_out)
+    return docs.sparkSession.createDataFrame(list(zip(taken["digest"].tolist(), weights.tolist(), strict=True)), "digest long, weight double")
+
+
+def _training_rows(docs: DataFrame, posterior: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed features, posterior labels and weights of the ``sampled_texts``; ``docs`` has one column, text."""
+    sample = sampled_texts(docs, rows)
+    chosen = docs.withColumn("digest", F.xxhash64("text")).join(F.broadcast(sample.select("digest")), "digest", "left_semi").select("text", "digest")
 
     def run(it):
         import pyarrow as pa
 
         powers = 3 ** np.arange(len(LABELLERS))
+        seen: set[int] = set()  # copies are one row a task, and one row after all
         for batch in it:
+            fresh = [k for k, d in enumerate(batch.column(1).to_pylist()) if not (d in seen or seen.add(d))]
+            batch = batch.take(pa.array(fresh, pa.int64()))
             for begin, end, data, starts in slices(batch.column(0)):
                 if len(data) < 3:
                     continue
@@ -199,22 +220,23 @@ def _training_rows(docs: DataFrame, posterior: np.ndarray, total: int, rows: int
                 repeats = repeat_share(texts)
                 v = votes(class_counts(CLASS_OF[data], starts), texts, repeats)
                 x = features(hashed(trigrams(data)).astype("int64"), starts, repeats)
-                yield pa.RecordBatch.from_arrays([pa.array(posterior[v @ powers], pa.float64()), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[begin:end], pa.array(posterior[v @ powers], pa.float64()), pa.array([r.tobytes() for r in x], pa.binary())], names=["digest", "y", "x"])
 
-    sample = chosen.mapInArrow(run, "y double, x binary").limit(2 * rows).toPandas()
-    x = np.frombuffer(b"".join(sample["x"]), "float32").reshape(-1, FEATURES)
-    order = np.lexsort((sample["y"].to_numpy(), *(x[:, k] for k in range(8)))) if len(x) else np.zeros(0, "int64")
-    return x[order], sample["y"].to_numpy()[order]
+    learned = chosen.mapInArrow(run, "digest long, y double, x binary").groupBy("digest").agg(F.min(F.struct("y", "x")).alias("of"))
+    found = learned.join(F.broadcast(sample), "digest").select("digest", "weight", "of.y", "of.x").toPandas().sort_values("digest")
+    x = np.frombuffer(b"".join(found["x"]), "float32").reshape(-1, FEATURES)
+    return x, found["y"].to_numpy("float64"), found["weight"].to_numpy("float64")
 
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = FIT_STEPS) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by gradient steps."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = FIT_STEPS) -> tuple[np.ndarray, float]:
+    """Logistic regression on weighted soft labels by gradient steps."""
     w, b = np.zeros(FEATURES), 0.0
     if not len(x):
         return w, b
+    share = weight / weight.sum()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(x @ w.astype("float32") + b)))
-        g = (p - y) / len(y)
+        g = (p - y) * share
         w -= RATE * (x.T @ g.astype("float32") + DECAY * w)
         b -= RATE * float(g.sum())
     return w, b
@@ -229,7 +251,7 @@ def train(docs: DataFrame, text: str = "text", rows: int = TRAIN_ROWS) -> tuple[
     accuracy = np.zeros((len(LABELLERS), 2))
     if len(counted):
         posterior[counted["pattern"]], accuracy, _ = expectation_maximisation(counted["pattern"].to_numpy(), counted["n"].to_numpy())
-    w, b = fit(*_training_rows(slim, posterior, int(counted["n"].sum()), rows))
+    w, b = fit(*_training_rows(slim, posterior, rows))
     return w, b, accuracy
 
 

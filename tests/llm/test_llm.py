@@ -195,6 +195,22 @@ def test_quality_and_language_keep_clean(spark):
     assert langid.keep_identified(df).columns == df.columns
 
 
+def test_quality_learns_from_texts_beside_nulls_and_copies(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(50)]
+    texts = {" ".join(rng.choices(words, k=12)) for _ in range(300)}
+    rows = [(t,) for t in texts] + [(None,)] * 20_000 + [("  \n",)] * 5_000 + [("a hot copied text of some words",)] * 10_000
+    df = spark.createDataFrame(rows, "text string").repartition(3)
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda *given: fitted.append(given) or (np.zeros(quality.FEATURES), 0.0))
+    quality.train(df, rows=100)
+    quality.train(df, rows=1_000)
+    assert all((x[:, : quality.HASHED].sum(axis=1) > 0).all() for x, *_ in fitted)  # nothing without ink
+    (some, _, weight), (every, _, counts) = fitted
+    assert len(some) == 100 and np.isclose(weight.max(), 10_000) and 200 < weight.sum() - weight.max() < 450
+    assert len(every) == 301 and counts.sum() == 10_300
+
+
 def test_searches(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(230, 9)).astype("float32")
