@@ -19,7 +19,8 @@ else in the corpus, the same text included.
    shard numbers is permuted, one block of ``STEP`` bytes a round, and the places
    where neighbours begin to differ give their common prefixes.  Runs with common
    prefixes of ``LENGTH`` are the repeated intervals.
-   Anchors with over ``HOT`` contexts are not held by one task: their windows are
+   Anchors with over ``WHOLE`` rows pass their task in pieces, and their cores are
+   counted with partial sums.  Anchors with over ``HOT`` contexts are not held by one task: their windows are
    counted by hash, with partial sums.
 4. The runs found for a text are joined to it and cut.
 
@@ -51,6 +52,7 @@ SHIFT = (LENGTH - GRAM) // CORES
 SHARD_BYTES = 1 << 18
 TASK_BYTES = 3 << 19
 HOT = 6_000
+WHOLE = 50_000  # rows of one anchor that a task holds together
 
 _B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _M = np.uint64(0xFF51AFD7ED558CCD)
@@ -126,7 +128,7 @@ def merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 CORE_COLUMNS = [f"cores{k}" for k in range(CORES // 2)]  # two 32-bit hashes each
 ROW = "doc_id long, digest long, kind int, anchor long, context long, low long, high long, " + ", ".join(f"{c} long" for c in CORE_COLUMNS)
-ONE, SEVERAL, SETTLED = 0, 1, 2  # kinds: context once or more often in its batch; a run that is repeated
+ONE, SEVERAL, SETTLED, PENDING = 0, 1, 2, 3  # kinds: context once or more often in its batch; a run that is repeated; a context of an anchor of over WHOLE rows
 
 
 def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -202,13 +204,62 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ROW)
 
 
+def _pieces(it, most: int):
+    """(table, whole, context before, context after) of rows sorted by (anchor, context).
+
+    Whole anchors come together (the contexts are None then); an anchor of more
+    than ``most`` rows comes in pieces, with the contexts of its rows next to the piece.
+    """
+    import pyarrow as pa
+
+    held, size, parted, before = [], 0, False, None  # rows of the last anchor so far
+
+    def part(last: bool):
+        nonlocal held, size, before
+        rows = pa.concat_tables(held)
+        cut = len(rows) if last else len(rows) - 1
+        out = rows.slice(0, cut), False, before, None if last else rows.column("context")[cut].as_py()
+        before = rows.column("context")[cut - 1].as_py()
+        held, size = ([], 0) if last else ([rows.slice(cut)], 1)
+        return out
+
+    for batch in it:
+        piece = pa.Table.from_batches([batch])
+        if held and piece.num_rows:
+            same = piece.column("anchor").to_numpy() == held[0].column("anchor")[0].as_py()
+            more = int(np.count_nonzero(same))
+            if more:
+                held.append(piece.slice(0, more))
+                size += more
+                piece = piece.slice(more)
+            if piece.num_rows:  # the anchor ends here
+                yield part(True) if parted else (pa.concat_tables(held), True, None, None)
+                held, size, parted, before = [], 0, False, None
+        if piece.num_rows:
+            keys = piece.column("anchor").to_numpy()
+            cut = int(np.argmax(keys == keys[-1]))
+            if cut:
+                yield piece.slice(0, cut), True, None, None
+            held, size = [piece.slice(cut)], piece.num_rows - cut
+        if size > most:
+            parted = True
+            yield part(False)
+    if held:
+        yield part(True) if parted else (pa.concat_tables(held), True, None, None)
+
+
 def sort_out(rows: DataFrame) -> DataFrame:
-    """Settled runs (kind SETTLED) and the contexts whose bytes are needed (kind ONE), a row for each kind of context."""
+    """Settled runs (kind SETTLED) and the contexts whose bytes are needed (kind ONE), a row for each kind of context.
+
+    A task sees rows in the order of (anchor, context), so it tells repeated
+    contexts by their neighbours.  Contexts of anchors too large to be held are
+    passed on as PENDING, for ``settle_pending``.
+    """
 
     def run(it):
         import pyarrow as pa
 
-        for group in _whole_groups(it, "anchor"):
+        for group, all_rows, before, after in _pieces(it, WHOLE):
             anchor, context = group.column("anchor").to_numpy(), group.column("context").to_numpy()
             kind = group.column("kind").to_numpy()
             settled = kind == SETTLED
@@ -218,21 +269,43 @@ def sort_out(rows: DataFrame) -> DataFrame:
             new_kind = new_anchor | np.concatenate([[True], c[1:] != c[:-1]]) if len(a) else new_anchor
             of_kind, of_anchor = np.cumsum(new_kind) - 1, np.cumsum(new_anchor) - 1
             often = (np.bincount(of_kind, minlength=len(a))[of_kind] > 1) | (np.bincount(of_kind, weights=kind[real] == SEVERAL, minlength=len(a))[of_kind] > 0)
-            kinds_of_anchor = np.bincount(of_anchor, weights=new_kind, minlength=len(a))[of_anchor]
+            if not all_rows and len(a):
+                often |= (c == before) if before is not None else False
+                often |= (c == after) if after is not None else False
+                new_kind &= (c != before) if before is not None else True
             # copies settled in their batch stand for themselves; others that repeat are settled now
             done = np.concatenate([np.flatnonzero(settled), real[often & (kind[real] == ONE)], real[often & (kind[real] == SEVERAL)]])
-            need = np.flatnonzero(new_kind & (kinds_of_anchor > 1))
-            need = need[share_a_core(of_anchor[need], [group.column(c).to_numpy()[real[need]] for c in CORE_COLUMNS])]
-            sharing = np.bincount(of_anchor[need], minlength=len(a))[of_anchor[need]]
+            if all_rows:
+                kinds_of_anchor = np.bincount(of_anchor, weights=new_kind, minlength=len(a))[of_anchor]
+                need = np.flatnonzero(new_kind & (kinds_of_anchor > 1))
+                need = need[share_a_core(of_anchor[need], [group.column(c).to_numpy()[real[need]] for c in CORE_COLUMNS])]
+                sharing = np.bincount(of_anchor[need], minlength=len(a))[of_anchor[need]]
+            else:
+                need = np.flatnonzero(new_kind)
+                sharing = np.zeros(len(need))
             need = real[need]
             take = np.concatenate([done, need])
             out = group.take(pa.array(take)).combine_chunks()
-            kinds = np.concatenate([np.full(len(done), SETTLED), np.full(len(need), ONE)])
+            kinds = np.concatenate([np.full(len(done), SETTLED), np.full(len(need), ONE if all_rows else PENDING)])
             n = np.concatenate([np.zeros(len(done)), sharing]).astype("int64")
             table = out.select(["doc_id", "digest", "anchor", "low", "high"]).append_column("kind", pa.array(kinds, pa.int32())).append_column("contexts", pa.array(n))
+            blank = kinds != PENDING
+            for name in ["context", *CORE_COLUMNS]:
+                table = table.append_column(name, pa.array(out.column(name).to_numpy(), pa.int64(), mask=blank))
             yield from table.combine_chunks().to_batches()
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(run, "doc_id long, digest long, anchor long, low long, high long, kind int, contexts long")
+    found = "doc_id long, digest long, anchor long, low long, high long, kind int, contexts long, context long, " + ", ".join(f"{c} long" for c in CORE_COLUMNS)
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(run, found)
+
+
+def settle_pending(pending: DataFrame) -> DataFrame:
+    """The PENDING rows that share a core with another context of their anchor, as ``sort_out`` gives those of smaller anchors; counted with partial sums."""
+    halves = [F.struct(F.lit(2 * k + h).alias("part"), (F.shiftrightunsigned(c, 32) if h == 0 else F.col(c).bitwiseAND(0xFFFFFFFF)).alias("core")) for k, c in enumerate(CORE_COLUMNS) for h in (0, 1)]
+    cores = pending.select("anchor", "context", F.inline(F.array(*halves))).filter("core <> 0")
+    shared = cores.groupBy("anchor", "part", "core").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    sharing = materialise(cores.join(shared, ["anchor", "part", "core"], "left_semi").select("anchor", "context").distinct(), "sharing")
+    counts = sharing.groupBy("anchor").agg(F.count("*").alias("contexts"))
+    return pending.drop("contexts").join(sharing, ["anchor", "context"], "left_semi").join(F.broadcast(counts), "anchor").select("doc_id", "digest", "anchor", "low", "high", F.lit(ONE).alias("kind"), "contexts")
 
 
 def _stable_order(keys: np.ndarray, most: int) -> np.ndarray:
@@ -433,7 +506,11 @@ def counted_runs(contexts: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, runs): repeated runs of each text that has any; ``docs`` as of ``_identified``."""
     sorted_out = materialise(sort_out(anchor_rows(docs)), "anchors")
-    contexts = materialise(fetch_contexts(docs, sorted_out.filter(F.col("kind") == ONE)), "contexts")
+    needs = sorted_out.filter(F.col("kind") == ONE).select("doc_id", "digest", "anchor", "low", "high", "kind", "contexts")
+    pending = sorted_out.filter(F.col("kind") == PENDING)
+    if pending.limit(1).count():
+        needs = needs.unionByName(settle_pending(pending))
+    contexts = materialise(fetch_contexts(docs, needs), "contexts")
     runs = sorted_out.filter(F.col("kind") == SETTLED).select("doc_id", "digest", "low", "high")
     runs = runs.unionByName(matched_runs(contexts.filter(F.col("contexts") <= HOT)))
     if contexts.filter(F.col("contexts") > HOT).limit(1).count():

@@ -118,6 +118,26 @@ def test_suffixes_of_hot_anchors(spark, docs, monkeypatch):
     assert sorted(suffixes.digests(docs).collect()) == want
 
 
+def test_suffixes_of_large_anchors_are_not_held(spark, docs, monkeypatch):
+    """An anchor of many rows passes in pieces of few rows, with the same result."""
+    want = sorted(suffixes.digests(docs).collect())
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "4")
+    monkeypatch.setattr(suffixes, "WHOLE", 1)
+    try:
+        out = suffixes.sort_out(suffixes.anchor_rows(suffixes._identified(docs, "doc_id", "text")))
+        assert suffixes.settle_pending(out.filter(f"kind = {suffixes.PENDING}")).count() > 0
+        assert sorted(suffixes.digests(docs).collect()) == want
+    finally:
+        spark.conf.set(batch, before)
+    import pyarrow as pa
+
+    rows = pa.table({"anchor": [1] * 3 + [2] * 5_000 + [3] * 2, "context": [*range(3), *(k // 3 for k in range(5_000)), 7, 7]})
+    pieces = list(suffixes._pieces(iter(rows.to_batches(max_chunksize=40)), 60))
+    assert pa.concat_tables([p[0] for p in pieces]).equals(rows) and max(len(p[0]) for p in pieces) <= 100
+
+
 def brute_components(texts, width):
     sets = {i: neardup.shingle_set(t, width) for i, t in texts.items()}
     parent = {i: i for i in sets}
