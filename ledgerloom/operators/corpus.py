@@ -99,7 +99,10 @@ def consolidate(bom: DataFrame, candidates: DataFrame, accepted: Sequence[str])
 
 
 def inherit_requirements(bom: DataFrame, requirements: DataFrame, depth: int = 16) -> DataFrame:
-    """(item_id, text, origin, parent): own requirements and those of all ancestors, equal texts once, nearest first."""
+    """(item_id, text, origin, parent): own requirements and those of all ancestors, equal texts once, nearest first.
+
+    A tree with ancestors beyond ``depth``, or a cycle of parents, is an error.
+    """
     chain = bom.select("item_id", F.col("item_id").alias("source"), F.col("parent_id").alias("next"), F.lit(0).alias("distance"))
     out, parents = chain, bom.select(F.col("item_id").alias("_id"), F.col("parent_id").alias("_up"))
     for k in range(1, depth + 1):
@@ -107,6 +110,9 @@ def inherit_requirements(bom: DataFrame, requirements: DataFrame, depth: int = 1
         if not chain.limit(1).count():
             break
         out = out.unionByName(chain)
+    else:
+        if chain.filter("next IS NOT NULL").join(parents, F.col("next") == F.col("_id"), "left_semi").limit(1).count():
+            raise ValueError(f"items have ancestors beyond {depth} levels, or their parents form a cycle")
     reqs = requirements.select(F.col("item_id").alias("source"), "text")
     found = out.join(reqs, "source").withColumn("_n", F.row_number().over(Window.partitionBy("item_id", "text").orderBy("distance", "source"))).filter("_n = 1")
     return found.select("item_id", "text", F.when(F.col("distance") == 0, "DIRECTO").otherwise("HEREDADO").alias("origin"), F.when(F.col("distance") > 0, F.col("source")).alias("parent"))

@@ -117,3 +117,15 @@ def test_rescue_and_catalog(spark, tmp_path):
     assert [tuple(r) for r in rd.read_entity_catalog(spark, str(path)).collect()] == [("201", "UNO", "ACTIVO")]
     with pytest.raises(KeyError):
         rd.source("nowhere")
+
+
+def test_requirements_of_far_ancestors_are_not_lost_silently(spark):
+    import pytest
+
+    from ledgerloom.operators import corpus
+
+    bom = spark.createDataFrame([(k, k - 1 if k else None) for k in range(5)], "item_id long, parent_id long")
+    needs = spark.createDataFrame([(0, "of the root")], "item_id long, text string")
+    assert corpus.inherit_requirements(bom, needs, depth=4).count() == 5
+    with pytest.raises(ValueError, match="ancestors"):
+        corpus.inherit_requirements(bom, needs, depth=3)
