@@ -158,8 +158,8 @@ def pieces_of(docs: DataFrame, vocabulary: str | None = None, capacity: int = CA
         bpe, end = model(vocabulary), np.array([END_ID], "<u4").tobytes()
         for batch in it:
             rows: list[tuple] = []
-            for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = bpe.encode(value.as_py()) + end
+            for i, ids in zip(batch.column(0).to_pylist(), bpe.encode_all(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((i, piece, at // 4, len(part) // 4, zlib.crc32(part)))
