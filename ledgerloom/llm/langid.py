@@ -1,125 +1,166 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts byte 2- and 3-grams of lower-cased whole texts in every task and
-adds them up by (language, bucket); the table of log probabilities, languages x
-``2 * BUCKETS``, is the only thing sent to the driver and broadcast, and its size
-does not depend on the number of documents.  Scoring sums the rows of that table
-over a document's n-grams in numpy, batch by batch.
+Training counts 2- and 3-grams of the characters of lower-cased whole texts in
+every task and adds them up by (language, bucket).  The log-probability matrix
+reaches the driver and is broadcast in blocks of ``LANGUAGES`` languages, each
+``LANGUAGES`` x ``2 * BUCKETS`` floats at most whatever the input.  Scoring counts
+a document's n-grams sparsely in numpy and multiplies the counts with the rows of
+the matrix that they name; one pass over the batch a block, each carrying the
+best language so far and the sum of likelihoods, so any number of languages works.
 
 Learning uses text and non-null lang of documents whose crc32(doc_id) mod 4 is
-not 2; a prediction depends on the text alone.
+not 2; a prediction depends on the text alone.  Languages have equal priors.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0,
 as is everything if there is nothing to learn from; a null doc_id is neither
-learned from nor held out; ties go to the language that sorts first; very long
-texts are scored whole; an empty table gives an empty result.
+learned from nor held out; ties go to the language that sorts first; repeated
+rows get equal results wherever they are; very long texts are counted in
+stretches, whole; an empty table gives an empty result; further columns of the
+input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches
-from .textbytes import slices
 
 BUCKETS = 1 << 15
 SMOOTH = 0.5
-MAX_LANGUAGES = 256
+LANGUAGES = 32  # of a block
 UNKNOWN = "und"
+STRETCH = 500_000  # characters that are hashed at once
 LETTER = re.compile(r"[^\W\d_]")
 
+Block = tuple[list[str], np.ndarray]
+
 
 def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
-def gram_buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of the 2-gram and of the 3-gram that begin at each byte but the last two."""
-    a, b, c = (data[i : len(data) - 2 + i].astype("uint32") for i in range(3))
-    pair = a << 8 | b
-    two = (pair * np.uint32(2654435761)) >> np.uint32(17)
-    three = ((pair << 8 | c) * np.uint32(2246822519)) >> np.uint32(17)
-    return two, three + np.uint32(BUCKETS)
+def gram_buckets(text: str) -> Iterator[np.ndarray]:
+    """Buckets of the character 2- and 3-grams of a lower-cased text between blanks, stretch by stretch."""
+    body = f" {text.lower()} "
+    for at in range(0, max(len(body) - 2, 1), STRETCH):
+        c = np.frombuffer(body[at : at + STRETCH + 2].encode("utf-32-le", "surrogatepass"), "<u4")
+        pair = c[:-1] * np.uint32(0x9E3779B1) + c[1:]
+        two = (pair * np.uint32(2654435761)) >> np.uint32(17)
+        three = ((pair[:-1] * np.uint32(0x85EBCA77) + c[2:]) * np.uint32(2246822519)) >> np.uint32(17)
+        last = at + STRETCH + 2 >= len(body)
+        yield np.concatenate([two if last else two[:-1], three + np.uint32(BUCKETS)])
+
+
+def sparse_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Different buckets of a text, sorted, and how often each occurs."""
+    parts = list(gram_buckets(text))
+    if len(parts) == 1 and len(parts[0]) < BUCKETS // 4:
+        return np.unique(parts[0], return_counts=True)
+    dense = np.zeros(2 * BUCKETS, "int64")
+    for part in parts:
+        dense += np.bincount(part, minlength=2 * BUCKETS)
+    at = np.flatnonzero(dense)
+    return at, dense[at]
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, bucket, n) over all of ``docs`` (lang, text)."""
+    """(lang, bucket, n) over all of ``docs`` (lang, text); a task holds the counts of at most ``LANGUAGES`` languages at once."""
 
     def run(it):
         import pyarrow as pa
 
         totals: dict[str, np.ndarray] = {}
+
+        def rows():
+            for name, total in totals.items():
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "bucket", "n"])
+            totals.clear()
+
         for batch in it:
-            langs = np.array(batch.column(0).to_pylist(), dtype=object)
-            for begin, end, data, starts in slices(batch.column(1), lower=True):
-                if len(data) < 3:
-                    continue
-                two, three = gram_buckets(data)
-                names, codes = np.unique(langs[begin:end].astype(str), return_inverse=True)
-                of = np.repeat(codes, np.diff(starts))[: len(two)]
-                for k, name in enumerate(names):
-                    mine = slice(None) if len(names) == 1 else of == k
-                    total = totals.setdefault(name, np.zeros(2 * BUCKETS, "int64"))
-                    total += np.bincount(two[mine], minlength=2 * BUCKETS)
-                    total += np.bincount(three[mine], minlength=2 * BUCKETS)
-        for name, total in totals.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "bucket", "n"])
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if lang not in totals and len(totals) >= LANGUAGES:
+                    yield from rows()
+                total = totals.setdefault(lang, np.zeros(2 * BUCKETS, "int64"))
+                for part in gram_buckets(text.as_py()):
+                    np.add.at(total, part, 1)
+        yield from rows()
 
     partial = docs.mapInArrow(run, "lang string, bucket int, n long")
     return partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities, buckets x languages."""
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[Block]:
+    """Blocks of languages, in order, and their log probabilities, buckets x languages."""
     bounded_batches(docs.sparkSession)
     learned = docs.filter((fold(docs[doc_id]) != 2) & docs[lang].isNotNull() & docs[text].isNotNull())
-    counts = count_grams(learned.select(docs[lang].cast("string").alias("lang"), docs[text].cast("string").alias("text"))).toPandas()
-    names = sorted(counts["lang"].unique())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; the model holds {MAX_LANGUAGES}")
-    table = np.full((2 * BUCKETS, len(names)), SMOOTH)
-    for k, name in enumerate(names):
-        mine = counts[counts["lang"] == name]
-        table[mine["bucket"].to_numpy(), k] += mine["n"].to_numpy()
-    for part in (slice(0, BUCKETS), slice(BUCKETS, None)):
-        table[part] /= table[part].sum(axis=0)
-    return names, np.log(table).astype("float32")
-
-
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    counts = count_grams(learned.select(docs[lang].cast("string").alias("lang"), docs[text].cast("string").alias("text"))).persist()
+    names = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    blocks = []
+    for at in range(0, len(names), LANGUAGES):
+        own = names[at : at + LANGUAGES]
+        found = (counts if len(own) == len(names) else counts.filter(F.col("lang").isin(own))).toPandas()
+        table = np.full((2 * BUCKETS, len(own)), SMOOTH)
+        for k, name in enumerate(own):
+            mine = found[found["lang"] == name]
+            table[mine["bucket"].to_numpy(), k] += mine["n"].to_numpy()
+        for part in (slice(0, BUCKETS), slice(BUCKETS, None)):
+            table[part] /= table[part].sum(axis=0)
+        blocks.append((own, np.log(table).astype("float32")))
+    counts.unpersist()
+    return blocks
+
+
+def text_likelihoods(text: str, table: np.ndarray) -> np.ndarray:
+    """Log likelihood of a text in each language: the product of its sparse counts with their rows of the table."""
+    at, n = sparse_counts(text)
+    return (n[:, None] * table[at].astype("float64")).sum(axis=0)
+
+
+def _scored(df: DataFrame, blocks: list[Block], text: str) -> DataFrame:
+    """``df`` with ``_best`` (language or null), ``_log`` and ``_rest``: its log likelihood and the sum of all likelihoods over its own."""
+    df = df.select("*", F.lit(None).cast("string").alias("_best"), F.lit(float("-inf")).alias("_log"), F.lit(0.0).alias("_rest"))
+    schema = T.StructType([*df.schema.fields[:-3], *[T.StructField(n, t) for n, t in (("_best", T.StringType()), ("_log", T.DoubleType()), ("_rest", T.DoubleType()))]])
+    column, kept = df.columns.index(text), len(df.columns) - 3
+    for block in blocks:
+        shared = df.sparkSession.sparkContext.broadcast(block)
+
+        def run(it, shared=shared):
+            import pyarrow as pa
+
+            names, table = shared.value
+            for batch in it:
+                best, log, rest = (batch.column(kept + k).to_pylist() for k in range(3))
+                for row, value in enumerate(batch.column(column)):
+                    own = value.as_py()
+                    if own is None or not LETTER.search(own):
+                        continue
+                    found = text_likelihoods(own, table)
+                    k = int(found.argmax())
+                    top = max(found[k], log[row])
+                    rest[row] = float(rest[row] * np.exp(log[row] - top) + np.exp(found - top).sum())
+                    if found[k] > log[row]:
+                        best[row] = names[k]
+                    log[row] = float(top)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(best, pa.string()), pa.array(log, pa.float64()), pa.array(rest, pa.float64())], names=schema.names)
+
+        df = df.mapInArrow(run, schema)
+    return df
+
+
+POSTERIOR = "IF(_rest > 0, 1 / _rest, 0D)"
+
+
+def predict(docs: DataFrame, blocks: list[Block], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row."""
-    names, table = model
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))
-
-    def run(it):
-        import pyarrow as pa
-
-        weights = shared.value
-        for batch in it:
-            texts = batch.column(2)
-            best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-            for begin, end, data, starts in slices(texts, lower=True):
-                if not names or len(data) < 3:
-                    continue
-                two, three = gram_buckets(data)
-                at = np.minimum(starts[:-1], len(two) - 1)
-                total = np.stack([np.add.reduceat(w[two], at, dtype="float64") + np.add.reduceat(w[three], at, dtype="float64") for w in weights], axis=1)
-                best[begin:end] = total.argmax(axis=1)
-                score[begin:end] = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            lettered = np.array([bool(t.is_valid and LETTER.search(t.as_py())) for t in texts], bool)
-            best[~lettered] = -1
-            score[best < 0] = 0
-            found = pa.array([names[k] if k >= 0 else UNKNOWN for k in best], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found, pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
     slim = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(fold(docs[doc_id]) == 2, F.lit(False)).alias("held_out"), docs[text].cast("string").alias("text"))
-    return slim.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
+    return _scored(slim, blocks, "text").select("doc_id", "held_out", F.coalesce("_best", F.lit(UNKNOWN)).alias("lang_pred"), F.expr(POSTERIOR).alias("score"))
 
 
 def identify(docs: DataFrame, **names: str) -> DataFrame:
@@ -132,28 +173,9 @@ def identify(docs: DataFrame, **names: str) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose language is found; rows without letters, or that no language explains better than the rest together, go.
 
-    The decision is computed in the scan of the whole rows, so nothing is joined.
+    All columns stay as they are, whatever their names.  The decision is computed
+    in the scan of the whole rows, so nothing is joined.
     """
-    model = train(docs)
-    names, table = model
-    shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))
-    column = docs.columns.index("text")
-
-    def run(it):
-        import pyarrow as pa
-
-        weights = shared.value
-        for batch in it:
-            texts = batch.column(column)
-            keep = np.zeros(batch.num_rows, bool)
-            for begin, end, data, starts in slices(texts, lower=True):
-                if not names or len(data) < 3:
-                    continue
-                two, three = gram_buckets(data)
-                at = np.minimum(starts[:-1], len(two) - 1)
-                total = np.stack([np.add.reduceat(w[two], at, dtype="float64") + np.add.reduceat(w[three], at, dtype="float64") for w in weights], axis=1)
-                keep[begin:end] = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) >= least
-            keep &= np.array([bool(t.is_valid and LETTER.search(t.as_py())) for t in texts], bool)
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    text = f"c{docs.columns.index('text')}"
+    return _scored(plain, train(docs), text).filter(F.expr(f"{POSTERIOR} >= {least}D")).select(*plain.columns).toDF(*docs.columns)
