@@ -11,13 +11,23 @@ from pyspark.sql import functions as F
 
 
 def _accent_table() -> tuple[str, str]:
-    """Latin letters with marks and their bare letters, by canonical decomposition."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x250)]
-    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii()]
-    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+    """Characters that decompose to one bare character and that character, then the combining marks, which go.
+
+    Built by rule from canonical decomposition, over all scripts but Hangul syllables.
+    """
+    bare, marks = {}, []
+    for x in [*range(0xC0, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x10000)]:
+        c = chr(x)
+        kept = [d for d in unicodedata.normalize("NFD", c) if unicodedata.category(d) != "Mn"]
+        if not kept:
+            marks.append(c)
+        elif len(kept) == 1 and kept[0] != c:
+            bare[c] = kept[0]
+    return "".join(bare) + "".join(marks), "".join(bare.values())
 
 
 ACCENTED, BARE = _accent_table()
+FOLDED = {ord(x): y for x, y in zip(ACCENTED, BARE, strict=False)} | {ord(x): None for x in ACCENTED[len(BARE) :]}
 WHITE = "[\\s\\u00A0]+"
 
 
@@ -27,13 +37,17 @@ def fold_text(c: Column) -> Column:
 
 
 def fold_literal(text: str) -> str:
-    return "".join(x for x in unicodedata.normalize("NFD", text) if not unicodedata.combining(x)).lower()
+    return text.translate(FOLDED).lower()
+
+
+# Fixed value: a term is a word where neither a letter nor a digit is next to it.
+WHOLE_WORD = "(?<![a-z0-9]){}(?![a-z0-9])"
 
 
 def contains_term(c: Column, term: str) -> Column:
     """Whole-word match on folded text; a blank term never matches."""
     folded = fold_literal(term).strip()
-    return fold_text(c).rlike(f"(?<![a-z0-9]){re.escape(folded)}(?![a-z0-9])") if folded else F.lit(False)
+    return fold_text(c).rlike(WHOLE_WORD.format(re.escape(folded))) if folded else F.lit(False)
 
 
 def normalize_key(c: Column) -> Column:
@@ -100,21 +114,49 @@ def url_param(url: Column, name: str) -> Column:
     return F.try_url_decode(F.nullif(F.regexp_extract(url, rf"[?&]{re.escape(name)}=([^&#]*)", 1), F.lit("")))
 
 
-def sanitize_filename(c: Column, fallback: str = "documento") -> Column:
-    """Last path part without forbidden characters, with an extension, at most 180 characters."""
-    name = F.regexp_replace(F.substring_index(F.regexp_replace(c, r"\\", "/"), "/", -1), r'[<>:"|?*\x00-\x1f#&=]+', "_")
-    name = F.trim(F.regexp_replace(name, r"[\s_]+", "_"))
-    name = F.when(name == "", F.lit(fallback)).otherwise(name)
-    name = F.when(name.rlike(r"\.[A-Za-z0-9]{2,5}$"), name).otherwise(F.concat(name, F.lit(".pdf")))
-    return F.substring(name, 1, 180)
+# Characters that a file name may not hold, the form of a size and of a uuid, the longest name.
+FORBIDDEN = r'[<>:"/\\|?*\x00-\x1f]'
+SIZE_LABEL = r"(?i)^\(?\s*\d+(?:\.\d+)?\s*(?:KB|MB|GB|B)\s*\)?$"
+UUID_STEM = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+LONGEST_NAME = 180
+EXTENSION = r"(?s)^.+(\.[^.]+)$"
+
+
+def base_name(c: Column) -> Column:
+    """What follows the last slash of either kind; slashes at the end do not count."""
+    path = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\\", "/"), "/+$", "")
+    return F.substring_index(path, "/", -1)
+
+
+def extension(name: Column) -> Column:
+    """The last dot and what follows; '' without one, or if nothing is before or after it."""
+    return F.regexp_extract(name, EXTENSION, 1)
+
+
+def stem(name: Column) -> Column:
+    return F.substring(name, F.lit(1), F.length(name) - F.length(extension(name)))
 
 
-def looks_like_uuid(c: Column) -> Column:
-    return F.lower(c).rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+def sanitize_filename(c: Column, fallback: Column | str = "documento") -> Column:
+    """Last path part with forbidden characters as ``_`` and single blanks; its extension (default .pdf) survives the cut to 180 characters."""
+    name = F.regexp_replace(F.trim(base_name(c)), FORBIDDEN, "_")
+    name = F.regexp_replace(F.regexp_replace(name, r"\s+", " "), r"^[ .]+|[ .]+$", "")
+    name = F.when(name == "", F.lit(fallback) if isinstance(fallback, str) else fallback).otherwise(name)
+    kind = extension(name)
+    kind = F.when(kind == "", F.lit(".pdf")).otherwise(kind)
+    return F.concat(F.substring(stem(name), F.lit(1), F.lit(LONGEST_NAME) - F.length(kind)), kind)
+
+
+def looks_like_uuid(c: Column, uuid: Column | None = None) -> Column:
+    """Whether a file's name without extension is a uuid, or the given one."""
+    own = stem(base_name(c))
+    like = own.rlike(UUID_STEM)
+    return like if uuid is None else like | F.coalesce((uuid != "") & (F.lower(own) == F.lower(uuid)), F.lit(False))
 
 
 def looks_like_size_label(c: Column) -> Column:
-    return F.lower(F.trim(c)).rlike(r"^\(?\s*[0-9]+([.,][0-9]+)?\s*(b|kb|mb|gb)\s*\)?$")
+    """Whether a file's name, without .pdf, is a size such as (12.5 KB)."""
+    return F.regexp_replace(base_name(F.trim(c)), r"(?i)(?<=.)\.pdf$", "").rlike(SIZE_LABEL)
 
 
 def score_name(c: Column, must: str, bonus: dict[str, int]) -> Column:
@@ -137,6 +179,35 @@ def rewrite(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return c
 
 
+# Ordered rewrites of recognised text.
+OCR_RULES = [(r"(?s)<::.*?::>", ""), (r"\x00", "°"), (r"\n{3,}", "\n\n"), (r"(?U)^\s+|\s+\z", "")]
+LIGATURE_RULES = [
+    ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb00", "ff"), ("\ufb03", "ffi"), ("\ufb04", "ffl"),
+    (r"\\times", "×"), (r"\^\{(\d+)\}", "^$1"), (r"\\\(\s*([^)]+?)\s*\\\)", "$1"),
+    (r"\^\{\\circ\}", "°"), (r"N\^\{circ\}", "N°"), (r"\^\{circ\}", "°"),
+]
+SPACING_RULES = [
+    (r"([a-záéíóúñ])\.\s*(\d+\.\d+\.\s)", "$1.\n\n$2"), (r"([a-záéíóúñ])\.\s*(\d+\.\s)", "$1.\n\n$2"),
+    (r"([A-ZÁÉÍÓÚÑ]{2,})([A-ZÁÉÍÓÚÑ][a-záéíóúñ])", "$1\n\n$2"), (r"([^\n#])(#{1,6}\s)", "$1\n\n$2"),
+    (r"\s+\d{1,2}\s+(LICITACIÓN|CONTRATACIÓN|ADJUDICACIÓN|BASES|DISPOSICIONES|CAPÍTULO|SECCIÓN|ANEXO)", "\n\n$1"), (r"\n{3,}", "\n\n"),
+]
+
+
+def clean_ocr_text(c: Column) -> Column:
+    """Annotation blocks out, NULs as degree signs, at most one blank line, trimmed."""
+    return rewrite(c, OCR_RULES)
+
+
+def fix_ligatures(c: Column) -> Column:
+    """Ligatures spelled out and formula marks unwrapped."""
+    return rewrite(c, LIGATURE_RULES)
+
+
+def fix_spacing(c: Column) -> Column:
+    """Line breaks where headings, sentences and numbers were glued together."""
+    return rewrite(c, SPACING_RULES)
+
+
 CLUSTER_RULES = [(r"\s+", " "), (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}", "DATE"), (r"[0-9]{1,2}:[0-9]{2}", "TIME"), (r"[0-9]{1,4}", "N")]
 
 
@@ -163,6 +234,35 @@ def row_hash(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]), 256)
 
 
+def canonical(rows: Column, fields: Sequence[str]) -> Column:
+    """A list of structs as one text: trimmed fields, blanks for nulls."""
+    field = lambda r, f: F.trim(F.coalesce(r[f].cast("string"), F.lit("")))
+    return F.coalesce(F.array_join(F.transform(rows, lambda r: F.concat_ws("\u0001", *[field(r, f) for f in fields])), "\u0002"), F.lit(""))
+
+
+def content_hash(schedule: Column, stages: Sequence[str], documents: Column, fields: Sequence[str], date: Column) -> Column:
+    """Digest of an item's schedule and documents, as listed, and its date."""
+    return row_hash(canonical(schedule, stages), canonical(documents, fields), date)
+
+
+def by_id(documents: Column, uuid: str) -> Column:
+    """Documents with an id, in the order of their ids."""
+    known = F.filter(documents, lambda d: F.trim(F.coalesce(d[uuid].cast("string"), F.lit(""))) != "")
+    order = lambda a, b: F.when(a[uuid] < b[uuid], -1).when(a[uuid] > b[uuid], 1).otherwise(0)
+    return F.array_sort(known, order)
+
+
+def docs_fingerprint(documents: Column, uuid: str, fields: Sequence[str]) -> Column:
+    """Digest of the documents that have an id, whatever their order."""
+    return row_hash(canonical(by_id(documents, uuid), [uuid, *fields]))
+
+
+def watch_fingerprint(schedule: Column, stage: str, dates: Sequence[str], noise: Sequence[str], documents: Column, uuid: str, fields: Sequence[str], date: Column) -> Column:
+    """Digest that noise in stage names, the order of documents, documents without an id and blanks around values do not change."""
+    cleaned = F.transform(schedule, lambda r: F.struct(remove_phrases(r[stage], noise).alias(stage), *[r[d].alias(d) for d in dates]))
+    return row_hash(canonical(cleaned, [stage, *dates]), canonical(by_id(documents, uuid), [uuid, *fields]), F.trim(date))
+
+
 def hard_soft(c: Column, hard: Sequence[str], soft: Sequence[str]) -> Column:
     """Soft wording is looked for first; the default is Hard only with a hard word or a quantity."""
     folded = fold_text(c)
@@ -177,9 +277,20 @@ def keyword_score(c: Column, words: Sequence[str]) -> Column:
     return total
 
 
+# Words that open a chatter line, and the heading of an appended schedule.
+CHATTER = r"(?iu)\A\s*(?:\s*(?:claro|aquí tienes|a continuación|como solicitaste|a continuación te presento)[^\n]*\n)+"
+RULES = r"\A\s*(?:(?:\*\*\*|---|___)[^\n]*(?:\n\s*|\z))*"
+SCHEDULE_MARK = "## Cronograma (ficha SEACE"
+
+
 def strip_preamble(c: Column) -> Column:
-    """Without leading blank lines and rules."""
-    return F.regexp_replace(c, r"\A(\s*(-{3,}|\*{3,})?\s*\n)+", "")
+    """Without leading chatter lines and rules."""
+    return F.regexp_replace(F.regexp_replace(c, CHATTER, ""), RULES, "")
+
+
+def strip_marker_section(c: Column, mark: str = SCHEDULE_MARK) -> Column:
+    """Cut at the mark, and trimmed there; text without it stays as it is."""
+    return F.when(F.contains(c, F.lit(mark)), F.regexp_replace(F.substring_index(c, mark, 1), r"\s+\z", "")).otherwise(c)
 
 
 def doc_label(kind: Column, stage: Column, uuid: Column) -> Column:
@@ -187,8 +298,10 @@ def doc_label(kind: Column, stage: Column, uuid: Column) -> Column:
     return F.when(kind.isNotNull() & stage.isNotNull(), F.concat(stage, F.lit(" · "), kind)).otherwise(F.coalesce(stage, kind, F.substring(uuid, 1, 8)))
 
 
-def diff_risk(percent: Column, largest: Column, regions: Column) -> Column:
-    return F.when((percent >= 5) | (largest >= 5000), "high").when((percent >= 1) | (regions >= 10), "medium").when(percent > 0, "low").otherwise("none")
+def diff_risk(share: Column, largest: Column, regions: Column) -> Column:
+    """Risk of a page by its changed share, the share of the largest changed region and the number of regions."""
+    # The thresholds.
+    return F.when((share >= 0.20) | (largest >= 0.12), "high").when((share >= 0.05) | (largest >= 0.03) | (regions >= 20), "medium").when((share >= 0.005) | (regions > 0), "low").otherwise("none")
 
 
 def valid_bbox(box: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Header of a schedule table, start of a schedule date, what is noise in a stage's name, form of validity dates, marks of image notes.
@@ -62,6 +62,61 @@ def extract_schedule(pages: DataFrame, page: str, html: str) -> DataFrame:
     return found.select(page, F.posexplode(F.coalesce(first, longest)).alias("place", "_r")).select(page, "place", "_r.stage", "_r.starts", "_r.ends")
 
 
+# Id of a listing's table body, what opens a process, a link's parameters, a download's call, the listing's cells in order and parameters with their defaults.
+LISTING_BODY = r'(?is)<tbody[^>]*\bid="formBuscador:dtProcesos_data"[^>]*>(.*?)</tbody>'
+OPENS_PROCESS = "nidConvocatoria"
+PARAMETER = r"'([^']+)':'([^']*)'"
+DOWNLOAD = r"descargaDocGeneral\('([^']+)','(\d+)','([^']*)'\)"
+LISTING_CELLS = ("numero", "fecha_publicacion", "nomenclatura", "reiniciado_desde", "objeto", "descripcion", "cuantia", "moneda", "version_seace")
+LISTING_PARAMETERS = {"nid_proceso": ("nidProceso", ""), "nid_convocatoria": ("nidConvocatoria", ""), "nid_sistema": ("nidSistema", "3"), "ntipo": ("ntipo", "0")}
+
+
+def extract_listing_rows(pages: DataFrame, page: str, html: str) -> DataFrame:
+    """(page, row_index, nine cells, four parameters, link_id): rows of a listing table.
+
+    Rows with fewer than ten cells, without a link that opens a process or without
+    its id go; of rows of a page with the same id the first stays.
+    """
+    rows = F.split(F.regexp_extract(html, LISTING_BODY, 1), "(?i)</tr>")
+    row = pages.select(page, F.posexplode(rows).alias("_at", "_tr"))
+    link = F.regexp_extract("_tr", rf'(?is)<a\b[^>]*\bonclick="[^"]*{OPENS_PROCESS}[^"]*"[^>]*>', 0)
+    call = F.regexp_extract(link, r'(?is)\bonclick="([^"]*)"', 1)
+    names, values = (F.regexp_extract_all(call, F.lit(PARAMETER), F.lit(k)) for k in (1, 2))
+    index = F.regexp_extract("_tr", r'(?is)<tr\b[^>]*\bdata-ri="(\d+)"', 1).try_cast("int")
+    row = row.select(page, F.coalesce(index, F.col("_at")).alias("row_index"), "_at", cells(F.col("_tr"), "td").alias("_td"), link.alias("_a"), names.alias("_names"), values.alias("_values"))
+
+    def parameter(name: str, default: str) -> Column:
+        return F.coalesce(F.try_element_at("_values", F.array_position("_names", name).cast("int")), F.lit(default))
+
+    own_link = F.array_max(F.transform(F.arrays_zip("_names", "_values"), lambda p: F.when(p["_names"].startswith("formBuscador:dtProcesos") & (p["_names"] == p["_values"]), p["_names"])))
+    found = row.filter((F.size("_td") >= 10) & (F.col("_a") != "")).select(
+        page, "row_index", "_at", *[F.col("_td")[k].alias(n) for k, n in enumerate(LISTING_CELLS)],
+        *[F.when(F.array_contains("_names", p), parameter(p, d)).otherwise(F.lit(d)).alias(n) for n, (p, d) in LISTING_PARAMETERS.items()],
+        F.coalesce(own_link, F.regexp_extract("_a", r'(?is)\bid="([^"]*)"', 1)).alias("link_id"),
+    ).filter("nid_proceso <> ''")
+    first = F.row_number().over(Window.partitionBy(page, "nid_proceso").orderBy("_at"))
+    return found.withColumn("_n", first).filter("_n = 1").drop("_n", "_at")
+
+
+def extract_documents(pages: DataFrame, page: str, html: str) -> DataFrame:
+    """(page, place, uuid, name, stage, kind, size, date, access): documents that a detail page's links download.
+
+    Stage, kind and date are the second, third and fifth cell of the link's row,
+    blank where it has fewer than five; a link without a name is named by its kind.
+    """
+    row = pages.select(page, F.posexplode(F.split(html, "(?i)</tr>")).alias("_tr_at", "_tr"))
+    links = F.regexp_extract_all("_tr", F.lit(r"(?is)(<a\b[^>]*descargaDocGeneral[^>]*>.*?</a>)"), F.lit(1))
+    # the innermost row: what follows the last opening of one
+    own = F.when(F.contains("_tr", F.lit("<tr")), F.substring_index("_tr", "<tr", -1)).otherwise("")
+    row = row.select(page, "_tr_at", cells(own, "td").alias("_td"), F.posexplode(links).alias("_at", "_a"))
+    part = lambda k: F.regexp_extract("_a", DOWNLOAD, k)
+    cell = lambda k: F.when(F.size("_td") >= 5, F.col("_td")[k]).otherwise("")
+    size = F.replace(F.regexp_replace(plain(F.col("_a")), r"^[()]+|[()]+$", ""), F.lit(" KB"))
+    found = row.filter(part(1) != "").select(page, "_tr_at", "_at", part(1).alias("uuid"), F.coalesce(F.nullif(part(3), F.lit("")), cell(2)).alias("name"), cell(1).alias("stage"), cell(2).alias("kind"), size.alias("size"), cell(4).alias("date"), part(2).alias("access"))
+    place = F.row_number().over(Window.partitionBy(page).orderBy("_tr_at", "_at")) - 1
+    return found.withColumn("place", place).select(page, "place", "uuid", "name", "stage", "kind", "size", "date", "access")
+
+
 def label_value(html: Column, label: str) -> Column:
     """Text of the cell after the first cell that holds the label; blank if there is none."""
     row = F.try_element_at(F.filter(F.split(html, "(?i)</tr>"), lambda r: F.contains(r, F.lit(label))), F.lit(1))

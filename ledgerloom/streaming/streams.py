@@ -86,13 +86,6 @@ def first_last_seen(stream: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return stream.groupBy(*keys).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
 
 
-def daily_counts(stream: DataFrame, status: str, ts: str, delay: str = "1 day") -> DataFrame:
-    day = F.window(F.col(ts), "1 day")
-    return stream.withWatermark(ts, delay).groupBy(day.alias("w"), status).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), status, "n")
-
-
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run what is there to the end and return the in-memory result (small results and tests)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def status_counts(stream: DataFrame, status: str) -> DataFrame:
+    """Live count of each status, for complete mode."""
+    return stream.groupBy(status).agg(F.count("*").alias("n"))
