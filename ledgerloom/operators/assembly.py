@@ -11,7 +11,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..sources.layouts import VALIDITY
 from . import corpus as cp
+from .ranking import materialise
 from .upkeep import blank, flag
 
 
@@ -39,8 +42,7 @@ def key_dates(schedule: Column) -> Column:
     return F.struct(queries.alias("queries"), date(proposals).alias("proposals"))
 
 
-# The words around a validity period and the units of technical values.
-VALIDITY = r"(?is)fecha de vigencia:\s*desde\s+(\d{2}\.\d{2}\.\d{2})\s+hasta\s+(\d{2}\.\d{2}\.\d{2})"
+# The units of technical values.
 UNITS = ("GHz", "MHz", "W", "dB", "V", "A", "Mbps", "Gbps", "rpm", "mm", "cm", "m", "kg")
 
 
@@ -122,35 +124,133 @@ def plan_candidates(pages: DataFrame, doc: str, page: str) -> DataFrame:
     """Pages that look like drawings, with their reasons.
 
     Image-heavy pages (image share 0.4 or more) count unless over 70 % of the
-    document is so, they lie in a run of over 5, or hold over 4 images.
+    document is so, they lie in a run of over 5, or hold over 4 images; where
+    ``widest_image`` is given, their widest image must take 15 % of the page's width.
+    ``cad_like`` marks pages whose own profile says so.
     """
+    wide = F.coalesce(F.col("widest_image") >= 0.15 * F.col("width"), F.lit(False)) if "widest_image" in pages.columns else F.lit(True)
+    cad = flag("cad_like") if "cad_like" in pages.columns else F.lit(False)
     heavy = F.coalesce(F.col("image_area_ratio") >= 0.4, F.lit(False))
     per = pages.groupBy(doc).agg(F.median("area").alias("_median"), F.avg(heavy.cast("double")).alias("_share"))
     marked = pages.withColumn("_heavy", heavy).withColumn("_place", F.row_number().over(Window.partitionBy(doc, "_heavy").orderBy(page)))
     marked = marked.withColumn("_run", F.count("*").over(Window.partitionBy(doc, "_heavy", F.col(page) - F.col("_place"))))
     m = marked.join(per, doc)
-    image = F.col("_heavy") & (F.col("_share") <= 0.7) & (F.col("_run") <= 5) & (F.coalesce("image_count", F.lit(0)) <= 4)
-    rules = {"area": F.col("area") >= 1.4 * F.col("_median"), "width": F.col("width") >= 700, "height": F.col("height") >= 1000, "drawings": F.col("drawing_count") > 5000, "drawing_ratio": F.col("drawing_ratio") > 0.3, "images": image}
+    image = F.col("_heavy") & (F.col("_share") <= 0.7) & (F.col("_run") <= 5) & (F.coalesce("image_count", F.lit(0)) <= 4) & wide
+    rules = {"area": F.col("area") >= 1.4 * F.col("_median"), "width": F.col("width") >= 700, "height": F.col("height") >= 1000, "drawings": F.col("drawing_count") > 5000, "drawing_ratio": F.col("drawing_ratio") > 0.3, "cad_like": cad, "images": image}
     return cp.page_signals(m, rules).filter("signals <> ''").select(doc, page, F.col("signals").alias("reasons"))
 
 
-def image_noise(refs: DataFrame, doc: str, min_freq: int = 5, tiny: int = 20) -> DataFrame:
-    """(doc, xref, category): HIGH_FREQ, DUPLICATE (not the most used of its digest), TINY, SIGNATURE (digest on 2 to min_freq - 1 pages) or CONTENT, first that holds."""
-    use = refs.groupBy(doc, "sha", "xref").agg(F.countDistinct("page").alias("pages"), F.max("width").alias("width"), F.max("height").alias("height"))
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the smallest node reachable from each node of the edges, by repeated hooking of neighbours' labels."""
+    both = edges.select(F.col(a).alias("node"), F.col(b).alias("_to")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("_to"))).distinct()
+    both = materialise(both, "edges")
+    labels = materialise(both.groupBy("node").agg(F.least("node", F.min("_to")).alias("component")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("_to"), F.col("component").alias("_c")), "_to").groupBy("node").agg(F.min("_c").alias("_c"))
+        hooked = labels.join(near, "node").select("node", F.least("component", "_c").alias("component"))
+        jumped = hooked.alias("h").join(labels.alias("l"), F.col("h.component") == F.col("l.node"), "left").select("h.node", F.least("h.component", F.coalesce("l.component", "h.component")).alias("component"), "h.component")
+        after = materialise(jumped.toDF("node", "component", "_own").drop("_own"), "labels")
+        if not after.join(labels.withColumnRenamed("component", "_before"), "node").filter("component <> _before").limit(1).count():
+            return after
+        labels = after
+
+
+def image_noise(refs: DataFrame, doc: str, min_freq: int = 5, tiny: int = 20, words: Sequence[str] = (), near: int = 12, small: int = 300) -> DataFrame:
+    """(doc, xref, category), the first that holds.
+
+    HIGH_FREQ: on ``min_freq`` pages or more, or with the digest of such an image and nothing else before
+    SIGNATURE.  DUPLICATE: every reference of a digest with several (none of them
+    frequent).  PERCEPTUAL_DUP (where ``words`` of a perceptual hash are given): of
+    images up to ``small`` pixels a side whose hashes are connected by at most ``near`` bits, all but the
+    most used.  TINY.  SIGNATURE: its digest is on 2 to ``min_freq - 1`` pages.  CONTENT.
+    """
+    first_words = [F.min(w).alias(w) for w in words]
+    use = refs.groupBy(doc, "sha", "xref").agg(F.countDistinct("page").alias("pages"), F.max("width").alias("width"), F.max("height").alias("height"), *first_words)
     spread = refs.groupBy(doc, "sha").agg(F.countDistinct("page").alias("sha_pages"))
-    place = F.row_number().over(Window.partitionBy(doc, "sha").orderBy(F.desc("pages"), "xref"))
-    m = use.withColumn("_place", place).join(spread, [doc, "sha"])
-    category = F.when(F.col("pages") >= min_freq, "HIGH_FREQ").when(F.col("_place") > 1, "DUPLICATE").when((F.col("width") < tiny) & (F.col("height") < tiny), "TINY").when(F.col("sha_pages").between(2, min_freq - 1), "SIGNATURE").otherwise("CONTENT")
+    by_sha = use.groupBy(doc, "sha").agg(F.count("*").alias("_copies"), F.bool_or(F.col("pages") >= min_freq).alias("_frequent"))
+    m = use.join(spread, [doc, "sha"]).join(by_sha, [doc, "sha"])
+    frequent, copied = F.col("pages") >= min_freq, (F.col("_copies") > 1) & ~F.col("_frequent")
+    like = F.lit(False)
+    if words:
+        node = F.concat_ws("|", F.col(doc).cast("string"), F.col("xref").cast("string"))
+        free = m.filter(~frequent & ~copied & (F.col("width") <= small) & (F.col("height") <= small)).withColumn("_node", node)
+        by_doc = free.withColumn("_doc", F.xxhash64(doc))
+        pairs = cp.hamming_pairs(by_doc, "_node", ["_doc", *words], near)
+        place = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("pages"), "xref"))
+        drops = free.join(components(pairs, "left", "right").withColumnRenamed("node", "_node"), "_node").withColumn("_k", place).filter("_k > 1").select(doc, "xref", F.lit(True).alias("_like"))
+        m = m.join(drops, [doc, "xref"], "left")
+        like = flag("_like")
+    category = (
+        F.when(frequent, "HIGH_FREQ").when(copied, "DUPLICATE").when(like, "PERCEPTUAL_DUP").when((F.col("width") < tiny) & (F.col("height") < tiny), "TINY")
+        .when(F.col("_frequent"), "HIGH_FREQ").when(F.col("sha_pages").between(2, min_freq - 1), "SIGNATURE").otherwise("CONTENT")
+    )
     return m.select(doc, "xref", category.alias("category"))
 
 
+def repeated_drawings(drawings: DataFrame, doc: str, totals: DataFrame, threshold: float = 0.5, min_pages: int = 10, most: int = 500, tolerance: int = 2) -> DataFrame:
+    """(doc, x0, y0, x1, y1, style, pages, total): drawings on enough pages of their document.
+
+    ``drawings`` has page, x0, y0, x1, y1 and style (fill, colour and kinds of strokes
+    as one text), ``totals`` (doc, total) the pages of each document.  Pages with
+    over ``most`` drawings do not count.  Rectangles are rounded to points.  Those of one style within
+    ``tolerance`` of each other are one drawing (connected components over
+    neighbouring grid cells); then those of like width and height are, if together
+    they are on enough pages.  The smallest rectangle of a component names it.
+    """
+    crowded = drawings.groupBy(doc, "page").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(doc, "page")
+    corners = ["x0", "y0", "x1", "y1"]
+    d = drawings.join(crowded, [doc, "page"], "left_anti").withColumns({x: F.round(x).cast("int") for x in corners})
+    node = F.struct(doc, *corners, "style")
+    on_pages = d.select(doc, "page", node.alias("node")).distinct()
+    keys = materialise(on_pages.select("node").distinct(), "drawings")
+
+    def linked(nodes: DataFrame, values: Sequence[tuple[str, Column]]) -> DataFrame:
+        """Edges between nodes of one document and style whose values differ by ``tolerance`` at most: each in its cell, the other side in all neighbouring ones."""
+        cell = tolerance + 1
+        named = nodes.select("node", F.col(f"node.{doc}").alias("_d"), F.col("node.style").alias("_s"), *[v.alias(n) for n, v in values])
+        here = named.withColumns({f"_c_{n}": F.floor(F.col(n) / cell) for n, _ in values})
+        around = here
+        for n, _ in values[:2]:
+            around = around.withColumn(f"_c_{n}", F.explode(F.array(*[F.col(f"_c_{n}") + k for k in (-1, 0, 1)])))
+        a, b = here.alias("a"), around.alias("b")
+        near = (F.col("a._d") == F.col("b._d")) & F.col("a._s").eqNullSafe(F.col("b._s")) & (F.col("a.node") < F.col("b.node"))
+        for n, _ in values[:2]:
+            near = near & (F.col(f"a._c_{n}") == F.col(f"b._c_{n}"))
+        for n, _ in values:
+            near = near & (F.abs(F.col(f"a.{n}") - F.col(f"b.{n}")) <= tolerance)
+        return a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+    def fused(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        found = components(edges)
+        return rows.join(found, "node", "left").select(doc, "page", F.coalesce("component", "node").alias("node")).distinct()
+
+    near = materialise(fused(on_pages, linked(keys, [(x, F.col(f"node.{x}")) for x in corners])), "near")
+    size = [("w", F.col("node.x1") - F.col("node.x0")), ("h", F.col("node.y1") - F.col("node.y0"))]
+    alike = fused(near, linked(near.select("node").distinct(), size))
+
+    def enough(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy(doc, "node").agg(F.count("*").alias("pages")).join(totals, doc)
+        return counts.filter((F.col("pages") >= min_pages) & (F.col("pages") >= threshold * F.col("total")))
+
+    kept = enough(alike)
+    return kept.select(doc, *[F.col(f"node.{x}").alias(x) for x in corners], F.col("node.style").alias("style"), "pages", "total")
+
+
 def sheet_profile(cells: DataFrame, sheet: str, long_text: int = 200, ratio: float = 0.4) -> DataFrame:
-    """Counts of cells by kind, the share of long texts, and the representation that follows."""
+    """Counts of cells by kind, merged ranges in the head (rows 1 to 3) and below, shares, and the representation that follows.
+
+    ``merged_min_row`` is set on the first cell of a merged range.
+    """
     text = F.col("kind") == "text"
-    out = cells.groupBy(sheet).agg(F.count_if(text).alias("texts"), F.count_if(F.col("kind") == "number").alias("numbers"), F.count_if(text & (F.length("text") > long_text)).alias("long_texts"), F.count_if(F.col("merged_min_row") <= 3).alias("merged_head"), F.max("row").alias("rows"), F.max("col").alias("cols"), F.count_if(F.col("kind").isNotNull()).alias("_filled"))
-    share = F.when(F.col("_filled") > 0, F.col("long_texts") / F.col("_filled")).otherwise(F.lit(0.0))
-    out = out.withColumn("long_ratio", share)
-    decision = F.when(F.col("_filled") == 0, "empty").when((F.col("long_ratio") >= ratio) & (F.col("cols") <= 3), "text").when(F.col("merged_head") > 0, "html").otherwise("markdown")
+    out = cells.groupBy(sheet).agg(
+        F.count_if(text).alias("texts"), F.count_if(F.col("kind") == "number").alias("numbers"), F.count_if(text & (F.length("text") >= long_text)).alias("long_texts"),
+        F.coalesce(F.sum(F.when(text, F.length("text"))), F.lit(0)).alias("text_chars"), F.count_if(F.col("merged_min_row") <= 3).alias("merged_head"), F.count_if(F.col("merged_min_row") > 3).alias("merged_data"),
+        F.max("row").alias("rows"), F.max("col").alias("cols"), F.count_if(F.col("kind").isNotNull()).alias("_filled"),
+    )
+    out = out.withColumn("long_ratio", F.when(F.col("_filled") > 0, F.col("long_texts") / F.col("_filled")).otherwise(F.lit(0.0)))
+    out = out.withColumn("aspect", F.when(F.col("cols") > 0, F.col("rows") / F.col("cols")).otherwise(F.lit(0.0)))
+    merged = (F.col("merged_head") > 0) | (F.col("merged_data") > 0)
+    decision = F.when(F.col("_filled") == 0, "empty").when((F.col("long_ratio") >= ratio) & (F.col("cols") <= 3), "text").when(merged, "html").otherwise("markdown")
     return out.withColumn("representation", decision).drop("_filled")
 
 
@@ -164,10 +264,37 @@ def version_line_diff(old: DataFrame, new: DataFrame, page: str, line: str) -> D
     return out.select(page, status.alias("status"), "added", "removed", "same")
 
 
+def changed_regions(old: DataFrame, new: DataFrame, page: str, pos: str, line: str) -> DataFrame:
+    """(page, changed_share, regions, largest_share, risk) of each page that both versions have.
+
+    A line changed if the other version lacks it (or has it less often: the later
+    ones count).  Runs of changed lines of one version are its regions; shares are of the lines of both versions.
+    """
+    def against(own: DataFrame, other: DataFrame) -> DataFrame:
+        times = other.groupBy(page, line).agg(F.count("*").alias("_times"))
+        nth = F.row_number().over(Window.partitionBy(page, line).orderBy(pos))
+        rows = own.select(page, pos, line).withColumn("_nth", nth).join(times, [page, line], "left")
+        return rows.select(page, pos, (F.col("_nth") > F.coalesce("_times", F.lit(0))).alias("_changed"))
+
+    both = old.select(page).distinct().join(new.select(page).distinct(), page)
+    sides = [against(*pair).join(both, page, "left_semi") for pair in ((old, new), (new, old))]
+    runs = [cp.contiguous_ranges(s.filter("_changed"), [page], pos).select(page, (F.col("end") - F.col("start") + 1).alias("_size")) for s in sides]
+    totals = sides[0].unionByName(sides[1]).groupBy(page).agg(F.count("*").alias("_lines"), F.count_if("_changed").alias("_n"))
+    regions = runs[0].unionByName(runs[1]).groupBy(page).agg(F.count("*").alias("regions"), F.max("_size").alias("_largest"))
+    out = totals.join(regions, page, "left").na.fill(0, ["regions", "_largest"])
+    share, largest = F.col("_n") / F.col("_lines"), F.col("_largest") / F.col("_lines")
+    return out.select(page, share.alias("changed_share"), "regions", largest.alias("largest_share"), tx.diff_risk(share, largest, F.col("regions")).alias("risk"))
+
+
 def diff_summary(diff: DataFrame) -> DataFrame:
     return diff.groupBy("status").agg(F.count("*").alias("pages"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
 
 
+def risk_summary(regions: DataFrame, page: str) -> DataFrame:
+    """(risk, pages): how many pages have each risk."""
+    return regions.groupBy("risk").agg(F.count(page).alias("pages"))
+
+
 def clean_corpus(lines: DataFrame, noise: DataFrame, on: Sequence[str], doc: str, pos: str, line: str, page_number: Column) -> DataFrame:
     """(doc, body): lines that are neither noise nor page numbers, in order."""
     kept = cp.filter_noise(lines, noise, on).filter(~flag(page_number))
@@ -210,6 +337,12 @@ def entry_report(entries: DataFrame, doc: str, phase: str, order: str, text: str
     return parts.groupBy(doc).agg(joined_in_order(F.concat(F.lit("## "), "_phase", F.lit("\n"), "_body"), [F.col("_phase")], "\n").alias("report"))
 
 
+def entry_index(entries: DataFrame, doc: str, phase: str) -> DataFrame:
+    """(doc, phase, entries): how many entries a document has in each phase, a missing phase as ``unclear``."""
+    named = F.coalesce(F.nullif(F.trim(phase), F.lit("")), F.lit("unclear"))
+    return entries.groupBy(doc, named.alias("phase")).agg(F.count("*").alias("entries"))
+
+
 def apply_clarifications(lines: DataFrame, edits: DataFrame, doc: str, pos: str, line: str, version: str) -> tuple[DataFrame, DataFrame]:
     """(doc, body) with the latest edit of each line applied, and the edits whose line does not exist.
 

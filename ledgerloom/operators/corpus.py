@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import materialise
+
 
 def doc_lines(docs: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
     """(keep..., pos, line) of lines with two or more characters."""
     return docs.select(*keep, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).filter(F.length("line") >= 2)
 
 
+def long_lines(text: Column) -> Column:
+    """Trimmed lines of a text with two or more characters, as a list."""
+    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: F.length(x) >= 2)
+
+
 def repeated_lines(lines: DataFrame, group: str, page: str, norm: str, threshold: float, min_pages: int) -> DataFrame:
     """(group, norm, pages, total): lines that recur on enough pages of their group."""
     totals = lines.groupBy(group).agg(F.countDistinct(page).alias("total"))
@@ -21,6 +28,33 @@ def repeated_lines(lines: DataFrame, group: str, page: str, norm: str, threshold
     return counts.join(totals, group).filter((F.col("pages") >= min_pages) & (F.col("pages") >= threshold * F.col("total")))
 
 
+def page_repeats(pages: DataFrame, group: str, text: str, clean: Callable[[Column], Column], threshold: float, min_pages: int) -> DataFrame:
+    """``repeated_lines`` of whole pages, one row a page: lines are made distinct inside the page, so plain counts suffice."""
+    own = pages.select(group, F.array_distinct(F.transform(long_lines(F.col(text)), clean)).alias("_norms")).filter(F.size("_norms") > 0)
+    totals = own.groupBy(group).agg(F.count("*").alias("total"))
+    counts = own.select(group, F.explode("_norms").alias("norm")).groupBy(group, "norm").agg(F.count("*").alias("pages"))
+    return counts.join(totals, group).filter((F.col("pages") >= min_pages) & (F.col("pages") >= threshold * F.col("total")))
+
+
+def line_report(lines: DataFrame, groups: Sequence[str], page: str, norm: str, line: str, page_number: Column, threshold: float, min_pages: int, samples: int = 3, pages: int = 10) -> DataFrame:
+    """Repeated lines by zone and text: category, pages, three samples and the first pages they are on.
+
+    ``groups``: the document, then the zone.  Samples and pages of a line are kept as
+    the smallest ones by partial aggregates of its different values.
+    """
+    doc = groups[0]
+    totals = lines.groupBy(doc).agg(F.countDistinct(page).alias("total"))
+    least = lambda c, n: F.slice(F.array_sort(F.collect_set(c)), 1, n)
+    by_page = lines.groupBy(*groups, norm, page).agg(F.min(line).alias("_line"), F.bool_or(page_number).alias("_number"))
+    found = by_page.groupBy(*groups, norm).agg(F.count("*").alias("pages"), F.bool_and("_number").alias("_number"))
+    kept = found.join(totals, doc).filter((F.col("pages") >= min_pages) & (F.col("pages") >= threshold * F.col("total")))
+    w = Window.partitionBy(*groups, norm).orderBy(page)
+    first = by_page.join(kept.select(*groups, norm), [*groups, norm], "left_semi").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= pages)
+    shown = first.groupBy(*groups, norm).agg(least("_line", samples).alias("samples"), least(page, pages).alias("first_pages"))
+    category = F.when(F.col("_number"), "PAGE_NUMBER").otherwise("TEXT_REPEAT")
+    return kept.join(shown, [*groups, norm]).select(*groups, norm, category.alias("category"), "pages", "total", "samples", "first_pages")
+
+
 def filter_noise(lines: DataFrame, noise: DataFrame, on: Sequence[str]) -> DataFrame:
     return lines.join(noise.select(*on), list(on), "left_anti")
 
@@ -91,31 +125,68 @@ def consolidate_variants(items: DataFrame, keys: Sequence[str], text: str, quant
     )
 
 
-def consolidate(bom: DataFrame, candidates: DataFrame, accepted: Sequence[str]) -> DataFrame:
-    """A row for each item and accepted candidate, numbered; items without one get state SIN_CANDIDATO and number 0."""
-    good = candidates.filter(F.col("class").isin(*accepted))
-    good = good.withColumn("candidate", F.row_number().over(Window.partitionBy("item_id").orderBy("pos")))
-    return bom.join(good, "item_id", "left").select("item_id", F.coalesce("candidate", F.lit(0)).alias("candidate"), F.coalesce("class", F.lit("SIN_CANDIDATO")).alias("state"))
+NO_RESULT = "Sin archivo de resultado disponible"  # fixed value, as the two below
+NO_CANDIDATE = "Sin candidatos válidos tras búsqueda"
+NO_SEARCH = "Servicio — no requiere búsqueda de producto"
 
 
-def inherit_requirements(bom: DataFrame, requirements: DataFrame, depth: int = 16) -> DataFrame:
+def consolidate(bom: DataFrame, candidates: DataFrame, accepted: Sequence[str], results: DataFrame | None = None, services: DataFrame | None = None) -> DataFrame:
+    """A row for each item and accepted candidate, numbered; items without one get state SIN_CANDIDATO and number 0.
+
+    ``results`` (item_id, diagnosis) says which items were searched: ``notes`` tells
+    why one has no candidate.  ``services`` (item_id) are appended with state SERVICIO.
+    """
+    good = candidates.filter(F.col("class").isin(*accepted))
+    good = good.withColumn("candidate", F.row_number().over(Window.partitionBy("item_id").orderBy("pos")))
+    rows = bom.join(good, "item_id", "left")
+    if results is None:
+        return rows.select("item_id", F.coalesce("candidate", F.lit(0)).alias("candidate"), F.coalesce("class", F.lit("SIN_CANDIDATO")).alias("state"))
+    rows = rows.join(results.select("item_id", F.coalesce("diagnosis", F.lit(NO_CANDIDATE)).alias("_why")), "item_id", "left")
+    notes = F.when(F.col("class").isNull(), F.coalesce("_why", F.lit(NO_RESULT))).otherwise("")
+    out = rows.select("item_id", F.coalesce("candidate", F.lit(0)).alias("candidate"), F.coalesce("class", F.lit("SIN_CANDIDATO")).alias("state"), notes.alias("notes"))
+    if services is None:
+        return out
+    return out.unionByName(services.select("item_id", F.lit(0).alias("candidate"), F.lit("SERVICIO").alias("state"), F.lit(NO_SEARCH).alias("notes")))
+
+
+def ancestors(tree: DataFrame, item: str = "item_id", parent: str = "parent_id") -> DataFrame:
+    """(item, source, distance): each item with itself and all its ancestors, of whatever depth.
+
+    Pointers are doubled: after round k every pair up to a distance of 2^k is
+    known, so a tree of depth d takes log2(d) written rounds.  In a cycle of parents an item is its own
+    ancestor once, at distance 0.
+    """
+    spark = tree.sparkSession
+    jump = materialise(tree.filter(F.col(parent).isNotNull()).select(F.col(item).alias("_from"), F.col(parent).alias("_to"), F.lit(1).cast("long").alias("_step")), "jump")
+    known = tree.select(F.col(item).alias("item_id"), F.col(item).alias("source"), F.lit(0).cast("long").alias("distance")).distinct()
+    exists = tree.select(F.col(item).alias("_to")).distinct()
+    count = -1
+    while (pairs := known.count()) != count and jump.limit(1).count():
+        count = pairs
+        further = jump.join(known.withColumnRenamed("item_id", "_to"), "_to").select(F.col("_from").alias("item_id"), "source", (F.col("_step") + F.col("distance")).alias("distance"))
+        known = materialise(known.unionByName(further).groupBy("item_id", "source").agg(F.min("distance").alias("distance")), "known")
+        onward = jump.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"), F.col("_step").alias("_more"))
+        jump = materialise(jump.join(onward, "_to").select("_from", F.col("_next").alias("_to"), (F.col("_step") + F.col("_more")).alias("_step")).join(exists, "_to", "left_semi"), "jump")
+    return spark.createDataFrame([], known.schema).unionByName(known)
+
+
+def inherit_requirements(bom: DataFrame, requirements: DataFrame, applies: DataFrame | None = None, numbered: bool = False) -> DataFrame:
     """(item_id, text, origin, parent): own requirements and those of all ancestors, equal texts once, nearest first.
 
-    A tree with ancestors beyond ``depth``, or a cycle of parents, is an error.
+    With ``applies`` (kind) only requirements of these kinds are inherited.  With
+    ``numbered`` each item's requirements get ids R-001, R-002, ... in that order.
     """
-    chain = bom.select("item_id", F.col("item_id").alias("source"), F.col("parent_id").alias("next"), F.lit(0).alias("distance"))
-    out, parents = chain, bom.select(F.col("item_id").alias("_id"), F.col("parent_id").alias("_up"))
-    for k in range(1, depth + 1):
-        chain = chain.filter("next IS NOT NULL").join(parents, F.col("next") == F.col("_id")).select("item_id", F.col("next").alias("source"), F.col("_up").alias("next"), F.lit(k).alias("distance"))
-        if not chain.limit(1).count():
-            break
-        out = out.unionByName(chain)
-    else:
-        if chain.filter("next IS NOT NULL").join(parents, F.col("next") == F.col("_id"), "left_semi").limit(1).count():
-            raise ValueError(f"items have ancestors beyond {depth} levels, or their parents form a cycle")
-    reqs = requirements.select(F.col("item_id").alias("source"), "text")
-    found = out.join(reqs, "source").withColumn("_n", F.row_number().over(Window.partitionBy("item_id", "text").orderBy("distance", "source"))).filter("_n = 1")
-    return found.select("item_id", "text", F.when(F.col("distance") == 0, "DIRECTO").otherwise("HEREDADO").alias("origin"), F.when(F.col("distance") > 0, F.col("source")).alias("parent"))
+    reqs = requirements.withColumnRenamed("item_id", "source")
+    found = ancestors(bom).join(reqs, "source")
+    if applies is not None:
+        passed = applies.select("kind").distinct().withColumn("_passes", F.lit(True))
+        found = found.join(passed, "kind", "left").filter((F.col("distance") == 0) | F.col("_passes"))
+    found = found.withColumn("_n", F.row_number().over(Window.partitionBy("item_id", "text").orderBy("distance", "source"))).filter("_n = 1")
+    columns = ["item_id", "text", F.when(F.col("distance") == 0, "DIRECTO").otherwise("HEREDADO").alias("origin"), F.when(F.col("distance") > 0, F.col("source")).alias("parent")]
+    if numbered:
+        place = F.row_number().over(Window.partitionBy("item_id").orderBy("distance", "source", "text"))
+        columns.append(F.format_string("R-%03d", place).alias("requirement_id"))
+    return found.select(*columns)
 
 
 def qa_findings(expected: DataFrame, actual: DataFrame, key: str, mandatory: Sequence[str]) -> DataFrame:
@@ -128,6 +199,54 @@ def qa_findings(expected: DataFrame, actual: DataFrame, key: str, mandatory: Seq
     return out
 
 
+def qa_checks(bom: DataFrame, rows: DataFrame, sample: DataFrame, candidates: DataFrame, matrices: DataFrame, outputs: DataFrame, services: str = "Servicios", accepted: Sequence[str] = ("VALIDO", "CONDICIONADO")) -> DataFrame:
+    """(severity, kind, item, detail): the findings of ten checks of a consolidated table.
+
+    ``bom`` (item_id, group), ``rows`` (item_id, candidate, state, brand, model, url,
+    notes, matrix), ``sample`` (item_id) of items that were searched, ``candidates``
+    (item_id, class, brand, model) of their results, ``matrices`` (matrix) that exist,
+    ``outputs`` (format, severity, rows): what was written, rows null if it is missing.
+    """
+    empty = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    item = F.col("item_id")
+
+    def finding(df: DataFrame, severity: str | Column, kind: str | Column, detail: Column | str = "", of: Column | None = item) -> DataFrame:
+        lit = lambda x: F.lit(x) if isinstance(x, str) else x
+        return df.select(lit(severity).alias("severity"), lit(kind).alias("kind"), (F.lit("") if of is None else of.cast("string")).alias("item"), lit(detail).alias("detail"))
+
+    items = rows.select("item_id").distinct()
+    none = rows.filter("state = 'SIN_CANDIDATO'")
+    good = candidates.filter(F.col("class").isin(*accepted)).join(sample.select("item_id").distinct(), "item_id", "left_semi")
+    found = good.groupBy("item_id").agg(F.count("*").alias("_found"))
+    held = rows.groupBy("item_id").agg(F.count_if(F.col("candidate") > 0).alias("_held"), F.bool_or(F.col("state") == "SIN_CANDIDATO").alias("_none"))
+    sampled = sample.select("item_id").distinct().join(found, "item_id", "left").join(held, "item_id", "left").na.fill(0, ["_found"])
+    named = good.filter(~empty("brand") & ~empty("model")).select("item_id", "brand", "model")
+    listed = rows.filter("candidate > 0").select("item_id", "brand", "model")
+    full = rows.filter(F.col("state").isin(*accepted))
+    is_service = bom.filter(F.col("group") == services).select("item_id")
+    referred = rows.filter(~empty("matrix"))
+    written = outputs.withColumn("_rows", F.lit(rows.count()))
+    parts = [
+        finding(bom.select("item_id").distinct().join(items, "item_id", "left_anti"), "CRITICO", "ITEM_FALTANTE"),
+        finding(items.join(bom, "item_id", "left_anti"), "MENOR", "ITEM_EXTRA"),
+        finding(sampled.filter("_found > 0 AND coalesce(_held, 0) <> _found"), "CRITICO", "DISCREPANCIA_CANDIDATOS", F.concat_ws("/", "_found", F.coalesce("_held", F.lit(0)))),
+        finding(named.join(listed, ["item_id", "brand", "model"], "left_anti"), "CRITICO", "DISCREPANCIA_CANDIDATO", F.concat_ws(" ", "brand", "model")),
+        finding(sampled.filter("_found = 0 AND _held IS NOT NULL AND NOT coalesce(_none, FALSE)"), "CRITICO", "DISCREPANCIA_ESTADO"),
+        *[finding(full.filter(empty(c)), severity, "CAMPO_VACIO", c) for c, severity in (("brand", "CRITICO"), ("model", "CRITICO"), ("url", "MENOR"))],
+        finding(none.filter(empty("notes")), "MENOR", "SIN_DIAGNOSTICO"),
+        finding(none.filter("coalesce(candidate, 0) <> 0"), "CRITICO", "CAMPO_INCORRECTO"),
+        finding(is_service.join(items, "item_id", "left_anti"), "CRITICO", "SERVICIO_FALTANTE"),
+        finding(rows.join(is_service, "item_id", "left_semi").filter("coalesce(state, '') <> 'SERVICIO'"), "MENOR", "ESTADO_INCORRECTO", F.coalesce("state", F.lit(""))),
+        finding(written.filter("rows IS NULL"), F.col("severity"), F.concat(F.col("format"), F.lit("_FALTANTE")), of=None),
+        finding(written.filter("rows <> _rows"), "CRITICO", F.concat(F.col("format"), F.lit("_FILAS")), F.concat_ws("/", "rows", "_rows"), of=None),
+        finding(referred.join(matrices.select("matrix"), "matrix", "left_anti"), "MENOR", "MATRIZ_FALTANTE", F.col("matrix")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def qa_verdict(findings: DataFrame) -> DataFrame:
     return findings.agg(F.when(F.count_if(F.col("severity") == "CRITICO") > 0, "NO_OK").when(F.count("*") > 0, "OK_CON_OBSERVACIONES").otherwise("OK").alias("verdict"))
 
@@ -215,17 +334,25 @@ def rescue_json_objects(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, text).mapInPandas(objects, f"{key} {kind}, place int, object string")
 
 
-def hamming_pairs(hashes: DataFrame, key: str, words: Sequence[str], most: int) -> DataFrame:
-    """Pairs of 64-bit-word hashes within ``most`` bits: equal in one of ``most + 1`` bands, then counted exactly."""
+def hamming_pairs(hashes: DataFrame, key: str, words: Sequence[str], most: int, small: Column | None = None) -> DataFrame:
+    """(left, right, distance): pairs of 64-bit-word hashes within ``most`` bits.
+
+    Equal hashes are one value with its smallest key, so copies make no pairs
+    between themselves but one each with that key (distance 0).  Different values are compared where one of
+    ``most + 1`` bands is equal, then counted exactly.  ``small``: which rows take part (images of few pixels).
+    """
+    rows = hashes.filter(F.coalesce(small, F.lit(False))) if small is not None else hashes
+    values = rows.groupBy(*words).agg(F.min(key).alias("_first"))
+    copies = rows.join(values, list(words)).filter(F.col(key) != F.col("_first")).select(F.col("_first").alias("left"), F.col(key).alias("right"), F.lit(0).alias("distance"))
     bits = 64 * len(words)
     bands = most + 1
     cut = [bits * k // bands for k in range(bands + 1)]
     text = F.concat(*[F.lpad(F.bin(w), 64, "0") for w in words])
-    banded = hashes.withColumn("_band", F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.substring(text, cut[k] + 1, cut[k + 1] - cut[k])) for k in range(bands)])))
+    banded = values.withColumn("_text", text).select("_first", *words, F.posexplode(F.array(*[F.substring("_text", cut[k] + 1, cut[k + 1] - cut[k]) for k in range(bands)])).alias("_k", "_band"))
     a, b = banded.alias("a"), banded.alias("b")
     distance = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words[1:]), F.bit_count(F.col(f"a.{words[0]}").bitwiseXOR(F.col(f"b.{words[0]}"))))
-    pairs = a.join(b, (F.col("a._band") == F.col("b._band")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    return pairs.select(F.col(f"a.{key}").alias("left"), F.col(f"b.{key}").alias("right"), distance.alias("distance")).filter(F.col("distance") <= most).distinct()
+    pairs = a.join(b, (F.col("a._k") == F.col("b._k")) & (F.col("a._band") == F.col("b._band")) & (F.col("a._first") < F.col("b._first")) & (distance <= most))
+    return pairs.select(F.col("a._first").alias("left"), F.col("b._first").alias("right"), distance.alias("distance")).distinct().unionByName(copies)
 
 
 def page_signals(pages: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

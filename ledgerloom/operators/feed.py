@@ -27,6 +27,11 @@ def effective_rejected(feed: DataFrame, decisions: DataFrame, tenant: str) -> Da
     return with_overlay(feed, decisions, tenant).filter("rejected").select("id")
 
 
+def not_rejected(feed: DataFrame, decisions: DataFrame, tenant: str) -> DataFrame:
+    """Items that are not rejected for the tenant: one join."""
+    return with_overlay(feed, decisions, tenant).filter(~F.coalesce("rejected", F.lit(False))).drop("rejected")
+
+
 def exclude_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return df.join(ids.select(key), key, "left_anti")
 
@@ -117,8 +122,25 @@ def diff_join(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Seque
     return a.join(b, list(keys), "full_outer").withColumn("kind", kind).drop("_old", "_new")
 
 
-def changelog(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """One row a change: added and removed keys, and each modified field with its values ('—' for blank)."""
+def last_of(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The last row of each key that is not blank."""
+    return preferred(df, keys, [F.desc(order)])
+
+
+def date_changes(old: DataFrame, new: DataFrame, key: str, date: str) -> DataFrame:
+    """(key, kind, field, old, new): items whose date is filled on both sides and differs."""
+    filled = lambda df, name: df.select(key, F.nullif(F.trim(F.col(date).cast("string")), F.lit("")).alias(name))
+    both = filled(old, "old").join(filled(new, "new"), key).filter("old <> new")
+    return both.select(key, F.lit("modified").alias("kind"), F.lit(date).alias("field"), "old", "new")
+
+
+def changelog(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str], order: str | None = None) -> DataFrame:
+    """One row a change: added and removed keys, and each modified field with its values ('—' for blank).
+
+    Where ``order`` is given, the last row of a repeated key counts and blank keys go.
+    """
+    if order:
+        old, new = last_of(old, keys, order), last_of(new, keys, order)
     diff = diff_join(old, new, keys, values).filter("kind <> 'same'")
     blank = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("—"))
     fields = F.array(*[F.struct(F.lit(v).alias("field"), blank(f"old_{v}").alias("old"), blank(f"new_{v}").alias("new"), F.col(f"old_{v}").eqNullSafe(F.col(f"new_{v}")).alias("same")) for v in values])
@@ -173,8 +195,9 @@ def sort_listing(df: DataFrame, invalid: Column, value: Column, text: Column, ti
     return global_position(df, [invalid.cast("int").asc(), value, text, tie], name)
 
 
-def recent(feed: DataFrame, rejected: DataFrame, n: int = 10) -> DataFrame:
-    return exclude_ids(feed, rejected).orderBy(F.desc("first_seen"), F.desc("id")).limit(n)
+def recent(feed: DataFrame, n: int = 10) -> DataFrame:
+    """The newest items of a feed, without those that the caller has taken out."""
+    return feed.orderBy(F.desc("first_seen"), F.desc("id")).limit(n)
 
 
 def recover_transitions(df: DataFrame, status: str, evidence: str, since: str, now: Column, seconds: int, moves: Mapping[str, tuple[str, str]]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .feed import REJECTED, diff_join, preferred
+from .feed import REJECTED, diff_join, last_of, preferred
 
 
 def flag(name: str | Column) -> Column:
@@ -162,21 +162,28 @@ def keys_agree(a: DataFrame, b: DataFrame, group: str, key: str) -> DataFrame:
     return left.join(right, [group, key], "full_outer").groupBy(group).agg(F.bool_and(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("same"))
 
 
-def documents_equal(old: DataFrame, new: DataFrame, item: str, uuid: str, fields: Sequence[str], date: str) -> DataFrame:
-    """(item, docs_equal): same ids with the same fields; dates count only if both are filled.  Rows without an id do not count."""
-    known = lambda df: df.filter(~blank(F.col(uuid)))
+def documents_equal(old: DataFrame, new: DataFrame, item: str, uuid: str, fields: Sequence[str], date: str, order: str | None = None, items: DataFrame | None = None) -> DataFrame:
+    """(item, docs_equal): same ids with the same fields; dates count only if both are filled.  Rows without an id do not count.
+
+    Of rows that repeat an id the last in ``order`` counts.  With ``items`` every
+    one of them has a row: an item without documents on both sides is equal.
+    """
+    known = lambda df: last_of(df, [item, uuid], order) if order else df.filter(~blank(F.col(uuid)))
     d = diff_join(known(old), known(new), [item, uuid], [*fields, date])
     same = F.col("kind").isin("same", "modified")
     for f in fields:
         same = same & (F.trim(F.coalesce(f"old_{f}", F.lit(""))) == F.trim(F.coalesce(f"new_{f}", F.lit(""))))
     a, b = F.col(f"old_{date}"), F.col(f"new_{date}")
     same = same & (blank(a) | blank(b) | (F.trim(a.cast("string")) == F.trim(b.cast("string"))))
-    return d.groupBy(item).agg(F.bool_and(flag(same)).alias("docs_equal"))
+    out = d.groupBy(item).agg(F.bool_and(flag(same)).alias("docs_equal"))
+    return out if items is None else items.select(item).distinct().join(out, item, "left").withColumn("docs_equal", F.coalesce("docs_equal", F.lit(True)))
 
 
-def schedule_equal(old: DataFrame, new: DataFrame, item: str, pos: str, fields: Sequence[str]) -> DataFrame:
-    """(item, schedule_equal): both ordered lists have the same rows after folding blanks."""
-    clean = lambda df: df.select(item, pos, *[F.trim(F.regexp_replace(F.coalesce(F.col(f).cast("string"), F.lit("")), r"\s+", " ")).alias(f) for f in fields])
+def schedule_equal(old: DataFrame, new: DataFrame, item: str, pos: str, fields: Sequence[str], stage: str | None = None, noise: Sequence[str] = ()) -> DataFrame:
+    """(item, schedule_equal): both ordered lists have the same rows after folding blanks and, in ``stage``, without the noise phrases."""
+    folded = lambda f: F.trim(F.regexp_replace(F.coalesce(F.col(f).cast("string"), F.lit("")), r"\s+", " "))
+    text = lambda f: tx.remove_phrases(folded(f), noise) if f == stage else folded(f)
+    clean = lambda df: df.select(item, pos, *[text(f).alias(f) for f in fields])
     return diff_join(clean(old), clean(new), [item, pos], fields).groupBy(item).agg(F.bool_and(F.col("kind") == "same").alias("schedule_equal"))
 
 

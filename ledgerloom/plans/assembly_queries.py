@@ -91,7 +91,8 @@ def w20(spark, sf_dir):
 
 
 @query("G11_image_noise", """WITH r AS (SELECT l_suppkey % 50 AS doc_id, l_partkey % 300 AS xref, l_orderkey % 12 AS page FROM lineitem), u AS (SELECT doc_id, xref % 100 AS sha, xref, count(DISTINCT page) AS pages FROM r GROUP BY ALL), s AS (SELECT doc_id, xref % 100 AS sha, count(DISTINCT page) AS sp FROM r GROUP BY ALL),
-  k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sha ORDER BY pages DESC, xref) AS n FROM u JOIN s USING (doc_id, sha)) SELECT doc_id, xref, CASE WHEN pages >= 5 THEN 'HIGH_FREQ' WHEN n > 1 THEN 'DUPLICATE' WHEN xref % 5 = 0 THEN 'TINY' WHEN sp BETWEEN 2 AND 4 THEN 'SIGNATURE' ELSE 'CONTENT' END AS category FROM k""")
+  k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, sha) AS copies, bool_or(pages >= 5) OVER (PARTITION BY doc_id, sha) AS frequent FROM u JOIN s USING (doc_id, sha))
+  SELECT doc_id, xref, CASE WHEN pages >= 5 THEN 'HIGH_FREQ' WHEN copies > 1 AND NOT frequent THEN 'DUPLICATE' WHEN xref % 5 = 0 THEN 'TINY' WHEN frequent THEN 'HIGH_FREQ' WHEN sp BETWEEN 2 AND 4 THEN 'SIGNATURE' ELSE 'CONTENT' END AS category FROM k""")
 def g11(spark, sf_dir):
     x = c("l_partkey") % 300
     size = F.when(x % 5 == 0, 12).otherwise(200)

@@ -11,6 +11,7 @@ from ..functions import rules
 from ..functions import text as tx
 from ..operators import corpus as cp
 from ..operators import feed as fd
+from ..operators import listing as ls
 from ..operators.ranking import shared_folder
 from ..sources import readers as rd
 from ..streaming import streams as st
@@ -54,7 +55,7 @@ def scalar(name: str, source: str, key: str, column: Callable[[], Column], sql:
 c = F.col
 FOLD = "lower(strip_accents(coalesce({0}, '')))"
 
-scalar("E01_fold_text", "documents", "doc_id", lambda: F.md5(tx.fold_text(c("text"))), "md5(lower(strip_accents(text)))")
+scalar("E01_fold_text", "documents", "doc_id", lambda: F.md5(tx.fold_text(F.concat(c("text"), F.lit(" Việt ế й Άλφα")))), "md5(lower(strip_accents(text || ' Việt ế й Άλφα')))")
 scalar("E02_contains_term", "documents", "doc_id", lambda: tx.contains_term(c("text"), "idiot"), "regexp_matches(lower(strip_accents(text)), '(^|[^a-z0-9])idiot([^a-z0-9]|$)')")
 scalar("E03_normalize_key", "part", "p_partkey", lambda: tx.normalize_key(F.concat(F.lit("  "), c("p_name"), F.lit("   "), c("p_type"))), "upper(trim(regexp_replace('  ' || p_name || '   ' || p_type, '[\\s ]+', ' ', 'g')))")
 scalar("E04_digits_only", "customer", "c_custkey", lambda: tx.digits_only(c("c_name")), "regexp_replace(c_name, '[^0-9]', '', 'g')")
@@ -68,12 +69,46 @@ scalar("E10_nid_advances", "orders", "o_orderkey", lambda: tx.nid_advances(F.whe
 scalar("E11_extract_year", "orders", "o_orderkey", lambda: tx.extract_year(F.concat(F.lit("LP-1-"), F.date_format("o_orderdate", "yyyy")), F.lit(1900)), "CASE WHEN year(o_orderdate) >= 2000 THEN CAST(year(o_orderdate) AS INTEGER) ELSE 1900 END")
 scalar("E12_clean_stage", "part", "p_partkey", lambda: tx.remove_phrases(F.concat(c("p_type"), F.lit(" (SEE Notes)  "), c("p_brand")), ["(see notes)", "n/d"]), "trim(regexp_replace(p_type || '   ' || p_brand, '\\s+', ' ', 'g'))")
 scalar("E15_url_param", "pages", "page_id", lambda: tx.url_param(c("url"), "page"), "nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '')")
-scalar("E16_sanitize_filename", "pages", "page_id", lambda: tx.sanitize_filename(c("url")), """(WITH a AS (SELECT trim(regexp_replace(regexp_replace(list_last(string_split(url, '/')), '[<>:"|?*#&=]+', '_', 'g'), '[\\s_]+', '_', 'g')) AS n)
-    SELECT substr(CASE WHEN regexp_matches(n, '\\.[A-Za-z0-9]{2,5}$') THEN n ELSE (CASE WHEN n = '' THEN 'documento' ELSE n END) || '.pdf' END, 1, 180) FROM a)""")
-scalar("E17_looks_like_size_label", "events", "event_id", lambda: tx.looks_like_size_label(F.when(c("event_id") % 2 == 0, F.concat(F.lit("("), c("user_id").cast("string"), F.lit(" KB)"))).otherwise(c("event_type"))), "event_id % 2 = 0")
+_NAME = """CASE page_id % 4 WHEN 0 THEN 'dir\\a: ' || page_id || '  b?.docx ' WHEN 1 THEN url WHEN 2 THEN repeat('x', 190) || page_id || '.xlsx' ELSE ' .. ' END"""
+_CLEAN = f"(regexp_replace(regexp_replace(regexp_replace(trim(list_last(string_split(regexp_replace(replace({_NAME}, chr(92), '/'), '/+$', ''), '/'))), '[<>:\"|?*]', '_', 'g'), '\\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'))"
+
+
+def _file_name() -> Column:
+    k = c("page_id")
+    own = F.concat(F.lit("dir\\a: "), k.cast("string"), F.lit("  b?.docx "))
+    return F.when(k % 4 == 0, own).when(k % 4 == 1, c("url")).when(k % 4 == 2, F.concat(F.repeat(F.lit("x"), F.lit(190)), k.cast("string"), F.lit(".xlsx"))).otherwise(" .. ")
+
+
+scalar(
+    "E16_sanitize_filename", "pages", "page_id", lambda: tx.sanitize_filename(_file_name()),
+    f"""(WITH a AS (SELECT CASE WHEN {_CLEAN} = '' THEN 'documento' ELSE {_CLEAN} END AS n), e AS (SELECT n, regexp_extract(n, '^.+(\\.[^.]+)$', 1) AS x FROM a)
+    SELECT CASE WHEN x = '' THEN substr(n, 1, 176) || '.pdf' ELSE substr(substr(n, 1, length(n) - length(x)), 1, 180 - length(x)) || x END FROM e)""",
+)
+scalar(
+    "E17_looks_like_size_label", "events", "event_id",
+    lambda: tx.looks_like_size_label(F.when(c("event_id") % 3 == 0, F.concat(F.lit("("), c("user_id").cast("string"), F.lit(" KB).pdf"))).when(c("event_id") % 3 == 1, F.concat(c("user_id").cast("string"), F.lit(".5mb"))).otherwise(c("event_type"))),
+    "event_id % 3 < 2",
+)
+scalar(
+    "E17_looks_like_uuid", "events", "event_id",
+    lambda: tx.looks_like_uuid(F.concat(F.lit("a/"), F.regexp_replace(F.md5(c("event_id").cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.when(c("event_id") % 3 == 0, ".pdf").when(c("event_id") % 3 == 1, "").otherwise("x.pdf"))),
+    "event_id % 3 < 2",
+)
 scalar("E18_score_name", "part", "p_partkey", lambda: tx.score_name(F.concat_ws(" ", "p_name", "p_type"), "part", {"small": 5, "large": 10, "promo": -5}), "CASE WHEN contains(lower(p_name || ' ' || p_type), 'part') THEN 20 + CASE WHEN contains(lower(p_name || ' ' || p_type), 'small') THEN 5 ELSE 0 END + CASE WHEN contains(lower(p_name || ' ' || p_type), 'large') THEN 10 ELSE 0 END + CASE WHEN contains(lower(p_name || ' ' || p_type), 'promo') THEN -5 ELSE 0 END ELSE -1 END")
 scalar("E19_format_bytes", "documents", "doc_id", lambda: tx.format_bytes(c("n_chars")), "CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024.0) ELSE printf('%.1f MB', n_chars / 1048576.0) END")
-scalar("E20_clean_ocr", "documents", "doc_id", lambda: F.md5(tx.rewrite(c("text"), [("[ \\t]+", " "), (" ?\\n ?", "\n"), ("\\n{3,}", "\n\n")])), "md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))")
+_OCR = "'<::a' || chr(10) || 'b::> ' || text || chr(10) || chr(10) || chr(10) || chr(10)"
+scalar(
+    "E20_clean_ocr", "documents", "doc_id", lambda: F.md5(tx.clean_ocr_text(F.concat(F.lit("<::a\nb::> "), "text", F.lit("\n\n\n\n")))),
+    f"md5(regexp_replace(regexp_replace(regexp_replace({_OCR}, '(?s)<::.*?::>', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'))",
+)
+scalar(
+    "E20_fix_ligatures", "documents", "doc_id", lambda: F.md5(tx.fix_ligatures(F.concat(F.lit("\ufb01n \\\\( 5 \\\\times 3^{2} \\\\) N^{circ}".replace("\\\\", "\\")), "text"))),
+    "md5('fin 5 × 3^2 N°' || text)",
+)
+scalar(
+    "E20_fix_spacing", "documents", "doc_id", lambda: F.md5(tx.fix_spacing(F.concat(F.lit("caso.1.2. ALCANCELa obra 2 ANEXO x# y"), F.md5("text")))),
+    "md5('caso.' || chr(10) || chr(10) || '1.2. ALCANCE' || chr(10) || chr(10) || 'La obra' || chr(10) || chr(10) || 'ANEXO x' || chr(10) || chr(10) || '# y' || md5(text))",
+)
 scalar("E21_normalize_for_clustering", "documents", "doc_id", lambda: F.md5(tx.normalize_for_clustering(c("text"))), "md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}', 'DATE', 'g'), '[0-9]{1,2}:[0-9]{2}', 'TIME', 'g'), '[0-9]{1,4}', 'N', 'g')))")
 scalar("E22_is_page_number", "part", "p_partkey", lambda: tx.is_page_number(F.when(c("p_partkey") % 2 == 0, F.concat(F.lit("Página "), c("p_size").cast("string"), F.lit(" de 99"))).otherwise(c("p_name"))), "p_partkey % 2 = 0")
 scalar("E23_slugify", "part", "p_partkey", lambda: tx.slugify(c("p_name"), 20), "substr(replace(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ', '_'), 1, 20)")
@@ -82,9 +117,16 @@ scalar("E26_row_hash", "part", "p_partkey", lambda: tx.row_hash(c("p_name"), c("
 scalar("E27_hard_soft", "documents", "doc_id", lambda: tx.hard_soft(c("text"), ["must", "than"], ["prefer", "tion"]), f"CASE WHEN regexp_matches({FOLD.format('text')}, 'prefer|tion') THEN 'Soft' WHEN regexp_matches({FOLD.format('text')}, 'must|than|[0-9]') THEN 'Hard' ELSE 'Soft' END")
 scalar("E29_keyword_score", "documents", "doc_id", lambda: tx.keyword_score(c("text"), ["worthless", "trash", "éaux"]), f"CAST(contains({FOLD.format('text')}, 'worthless') AS INTEGER) + CAST(contains({FOLD.format('text')}, 'trash') AS INTEGER) + CAST(contains({FOLD.format('text')}, 'eaux') AS INTEGER)")
 scalar("E30_clean_description", "part", "p_partkey", lambda: tx.remove_phrases(F.concat(c("p_name"), F.lit(" or similar "), c("p_type")), ["or similar"]), "trim(regexp_replace(p_name || '  ' || p_type, '\\s+', ' ', 'g'))")
-scalar("E32_strip_preamble", "part", "p_partkey", lambda: tx.strip_preamble(F.concat(F.lit("\n---\n \n"), c("p_name"))), "p_name")
+scalar("E32_strip_preamble", "part", "p_partkey", lambda: tx.strip_preamble(F.concat(F.lit("\nClaro, "), c("p_brand"), F.lit("\na continuación:\n---\n \n*** x\n"), c("p_name"))), "p_name")
+scalar("E32_strip_marker_section", "part", "p_partkey", lambda: tx.strip_marker_section(F.concat("p_name", F.when(c("p_partkey") % 2 == 0, "\n \n## Cronograma (ficha SEACE)\nx").otherwise(" \n"))), "p_name || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' ' || chr(10) END")
 scalar("E33_doc_label", "orders", "o_orderkey", lambda: tx.doc_label(F.when(c("o_orderkey") % 2 == 0, c("o_orderpriority")), F.when(c("o_orderkey") % 3 == 0, c("o_orderstatus")), F.md5(c("o_orderkey").cast("string"))), "CASE WHEN o_orderkey % 6 = 0 THEN o_orderstatus || ' · ' || o_orderpriority WHEN o_orderkey % 3 = 0 THEN o_orderstatus WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) END")
-scalar("E34_diff_risk", "lineitem", "l_orderkey, l_linenumber".split(",")[0], lambda: tx.diff_risk(c("l_discount") * 100, c("l_quantity") * 100, c("l_linenumber")), "CASE WHEN l_discount * 100 >= 5 OR l_quantity * 100 >= 5000 THEN 'high' WHEN l_discount * 100 >= 1 OR l_linenumber >= 10 THEN 'medium' WHEN l_discount * 100 > 0 THEN 'low' ELSE 'none' END")
+
+
+@query("E34_diff_risk", """SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 3 >= 0.20 OR l_tax * 2 >= 0.12 THEN 'high' WHEN l_discount * 3 >= 0.05 OR l_tax * 2 >= 0.03 OR l_linenumber * 4 >= 20 THEN 'medium' WHEN l_discount * 3 >= 0.005 OR l_linenumber > 1 THEN 'low' ELSE 'none' END AS out FROM lineitem""")
+def e34(spark, sf_dir):
+    regions = F.when(c("l_linenumber") > 1, c("l_linenumber") * 4).otherwise(0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", tx.diff_risk(c("l_discount") * 3, c("l_tax") * 2, regions).alias("out"))
+
 
 FEED_SQL = f"""feed AS (SELECT o_orderkey AS id, o_custkey AS entity_id, o_orderpriority AS nkey,
   CASE o_orderstatus WHEN 'F' THEN '{ANALYZED}' WHEN 'P' THEN '{DOWNLOADED}' ELSE '{PUBLISHED}' END AS status,
@@ -115,8 +157,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT id, entity_id, nkey, status, amount FROM best WHERE n = 1""")
 def j04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the preferred item of each business key among those not rejected for the tenant."""
-    items = feed(spark, sf_dir)
-    kept = fd.exclude_ids(items, fd.effective_rejected(items, decisions(spark, sf_dir), "t1"))
+    kept = fd.not_rejected(feed(spark, sf_dir), decisions(spark, sf_dir), "t1")
     best = fd.preferred(kept.withColumn("key", tx.normalize_key(c("nkey"))), ["entity_id", "key"], [F.desc("progress"), F.desc("id")])
     return best.select("id", "entity_id", "nkey", "status", "amount")
 
@@ -153,16 +194,16 @@ def f04(spark, sf_dir):
     return fd.by_status(feed(spark, sf_dir), [ANALYZED, PUBLISHED], "feed_pure").select("id", "status")
 
 
-@query("F05_listing_filter", f"WITH {FEED_SQL} SELECT id FROM feed WHERE status = '{PUBLISHED}' AND entity_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+@query("F05_listing_filter", f"WITH {FEED_SQL} SELECT id FROM feed WHERE status = '{PUBLISHED}' AND nkey = '1-URGENT' AND entity_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def f05(spark, sf_dir):
     wanted = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(c("c_custkey").alias("entity_id"))
-    return fd.by_status(feed(spark, sf_dir), [PUBLISHED]).join(wanted, "entity_id", "left_semi").select("id")
+    return ls.listing_filter(feed(spark, sf_dir), PUBLISHED, wanted, "1-URGENT", [ANALYZED, DOWNLOADED, PUBLISHED], column="nkey").select("id")
 
 
 @query("F06_exclude_ids", OVERLAY_SQL + " SELECT id FROM feed WHERE id NOT IN (SELECT id FROM rejected)")
 def f06(spark, sf_dir):
-    items = feed(spark, sf_dir)
-    return fd.exclude_ids(items, fd.effective_rejected(items, decisions(spark, sf_dir), "t1")).select("id")
+    seen = decisions(spark, sf_dir).filter(c("decision") == fd.REJECTED).select(c("feed_item_id").alias("id"))
+    return fd.exclude_ids(feed(spark, sf_dir), seen).select("id")
 
 
 @query("F07_due_for_refresh", f"""SELECT event_id FROM events WHERE CASE WHEN event_id % 11 = 0 THEN TRUE ELSE
@@ -177,41 +218,51 @@ def f08(spark, sf_dir):
     return fd.stale(table(spark, sf_dir, "events"), "ts", now(), 86_400).select("event_id")
 
 
-@query("F12_batch_limits", "SELECT l_orderkey, count(*) AS files, CASE WHEN count(*) > 5 THEN 'too many files' WHEN max(l_quantity) > 49 THEN 'file too large' WHEN sum(l_quantity) > 150 THEN 'batch too large' ELSE 'ok' END AS reason FROM lineitem GROUP BY l_orderkey")
+_BYTES = "CASE WHEN l_linenumber % 7 = 6 THEN 0 ELSE CAST(l_quantity AS BIGINT) * 1050000 END"
+
+
+@query("F12_batch_limits", f"""SELECT l_partkey, count(*) AS files, CAST(sum({_BYTES}) AS BIGINT) AS bytes, CASE WHEN count(*) > 8 THEN 'too many files' WHEN sum({_BYTES}) <= 0 THEN 'empty batch' WHEN min({_BYTES}) <= 0 THEN 'empty file'
+  WHEN max({_BYTES}) > 52428800 THEN 'file too large' WHEN sum({_BYTES}) > 50331648 THEN 'batch too large' ELSE 'ok' END AS reason FROM lineitem WHERE l_discount > 0.05 GROUP BY l_partkey""")
 def f12(spark, sf_dir):
-    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("files"), F.max("l_quantity").alias("m"), F.sum("l_quantity").alias("s"))
-    return g.select("l_orderkey", "files", F.when(c("files") > 5, "too many files").when(c("m") > 49, "file too large").when(c("s") > 150, "batch too large").otherwise("ok").alias("reason"))
+    size = F.when(c("l_linenumber") % 7 == 6, F.lit(0).cast("long")).otherwise(c("l_quantity").cast("long") * 1_050_000)
+    return ls.batch_limits(table(spark, sf_dir, "lineitem").filter("l_discount > 0.05").select("l_partkey", size.alias("size")), "l_partkey", "size")
 
 
 @query("J01_with_entity", f"WITH {FEED_SQL} SELECT id, c_name, c_mktsegment FROM feed LEFT JOIN customer ON entity_id = c_custkey")
 def j01(spark, sf_dir):
     e = table(spark, sf_dir, "customer").select(c("c_custkey").alias("entity_id"), "c_name", "c_mktsegment")
-    return feed(spark, sf_dir).join(e, "entity_id", "left").select("id", "c_name", "c_mktsegment")
+    return ls.with_entity(feed(spark, sf_dir), e).select("id", "c_name", "c_mktsegment")
+
+
+@query("J01_with_analysis", f"""WITH {FEED_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS n FROM lineitem WHERE l_returnflag = 'R')
+  SELECT id, l_linenumber AS version, l_linenumber IS NOT NULL AS has_analysis FROM feed LEFT JOIN (SELECT * FROM a WHERE n = 1) ON id = l_orderkey""")
+def j01_analysis(spark, sf_dir):
+    a = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(c("l_orderkey").alias("id"), c("l_linenumber").alias("version"))
+    return ls.with_analysis(feed(spark, sf_dir), a, "id", [F.desc("version")]).select("id", "version", "has_analysis")
 
 
-@query("J02_find_by_ref", "SELECT l.l_orderkey, l.l_linenumber, o.o_orderstatus FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey AND l.l_linestatus = o.o_orderstatus")
+@query("J02_find_by_ref", "SELECT l.l_orderkey, l.l_linenumber, o.o_custkey FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey AND l.l_linestatus = o.o_orderstatus")
 def j02(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("l_orderkey"), c("o_orderstatus").alias("l_linestatus"), "o_orderstatus")
-    return table(spark, sf_dir, "lineitem").join(o, ["l_orderkey", "l_linestatus"], "left").select("l_orderkey", "l_linenumber", "o_orderstatus")
+    o = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("l_orderkey"), c("o_orderstatus").alias("l_linestatus"), "o_custkey")
+    return ls.find_by_ref(table(spark, sf_dir, "lineitem"), o, ["l_orderkey", "l_linestatus"], "o_custkey").select("l_orderkey", "l_linenumber", "o_custkey")
 
 
-@query("J03_match_business_key", f"WITH {FEED_SQL} SELECT a.id AS id, b.id AS other FROM feed a JOIN feed b ON a.entity_id = b.entity_id AND upper(a.nkey) = upper(b.nkey) AND a.id <> b.id AND b.status <> '{PUBLISHED}' WHERE a.status = '{PUBLISHED}'")
+@query("J03_match_business_key", f"""WITH {FEED_SQL}, b AS (SELECT entity_id, upper(nkey) AS k, max_by(id, (progress, id)) AS other FROM feed WHERE progress >= 0 OR id % 3 = 0 GROUP BY ALL)
+  SELECT id, other FROM feed a JOIN b ON a.entity_id = b.entity_id AND upper(a.nkey) = b.k WHERE id <> other""")
 def j03(spark, sf_dir):
-    f = feed(spark, sf_dir).withColumn("key", tx.normalize_key(c("nkey")))
-    claimed = f.filter(c("status") != PUBLISHED).select("entity_id", "key", c("id").alias("other"))
-    return f.filter(c("status") == PUBLISHED).join(claimed, ["entity_id", "key"]).filter("id <> other").select("id", "other")
+    f = feed(spark, sf_dir)
+    return ls.match_business_key(f, f.filter("progress >= 0 OR id % 3 = 0"), "entity_id", "nkey", "id", [F.desc("progress"), F.desc("id")])
 
 
 @query("J05_active_entities", f"WITH {FEED_SQL} SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT entity_id FROM feed WHERE status = '{PUBLISHED}')")
 def j05(spark, sf_dir):
-    live = feed(spark, sf_dir).filter(c("status") == PUBLISHED).select(c("entity_id").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(live, "c_custkey", "left_semi").select("c_custkey", "c_name")
+    items = feed(spark, sf_dir).withColumnRenamed("entity_id", "c_custkey")
+    return ls.active_entities(items, table(spark, sf_dir, "customer"), "c_custkey", [PUBLISHED]).select("c_custkey", "c_name")
 
 
 @query("J06_orphan_decisions", f"WITH {DECISIONS_SQL} SELECT feed_item_id FROM decisions WHERE feed_item_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def j06(spark, sf_dir):
-    alive = feed(spark, sf_dir).filter(c("status") == ANALYZED).select(c("id").alias("feed_item_id"))
-    return decisions(spark, sf_dir).join(alive, "feed_item_id", "left_anti").select("feed_item_id")
+    return ls.orphan_decisions(decisions(spark, sf_dir), feed(spark, sf_dir).filter(c("status") == ANALYZED)).select("feed_item_id")
 
 
 @query("J07_first_matching_rule", f"SELECT p_partkey, CASE WHEN {_word('p_type', 'promo')} THEN 'r1' WHEN {_word(_BOTH, 'steel')} THEN 'r2' WHEN {_word('p_brand', '11')} THEN 'r3' END AS rule FROM part")
@@ -310,12 +361,12 @@ def g01(spark, sf_dir):
 
 @query("G02_badges", f"WITH {FEED_SQL} SELECT entity_id, count_if(status = '{ANALYZED}') AS ready, count_if(promoted_at IS NULL) AS unread FROM feed GROUP BY entity_id")
 def g02(spark, sf_dir):
-    return feed(spark, sf_dir).groupBy("entity_id").agg(F.count_if(c("status") == ANALYZED).alias("ready"), F.count_if(c("promoted_at").isNull()).alias("unread"))
+    return ls.badges(feed(spark, sf_dir), ["entity_id"], c("promoted_at").isNull(), c("status") == ANALYZED)
 
 
-@query("G04_facets", "SELECT DISTINCT c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query("G04_facets", "SELECT 'c_mktsegment' AS facet, c_mktsegment AS value FROM customer GROUP BY 2 UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer GROUP BY 2")
 def g04(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey")).select("c_mktsegment", "n_name").distinct()
+    return ls.facets(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"])
 
 
 @query("G05_multi_counts", """SELECT 'l_returnflag' AS dim, l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY 2
@@ -329,9 +380,9 @@ def g07(spark, sf_dir):
     return cp.dominant(table(spark, sf_dir, "documents"), ["source"], "lang", "doc_id")
 
 
-@query("G08_median_area", "SELECT source, median(n_chars) AS median_chars FROM documents GROUP BY source")
+@query("G08_median_area", "WITH m AS (SELECT source, median(n_chars) AS median FROM documents GROUP BY source) SELECT doc_id, median, CASE WHEN median = 0 THEN 1.0 ELSE n_chars / median END AS ratio FROM documents JOIN m USING (source)")
 def g08(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.median("n_chars").alias("median_chars"))
+    return ls.median_ratio(table(spark, sf_dir, "documents"), ["source"], "n_chars").select("doc_id", "median", "ratio")
 
 
 LINES_SQL = """lines AS (SELECT source, doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(l), '\\s+', ' ', 'g'), '[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}', 'DATE', 'g'), '[0-9]{1,2}:[0-9]{2}', 'TIME', 'g'), '[0-9]{1,4}', 'N', 'g')) AS norm
@@ -346,21 +397,29 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("G09_repeated_lines", NOISE_SQL + " SELECT source, md5(norm) AS norm, pages, total FROM noise")
 def g09(spark, sf_dir):
-    return cp.repeated_lines(_lines(spark, sf_dir), "source", "doc_id", "norm", 0.1, 5).select("source", F.md5("norm").alias("norm"), "pages", "total")
+    found = cp.page_repeats(table(spark, sf_dir, "documents"), "source", "text", tx.normalize_for_clustering, 0.1, 5)
+    return found.select("source", F.md5("norm").alias("norm"), "pages", "total")
+
+
+@query("G09_line_report", NOISE_SQL + """, f AS (SELECT DISTINCT source, norm, doc_id FROM lines), p AS (SELECT source, norm, list(doc_id ORDER BY doc_id)[1:10] AS first_pages FROM f GROUP BY ALL)
+  SELECT source, md5(norm) AS norm, CASE WHEN regexp_matches(norm, '^N$') THEN 'PAGE_NUMBER' ELSE 'TEXT_REPEAT' END AS category, pages, total, array_to_string(first_pages, ',') AS first_pages FROM noise JOIN p USING (source, norm)""")
+def g09_report(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    found = cp.line_report(lines, ["source"], "doc_id", "norm", "line", c("line").rlike("^[0-9]{1,4}$"), 0.1, 5)
+    return found.select("source", F.md5("norm").alias("norm"), "category", "pages", "total", F.array_join(F.transform("first_pages", lambda x: x.cast("string")), ",").alias("first_pages"))
 
 
 @query("J13_filter_noise", NOISE_SQL + " SELECT doc_id, count(*) AS kept FROM lines l WHERE NOT EXISTS (SELECT 1 FROM noise n WHERE n.source = l.source AND n.norm = l.norm) GROUP BY doc_id")
 def j13(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    noise = cp.repeated_lines(lines, "source", "doc_id", "norm", 0.1, 5)
-    return cp.filter_noise(lines, noise, ["source", "norm"]).groupBy("doc_id").agg(F.count("*").alias("kept"))
+    d = table(spark, sf_dir, "documents")
+    noise = cp.page_repeats(d, "source", "text", tx.normalize_for_clustering, 0.1, 5)
+    return cp.filter_noise(_lines(spark, sf_dir), noise, ["source", "norm"]).groupBy("doc_id").agg(F.count("*").alias("kept"))
 
 
 @query("G12_page_signals", """WITH m AS (SELECT *, median(n_chars) OVER (PARTITION BY source) AS m FROM documents) SELECT doc_id, concat_ws(',', CASE WHEN n_chars >= 1.4 * m THEN 'large' END, CASE WHEN n_chars < 200 THEN 'sparse' END, CASE WHEN contains(text, '|') THEN 'table' END) AS signals FROM m""")
 def g12(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    medians = d.groupBy("source").agg(F.median("n_chars").alias("m"))
-    return cp.page_signals(d.join(medians, "source"), {"large": c("n_chars") >= 1.4 * c("m"), "sparse": c("n_chars") < 200, "table": c("text").contains("|")}).select("doc_id", "signals")
+    return cp.page_signals(ls.median_ratio(d, ["source"], "n_chars"), {"large": c("ratio") >= 1.4, "sparse": c("n_chars") < 200, "table": c("text").contains("|")}).select("doc_id", "signals")
 
 
 COMPLIANCE_SQL = "m AS (SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN 'CUMPLE' WHEN 'R' THEN 'PARCIAL' ELSE 'NO_CUMPLE' END AS result, CASE l_linestatus WHEN 'F' THEN 'Hard' ELSE 'Soft' END AS hard_soft, CASE WHEN l_linenumber % 2 = 0 THEN 'sin_info' ELSE 'otro' END AS subtype FROM lineitem)"
@@ -411,9 +470,7 @@ def w01(spark, sf_dir):
 
 @query("W02_preferred_published", f"{OVERLAY_SQL} SELECT entity_id, nkey, max(id) AS id FROM feed WHERE status = '{PUBLISHED}' AND promoted_at IS NULL AND id NOT IN (SELECT id FROM rejected) GROUP BY entity_id, nkey")
 def w02(spark, sf_dir):
-    items = feed(spark, sf_dir)
-    kept = fd.exclude_ids(items.filter((c("status") == PUBLISHED) & c("promoted_at").isNull()), fd.effective_rejected(items, decisions(spark, sf_dir), "t1"))
-    return kept.groupBy("entity_id", "nkey").agg(F.max("id").alias("id"))
+    return ls.preferred_published(fd.with_overlay(feed(spark, sf_dir), decisions(spark, sf_dir), "t1"), ["entity_id", "nkey"], PUBLISHED)
 
 
 @query("W04_dedupe_keep_first", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) SELECT l_partkey, l_orderkey, l_linenumber FROM r WHERE n = 1")
@@ -467,8 +524,7 @@ def s01(spark, sf_dir):
 
 @query("S03_recent", OVERLAY_SQL + " SELECT id, first_seen FROM feed WHERE id NOT IN (SELECT id FROM rejected) ORDER BY first_seen DESC, id DESC LIMIT 10")
 def s03(spark, sf_dir):
-    items = feed(spark, sf_dir)
-    return fd.recent(items, fd.effective_rejected(items, decisions(spark, sf_dir), "t1")).select("id", "first_seen")
+    return fd.recent(fd.not_rejected(feed(spark, sf_dir), decisions(spark, sf_dir), "t1")).select("id", "first_seen")
 
 
 @query("U01_selection_diff", "SELECT o_custkey AS id, 'added' AS kind FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') UNION ALL SELECT o_custkey, 'removed' FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -483,14 +539,32 @@ def b01(spark, sf_dir):
     return cp.consolidate_variants(p, ["p_type", "p_brand"], "p_name", "q", "v")
 
 
-CANDIDATES_SQL = "cand AS (SELECT DISTINCT l_partkey AS item_id, l_suppkey AS pos, CASE WHEN l_suppkey % 3 = 0 THEN 'VALIDO' WHEN l_suppkey % 3 = 1 THEN 'CONDICIONADO' ELSE 'DESCARTADO' END AS class FROM lineitem WHERE l_suppkey % 4 = 0)"
+CANDIDATES_SQL = "cand AS (SELECT DISTINCT l_partkey AS item_id, l_suppkey AS pos, CASE WHEN l_suppkey % 3 = 0 THEN 'VALIDO' WHEN l_suppkey % 3 = 1 AND l_partkey % 2 = 0 THEN 'CONDICIONADO' ELSE 'DESCARTADO' END AS class FROM lineitem)"
 
 
-@query("B03_consolidate", f"WITH {CANDIDATES_SQL}, g AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY pos) AS INTEGER) AS n FROM cand WHERE class <> 'DESCARTADO') SELECT p_partkey AS item_id, coalesce(n, 0) AS candidate, coalesce(class, 'SIN_CANDIDATO') AS state FROM part LEFT JOIN g ON p_partkey = item_id")
-def b03(spark, sf_dir):
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = c("l_suppkey")
-    cand = table(spark, sf_dir, "lineitem").filter(s % 4 == 0).select(c("l_partkey").alias("item_id"), s.alias("pos"), F.when(s % 3 == 0, "VALIDO").when(s % 3 == 1, "CONDICIONADO").otherwise("DESCARTADO").alias("class")).distinct()
-    return cp.consolidate(table(spark, sf_dir, "part").select(c("p_partkey").alias("item_id")), cand, ["VALIDO", "CONDICIONADO"])
+    kind = F.when(s % 3 == 0, "VALIDO").when((s % 3 == 1) & (c("l_partkey") % 2 == 0), "CONDICIONADO").otherwise("DESCARTADO")
+    return table(spark, sf_dir, "lineitem").select(c("l_partkey").alias("item_id"), s.alias("pos"), kind.alias("class")).distinct()
+
+
+@query("B03_consolidate", f"""WITH {CANDIDATES_SQL}, g AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY pos) AS INTEGER) AS n FROM cand WHERE class <> 'DESCARTADO')
+  SELECT p_partkey AS item_id, coalesce(n, 0) AS candidate, coalesce(class, 'SIN_CANDIDATO') AS state, CASE WHEN class IS NOT NULL THEN '' WHEN p_partkey % 5 = 0 THEN '{cp.NO_RESULT}' WHEN p_partkey % 3 = 0 THEN p_type ELSE '{cp.NO_CANDIDATE}' END AS notes
+  FROM part LEFT JOIN g ON p_partkey = item_id WHERE p_size > 5 UNION ALL SELECT p_partkey, 0, 'SERVICIO', '{cp.NO_SEARCH}' FROM part WHERE p_size <= 5""")
+def b03(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("item_id", c("p_partkey"))
+    results = p.filter("p_partkey % 5 <> 0").select("item_id", F.when(c("item_id") % 3 == 0, c("p_type")).alias("diagnosis"))
+    return cp.consolidate(p.filter("p_size > 5").select("item_id"), candidates(spark, sf_dir), ["VALIDO", "CONDICIONADO"], results, p.filter("p_size <= 5"))
+
+
+@query("B08_inherit_deep", """WITH bom AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 40 > 0 THEN p_partkey - 1 END AS parent_id FROM part), up AS (SELECT a.p_partkey AS item_id, b.p_partkey AS source, a.p_partkey - b.p_partkey AS distance, b.p_brand AS text, b.p_size % 3 AS kind FROM part a JOIN part b ON a.p_partkey // 40 = b.p_partkey // 40 AND a.p_partkey >= b.p_partkey),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY distance) AS n FROM up WHERE distance = 0 OR kind < 2), f AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance) AS k FROM r WHERE n = 1)
+  SELECT item_id, text, CASE WHEN distance = 0 THEN 'DIRECTO' ELSE 'HEREDADO' END AS origin, CASE WHEN distance > 0 THEN source END AS parent, printf('R-%03d', k) AS requirement_id FROM f""")
+def b08_deep(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), c("p_partkey")
+    bom = p.select(k.alias("item_id"), F.when(k % 40 > 0, k - 1).alias("parent_id"))
+    kinds = p.select((c("p_size") % 3).alias("kind")).filter("kind < 2")
+    return cp.inherit_requirements(bom, p.select(k.alias("item_id"), c("p_brand").alias("text"), (c("p_size") % 3).alias("kind")), kinds, numbered=True)
 
 
 @query("B08_inherit_requirements", """WITH RECURSIVE bom AS (SELECT p_partkey AS item_id, nullif(p_partkey // 10, 0) AS parent_id FROM part), chain AS (SELECT item_id, item_id AS source, parent_id AS next, 0 AS distance FROM bom UNION ALL SELECT chain.item_id, chain.next, bom.parent_id, distance + 1 FROM chain JOIN bom ON bom.item_id = chain.next),
@@ -502,10 +576,46 @@ def b08(spark, sf_dir):
     return cp.inherit_requirements(bom, p.select(c("p_partkey").alias("item_id"), c("p_brand").alias("text")))
 
 
-@query("B05_qa_findings", "SELECT 'CRITICO' AS severity, 'missing' AS kind, p_partkey AS item FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) UNION ALL SELECT 'MENOR', 'extra', l_partkey FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 45) WHERE l_partkey NOT IN (SELECT p_partkey FROM part)")
+QA_SQL = f"""{CANDIDATES_SQL}, g AS (SELECT item_id, pos, class, CAST(row_number() OVER (PARTITION BY item_id ORDER BY pos) AS INTEGER) AS n FROM cand WHERE class <> 'DESCARTADO'),
+  bom AS (SELECT p_partkey AS item_id, CASE WHEN p_size <= 5 THEN 'Servicios' ELSE p_type END AS grp FROM part WHERE p_partkey % 50 <> 1),
+  rows AS (SELECT item_id, n AS candidate, class AS state, CASE WHEN pos % 7 = 0 THEN '' ELSE CAST(pos AS VARCHAR) END AS brand, CASE WHEN pos % 11 = 0 THEN NULL ELSE 'm' || pos END AS model, CASE WHEN pos % 13 = 0 THEN ' ' ELSE 'u' END AS url, CASE WHEN item_id % 4 = 0 THEN 'n' END AS notes, CASE WHEN pos % 5 = 0 THEN 'M' || pos END AS matrix FROM g WHERE item_id % 20 <> 3 AND NOT (n = 2 AND item_id % 6 = 0)
+    UNION ALL SELECT p_partkey, p_partkey % 2, CASE WHEN p_size <= 5 THEN 'SERVICIO' ELSE 'SIN_CANDIDATO' END, '', '', '', CASE WHEN p_partkey % 4 = 0 THEN 'n' END, NULL FROM part WHERE p_partkey NOT IN (SELECT item_id FROM g) AND p_partkey % 20 <> 3),
+  items AS (SELECT DISTINCT item_id FROM rows), smp AS (SELECT item_id FROM bom WHERE item_id % 3 = 0), good AS (SELECT g.*, CASE WHEN pos % 7 = 0 THEN '' ELSE CAST(pos AS VARCHAR) END AS brand, CASE WHEN pos % 11 = 0 THEN NULL ELSE 'm' || pos END AS model FROM g JOIN smp USING (item_id)),
+  held AS (SELECT item_id, count_if(candidate > 0) AS h, bool_or(state = 'SIN_CANDIDATO') AS none FROM rows GROUP BY item_id), fnd AS (SELECT item_id, count(*) AS f FROM good GROUP BY item_id),
+  sampled AS (SELECT item_id, coalesce(f, 0) AS f, h, none FROM smp LEFT JOIN fnd USING (item_id) LEFT JOIN held USING (item_id))"""
+
+
+@query("B05_qa_findings", f"""WITH {QA_SQL}, o AS (
+  SELECT 'CRITICO' AS severity, 'ITEM_FALTANTE' AS kind, CAST(item_id AS VARCHAR) AS item, '' AS detail FROM bom WHERE item_id NOT IN (SELECT item_id FROM items)
+  UNION ALL SELECT 'MENOR', 'ITEM_EXTRA', CAST(item_id AS VARCHAR), '' FROM items WHERE item_id NOT IN (SELECT item_id FROM bom)
+  UNION ALL SELECT 'CRITICO', 'DISCREPANCIA_CANDIDATOS', CAST(item_id AS VARCHAR), f || '/' || coalesce(h, 0) FROM sampled WHERE f > 0 AND coalesce(h, 0) <> f
+  UNION ALL SELECT 'CRITICO', 'DISCREPANCIA_CANDIDATO', CAST(item_id AS VARCHAR), brand || ' ' || model FROM good x WHERE brand <> '' AND model IS NOT NULL AND NOT EXISTS (SELECT 1 FROM rows r WHERE r.candidate > 0 AND r.item_id = x.item_id AND r.brand = x.brand AND r.model = x.model)
+  UNION ALL SELECT 'CRITICO', 'DISCREPANCIA_ESTADO', CAST(item_id AS VARCHAR), '' FROM sampled WHERE f = 0 AND h IS NOT NULL AND NOT coalesce(none, FALSE)
+  UNION ALL SELECT 'CRITICO', 'CAMPO_VACIO', CAST(item_id AS VARCHAR), 'brand' FROM rows WHERE state IN ('VALIDO', 'CONDICIONADO') AND coalesce(brand, '') = ''
+  UNION ALL SELECT 'CRITICO', 'CAMPO_VACIO', CAST(item_id AS VARCHAR), 'model' FROM rows WHERE state IN ('VALIDO', 'CONDICIONADO') AND coalesce(model, '') = ''
+  UNION ALL SELECT 'MENOR', 'CAMPO_VACIO', CAST(item_id AS VARCHAR), 'url' FROM rows WHERE state IN ('VALIDO', 'CONDICIONADO') AND trim(coalesce(url, '')) = ''
+  UNION ALL SELECT 'MENOR', 'SIN_DIAGNOSTICO', CAST(item_id AS VARCHAR), '' FROM rows WHERE state = 'SIN_CANDIDATO' AND notes IS NULL
+  UNION ALL SELECT 'CRITICO', 'CAMPO_INCORRECTO', CAST(item_id AS VARCHAR), '' FROM rows WHERE state = 'SIN_CANDIDATO' AND candidate <> 0
+  UNION ALL SELECT 'CRITICO', 'SERVICIO_FALTANTE', CAST(item_id AS VARCHAR), '' FROM bom WHERE grp = 'Servicios' AND item_id NOT IN (SELECT item_id FROM items)
+  UNION ALL SELECT 'MENOR', 'ESTADO_INCORRECTO', CAST(item_id AS VARCHAR), state FROM rows WHERE state <> 'SERVICIO' AND item_id IN (SELECT item_id FROM bom WHERE grp = 'Servicios')
+  UNION ALL SELECT 'CRITICO', 'TSV_FILAS', '', '7/' || (SELECT count(*) FROM rows) UNION ALL SELECT 'MENOR', 'MD_FALTANTE', '', ''
+  UNION ALL SELECT 'MENOR', 'MATRIZ_FALTANTE', CAST(item_id AS VARCHAR), matrix FROM rows WHERE matrix IS NOT NULL AND CAST(substr(matrix, 2) AS INTEGER) % 2 = 1)
+  SELECT severity, kind, item, detail, count(*) AS n FROM o GROUP BY ALL""")
 def b05(spark, sf_dir):
-    expected = table(spark, sf_dir, "part").select(c("p_partkey").alias("item"))
-    return cp.qa_findings(expected, table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(c("l_partkey").alias("item")), "item", [])
+    p, pos, item = table(spark, sf_dir, "part").withColumn("item_id", c("p_partkey")), c("pos"), c("item_id")
+    bom = p.filter("p_partkey % 50 <> 1").select("item_id", F.when(c("p_size") <= 5, "Servicios").otherwise(c("p_type")).alias("group"))
+    brand, model = F.when(pos % 7 == 0, "").otherwise(pos.cast("string")), F.when(pos % 11 != 0, F.concat(F.lit("m"), pos.cast("string")))
+    found = candidates(spark, sf_dir).withColumns({"brand": brand, "model": model})
+    good = cp.consolidate(found.select("item_id").distinct(), found, ["VALIDO", "CONDICIONADO"]).filter("candidate > 0").withColumnRenamed("candidate", "n").drop("state")
+    numbered = fd.renumber(found.filter("class <> 'DESCARTADO'"), ["item_id"], [F.asc("pos")], "candidate").join(good.withColumnRenamed("n", "candidate"), ["item_id", "candidate"], "left_semi")
+    notes = F.when(item % 4 == 0, "n")
+    rows = numbered.filter("item_id % 20 <> 3 AND NOT (candidate = 2 AND item_id % 6 = 0)").select("item_id", "candidate", c("class").alias("state"), "brand", "model", F.when(pos % 13 == 0, " ").otherwise("u").alias("url"), notes.alias("notes"), F.when(pos % 5 == 0, F.concat(F.lit("M"), pos.cast("string"))).alias("matrix"))
+    none = p.join(good, "item_id", "left_anti").filter("item_id % 20 <> 3")
+    rows = rows.unionByName(none.select("item_id", (item % 2).cast("int").alias("candidate"), F.when(c("p_size") <= 5, "SERVICIO").otherwise("SIN_CANDIDATO").alias("state"), F.lit("").alias("brand"), F.lit("").alias("model"), F.lit("").alias("url"), notes.alias("notes"), F.lit(None).cast("string").alias("matrix")))
+    matrices = found.filter(pos % 2 == 0).select(F.concat(F.lit("M"), pos.cast("string")).alias("matrix")).distinct()
+    outputs = spark.createDataFrame([("TSV", "CRITICO", 7), ("MD", "MENOR", None), ("JSON", "CRITICO", rows.count())], "format string, severity string, rows long")
+    checks = cp.qa_checks(bom, rows, bom.filter("item_id % 3 = 0"), found, matrices, outputs)
+    return checks.groupBy("severity", "kind", "item", "detail").agg(F.count("*").alias("n"))
 
 
 @query("B07_deterministic_sample", "WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY sha256(CAST(p_partkey AS VARCHAR) || 's1')) AS n FROM part) SELECT p_partkey FROM r WHERE n <= greatest((SELECT CAST(floor(0.3 * count(*)) AS BIGINT) FROM part), 20)")
@@ -550,7 +660,7 @@ def t03(spark, sf_dir):
 
 @query("T06_status_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def t06(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda s: s.groupBy("event_type").agg(F.count("*").alias("n")), "complete")
+    return _streamed(spark, sf_dir, lambda s: st.status_counts(s, "event_type"), "complete")
 
 
 def _streamed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:

@@ -17,7 +17,18 @@ from ..sources import readers as rd
 from ..streaming import streams as st
 from .queries import ANALYZED, NOW, PUBLISHED, c, now, query, scalar, table
 
-scalar("A02_decode_bytes", "part", "p_partkey", lambda: rd.decode_bytes(F.when(c("p_partkey") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("p_name", "UTF-8"))).when(c("p_partkey") % 3 == 1, F.encode(F.concat(F.lit("ñ "), "p_name"), "UTF-8")).otherwise(F.concat(F.unhex(F.lit("F120")), F.encode("p_name", "UTF-8")))), "CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'ñ ' || p_name END")
+
+
+def _catalog_bytes():
+    kind, name = c("p_partkey") % 4, F.encode("p_name", "UTF-8")
+    raw = lambda digits: F.concat(F.unhex(F.lit(digits)), name)
+    return F.when(kind == 0, raw("EFBBBF")).when(kind == 1, F.encode(F.concat(F.lit("ñ € "), "p_name"), "UTF-8")).when(kind == 2, raw("F120")).otherwise(raw("803520937894208A20"))
+
+
+scalar(
+    "A02_decode_bytes", "part", "p_partkey", lambda: rd.decode_bytes(_catalog_bytes()),
+    "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'ñ € ' || p_name WHEN 2 THEN 'ñ ' || p_name ELSE '€5 “x” Š ' || p_name END",
+)
 scalar("A04_extract_total_pages", "pages", "page_id", lambda: rd.extract_total_pages(F.concat(F.when(c("page_id") % 3 == 0, F.concat(F.lit("totalPages: "), (c("page_id") % 50).cast("string"), F.lit(","))).when(c("page_id") % 3 == 1, F.concat(F.lit("Página: 1/"), (c("page_id") % 70).cast("string"), F.lit(" "))).otherwise(""), F.coalesce("html", F.lit("")))), "CAST(CASE page_id % 3 WHEN 0 THEN page_id % 50 WHEN 1 THEN page_id % 70 ELSE 1 END AS INTEGER)")
 
 

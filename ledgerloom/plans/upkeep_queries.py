@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -64,9 +65,12 @@ def g18(spark, sf_dir):
     return up.max_rank(ranked, ["l_orderkey"], "rank")
 
 
-@query("W03_first_in_listing", "SELECT l_suppkey, min(l_orderkey * 10 + l_linenumber) AS place FROM lineitem WHERE l_orderkey // 8 < 200 GROUP BY l_suppkey")
+@query("W03_first_in_listing", """WITH p AS (SELECT l_suppkey, l_partkey, l_orderkey * 10 + l_linenumber AS place, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, l_partkey) - 1) // 20 AS page FROM lineitem)
+  SELECT l_suppkey, min(place) AS place FROM p WHERE page < 200 GROUP BY l_suppkey""")
 def w03(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.expr("l_orderkey div 8").alias("page"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("place"))
+    place = c("l_orderkey") * 10 + c("l_linenumber")
+    nth = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(place, "l_partkey"))
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.floor((nth - 1) / 20).alias("page"), place.alias("place"))  # a page of 20 lines of its supplier
     return up.first_in_listing(rows, ["l_suppkey"], "page", "place").select("l_suppkey", "place")
 
 

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import rules
 from ledgerloom.functions import text as tx
+from ledgerloom.operators import assembly as am
 from ledgerloom.operators import corpus as cp
 from ledgerloom.operators import feed as fd
+from ledgerloom.operators import listing as ls
 from ledgerloom.sources import readers as rd
 
 
@@ -119,13 +121,60 @@ def test_rescue_and_catalog(spark, tmp_path):
         rd.source("nowhere")
 
 
-def test_requirements_of_far_ancestors_are_not_lost_silently(spark):
-    import pytest
-
-    from ledgerloom.operators import corpus
-
-    bom = spark.createDataFrame([(k, k - 1 if k else None) for k in range(5)], "item_id long, parent_id long")
-    needs = spark.createDataFrame([(0, "of the root")], "item_id long, text string")
-    assert corpus.inherit_requirements(bom, needs, depth=4).count() == 5
-    with pytest.raises(ValueError, match="ancestors"):
-        corpus.inherit_requirements(bom, needs, depth=3)
+def test_requirements_come_from_ancestors_of_any_depth(spark):
+    """A chain of 40, a cycle, an unknown parent; kinds that do not apply stay where they are; ids by distance."""
+    chain = [(k, k - 1 if k else None) for k in range(40)] + [(100, 102), (101, 100), (102, 101), (200, 999)]
+    bom = spark.createDataFrame(chain, "item_id int, parent_id int")
+    reqs = spark.createDataFrame([(0, "root", "a"), (1, "own", "b"), (39, "last", "a"), (100, "round", "a"), (200, "alone", "a")], "item_id int, text string, kind string")
+    rows = cp.inherit_requirements(bom, reqs).collect()
+    assert {r.item_id for r in rows if r.text == "root"} == set(range(40))
+    assert {r.item_id for r in rows if r.text == "own"} == set(range(1, 40))
+    assert sorted((r.item_id, r.origin, r.parent) for r in rows if r.text == "round") == [(100, "DIRECTO", None), (101, "HEREDADO", 100), (102, "HEREDADO", 100)]
+    assert [(r.item_id, r.origin) for r in rows if r.text == "alone"] == [(200, "DIRECTO")]
+    numbered = cp.inherit_requirements(bom, reqs, spark.createDataFrame([("a",)], "kind string"), numbered=True).collect()
+    assert {r.item_id for r in numbered if r.text == "own"} == {1}
+    assert sorted((r.requirement_id, r.text) for r in numbered if r.item_id == 39) == [("R-001", "last"), ("R-002", "root")]
+    assert cp.inherit_requirements(bom.limit(0), reqs).count() == 0
+
+
+def test_drawings_that_alternate_are_one(spark):
+    """Crowded pages do not count; neighbours within two points and mirrored ones of one size are fused, other styles are not."""
+    rows = [("d", p, 10.0 + p % 3, 5.0, 60.0 + p % 3, 9.0, "s") for p in range(12)]
+    rows += [("d", p, 300.0 * (p % 2), 50.0, 300.0 * (p % 2) + 7, 90.0, "s") for p in range(12)]
+    rows += [("d", p, 10.0, 5.0, 60.0, 9.0, "other") for p in range(4)]
+    rows += [("d", 50, float(k), 0.0, k + 1.0, 1.0, "cad") for k in range(501)] + [(None, 1, 0.0, 0.0, 1.0, 1.0, None)]
+    drawings = spark.createDataFrame(rows, "doc string, page int, x0 double, y0 double, x1 double, y1 double, style string")
+    totals = spark.createDataFrame([("d", 20)], "doc string, total int")
+    found = sorted((r.x0, r.y0, r.pages) for r in am.repeated_drawings(drawings, "doc", totals).collect())
+    assert found == [(0, 50, 12), (10, 5, 12)]
+    assert am.repeated_drawings(drawings.limit(0), "doc", totals).count() == 0
+
+
+def test_batches_listings_and_regions_on_nulls_and_empty_tables(spark):
+    files = spark.createDataFrame([("a", 5), ("a", None), ("b", 60 << 20), ("c", None)] + [("d", 1)] * 9 + [("e", 40 << 20), ("e", 9 << 20), ("f", 7)], "k string, size long")
+    assert {r.k: r.reason for r in ls.batch_limits(files, "k", "size").collect()} == {"a": "empty file", "b": "file too large", "c": "empty batch", "d": "too many files", "e": "batch too large", "f": "ok"}
+    assert ls.batch_limits(files.limit(0), "k", "size").count() == 0
+    feed = spark.createDataFrame([(1, 7, "Key  a", "p"), (2, 7, "KEY A", "q"), (3, 7, None, "q"), (4, None, "key a", "q")], "id int, entity_id int, nkey string, status string")
+    assert [tuple(r) for r in ls.match_business_key(feed, feed, "entity_id", "nkey", "id", [F.desc("id")]).collect()] == [(1, 2)]
+    assert ls.facets(feed, ["nkey", "status"]).count() == 5
+    ratio = ls.median_ratio(spark.createDataFrame([("g", 0), ("g", 0), ("h", None)], "g string, v int"), ["g"], "v").collect()
+    assert sorted((r.g, r.median, r.ratio) for r in ratio if r.g == "g") == [("g", 0.0, 1.0)] * 2
+    with pytest.raises(ValueError):
+        ls.listing_filter(feed, "no such status", allowed=["p"])
+    old = spark.createDataFrame([(1, 0, "a"), (1, 1, "a"), (1, 2, None), (2, 0, "x")], "page int, pos int, line string")
+    new = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (3, 0, "x")], "page int, pos int, line string")
+    (row,) = am.changed_regions(old, new, "page", "pos", "line").collect()
+    assert (row.page, row.regions, row.risk) == (1, 2, "high")
+
+
+def test_texts_and_names_that_need_care(spark):
+    one = lambda column, *values: [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(column(F.col("v"))).collect()]
+    assert one(tx.fold_text, "Việt ế й Άλφα ÉÑ", None) == ["viet e и αλφα en", ""]
+    assert tx.fold_literal("Việt Ά") == "viet α"
+    assert one(tx.sanitize_filename, "a\\b: c?  d.docx ", "x" * 200 + ".pdf", "", " .. ", "no ext", "a/b/") == ["b_ c_ d.docx", "x" * 176 + ".pdf", "documento.pdf", "documento.pdf", "no ext.pdf", "b.pdf"]
+    assert one(tx.looks_like_size_label, "(12.5 KB).pdf", "9 mb", "9 mbx", "", None) == [True, True, False, False, False]
+    assert one(tx.looks_like_uuid, "x/3f2504e0-4f89-11d3-9a0c-0305e82c3301.pdf", "3f2504e0", None) == [True, False, False]
+    assert one(tx.strip_preamble, "Claro, aquí\n---\n***\n\nBody", "---", None) == ["Body", "", None]
+    assert one(tx.strip_marker_section, "a \n## Cronograma (ficha SEACE 1)\nx", "b ", None) == ["a", "b ", None]
+    raw = spark.createDataFrame([(bytearray("€5 “x”".encode("cp1252")),), (bytearray("ñ€".encode()),), (None,)], "v binary")
+    assert [r[0] for r in raw.select(rd.decode_bytes(F.col("v"))).collect()] == ["€5 “x”", "ñ€", None]
