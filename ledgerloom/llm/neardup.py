@@ -12,18 +12,22 @@
    no true link can miss (five standard deviations under the threshold).
 4. Clusters that share an item are joined over all trees, so that an item is in one
    cluster.  The full sets of a cluster's items are compared exactly and confirmed
-   links reported as stars; clusters of more than ``BIG_CLUSTER`` items are
-   compared in pairs of blocks.
-5. Stars are joined into components by alternating large-star and small-star steps.
+   links reported as stars; clusters of more than ``BIG_CLUSTER`` items or
+   ``BIG_SHINGLES`` hashes in all are compared in pairs of blocks.
+5. Stars are joined into components of items by alternating large-star and
+   small-star steps.  Rows get the component of their item last, by the digest, so
+   that exact copies never are edges.
 
 A linked pair (similarity s >= 0.8) stays together in a tree with a probability
 of about s * 0.94, so ten trees miss fewer than one link in 10^5 at the
 threshold, and fewer above it.
 
 Defined results: null, empty and blank texts have empty sets, are linked with
-nothing and are their own component; rows that share a doc_id share a component;
-rows with a null doc_id take no part (component_id null, kept true); very long
-texts are used whole; an empty table gives an empty result.
+nothing and are their own component; rows that share a doc_id share a component,
+which links their texts; rows with a null doc_id take no part (component_id null,
+kept true); repeated rows are each reported; very long texts are used whole;
+further columns, whatever their names, are kept by ``keep_one``; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,6 +48,7 @@ TREES = 10
 SMALL_NODE = 160
 BIG_NODE = 20_000
 BIG_CLUSTER = 8_192
+BIG_SHINGLES = 2_000_000  # 16 MB of hashes
 DEPTH = 8
 LINK = 0.62  # sketch similarity that a linked pair reaches
 CORE, AROUND = 0.70, 0.15  # whoever is linked to an item this near a leader is at least so near it, by the triangle inequality and four standard deviations
@@ -369,8 +374,9 @@ def confirm(docs: DataFrame, clusters: DataFrame, width: int, threshold: int, do
         _WORDS.clear()
 
     sets = slim.join(items, "item", "left_semi").mapInArrow(to_sets, "item long, hashes binary").filter(F.length("hashes") > 0)
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("_n"))
-    placed = clusters.join(sizes, "cluster").withColumn("_blocks", F.ceil(F.col("_n") / BIG_CLUSTER).cast("int"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_m"))
+    blocks = F.greatest(F.ceil(F.col("_n") / BIG_CLUSTER), F.ceil(F.col("_m") / BIG_SHINGLES))
+    placed = clusters.join(sizes, "cluster").withColumn("_blocks", blocks.cast("int"))
     block = F.pmod(F.xxhash64("item", F.lit("block")), F.col("_blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("_blocks") - 1)
     placed = placed.withColumn("_own", block).select("cluster", "item", "_own", F.explode(others).alias("_other"))
@@ -414,17 +420,26 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     """(doc_id, n_shingles, component_id, kept) of each row."""
     signed = materialise(signatures(docs, width, doc_id, text), "signatures")
     alive = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    items = materialise(alive.groupBy("digest", "sketch", "keys").agg(F.min("doc_id").alias("item")), "items")
-    clusters = materialise(candidate_clusters(items.select("item", "sketch", "keys")), "clusters")
-    links = confirm(docs, clusters, width, threshold, doc_id, text)
-    copies = alive.join(items.select("digest", "item"), "digest").filter(F.col("doc_id") != F.col("item")).select(F.col("item").alias("a"), F.col("doc_id").alias("b"))
-    found = components(links.unionByName(copies))
-    out = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("item", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
+    items = materialise(alive.groupBy("digest", "n_shingles", "sketch", "keys").agg(F.min("doc_id").alias("item")), "items")
+    clusters = candidate_clusters(items.select("item", "sketch", "keys")).join(items.groupBy("item").agg(F.sum("n_shingles").alias("n_shingles")), "item")
+    links = confirm(docs, materialise(clusters, "clusters"), width, threshold, doc_id, text)
+    # ids of rows with different texts link the items of these texts
+    shared = alive.groupBy("doc_id").agg((F.min("digest") < F.max("digest")).alias("_several")).filter("_several").select("doc_id")
+    of_shared = alive.join(shared, "doc_id").select("doc_id", "digest").distinct().join(items.select("digest", "item"), "digest").select("doc_id", "item")
+    ties = of_shared.join(of_shared.groupBy("doc_id").agg(F.min("item").alias("a")), "doc_id").select("a", F.col("item").alias("b")).filter("a <> b")
+    found = components(links.unionByName(ties))
+    labels = items.select("digest", "item").join(found, "item", "left").select("digest", F.coalesce("component", "item").alias("_component"))
+    out = signed.join(labels, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """Rows of ``docs`` without those that are near copies of a document with a smaller id."""
-    gone = near_duplicates(docs, width).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of ``docs`` without those that are near copies of a document with a smaller id; of rows that repeat an id all stay or go.
+
+    Columns stay as they are, whatever their names.
+    """
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    gone = near_duplicates(plain, width, doc_id=doc_id, text=text).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return plain.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti").toDF(*docs.columns)
