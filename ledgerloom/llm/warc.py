@@ -1,19 +1,24 @@
 """WARC archives with revisit records.
 
-Only slim headers are reduced by payload digest (a partial aggregate, so a
-digest that a third of all pages share is one row a task); the smallest page id
-of a digest is its original.  Pages are joined to the originals, records are
-written with fresh headers through Spark's text writer, whose separator is the
-blank line pair that ends a WARC record, and the archives are read back by
-walking their Content-Length fields.  Reading resolves each revisit by a join
-with the responses.
+Slim headers (page id, digest, size) are all that is shuffled by payload digest:
+they are reduced to the smallest page id of each digest (a partial aggregate, so a
+digest that a third of all pages share is one row a task) and joined to it, which
+leaves the (page id, digest) pairs of the revisits.  Payloads meet these by page, not by
+digest.  Records are written with fresh headers through Spark's text writer, whose
+separator is the blank line pair that ends a WARC record, and the archives are
+read back by walking their Content-Length fields.  A file is read by one task, so
+pages are written by classes of size, each with its own number of records a file:
+a file holds ``FILE_BYTES`` of payload at most, or one larger page.  The writer
+compresses a file as one gzip member.  Reading resolves each revisit by a join with
+the responses.
 
 Payloads under ``MIN_REVISIT`` bytes are always full responses.
 
 Defined results: null html is the empty payload; a null page_id never is an
 original and is written without its page field; rows that repeat an original's
-page_id are responses too; an empty table gives an empty result; null urls are
-written as an empty target.
+page_id are responses too; very long payloads are written whole; an empty table
+gives an empty result; null urls are written as an empty target; further columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,12 +29,14 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import materialise, scratch_path
 
 MIN_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_A_FILE = 4000
+FILE_BYTES = 64 << 20
+SIZE_CLASSES = (16 << 10, 256 << 10, 4 << 20, FILE_BYTES)  # upper bounds; larger payloads get a file each
+PART_BYTES = 8 << 20  # of the rows that a reader hands on at once
 FORMAT = "page_id long, payload_bytes long, payload_digest string, computed_digest string, record_type string, refers_to long, url string, payload string"
 
 
@@ -40,21 +47,25 @@ def headers(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     return slim.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2(F.col("payload").cast("binary"), 256)})
 
 
-def originals(head: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
-    """Digests that more than one row has, with the page id of the response."""
-    return (
-        head.filter(F.col("payload_bytes") >= least).groupBy("payload_digest")
+def revisits(slim: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
+    """(page_id, payload_digest, original) of the rows of ``slim`` headers that repeat an earlier payload."""
+    least_id = (
+        slim.filter(F.col("payload_bytes") >= least).groupBy("payload_digest")
         .agg(F.min("page_id").alias("original"), F.count("*").alias("_n"))
         .filter((F.col("_n") > 1) & F.col("original").isNotNull()).drop("_n")
     )
+    again = slim.select("page_id", "payload_digest").join(least_id, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("original")))
+    return again.select("page_id", "payload_digest", "original").distinct()
 
 
 def assign(pages: DataFrame, least: int = MIN_REVISIT, **names: str) -> DataFrame:
     """Pages with record_type and refers_to."""
     head = headers(pages, **names)
-    joined = head.join(originals(head, least), "payload_digest", "left")
-    again = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return joined.select("*", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("original")).alias("refers_to")).drop("original")
+    again = materialise(revisits(head.select("page_id", "payload_bytes", "payload_digest"), least), "revisits")
+    h, r = head.alias("h"), again.alias("r")
+    joined = h.join(r, F.col("h.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("h.payload_digest") == F.col("r.payload_digest")), "left")
+    revisit = F.col("r.original").isNotNull()
+    return joined.select("h.*", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("r.original").alias("refers_to"))
 
 
 def _uuid(*parts: Column) -> Column:
@@ -85,8 +96,15 @@ def record_text() -> Column:
 
 
 def write_archives(records: DataFrame, path: str) -> None:
-    """Write assigned pages as gzip-compressed WARC files."""
-    records.select(record_text().alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    """Write assigned pages as gzip-compressed WARC files, a folder for each class of size that occurs."""
+    size = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))
+    bounds = F.array(*[F.lit(b) for b in SIZE_CLASSES])
+    kind = F.size(F.filter(bounds, lambda b: b < size))
+    kinds = [r[0] for r in records.select(kind.alias("kind")).distinct().orderBy("kind").collect()]
+    for k in kinds or [0]:
+        most = max(1, FILE_BYTES // SIZE_CLASSES[k]) if k < len(SIZE_CLASSES) else 1
+        own = records.filter(kind == k) if len(kinds) > 1 else records
+        own.select(record_text().alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/size={k}")
 
 
 def parse(data: bytes):
@@ -114,19 +132,28 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
         names = [x.split()[0] for x in FORMAT.split(", ")]
         kinds = [pa.int64() if " long" in x else pa.string() for x in FORMAT.split(", ")]
+
+        def batch_of(rows: list[tuple]):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
         for batch in it:
             for content in batch.column(0):
                 data = content.as_py()
-                rows = []
+                rows, held = [], 0
                 for fields, payload in parse(zlib.decompress(data, 47) if data[:2] == b"\x1f\x8b" else data):
                     kind = fields["WARC-Type"]
                     rows.append((
                         int(fields["X-Page"]) if fields["X-Page"] else None, len(payload), fields["WARC-Payload-Digest"].removeprefix("sha256:"),
                         hashlib.sha256(payload).hexdigest() if kind == "response" else None, kind, int(x) if (x := fields.get("X-Refers-To-Page")) else None, fields["WARC-Target-URI"], payload.decode("utf-8") if kind == "response" else None,
                     ))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=names)
-
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).select("content")
+                    held += len(payload)
+                    if held > PART_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield batch_of(rows)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") > 0).select("content")
     return files.mapInArrow(run, FORMAT)
 
 
