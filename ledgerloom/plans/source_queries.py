@@ -85,7 +85,8 @@ def _stream(spark: SparkSession, sf_dir: str, apply: Callable[[str], st.Batch])
 @query("T01_stream_upsert", "SELECT user_id, event_type, max_by(value, ts) AS value FROM events GROUP BY ALL")
 def t01(spark, sf_dir):
     path = _stream(spark, sf_dir, lambda p: st.upsert_table(f"{p}/feed", ["user_id", "event_type"], "digest", ["value"], [F.desc("ts")]))
-    return rd.read_snapshot(spark, f"{path}/feed", 0).select("user_id", "event_type", "value")  # the files of one run are one batch
+    like = table(spark, sf_dir, "events").select("user_id", "event_type", F.lit("").alias("digest"), "value")
+    return st.read_table(like, f"{path}/feed", 0).select("user_id", "event_type", "value")  # the files of one run are one batch
 
 
 @query("T02_stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")

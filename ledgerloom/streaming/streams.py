@@ -1,7 +1,9 @@
 """Streams over files: upserts, changes, duplicates, due items, first and last sight, live counts.
 
-What a batch writes goes to a folder of its batch id, from the folder of the one
-before: a batch that is run again after a loss gives the same tables.
+A table that batches are merged into is cut into buckets by key: a batch reads and
+rewrites only the buckets that its keys fall into, in a folder of its batch id, and
+then the list of each bucket's latest folder.  A batch that is run again after a
+loss starts from the list of the batch before, so it gives the same tables.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from ..operators.feed import due_for_refresh, preferred, upsert_feed
 from ..sources.readers import read_snapshot, write_snapshot
 
 Batch = Callable[[DataFrame, int], None]
+BUCKETS = 64
 
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame, files_a_batch: int = 1) -> DataFrame:
@@ -27,19 +30,46 @@ def stream_upsert(stream: DataFrame, apply: Batch, checkpoint: str) -> Streaming
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_table(path: str, key: Sequence[str], digest: str, values: Sequence[str], order: Sequence[Column]) -> Batch:
-    """For ``stream_upsert``: version ``batch_id`` of the feed at ``path`` is the one before with the batch merged in."""
+def _versions(spark: SparkSession, path: str, batch_id: int) -> dict[int, int]:
+    """Batch that wrote each bucket last, as of ``batch_id``: one row a bucket, whose number is a parameter."""
+    return {r["bucket"]: r["v"] for r in read_snapshot(spark, f"{path}/list", batch_id).collect()} if batch_id >= 0 else {}
+
+
+def _read_buckets(like: DataFrame, path: str, versions: dict[int, int]) -> DataFrame:
+    if not versions:
+        return like.limit(0)
+    return like.sparkSession.read.schema(like.schema).parquet(*[f"{path}/data/v={v}/_bucket={b}" for b, v in sorted(versions.items())])
+
+
+def read_table(like: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """A merged table as of a batch; ``like`` has its columns."""
+    return _read_buckets(like, path, _versions(like.sparkSession, path, batch_id))
+
+
+def merge_into(rows: DataFrame, path: str, key: Sequence[str], batch_id: int, buckets: int, merge: Callable[[DataFrame, DataFrame], DataFrame], columns: Sequence[str]) -> None:
+    """Rewrite the buckets of ``rows`` as ``merge(old, rows)`` gives them; ``columns`` are the table's."""
+    spark, bucket = rows.sparkSession, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("_bucket")
+    before = _versions(spark, path, batch_id - 1)
+    touched = [r[0] for r in rows.select(bucket).distinct().collect()]
+    old = _read_buckets(rows.select(*columns), path, {b: before[b] for b in touched if b in before})
+    merged = merge(old, rows).select(*columns, bucket)
+    merged.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/v={batch_id}")
+    after = before | dict.fromkeys(touched, batch_id)
+    write_snapshot(spark.createDataFrame(sorted(after.items()), "bucket int, v long"), f"{path}/list", batch_id)
+
+
+def upsert_table(path: str, key: Sequence[str], digest: str, values: Sequence[str], order: Sequence[Column], buckets: int = BUCKETS) -> Batch:
+    """For ``stream_upsert``: the feed at ``path`` (see ``read_table``) as of a batch has it merged in."""
+    columns = [*key, digest, *values]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        columns = [*key, digest, *values]
-        old = read_snapshot(batch.sparkSession, path, batch_id - 1) if batch_id else batch.select(*columns).limit(0)
-        write_snapshot(upsert_feed(old, batch, key, digest, values, order)[0].select(*columns), path, batch_id)
+        merge_into(batch, path, key, batch_id, buckets, lambda old, rows: upsert_feed(old, rows, key, digest, values, order)[0], columns)
 
     return apply
 
 
-def change_table(path: str, key: Sequence[str], value: str, order: str) -> Batch:
-    """For ``stream_upsert``: each batch's changes at ``path``/changes, the last value of every key at ``path``/state.
+def change_table(path: str, key: Sequence[str], value: str, order: str, buckets: int = BUCKETS) -> Batch:
+    """For ``stream_upsert``: each batch's changes at ``path``/changes, the last value of every key in the table ``path``/state.
 
     A row is ``added`` (first of its key) or ``modified`` (value differs from the
     key's last one).  Rows that do not advance the key's ``order`` are late and
@@ -49,21 +79,22 @@ def change_table(path: str, key: Sequence[str], value: str, order: str) -> Batch
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         rows = preferred(batch.select(*key, value, order), [*key, order], [F.asc_nulls_last(value)])
-        if batch_id:
-            old = read_snapshot(batch.sparkSession, f"{path}/state", batch_id - 1)
-        else:
-            old = rows.limit(0)
-        last = old.select(*key, F.col(value).alias("_value"), F.col(order).alias("_order"))
-        rows = rows.join(last, list(key), "left").filter(F.col("_order").isNull() | (F.col(order) > F.col("_order")))
         w = Window.partitionBy(*key).orderBy(order)
-        first = F.row_number().over(w) == 1
-        rows = rows.withColumns({"first": first & F.col("_order").isNull(), "old": F.when(first, F.col("_value")).otherwise(F.lag(value).over(w))})
-        kind = F.when(F.col("first"), "added").when(~F.col(value).eqNullSafe(F.col("old")), "modified")
-        changes = rows.select(*key, order, kind.alias("kind"), "old", F.col(value).alias("new")).filter("kind IS NOT NULL")
-        write_snapshot(changes, f"{path}/changes", batch_id)
-        state = old.select(*key, value, order).unionByName(rows.select(*key, value, order))
-        newest = state.groupBy(*key).agg(F.max_by(F.struct(value, order), order).alias("_s")).select(*key, f"_s.{value}", f"_s.{order}")
-        write_snapshot(newest, f"{path}/state", batch_id)
+
+        def advanced(old: DataFrame, new: DataFrame) -> DataFrame:
+            last = old.select(*key, F.col(value).alias("_value"), F.col(order).alias("_order"))
+            fresh = new.join(last, list(key), "left").filter(F.col("_order").isNull() | (F.col(order) > F.col("_order")))
+            first = F.row_number().over(w) == 1
+            return fresh.withColumns({"first": first & F.col("_order").isNull(), "old": F.when(first, F.col("_value")).otherwise(F.lag(value).over(w))})
+
+        def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+            seen = advanced(old, new)
+            kind = F.when(F.col("first"), "added").when(~F.col(value).eqNullSafe(F.col("old")), "modified")
+            write_snapshot(seen.select(*key, order, kind.alias("kind"), "old", F.col(value).alias("new")).filter("kind IS NOT NULL"), f"{path}/changes", batch_id)
+            state = old.select(*key, value, order).unionByName(seen.select(*key, value, order))
+            return state.groupBy(*key).agg(F.max_by(F.struct(value, order), order).alias("_s")).select(*key, f"_s.{value}", f"_s.{order}")
+
+        merge_into(rows, f"{path}/state", key, batch_id, buckets, merge, [*key, value, order])
 
     return apply
 
