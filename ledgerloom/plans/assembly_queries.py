@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import assembly as am
 from ..operators import corpus as cp
 from ..operators import ranking as rk
-from .queries import NOISE_SQL, SECTIONS_SQL, _lines, c, query, sections, table
+from .queries import NOISE_SQL, SECTIONS_SQL, _lines, c, packed_sql, query, sections, table
 
 # Schedules: one array of three stages an order.
 SCHEDULE_SQL = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS queries, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS proposals FROM orders"
@@ -66,7 +66,12 @@ def w12(spark, sf_dir):
     return am.close_gaps(s, "conv_id", "total", "cut").select("conv_id", "turn", "line_start", "line_end")
 
 
-@query("D05_chunk_documents")
+@query("D05_chunk_documents", f"""WITH RECURSIVE {LEAF_SQL}, {packed_sql('leaf')}, totals AS (SELECT doc_id, CAST(max(line_end) AS BIGINT) AS total FROM s WHERE line_start > 0 AND line_end >= line_start GROUP BY doc_id),
+  e AS (SELECT *, row_number() OVER w AS k, lead(line_start) OVER w AS nx FROM packed JOIN totals USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY line_start, line_end)),
+  f AS (SELECT *, greatest(line_end, coalesce(nx - 1, total)) AS fb FROM e), g AS (SELECT *, lag(fb) OVER (PARTITION BY doc_id ORDER BY k) AS pv FROM f),
+  h AS (SELECT doc_id, chunk, k, CASE WHEN pv IS NULL THEN least(line_start, 1) ELSE pv + 1 END AS a, fb AS b FROM g),
+  v AS (SELECT *, greatest(b - greatest(coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a - 1), a - 1), 0) AS fresh FROM h)
+  SELECT doc_id, chunk, a AS line_start, b AS line_end, CAST(sum(fresh) OVER (PARTITION BY doc_id) AS BIGINT) AS covered FROM v""")
 def d05(spark, sf_dir):
     return am.chunk_documents(_nested(spark, sf_dir), "doc_id", "turn")
 

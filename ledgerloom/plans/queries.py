@@ -457,7 +457,21 @@ def j12(spark, sf_dir):
     return cp.range_contains(s).select("doc_id", "turn")
 
 
-@query("W11_pack_chunks")
+def packed_sql(atoms: str, target: int = 500, hard: int = 750, overlap: int = 50) -> str:
+    """Recursive SQL of greedy packing: ``packed`` (doc_id, chunk, line_start, line_end) of the rows of ``atoms`` (doc_id, line_start, line_end)."""
+    step = target - overlap
+    pieces = f"list_transform(range(0, 1 + CAST(ceil((b - a + 1 - {target}) / {step}.0) AS BIGINT)), lambda k: {{'a': a + {step} * k, 'b': least(a + {step} * k + {target - 1}, b)}})"
+    held = "CASE WHEN ha IS NULL THEN [] ELSE [{'a': ha, 'b': hb}] END"
+    large, full = f"b - a + 1 > {hard}", f"ha IS NOT NULL AND (b - ha + 1 > {hard} OR (hb - ha + 1 >= {0.75 * target} AND b - ha + 1 > {target}))"
+    return f"""atoms AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_start, line_end) AS i, CAST(line_start AS BIGINT) AS a, CAST(line_end AS BIGINT) AS b FROM {atoms}),
+  walk AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ha, CAST(NULL AS BIGINT) AS hb, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) AS done FROM atoms
+    UNION ALL SELECT walk.doc_id, atoms.i, CASE WHEN {large} THEN NULL WHEN {full} OR ha IS NULL THEN a ELSE ha END, CASE WHEN {large} THEN NULL WHEN {full} OR ha IS NULL THEN b ELSE greatest(b, hb) END,
+      CASE WHEN {large} THEN list_concat(list_concat(done, {held}), {pieces}) WHEN {full} THEN list_concat(done, {held}) ELSE done END FROM walk JOIN atoms ON atoms.doc_id = walk.doc_id AND atoms.i = walk.i + 1),
+  ends AS (SELECT doc_id, list_concat(done, {held}) AS done FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS last FROM walk) WHERE last = 1),
+  packed AS (SELECT doc_id, CAST(k AS INTEGER) AS chunk, done[k].a AS line_start, done[k].b AS line_end FROM (SELECT *, unnest(range(1, len(done) + 1)) AS k FROM ends))"""
+
+
+@query("W11_pack_chunks", f"WITH RECURSIVE {SECTIONS_SQL}, {packed_sql('sections')} SELECT doc_id, chunk, line_start, line_end FROM packed")
 def w11(spark, sf_dir):
     return cp.pack_chunks(sections(spark, sf_dir), "doc_id")
 
