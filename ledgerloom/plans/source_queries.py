@@ -38,11 +38,11 @@ def e31(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", tx.valid_bbox(box).alias("out"))
 
 
-@query("A11_rescue_json_objects", """SELECT event_id, CAST(0 AS INTEGER) AS place, props AS object FROM events WHERE props LIKE '{%'
-  UNION ALL SELECT event_id, CAST(1 AS INTEGER), '{"a": {"b": ' || user_id || '}}' FROM events WHERE props LIKE '{%'""")
+@query("A11_rescue_json_objects", """WITH e AS (SELECT *, props LIKE '{%' AS own FROM events) SELECT event_id, CAST(0 AS INTEGER) AS place, props AS object FROM e WHERE own
+  UNION ALL SELECT event_id, CAST(CASE WHEN own THEN 1 ELSE 0 END AS INTEGER), '{"a": {"b": ' || user_id || '}}' FROM e""")
 def a11(spark, sf_dir):
-    cut = F.concat(F.lit("["), "props", F.lit(', {"a": {"b": '), c("user_id").cast("string"), F.lit('}}, {"k": '))
-    return cp.rescue_json_objects(table(spark, sf_dir, "events").filter("props LIKE '{%'").select("event_id", cut.alias("body")), "event_id", "body")
+    cut = F.concat(F.lit("["), F.coalesce("props", F.lit("")), F.lit(', {"a": {"b": '), c("user_id").cast("string"), F.lit('}}, {"k": '))
+    return cp.rescue_json_objects(table(spark, sf_dir, "events").select("event_id", cut.alias("body")), "event_id", "body")
 
 
 @query("A13_write_consolidated", "SELECT p_partkey, p_name, CAST(p_size AS INTEGER) AS p_size FROM part")
