@@ -214,9 +214,11 @@ def qa_checks(bom: DataFrame, rows: DataFrame, sample: DataFrame, candidates: Da
         lit = lambda x: F.lit(x) if isinstance(x, str) else x
         return df.select(lit(severity).alias("severity"), lit(kind).alias("kind"), (F.lit("") if of is None else of.cast("string")).alias("item"), lit(detail).alias("detail"))
 
+    rows = materialise(rows.select("item_id", "candidate", "state", "brand", "model", "url", "notes", "matrix"), "rows")  # many checks read it
+    good = candidates.filter(F.col("class").isin(*accepted)).join(sample.select("item_id").distinct(), "item_id", "left_semi")
+    good = materialise(good.select("item_id", "brand", "model"), "good")
     items = rows.select("item_id").distinct()
     none = rows.filter("state = 'SIN_CANDIDATO'")
-    good = candidates.filter(F.col("class").isin(*accepted)).join(sample.select("item_id").distinct(), "item_id", "left_semi")
     found = good.groupBy("item_id").agg(F.count("*").alias("_found"))
     held = rows.groupBy("item_id").agg(F.count_if(F.col("candidate") > 0).alias("_held"), F.bool_or(F.col("state") == "SIN_CANDIDATO").alias("_none"))
     sampled = sample.select("item_id").distinct().join(found, "item_id", "left").join(held, "item_id", "left").na.fill(0, ["_found"])
