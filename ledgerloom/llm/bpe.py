@@ -36,13 +36,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 END = "\x01"  # stands for the end-of-word mark inside the automaton
 END_SYMBOL = 256
 LONG_WORD = 62
-BLOCK_WORDS = 40_000  # words that are laid out together
-BLOCK_CHARS = 5_000_000  # characters of texts whose words are solved together
+BLOCK_WORDS = 20_000  # words that are laid out together
+BLOCK_CHARS = 3_000_000  # characters of texts whose words are solved together
 PAIR_SLOTS = 1 << 20  # pairs of tokens whose compatibility is remembered
 
 
@@ -145,8 +145,7 @@ class BpeModel:
     """A word-level BPE vocabulary with an end-of-word mark."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -154,7 +153,6 @@ class BpeModel:
         self.surface = {i: token for token, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.surface.update({i: token for token, i in self.special.items()})
-        self.library = Tokenizer.from_file(path)  # only its normaliser and splitter, for rare characters
         self.alphabet = byte_alphabet()
 
         vocab = model["vocab"]
@@ -372,6 +370,13 @@ class BpeModel:
             pieces.append("\n")
         return plain + rare, pieces
 
+    @functools.cached_property
+    def library(self):
+        """The library's tokenizer: only its normaliser and splitter, for rare characters."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _rare_words(self, chunk: str) -> list[str]:
         """Pre-tokens by the library's normaliser and splitter."""
         normal = self.library.normalizer.normalize_str(chunk)
@@ -498,7 +503,7 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str | None = None) ->
             ids = pa.array([np.frombuffer(i, "<u4").astype("int64") for i, _ in pairs], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*keep, ids, pa.array([d for _, d in pairs], pa.string())], names=schema.names)
 
-    return df.mapInArrow(batches, schema)
+    return df.mapInArrow(tidy(batches), schema)
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -519,4 +524,4 @@ def digests(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_i
 
     bounded_batches(docs.sparkSession)
     slim = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
-    return slim.mapInArrow(batches, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return slim.mapInArrow(tidy(batches), f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")

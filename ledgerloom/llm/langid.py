@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 BUCKETS = 1 << 15
 SMOOTH = 0.5
@@ -92,7 +92,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     np.add.at(total, part, 1)
         yield from rows()
 
-    partial = docs.mapInArrow(run, "lang string, bucket int, n long")
+    partial = docs.mapInArrow(tidy(run), "lang string, bucket int, n long")
     return partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -150,7 +150,7 @@ def _scored(df: DataFrame, blocks: list[Block], text: str) -> DataFrame:
                     log[row] = float(top)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(best, pa.string()), pa.array(log, pa.float64()), pa.array(rest, pa.float64())], names=schema.names)
 
-        df = df.mapInArrow(run, schema)
+        df = df.mapInArrow(tidy(run), schema)
     return df
 
 

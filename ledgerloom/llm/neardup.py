@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, tidy
 
 WIDTH = 2
 THRESHOLD = 80  # per cent
@@ -138,7 +138,7 @@ def signatures(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text
         _WORDS.clear()  # the worker goes on to other work
 
     bounded_batches(docs.sparkSession)
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, SIGNATURE)
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(tidy(run), SIGNATURE)
 
 
 def _near(sketches: np.ndarray, leader: int, among: np.ndarray) -> np.ndarray:
@@ -268,7 +268,7 @@ def tree_clusters(nodes: DataFrame) -> DataFrame:
             for at in range(0, len(a), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])], names=["a", "b"])
 
-    return nodes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return nodes.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long")
 
 
 def _leaders(nodes: DataFrame, items: DataFrame, level: int) -> DataFrame:
@@ -373,7 +373,7 @@ def confirm(docs: DataFrame, clusters: DataFrame, width: int, threshold: int, do
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["item", "hashes"])
         _WORDS.clear()
 
-    sets = slim.join(items, "item", "left_semi").mapInArrow(to_sets, "item long, hashes binary").filter(F.length("hashes") > 0)
+    sets = slim.join(items, "item", "left_semi").mapInArrow(tidy(to_sets), "item long, hashes binary").filter(F.length("hashes") > 0)
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_m"))
     blocks = F.greatest(F.ceil(F.col("_n") / BIG_CLUSTER), F.ceil(F.col("_m") / BIG_SHINGLES))
     placed = clusters.join(sizes, "cluster").withColumn("_blocks", blocks.cast("int"))
@@ -396,7 +396,7 @@ def confirm(docs: DataFrame, clusters: DataFrame, width: int, threshold: int, do
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     joined = sets.join(placed, "item").select("key", "item", "hashes")
-    return joined.repartition("key").sortWithinPartitions("key", "item").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return joined.repartition("key").sortWithinPartitions("key", "item").mapInArrow(tidy(run), "a long, b long").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, model
-from .common import bounded_batches, input_partitions, materialise
+from .common import bounded_batches, input_partitions, materialise, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -110,8 +110,8 @@ def _ids(column) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False).astype("int64"), column.is_null().to_numpy(zero_copy_only=False)
 
 
-def _pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
-    """The first round: each partition packs its own pieces."""
+def _packer(capacity: int):
+    """The first round, over Arrow batches: each partition packs its own pieces."""
 
     def run(it):
         parts = {f: [] for f in (*FIELDS, "no_id")}
@@ -125,7 +125,7 @@ def _pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
         columns = _columns(parts)
         yield from _pack(columns, np.arange(len(columns["doc_id"]) + 1), 0, capacity)
 
-    return pieces.mapInArrow(run, BIN)
+    return run
 
 
 def _pack_bins(bins: DataFrame, round_: int, capacity: int) -> DataFrame:
@@ -145,12 +145,11 @@ def _pack_bins(bins: DataFrame, round_: int, capacity: int) -> DataFrame:
             total += len(flat)
         yield from _pack(_columns(parts), np.concatenate(ends).astype("int64"), round_, capacity)
 
-    return bins.mapInArrow(run, BIN)
+    return bins.mapInArrow(tidy(run), BIN)
 
 
-def pieces_of(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token pieces of whole documents: each document's ids and the end id, cut only where longer than ``capacity``."""
-    vocabulary = vocabulary or default_vocabulary()
+def _tokeniser(vocabulary: str, capacity: int):
+    """Token pieces of Arrow batches (doc_id, text)."""
 
     def run(it):
         import pyarrow as pa
@@ -167,15 +166,28 @@ def pieces_of(docs: DataFrame, vocabulary: str | None = None, capacity: int = CA
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(FIELDS[:-1]))
 
+    return run
+
+
+def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    slim = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+
+
+def pieces_of(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Token pieces of whole documents: each document's ids and the end id, cut only where longer than ``capacity``."""
+    run = _tokeniser(vocabulary or default_vocabulary(), capacity)
+    return _slim(docs, doc_id, text).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in: int = FAN_IN) -> DataFrame:
     """Pack rows (doc_id, piece, start, length, ids_crc32) and return them with sequence_id and offset."""
-    tasks, round_ = input_partitions(pieces), 0
-    bins = materialise(_pack_pieces(pieces, capacity), "bins")
+    return _pack_up(pieces.mapInArrow(tidy(_packer(capacity)), BIN), input_partitions(pieces), capacity, slack, fan_in)
+
+
+def _pack_up(first: DataFrame, tasks: int, capacity: int, slack: int, fan_in: int) -> DataFrame:
+    """The tree of rounds over the bins of the first one."""
+    bins, round_ = materialise(first, "bins"), 0
     packed = bins.filter(F.col("fill") >= capacity - slack)
     rest = bins.filter(F.col("fill") < capacity - slack)
     left = rest.count()
@@ -191,6 +203,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in
     return packed.unionByName(rest).select(F.col("bin").alias("sequence_id"), F.inline("members")).select(*FIELDS[:-1], "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenise whole documents and pack their pieces."""
-    return pack(pieces_of(docs, vocabulary, capacity), capacity)
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Tokenise whole documents and pack their pieces; one Python worker a task does both."""
+    tokenise, packer = _tokeniser(vocabulary or default_vocabulary(), capacity), _packer(capacity)
+    slim = _slim(docs, doc_id, text)
+    return _pack_up(slim.mapInArrow(tidy(lambda it: packer(tokenise(it))), BIN), input_partitions(slim), capacity, SLACK, FAN_IN)
