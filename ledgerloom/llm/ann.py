@@ -7,8 +7,9 @@ residuals bound, and only pairs whose upper bound reaches the k-th best lower
 bound are computed again in double precision from the original vectors.  The k
 best of each tile are merged by rank, so the result is exact.
 
-The zero vector takes no part; see ``vectors`` for other cases.  An empty table
-gives an empty result.
+The zero vector takes no part; components of any finite size are scaled by powers
+of two first; see ``vectors`` for nulls, ties and repeated rows.  Further columns,
+whatever their names, are not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,13 +19,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import CANDIDATE_BLOCK, EVERY, QUERY_BLOCK, K, block_count, query_rows, ranked, usable
+from .vectors import CANDIDATE_BLOCK, CANDIDATE_BYTES, EVERY, QUERY_BLOCK, QUERY_BYTES, K, block_count, block_rows, query_rows, ranked, usable
 
 STEP = 128  # queries whose products are held at once
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: exact, and no square overflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+
+
 def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, scale and residual length of the unit vector of each row."""
+    v = scaled(v)
     unit = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
     scale = np.abs(unit).max(axis=1) / 127
     codes = np.rint(unit / scale[:, None]).astype("int8")
@@ -34,6 +41,7 @@ def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of each row pair: every sum runs over the components in order, so equal pairs give equal bits wherever they are computed."""
+    q, x = scaled(q), scaled(x)
     dot, qq, xx = np.zeros(len(q)), np.zeros(len(q)), np.zeros(len(q))
     for d in range(q.shape[1]):
         dot += q[:, d] * x[:, d]
@@ -76,9 +84,10 @@ def nearest(df: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec_id
     """(query_id, rank, vec_id, score) of each query's k nearest."""
     rows = usable(df, vec_id, embedding).filter(F.exists("v", lambda x: x != 0))
     queries = query_rows(rows, every)
-    total, asked = rows.count(), queries.count()
+    total, widest = rows.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    asked = queries.count()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across, down = block_count(total, CANDIDATE_BLOCK, parts), block_count(asked, QUERY_BLOCK)
+    across, down = block_count(total, block_rows(widest, CANDIDATE_BLOCK, CANDIDATE_BYTES), parts), block_count(asked, block_rows(widest, QUERY_BLOCK, QUERY_BYTES))
     spread = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = rows.withColumn("across", spread(across)).withColumn("down", each(down))

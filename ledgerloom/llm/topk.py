@@ -13,11 +13,12 @@ A first pass searches the group of annuli that holds each query's best bound and
 leaves its k-th score as a threshold; the second visits every other group with an
 annulus that can still reach it, expands the annuli from the best bound down and
 stops where the bound falls below the k-th score.  Large annuli are dealt into
-several groups.
+several groups.  A group of annuli is copied only to the blocks of queries that
+the bounds route to it.  Each vector length is an index of its own.
 
 Sums run in doubles where they are exact and in Python integers elsewhere.  See
-``vectors`` for nulls, ties and repeated rows; an empty table gives an empty
-result.
+``vectors`` for nulls, ties and repeated rows; further columns, whatever their
+names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .vectors import CANDIDATE_BLOCK, EVERY, QUERY_BLOCK, K, block_count, query_rows, ranked, usable
+from .vectors import CANDIDATE_BLOCK, CANDIDATE_BYTES, EVERY, QUERY_BLOCK, QUERY_BYTES, K, block_count, block_rows, query_rows, ranked, usable
 
 PIVOTS = 48
 RINGS = 256
@@ -130,15 +131,16 @@ def _search_dim(rows: DataFrame, dim: int, k: int, every: int) -> DataFrame:
     index = materialise(whole.mapInPandas(filed, "vec_id long, v array<double>, pivot long, ring long, distance double"), "pivots")
     annuli = index.groupBy("pivot", "ring").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.count("*").alias("n"))
     table = annuli.toPandas().sort_values(["pivot", "ring"])  # at most PIVOTS * (RINGS + 1) rows
-    groups = block_count(total, CANDIDATE_BLOCK, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table["parts"] = -(-table["n"] // max(1, min(CANDIDATE_BLOCK, -(-total // groups))))
+    most = block_rows(dim, CANDIDATE_BLOCK, CANDIDATE_BYTES)
+    groups = block_count(total, most, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table["parts"] = -(-table["n"] // max(1, min(most, -(-total // groups))))
     table["first"] = (table["parts"].cumsum() - table["parts"]) % groups
     bounds = spark.sparkContext.broadcast(Bounds(plain.largest, pivots, table))
     places = F.broadcast(spark.createDataFrame(table[["pivot", "ring", "parts", "first"]]))
     dealt = index.join(places, ["pivot", "ring"]).withColumn("group", F.pmod(F.col("first") + F.pmod(F.monotonically_increasing_id(), F.col("parts")), F.lit(groups)))
 
     queries = query_rows(rows.filter(F.col("dim") == dim), every).select("vec_id", F.transform("v", lambda x: F.floor(x * UNITS).cast("double")).alias("v"))
-    blocks = block_count(queries.count(), QUERY_BLOCK)
+    blocks = block_count(queries.count(), block_rows(dim, QUERY_BLOCK, QUERY_BYTES))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
 
     def routed(first: bool):
@@ -170,7 +172,10 @@ def _search_dim(rows: DataFrame, dim: int, k: int, every: int) -> DataFrame:
     schema = "vec_id long, v array<double>, block long, group long, threshold double"
 
     def visit(asked: DataFrame) -> DataFrame:
-        left = dealt.select("vec_id", "v", "pivot", "ring", "distance", "group").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        """The best rows of each group for the queries that are routed to it; a group is copied only to blocks with such queries."""
+        asked = materialise(asked, "asked")
+        pairs = asked.select("group", "block").distinct().select(F.col("group").alias("_group"), F.col("block").alias("_block"))
+        left = dealt.join(pairs, F.col("group") == F.col("_group")).select("vec_id", "v", "pivot", "ring", "distance", "group", F.col("_block").alias("block"))
         key = ["group", "block"]
         return left.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(lambda a, b: expand(a, b, bounds.value, k), "query_id long, vec_id long, score long")
 

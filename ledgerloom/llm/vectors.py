@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 EVERY = 50
 K = 5
-CANDIDATE_BLOCK = 65_536
+CANDIDATE_BLOCK = 65_536  # rows of a block at most
 QUERY_BLOCK = 16_384
+CANDIDATE_BYTES = 32 << 20  # of a block's components
+QUERY_BYTES = 8 << 20
 
 
 def usable(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -33,6 +35,11 @@ def block_count(rows: int, block: int, least: int = 1) -> int:
     return max(1, least, -(-rows // block))
 
 
+def block_rows(dim: int, most: int, most_bytes: int) -> int:
+    """Rows of a block of vectors with ``dim`` components."""
+    return max(1, min(most, most_bytes // (8 * max(dim, 1))))
+
+
 def ranked(found: DataFrame, k: int = K) -> DataFrame:
     """The k best (query_id, vec_id, score) of each query; a task has sent at most k a query."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
