@@ -46,6 +46,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the plan starts anew there.
 
@@ -54,8 +60,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     buffers small.  What the write shuffled is not needed once the table is there,
     so its shuffle files go (a setting of this one write).
     """
+    return written(df, scratch_path(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``materialise`` at a path of the caller's, who may ``discard`` it."""
     spark = df.sparkSession
-    path, before = scratch_path(spark, name), spark.conf.get(CLEAN_SHUFFLES, None)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
     spark.conf.set(CLEAN_SHUFFLES, True)
     try:
         df.write.option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(path)
@@ -64,7 +75,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(CLEAN_SHUFFLES)
         else:
             spark.conf.set(CLEAN_SHUFFLES, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -8,7 +8,8 @@ share of good documents.  The posteriors label a bounded sample of different tex
 is fitted, with the share of repeated words; the scorer, ``FEATURES`` weights, is broadcast and judges every whole text.
 
 Defined results: null, empty or blank text gets no vote, score 0 and is
-rejected; repeated rows get equal scores; an empty table gives an empty result;
+rejected; repeated rows get equal scores, wherever they are in a batch; a null doc_id stays null; very
+long texts are counted in stretches, whole; other columns, whatever their names, are kept by ``keep_good``; an empty table gives an empty result;
 if all documents agree in their votes the scorer is constant and they are kept
 unless their votes say bad.
 """
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 from .textbytes import slices
 
 TRAIN_ROWS = 4000
@@ -37,6 +38,8 @@ REPEATS = 8  # steps of the share of words that repeat the word before
 FEATURES = HASHED + REPEATS
 PRIOR_GRAMS = 20  # a text of so few trigrams is judged half by the intercept
 REJECT_BELOW = 0.35
+PAD = b"\n\n"
+PART_ROWS = 500
 LABELLERS = ("symbols", "upper", "bars", "letters", "lines", "word_length", "stops", "repeats")
 
 
@@ -62,12 +65,23 @@ def hashed(trigram: np.ndarray) -> np.ndarray:
     return (trigram.astype("uint32") * np.uint32(2654435761)) >> np.uint32(22)
 
 
-def class_counts(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Documents x classes, counts; ``starts`` as of ``slices``, with two bytes of padding a text."""
-    rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    counts = np.bincount(rows * CLASSES + classes, minlength=(len(starts) - 1) * CLASSES).reshape(-1, CLASSES)
-    counts[:, 5] -= 2
-    return counts
+def text_counts(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Class counts (rows x CLASSES) and hashed trigram counts (rows x HASHED) of an Arrow array of texts.
+
+    Every text stands between line ends, two before and two after, wherever it is
+    in its batch; they are not counted as classes.
+    """
+    counts, grams = np.zeros((len(texts), CLASSES), "int64"), np.zeros((len(texts), HASHED), "float32")
+    for part in slices(texts, before=PAD, after=PAD, overlap=2):
+        if len(part.data) < 3:
+            continue
+        classes = CLASS_OF[part.data]
+        hashes = hashed(trigrams(classes)).astype("int64")
+        for row, at, to, own in zip(part.rows.tolist(), part.starts[:-1].tolist(), part.starts[1:].tolist(), part.own.tolist(), strict=True):
+            grams[row] += np.bincount(hashes[at : max(to - 2, at)], minlength=HASHED)
+            counts[row] += np.bincount(classes[at : at + own], minlength=CLASSES)
+    counts[:, CLASS_OF[ord("\n")]] -= 2 * len(PAD)
+    return counts, grams
 
 
 def repeat_share(texts: list[str]) -> np.ndarray:
@@ -80,15 +94,12 @@ def repeat_share(texts: list[str]) -> np.ndarray:
     return out
 
 
-def features(classes_at: np.ndarray, starts: np.ndarray, repeats: np.ndarray) -> np.ndarray:
-    """Documents x FEATURES: square roots of trigram shares, shrunk for short texts, and a step of the repeats."""
-    n = len(starts) - 1
+def features(grams: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    """Rows x FEATURES: square roots of trigram shares, shrunk for short texts, and a step of the repeats."""
+    n = len(grams)
     x = np.zeros((n, FEATURES), "float32")
-    for k in range(n):
-        own = classes_at[starts[k] : min(starts[k + 1], len(classes_at))]
-        x[k, :HASHED] = np.bincount(own, minlength=HASHED)
-    total = x[:, :HASHED].sum(axis=1, keepdims=True)
-    x[:, :HASHED] = np.sqrt(x[:, :HASHED] / np.maximum(total, 1)) * (total / (total + PRIOR_GRAMS))
+    total = grams.sum(axis=1, keepdims=True)
+    x[:, :HASHED] = np.sqrt(grams / np.maximum(total, 1)) * (total / (total + PRIOR_GRAMS))
     step = np.minimum((repeats * 2 * REPEATS).astype(int), REPEATS - 1)
     x[np.arange(n), HASHED + step] = 0.5
     return x
@@ -139,14 +150,14 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
         powers = 3 ** np.arange(len(LABELLERS))
         counted = np.zeros(3 ** len(LABELLERS), "int64")
         for batch in it:
-            for begin, end, data, starts in slices(batch.column(0)):
-                texts = [t or "" for t in batch.column(0)[begin:end].to_pylist()]
-                v = votes(class_counts(CLASS_OF[data], starts), texts, repeat_share(texts))
+            for part in bounded(batch):
+                texts = [t or "" for t in part.column(0).to_pylist()]
+                v = votes(text_counts(part.column(0))[0], texts, repeat_share(texts))
                 counted += np.bincount(v @ powers, minlength=len(counted))
         at = np.flatnonzero(counted)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counted[at], pa.int64())], names=["pattern", "n"])
 
-    return docs.mapInArrow(run, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(tidy(run), "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
 def expectation_maximisation(patterns: np.ndarray, n: np.ndarray, steps: int = EM_STEPS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -177,8 +188,7 @@ def expectation_maximisation(patterns: np.ndarray, n: np.ndarray, steps: int = E
     return good, accuracy, share
 
 
-def trigrams(data: np.ndarray) -> np.ndarray:
-    c = CLASS_OF[data]
+def trigrams(c: np.ndarray) -> np.ndarray:
     return (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
 
 
@@ -213,16 +223,14 @@ def _training_rows(docs: DataFrame, posterior: np.ndarray, rows: int) -> tuple[n
         for batch in it:
             fresh = [k for k, d in enumerate(batch.column(1).to_pylist()) if not (d in seen or seen.add(d))]
             batch = batch.take(pa.array(fresh, pa.int64()))
-            for begin, end, data, starts in slices(batch.column(0)):
-                if len(data) < 3:
-                    continue
-                texts = [t or "" for t in batch.column(0)[begin:end].to_pylist()]
+            for part in bounded(batch):
+                texts = [t or "" for t in part.column(0).to_pylist()]
                 repeats = repeat_share(texts)
-                v = votes(class_counts(CLASS_OF[data], starts), texts, repeats)
-                x = features(hashed(trigrams(data)).astype("int64"), starts, repeats)
-                yield pa.RecordBatch.from_arrays([batch.column(1)[begin:end], pa.array(posterior[v @ powers], pa.float64()), pa.array([r.tobytes() for r in x], pa.binary())], names=["digest", "y", "x"])
+                counts, grams = text_counts(part.column(0))
+                v, x = votes(counts, texts, repeats), features(grams, repeats)
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(posterior[v @ powers], pa.float64()), pa.array([r.tobytes() for r in x], pa.binary())], names=["digest", "y", "x"])
 
-    learned = chosen.mapInArrow(run, "digest long, y double, x binary").groupBy("digest").agg(F.min(F.struct("y", "x")).alias("of"))
+    learned = chosen.mapInArrow(tidy(run), "digest long, y double, x binary").groupBy("digest").agg(F.min(F.struct("y", "x")).alias("of"))
     found = learned.join(F.broadcast(sample), "digest").select("digest", "weight", "of.y", "of.x").toPandas().sort_values("digest")
     x = np.frombuffer(b"".join(found["x"]), "float32").reshape(-1, FEATURES)
     return x, found["y"].to_numpy("float64"), found["weight"].to_numpy("float64")
@@ -255,16 +263,25 @@ def train(docs: DataFrame, text: str = "text", rows: int = TRAIN_ROWS) -> tuple[
     return w, b, accuracy
 
 
+def bounded(batch):
+    """A batch in parts of few rows, so that a part's table of counts stays small."""
+    for at in range(0, batch.num_rows, PART_ROWS):
+        yield batch.slice(at, PART_ROWS)
+
+
 def batch_scores(texts, w: np.ndarray, b: float) -> np.ndarray:
-    """Score (0 to 1) of each text of an Arrow array; 0 without ink."""
+    """Score (0 to 1) of each text of an Arrow array; 0 without ink.
+
+    Scores are sums over one text's own counts, so equal texts get equal scores wherever they are.
+    """
     out = np.zeros(len(texts))
-    for begin, end, data, starts in slices(texts):
-        if len(data) < 3:
-            continue
-        texts_here = [t or "" for t in texts[begin:end].to_pylist()]
-        x = features(hashed(trigrams(data)).astype("int64"), starts, repeat_share(texts_here))
-        ink = np.add.reduceat((CLASS_OF[data] != 4) & (CLASS_OF[data] != 5), starts[:-1], dtype="int64")
-        out[begin:end] = np.where(ink > 0, 1 / (1 + np.exp(-(x @ w + b))), 0)
+    for at in range(0, len(texts), PART_ROWS):
+        part = texts[at : at + PART_ROWS]
+        counts, grams = text_counts(part)
+        x = features(grams, repeat_share([t or "" for t in part.to_pylist()]))
+        ink = counts.sum(axis=1) - counts[:, 4] - counts[:, 5]
+        value = (x.astype("float64") * w).sum(axis=1) + b
+        out[at : at + PART_ROWS] = np.where(ink > 0, 1 / (1 + np.exp(-value)), 0)
     return out
 
 
@@ -281,7 +298,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, np.ndarray] | None =
             s = batch_scores(batch.column(1), *shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array(s >= REJECT_BELOW, pa.bool_())], names=["doc_id", "score", "keep"])
 
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, score double, keep boolean")
+    return docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id {id_type}, score double, keep boolean")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -296,4 +313,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
         for batch in it:
             yield batch.filter(pa.array(batch_scores(batch.column(column), *shared.value) >= REJECT_BELOW))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -6,28 +6,34 @@ else in the corpus, the same text included.
 1. Every window of ``LENGTH`` bytes holds an anchor: the ``GRAM``-byte string with
    the least hash in it, the leftmost of equals.  Equal windows have equal
    anchors, so only texts around an anchor that occurs twice can repeat.  The
-   *context* of an anchor is all its windows together.  Contexts that a batch
-   holds twice are settled there; one row of each goes on.
-2. One shuffle by anchor.  An anchor that occurs once is done; equal contexts
-   (by anchor and a second 64-bit hash) repeat whole and are settled.
-3. Anchors with several different contexts are the borders of repeated passages.
-   Two contexts share a window only if they share one of ``CORES`` parts of it,
-   ``LENGTH - SHIFT`` bytes each; contexts that share none, by hash, are done.  Of
-   the rest one of each kind fetches its bytes.  Tasks that hold whole anchors cut
-   these into shards, sort each shard's suffixes to ``LENGTH`` bytes, and merge the
-   shards' Burrows-Wheeler transforms by interleave refinement: only the vector of
-   shard numbers is permuted, one block of ``STEP`` bytes a round, and the places
-   where neighbours begin to differ give their common prefixes.  Runs with common
-   prefixes of ``LENGTH`` are the repeated intervals.
-   Anchors with over ``WHOLE`` rows pass their task in pieces, and their cores are
-   counted with partial sums.  Anchors with over ``HOT`` contexts are not held by one task: their windows are
-   counted by hash, with partial sums.
+   *context* of an anchor is all its windows together.  Contexts that a slice of
+   a batch holds twice are settled there; one row of each goes on.
+2. Aggregates with partial sums tell the anchors that occur once (done), those
+   whose contexts are all equal (repeated as a whole), and the rest: the borders
+   of repeated passages.  No task holds the rows of an anchor.
+3. Two different contexts share a window only if they share one of ``CORES`` parts
+   of it, ``LENGTH - SHIFT`` bytes each; contexts that share none, by hash and with
+   partial sums again, are done.  One of each kind fetches the bytes around the
+   parts that it shares.  Tasks that hold whole anchors cut these into shards, sort
+   each shard's suffixes to ``LENGTH`` bytes, and merge the shards'
+   Burrows-Wheeler transforms by interleave refinement: only the vector of shard
+   numbers is permuted, one block of ``STEP`` bytes a round, and the places where
+   neighbours begin to differ give their common prefixes.  Runs with common
+   prefixes of ``LENGTH`` are the repeated intervals.  A letter of the transforms is
+   a block of ``STEP`` bytes; letters are ordered by a hash and equal only if their
+   bytes are.
+   Anchors with over ``HOT`` such contexts are not held by one task: the windows of
+   their contexts are counted by two 64-bit hashes, with partial sums.
 4. The runs found for a text are joined to it and cut.
 
+Equality of whole contexts rests on 64 bits of anchor and 64 of context: with n
+contexts of one anchor a false match has a chance of about n^2 / 2^65.
+
 Defined results: null text is empty; texts under ``LENGTH`` bytes keep all;
 repeated rows repeat each other; rows with equal doc_id and different texts are
 told apart by a digest of the text; null doc_ids are kept apart likewise; very
-long texts are used whole; an empty table gives an empty result.
+long texts are scanned in overlapping stretches, whole; further columns, whatever
+their names, are kept by ``cut_repeats``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,8 +45,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialise
-from .neardup import _runs, _whole_groups
+from .common import bounded_batches, discard, materialise, scratch_path, tidy, written
+from .neardup import _whole_groups
 from .textbytes import slices
 
 LENGTH = 200
@@ -49,10 +55,9 @@ STARTS = LENGTH - GRAM + 1  # anchors a window can have
 STEP = 40  # bytes a refinement round goes deeper; LENGTH is a multiple
 CORES = 8
 SHIFT = (LENGTH - GRAM) // CORES
-SHARD_BYTES = 1 << 18
-TASK_BYTES = 3 << 19
+SHARD_BYTES = 1 << 15
+TASK_BYTES = 1 << 17  # contexts whose transforms are merged together; small, so that the arrays stay in a processor's cache
 HOT = 6_000
-WHOLE = 50_000  # rows of one anchor that a task holds together
 
 _B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _M = np.uint64(0xFF51AFD7ED558CCD)
@@ -127,8 +132,7 @@ def merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 CORE_COLUMNS = [f"cores{k}" for k in range(CORES // 2)]  # two 32-bit hashes each
-ROW = "doc_id long, digest long, kind int, anchor long, context long, low long, high long, " + ", ".join(f"{c} long" for c in CORE_COLUMNS)
-ONE, SEVERAL, SETTLED, PENDING = 0, 1, 2, 3  # kinds: context once or more often in its batch; a run that is repeated; a context of an anchor of over WHOLE rows
+ROW = "doc_id long, digest long, n long, anchor long, context long, place long, before int, after int, " + ", ".join(f"{c} long" for c in CORE_COLUMNS)
 
 
 def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -148,24 +152,23 @@ def core_hashes(hashes: RangeHash, place: np.ndarray, low: np.ndarray, high: np.
     return [(halves[k] << np.uint64(32) | halves[k + 1]).view("int64") for k in range(0, CORES, 2)]
 
 
-def share_a_core(of_anchor: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
-    """Rows (different contexts) of which another row with the same anchor has an equal core."""
-    out = np.zeros(len(of_anchor), bool)
-    for column in columns:
-        for half in (column.view("uint64") >> np.uint64(32), column.view("uint64") & np.uint64(0xFFFFFFFF)):
-            _, back, count = np.unique(of_anchor.astype("uint64") << np.uint64(32) | half, return_inverse=True, return_counts=True)
-            out |= (count[back] > 1) & (half > 0)
-    return out
+def kinds_of(anchor: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First row of each different pair, the pair of each row, and the number of rows of each pair."""
+    _, first, back, count = np.unique(_mixed(anchor) ^ context, return_index=True, return_inverse=True, return_counts=True)
+    if ((anchor != anchor[first][back]) | (context != context[first][back])).any():
+        _, first, back, count = np.unique(np.stack([anchor, context], axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return first, back.ravel(), count
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """Anchor rows and settled runs of ``docs`` (doc_id, digest, text)."""
+    """A row for each kind of context of a slice, with its number ``n`` there, and settled runs (n = 0) of ``docs`` (doc_id, digest, text)."""
 
     def run(it):
         import pyarrow as pa
 
         for batch in it:
-            for begin, _, data, starts in slices(batch.column(2), pad=b""):
+            for part in slices(batch.column(2), overlap=LENGTH - 1):
+                data, starts = part.data, part.starts
                 first = RangeHash(data, _B1)
                 place = anchors(data, starts, first)
                 if not len(place):
@@ -174,9 +177,10 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 low = np.maximum(place - (STARTS - 1), starts[text])
                 high = np.minimum(place + LENGTH, starts[text + 1])
                 anchor = first.of(place, place + GRAM)
+                del first
                 second = RangeHash(data, _B2)
                 context = second.of(low, high) ^ (place - low).astype("uint64")
-                _, kind, back, count = np.unique(np.stack([anchor, context], axis=1).view("V16").ravel(), return_index=True, return_inverse=True, return_counts=True)
+                kind, back, count = kinds_of(anchor, context)
                 several = count[back] > 1
                 run_low, run_high = merged(low[several], high[several])
                 # runs of different texts may touch: cut them at text borders
@@ -185,127 +189,52 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 if (own != last).any():
                     cuts = [(max(a, starts[t]), min(b, starts[t + 1]), t) for a, b, x, y in zip(run_low, run_high, own, last, strict=True) for t in range(x, y + 1) if starts[t + 1] > starts[t]]
                     run_low, run_high, own = (np.array(c) for c in zip(*cuts, strict=True))
-                which = np.concatenate([text[kind], own]) + begin
-                zero = np.concatenate([starts[text[kind]], starts[own]])
-                kinds = np.concatenate([np.where(count > 1, SEVERAL, ONE), np.full(len(own), SETTLED)])
-                cores = core_hashes(second, place[kind], low[kind], high[kind])
+                where = np.concatenate([text[kind], own])
+                zero = starts[where] - part.offsets[where]
+                which = pa.array(part.rows[where])
                 none = np.zeros(len(own), "int64")
-                spread = _mixed(own.astype("uint64") + np.uint64(begin) + data[run_low].astype("uint64") * _M)
+                join = lambda kinds, runs, t=None: pa.array(np.concatenate([kinds, runs]), t)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(kinds, pa.int32()),
-                        pa.array(np.concatenate([anchor[kind], spread]).view("int64")), pa.array(np.concatenate([context[kind], np.zeros(len(own), "uint64")]).view("int64")),
-                        pa.array(np.concatenate([low[kind], run_low]) - zero), pa.array(np.concatenate([high[kind], run_high]) - zero),
-                        *[pa.array(np.concatenate([c, none])) for c in cores],
+                        batch.column(0).take(which), batch.column(1).take(which), join(count, none),
+                        join(anchor[kind].view("int64"), none), join(context[kind].view("int64"), none), pa.array(np.concatenate([place[kind], run_low]) - zero),
+                        join((place - low)[kind], none, pa.int32()), join((high - place)[kind], run_high - run_low, pa.int32()),
+                        *[join(c, none) for c in core_hashes(second, place[kind], low[kind], high[kind])],
                     ],
-                    names=["doc_id", "digest", "kind", "anchor", "context", "low", "high", *CORE_COLUMNS],
+                    names=["doc_id", "digest", "n", "anchor", "context", "place", "before", "after", *CORE_COLUMNS],
                 )
 
-    return docs.mapInArrow(run, ROW)
-
+    return docs.mapInArrow(tidy(run), ROW)
 
-def _pieces(it, most: int):
-    """(table, whole, context before, context after) of rows sorted by (anchor, context).
 
-    Whole anchors come together (the contexts are None then); an anchor of more
-    than ``most`` rows comes in pieces, with the contexts of its rows next to the piece.
-    """
-    import pyarrow as pa
+def sort_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs that are settled without their bytes, and one row of each context whose bytes are needed, from ``anchor_rows``; what is returned does not read ``rows`` again.
 
-    held, size, parted, before = [], 0, False, None  # rows of the last anchor so far
-
-    def part(last: bool):
-        nonlocal held, size, before
-        rows = pa.concat_tables(held)
-        cut = len(rows) if last else len(rows) - 1
-        out = rows.slice(0, cut), False, before, None if last else rows.column("context")[cut].as_py()
-        before = rows.column("context")[cut - 1].as_py()
-        held, size = ([], 0) if last else ([rows.slice(cut)], 1)
-        return out
-
-    for batch in it:
-        piece = pa.Table.from_batches([batch])
-        if held and piece.num_rows:
-            same = piece.column("anchor").to_numpy() == held[0].column("anchor")[0].as_py()
-            more = int(np.count_nonzero(same))
-            if more:
-                held.append(piece.slice(0, more))
-                size += more
-                piece = piece.slice(more)
-            if piece.num_rows:  # the anchor ends here
-                yield part(True) if parted else (pa.concat_tables(held), True, None, None)
-                held, size, parted, before = [], 0, False, None
-        if piece.num_rows:
-            keys = piece.column("anchor").to_numpy()
-            cut = int(np.argmax(keys == keys[-1]))
-            if cut:
-                yield piece.slice(0, cut), True, None, None
-            held, size = [piece.slice(cut)], piece.num_rows - cut
-        if size > most:
-            parted = True
-            yield part(False)
-    if held:
-        yield part(True) if parted else (pa.concat_tables(held), True, None, None)
-
-
-def sort_out(rows: DataFrame) -> DataFrame:
-    """Settled runs (kind SETTLED) and the contexts whose bytes are needed (kind ONE), a row for each kind of context.
-
-    A task sees rows in the order of (anchor, context), so it tells repeated
-    contexts by their neighbours.  Contexts of anchors too large to be held are
-    passed on as PENDING, for ``settle_pending``.
+    Everything is an aggregate with partial sums or a join, so a frequent anchor
+    or context fills no task.
     """
+    span = ["doc_id", "digest", (F.col("place") - F.col("before")).alias("low"), (F.col("place") + F.col("after")).alias("high")]
+    found = materialise(rows.filter("n = 0").select(*span), "runs")
+    rows = rows.filter("n > 0")
+    seen = rows.groupBy("anchor").agg(F.sum("n").alias("_n"), (F.min("context") == F.max("context")).alias("alike")).filter("_n > 1").drop("_n")
+    again = materialise(rows.join(seen, "anchor"), "repeated")
+    # copies of a slice are settled there (n > 1 stands for them); single rows are settled with what repeats them elsewhere
+    found = found.unionByName(again.filter("alike AND n = 1").select(*span))
+    several = again.filter("NOT alike")
+    one = F.min(F.struct("doc_id", "digest", "place", "before", "after")).alias("_at")
+    kinds = materialise(several.groupBy("anchor", "context").agg(F.sum("n").alias("_n"), one, *[F.first(c).alias(c) for c in CORE_COLUMNS]), "kinds")
+    settled = several.filter("n = 1").join(kinds.filter("_n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select(*span)
+    found = found.unionByName(materialise(settled, "settled"))  # written alone, so that a frequent context's join can be split
 
-    def run(it):
-        import pyarrow as pa
-
-        for group, all_rows, before, after in _pieces(it, WHOLE):
-            anchor, context = group.column("anchor").to_numpy(), group.column("context").to_numpy()
-            kind = group.column("kind").to_numpy()
-            settled = kind == SETTLED
-            real = np.flatnonzero(~settled)
-            a, c = anchor[real], context[real]
-            new_anchor = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
-            new_kind = new_anchor | np.concatenate([[True], c[1:] != c[:-1]]) if len(a) else new_anchor
-            of_kind, of_anchor = np.cumsum(new_kind) - 1, np.cumsum(new_anchor) - 1
-            often = (np.bincount(of_kind, minlength=len(a))[of_kind] > 1) | (np.bincount(of_kind, weights=kind[real] == SEVERAL, minlength=len(a))[of_kind] > 0)
-            if not all_rows and len(a):
-                often |= (c == before) if before is not None else False
-                often |= (c == after) if after is not None else False
-                new_kind &= (c != before) if before is not None else True
-            # copies settled in their batch stand for themselves; others that repeat are settled now
-            done = np.concatenate([np.flatnonzero(settled), real[often & (kind[real] == ONE)], real[often & (kind[real] == SEVERAL)]])
-            if all_rows:
-                kinds_of_anchor = np.bincount(of_anchor, weights=new_kind, minlength=len(a))[of_anchor]
-                need = np.flatnonzero(new_kind & (kinds_of_anchor > 1))
-                need = need[share_a_core(of_anchor[need], [group.column(c).to_numpy()[real[need]] for c in CORE_COLUMNS])]
-                sharing = np.bincount(of_anchor[need], minlength=len(a))[of_anchor[need]]
-            else:
-                need = np.flatnonzero(new_kind)
-                sharing = np.zeros(len(need))
-            need = real[need]
-            take = np.concatenate([done, need])
-            out = group.take(pa.array(take)).combine_chunks()
-            kinds = np.concatenate([np.full(len(done), SETTLED), np.full(len(need), ONE if all_rows else PENDING)])
-            n = np.concatenate([np.zeros(len(done)), sharing]).astype("int64")
-            table = out.select(["doc_id", "digest", "anchor", "low", "high"]).append_column("kind", pa.array(kinds, pa.int32())).append_column("contexts", pa.array(n))
-            blank = kinds != PENDING
-            for name in ["context", *CORE_COLUMNS]:
-                table = table.append_column(name, pa.array(out.column(name).to_numpy(), pa.int64(), mask=blank))
-            yield from table.combine_chunks().to_batches()
-
-    found = "doc_id long, digest long, anchor long, low long, high long, kind int, contexts long, context long, " + ", ".join(f"{c} long" for c in CORE_COLUMNS)
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(run, found)
-
-
-def settle_pending(pending: DataFrame) -> DataFrame:
-    """The PENDING rows that share a core with another context of their anchor, as ``sort_out`` gives those of smaller anchors; counted with partial sums."""
     halves = [F.struct(F.lit(2 * k + h).alias("part"), (F.shiftrightunsigned(c, 32) if h == 0 else F.col(c).bitwiseAND(0xFFFFFFFF)).alias("core")) for k, c in enumerate(CORE_COLUMNS) for h in (0, 1)]
-    cores = pending.select("anchor", "context", F.inline(F.array(*halves))).filter("core <> 0")
-    shared = cores.groupBy("anchor", "part", "core").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    sharing = materialise(cores.join(shared, ["anchor", "part", "core"], "left_semi").select("anchor", "context").distinct(), "sharing")
-    counts = sharing.groupBy("anchor").agg(F.count("*").alias("contexts"))
-    return pending.drop("contexts").join(sharing, ["anchor", "context"], "left_semi").join(F.broadcast(counts), "anchor").select("doc_id", "digest", "anchor", "low", "high", F.lit(ONE).alias("kind"), "contexts")
+    cores = kinds.select("anchor", "context", F.inline(F.array(*halves))).filter("core <> 0")
+    shared = cores.groupBy("anchor", "part", "core").agg((F.min("context") < F.max("context")).alias("_several")).filter("_several").drop("_several")
+    sharing = cores.join(shared, ["anchor", "part", "core"], "left_semi").groupBy("anchor", "context").agg(F.min("part").alias("_first"), F.max("part").alias("_last"))
+    needs = kinds.join(sharing, ["anchor", "context"]).select("anchor", "_at.*", "_first", "_last")
+    # the windows around the shared parts: from LENGTH bytes that end SHIFT after the last part to those that begin SHIFT before the first
+    low = F.col("place") - F.least("before", (F.col("_last") + 1) * SHIFT)
+    high = F.col("place") + F.least("after", LENGTH - F.col("_first") * SHIFT)
+    return found, needs.select("doc_id", "digest", "anchor", low.alias("low"), high.alias("high"))
 
 
 def _stable_order(keys: np.ndarray, most: int) -> np.ndarray:
@@ -316,40 +245,42 @@ def _stable_order(keys: np.ndarray, most: int) -> np.ndarray:
     return order
 
 
-def _ranks(*columns: np.ndarray) -> np.ndarray:
-    """Dense ranks of pairs of ranks."""
-    key = columns[0].astype("int64")
-    for c in columns[1:]:
-        key = key * (int(c.max()) + 1) + c
-    return np.unique(key, return_inverse=True)[1].astype("int32")
-
-
-def block_ranks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Rank of the ``STEP`` bytes at each place, the letters of the transforms; every shard is cyclic on its own."""
-    at = np.arange(len(data), dtype="int32")
-    base, size = (np.repeat(x.astype("int32"), np.diff(starts)) for x in (starts[:-1], np.diff(starts)))
-    ahead = lambda d: base + (at - base + d) % size
-    word = np.zeros(len(data), "uint64")
-    for k in range(8):
-        word = word << np.uint64(8) | data[ahead(k)].astype("uint64")
-    eight = np.unique(word, return_inverse=True)[1].astype("int32")
-    del word
-    sixteen = _ranks(eight, eight[ahead(8)])
-    thirty_two = _ranks(sixteen, sixteen[ahead(16)])
-    return _ranks(thirty_two, eight[ahead(32)])
-
-
-def shard_suffixes(blocks: np.ndarray) -> np.ndarray:
-    """Places of a shard in the order of their ``LENGTH`` bytes; ``blocks``: rank of the ``STEP`` bytes at each place, cyclic."""
-    ranks, depth = {STEP: blocks}, STEP
-    while 2 * depth <= LENGTH:
-        ranks[2 * depth] = _ranks(ranks[depth], np.roll(ranks[depth], -depth))
-        depth *= 2
-    total, at = ranks[depth], depth
-    for d in sorted(ranks, reverse=True):
-        while at + d <= LENGTH:
-            total, at = _ranks(total, np.roll(ranks[d], -at)), at + d
-    return np.argsort(total, kind="stable")
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Dense ranks."""
+    return np.unique(key, return_inverse=True)[1]
+
+
+def block_letters(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Letter of the ``STEP`` bytes at each place; every shard is cyclic on its own.
+
+    Letters are numbered in the order of a hash of their bytes; a hash that two
+    different blocks share (found by comparing bytes) is exchanged for another.
+    """
+    shards = [data[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    longer = np.concatenate([x for s in shards for x in (s, np.resize(s, STEP))] + [np.zeros(8, "uint8")])
+    at = np.arange(len(data)) + STEP * np.repeat(np.arange(len(shards)), np.diff(starts))
+    words = np.ndarray((len(longer) - 7,), "<u8", longer, strides=(1,))
+    base = _B1
+    while True:
+        hashes = RangeHash(longer, base)
+        _, first, letter = np.unique(hashes.of(at, at + STEP), return_index=True, return_inverse=True)
+        other = at[first][letter]
+        if all((words[at + k] == words[other + k]).all() for k in (*range(0, STEP - 8, 8), STEP - 8)):
+            return letter.astype("int32")
+        base = (base * 5 + 8) & 0xFFFFFFFFFFFFFFFF | 1
+
+
+def shard_suffixes(letters: np.ndarray) -> np.ndarray:
+    """Places of a shard in the order of the letters of their ``LENGTH`` bytes; ``letters``: those of the ``STEP`` bytes at each place, cyclic."""
+    columns = [np.roll(letters, -d).astype("int64") for d in range(0, LENGTH, STEP)]
+    bits = int(letters.max()).bit_length()
+    key, used = columns[0], bits
+    for column in columns[1:]:
+        if used + bits > 62:
+            key = _ranks(key)
+            used = int(key.max()).bit_length()
+        key, used = key << bits | column, used + bits
+    return np.argsort(key, kind="stable")
 
 
 def merge_transforms(transforms: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -382,7 +313,7 @@ def repeated_windows(texts: list[bytes], identity: np.ndarray) -> list[np.ndarra
         shards.append((at, end))
         at = end
     data = np.frombuffer(b"".join(texts), "uint8")
-    blocks = block_ranks(data, starts[[a for a, _ in shards] + [len(texts)]])
+    blocks = block_letters(data, starts[[a for a, _ in shards] + [len(texts)]])
     transforms, places = [], []
     for a, b in shards:
         own = blocks[starts[a] : starts[b]]
@@ -407,13 +338,13 @@ def repeated_windows(texts: list[bytes], identity: np.ndarray) -> list[np.ndarra
     return np.split(place, np.searchsorted(text, np.arange(1, len(texts))))
 
 
-CONTEXT = "doc_id long, digest long, anchor long, low long, contexts long, bytes binary"
+CONTEXT = "doc_id long, digest long, anchor long, low long, bytes binary"
 RUN = "doc_id long, digest long, low long, high long"
 
 
 def fetch_contexts(docs: DataFrame, needs: DataFrame) -> DataFrame:
     """Bytes of the contexts in ``needs``."""
-    wanted = needs.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("anchor", "low", "high", "contexts")).alias("wanted"))
+    wanted = needs.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("anchor", "low", "high")).alias("wanted"))
     d, w = docs.alias("d"), wanted.alias("w")
     joined = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.digest") == F.col("w.digest"))).select("d.doc_id", "d.digest", "d.text", "w.wanted")
 
@@ -431,9 +362,9 @@ def fetch_contexts(docs: DataFrame, needs: DataFrame) -> DataFrame:
                     body, held = batch.column(2)[row].as_py().encode("utf-8", "surrogatepass"), row
                 out.append(body[a:b])
             take = pa.array(which)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), flat.field(0), flat.field(1), flat.field(3), pa.array(out, pa.binary())], names=["doc_id", "digest", "anchor", "low", "contexts", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), flat.field(0), flat.field(1), pa.array(out, pa.binary())], names=["doc_id", "digest", "anchor", "low", "bytes"])
 
-    return joined.mapInArrow(run, CONTEXT)
+    return joined.mapInArrow(tidy(run), CONTEXT)
 
 
 def _run_rows(group, starts: list[np.ndarray]):
@@ -477,7 +408,7 @@ def matched_runs(contexts: DataFrame) -> DataFrame:
                         yield from solve(group.slice(begin, end - begin))
                     begin = end
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, RUN)
+    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(run), RUN)
 
 
 def counted_runs(contexts: DataFrame) -> DataFrame:
@@ -488,7 +419,7 @@ def counted_runs(contexts: DataFrame) -> DataFrame:
 
         for batch in it:
             for k in range(batch.num_rows):
-                data = np.frombuffer(batch.column(5)[k].as_py(), "uint8")
+                data = np.frombuffer(batch.column(4)[k].as_py(), "uint8")
                 n = len(data) - LENGTH + 1
                 if n < 1:
                     continue
@@ -497,24 +428,23 @@ def counted_runs(contexts: DataFrame) -> DataFrame:
                 take = pa.array(np.full(n, k))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at + batch.column(3)[k].as_py()), pa.array(one), pa.array(two)], names=["doc_id", "digest", "low", "one", "two"])
 
-    windows = contexts.mapInArrow(run, "doc_id long, digest long, low long, one long, two long")
+    windows = contexts.select("doc_id", "digest", "anchor", "low", "bytes").mapInArrow(tidy(run), "doc_id long, digest long, low long, one long, two long")
     place = F.struct("doc_id", "digest", "low")
     again = windows.groupBy("one", "two").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter(~F.col("a").eqNullSafe(F.col("b"))).select("one", "two")
+    again = materialise(again, "again")  # written, so that the join of a frequent window can be split
     return windows.join(again, ["one", "two"], "left_semi").select("doc_id", "digest", "low", (F.col("low") + LENGTH).alias("high"))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, runs): repeated runs of each text that has any; ``docs`` as of ``_identified``."""
-    sorted_out = materialise(sort_out(anchor_rows(docs)), "anchors")
-    needs = sorted_out.filter(F.col("kind") == ONE).select("doc_id", "digest", "anchor", "low", "high", "kind", "contexts")
-    pending = sorted_out.filter(F.col("kind") == PENDING)
-    if pending.limit(1).count():
-        needs = needs.unionByName(settle_pending(pending))
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "anchors")
+    runs, needs = sort_out(written(anchor_rows(docs), path))
+    discard(spark, path)  # the largest table
     contexts = materialise(fetch_contexts(docs, needs), "contexts")
-    runs = sorted_out.filter(F.col("kind") == SETTLED).select("doc_id", "digest", "low", "high")
-    runs = runs.unionByName(matched_runs(contexts.filter(F.col("contexts") <= HOT)))
-    if contexts.filter(F.col("contexts") > HOT).limit(1).count():
-        runs = runs.unionByName(counted_runs(contexts.filter(F.col("contexts") > HOT)))
+    hot = materialise(contexts.groupBy("anchor").agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT).select("anchor"), "hot")
+    runs = runs.unionByName(matched_runs(contexts.join(hot, "anchor", "left_anti")))
+    if hot.limit(1).count():
+        runs = runs.unionByName(materialise(counted_runs(contexts.join(hot, "anchor", "left_semi")), "counted"))
     return runs.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
 
 
@@ -550,29 +480,36 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_runs(known, repeated_runs(known), []).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_runs(known, repeated_runs(known), []).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated runs cut out of ``text`` (a character cut in two goes whole) and ``n_chars``, where there, counted anew."""
+    """``docs`` with repeated runs cut out of ``text`` (a character cut in two goes whole) and ``n_chars``, where there, counted anew.
+
+    Other columns stay as they are, whatever their names.
+    """
     names = docs.columns
-    known = docs.withColumns({"digest": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    slim = _identified(docs, "doc_id", "text")
-    others = [c for c in names if c not in ("doc_id", "text")]
-    joined = _with_runs(known, repeated_runs(slim), others)
-    schema = T.StructType([joined.schema["doc_id"], joined.schema["text"], *[joined.schema[c] for c in others]])
+    columns = [f"c{k}" for k in range(len(names))]
+    doc_id, text = (columns[names.index(c)] for c in ("doc_id", "text"))
+    plain = docs.toDF(*columns)
+    known = plain.withColumn("_digest", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    found = repeated_runs(_identified(plain, doc_id, text)).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_own"), "runs")
+    joined = known.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_own")), "left").select(*columns, "runs")
+    schema, at = T.StructType(joined.schema.fields[:-1]), columns.index(text)
 
     def run(it):
         import pyarrow as pa
 
         for batch in it:
             texts = []
-            for value, runs in zip(batch.column(1), batch.column(2), strict=True):
+            for value, runs in zip(batch.column(at), batch.column(len(columns)), strict=True):
                 cut = runs.as_py()
                 texts.append(kept_bytes(value.as_py(), cut)[1].decode("utf-8", "ignore") if cut else value.as_py())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *[batch.column(3 + k) for k in range(len(others))]], names=schema.names)
+            arrays = batch.columns[: len(columns)]
+            arrays[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    cut = joined.mapInArrow(run, schema)
+    cut = joined.mapInArrow(tidy(run), schema).toDF(*names)
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*names)
+    return cut

@@ -6,28 +6,46 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 400_000
 
 
-def slices(texts, lower: bool = False, pad: bytes = b"\n\n") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, starts) over rows of ``texts`` (an Arrow string array).
+class Slice:
+    """Stretches of texts, one after the other, as bytes.
 
-    Each text is preceded by ``pad`` and ends where the next begins; one more
-    start marks the end.  A text longer than a slice gets a slice of its own.
+    ``rows``: the row of each stretch; ``starts``: where each begins, and the end;
+    ``offsets``: place of each stretch's first byte in its text, which begins with its padding;
+    ``own``: bytes of each stretch that the next stretch of the text does not repeat.
     """
-    begin, parts, size = 0, [], 0
+
+    def __init__(self, stretches: list[tuple[int, int, int, bytes]]):
+        rows, offsets, own, parts = zip(*stretches, strict=True)
+        self.rows, self.offsets, self.own = np.array(rows), np.array(offsets), np.array(own)
+        self.starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        self.data = np.frombuffer(b"".join(parts), "uint8")
+
+
+def slices(texts, lower: bool = False, before: bytes = b"", after: bytes = b"", overlap: int = 0, most: int | None = None) -> Iterator[Slice]:
+    """Slices over rows of ``texts`` (an Arrow string array).
+
+    Each text has ``before`` and ``after`` around it.  A text longer than
+    ``SLICE_BYTES`` is cut into stretches in which every string of
+    ``overlap + 1`` bytes lies in exactly one.
+    """
+    most = most or SLICE_BYTES
+    held: list[tuple[int, int, int, bytes]] = []
+    size = 0
     for row, value in enumerate(texts):
         text = value.as_py() or ""
-        part = pad + (text.lower() if lower else text).encode("utf-8", "surrogatepass")
-        if parts and size + len(part) > SLICE_BYTES:
-            yield begin, row, *_joined(parts)
-            begin, parts, size = row, [], 0
-        parts.append(part)
-        size += len(part)
-    if parts:
-        yield begin, begin + len(parts), *_joined(parts)
-
-
-def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    return np.frombuffer(b"".join(parts), "uint8"), starts
+        body = before + (text.lower() if lower else text).encode("utf-8", "surrogatepass") + after
+        at, end = 0, False
+        while not end:
+            part = body[at : at + most]
+            end = at + most >= len(body)
+            if held and size + len(part) > most:
+                yield Slice(held)
+                held, size = [], 0
+            held.append((row, at, len(part) if end else most - overlap, part))
+            size += len(part)
+            at += most - overlap
+    if held:
+        yield Slice(held)
