@@ -118,24 +118,31 @@ def test_suffixes_of_hot_anchors(spark, docs, monkeypatch):
     assert sorted(suffixes.digests(docs).collect()) == want
 
 
-def test_suffixes_of_large_anchors_are_not_held(spark, docs, monkeypatch):
-    """An anchor of many rows passes in pieces of few rows, with the same result."""
+def test_suffixes_in_stretches_and_small_shards(spark, docs, monkeypatch):
+    """Long texts in overlapping stretches, and many shards a task, give the same result; columns keep their values."""
+    from ledgerloom.llm import textbytes
+
     want = sorted(suffixes.digests(docs).collect())
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
-    spark.conf.set(batch, "4")
-    monkeypatch.setattr(suffixes, "WHOLE", 1)
-    try:
-        out = suffixes.sort_out(suffixes.anchor_rows(suffixes._identified(docs, "doc_id", "text")))
-        assert suffixes.settle_pending(out.filter(f"kind = {suffixes.PENDING}")).count() > 0
-        assert sorted(suffixes.digests(docs).collect()) == want
-    finally:
-        spark.conf.set(batch, before)
-    import pyarrow as pa
+    monkeypatch.setattr(textbytes, "SLICE_BYTES", 700)
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 900)
+    monkeypatch.setattr(suffixes, "TASK_BYTES", 4_000)
+    assert sorted(suffixes.digests(docs).collect()) == want
+    wide = docs.withColumn("runs", docs.doc_id * 2)
+    cut = {r.doc_id: r for r in suffixes.cut_repeats(wide).collect()}
+    assert cut.keys() == {d[0] for d in documents()} and all(r.digest == "clash" and r.runs == 2 * i for i, r in cut.items())
+    kept = {r.doc_id: r.kept_sha256 for r in want}
+    for i, r in cut.items():
+        if (r.text or "").isascii():
+            assert hashlib.sha256((r.text or "").encode()).hexdigest() == kept[i] and r.n_chars == len(r.text or "")
 
-    rows = pa.table({"anchor": [1] * 3 + [2] * 5_000 + [3] * 2, "context": [*range(3), *(k // 3 for k in range(5_000)), 7, 7]})
-    pieces = list(suffixes._pieces(iter(rows.to_batches(max_chunksize=40)), 60))
-    assert pa.concat_tables([p[0] for p in pieces]).equals(rows) and max(len(p[0]) for p in pieces) <= 100
+
+def test_suffixes_of_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    a, b, c = text(500), text(260), text(230)
+    rows = [(1, a), (1, a), (2, b), (2, c + b[:210]), (None, c), (None, None), (None, c), (3, text(600))]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffixes.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 500, 500), (1, 500, 500), (2, 260, 210), (2, 440, 440), (0, 230, 230), (0, 230, 230), (0, 0, 0), (3, 600, 0)])
 
 
 def brute_components(texts, width):
@@ -239,12 +246,14 @@ def test_searches(spark):
     rows = [(i, [float(x) for x in r], 0) for i, r in enumerate(v)] + [(500, None, 1), (501, [1.0, float("nan")], 1), (None, [1.0] * 9, 1), (600, [1.0, 2.0], 1), (602, [2.0, 1.0], 1), (3, [float(x) for x in v[3]], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     whole = np.floor(v.astype("float64") * 256)
-    for r_id in range(0, 230, 50):
-        s = whole @ whole[r_id]
-        order = sorted((i for i in [*range(230), 3] if i != r_id), key=lambda i: (-s[i], i))[:5]
-        got = topk.search(df).filter(f"query_id = {r_id}").orderBy("rank").collect() if r_id == 0 else None
-        if got:
-            assert [(g.vec_id, g.score) for g in got] == [(i, int(s[i])) for i in order]
+    found = defaultdict(list)
+    for r in sorted(topk.search(df).collect(), key=lambda r: (r.query_id, r.rank)):
+        found[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, 230, 50):
+        s = whole @ whole[q]
+        order = sorted((i for i in [*range(230), 3] if i != q), key=lambda i: (-s[i], i))[:5]
+        assert found.pop(q) == [(i, int(s[i])) for i in order]
+    assert dict(found) == {600: [(602, 512 * 256 + 256 * 512)]}
     near = ann.nearest(df).collect()
     d = v.astype("float64")
     size = np.sqrt((d * d).sum(axis=1))
@@ -256,6 +265,16 @@ def test_searches(spark):
     assert ann.nearest(df.limit(0)).count() == 0 and topk.search(df.limit(0)).count() == 0
 
 
+def test_cosines_of_very_large_and_small_vectors(spark):
+    rows = [(0, [1e200, 2e200, 0.0]), (1, [1e-200, 2e-200, 1e-201]), (2, [3.0, -1.0, 2.0]), (3, [1e200, 2e200, 0.0]), (4, [5e-324, 0.0, 0.0])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert [g[2] for g in got] == [3, 1, 4, 2] and got[0][3] == 1 or abs(got[0][3] - 1) < 1e-15
+    assert all(np.isfinite(g[3]) for g in got)
+    a, b = np.random.default_rng(5).normal(size=(2, 40, 7))
+    direct = [sum(x * y for x, y in zip(p, q, strict=True)) / (np.sqrt(sum(x * x for x in p)) * np.sqrt(sum(y * y for y in q))) for p, q in zip(a, b, strict=True)]
+    assert ann.cosines(a, b).tolist() == direct
+
+
 def test_warc(spark, tmp_path):
     big = "<p>é\r\n\r\nWARC/1.1</p>" * 20
     rows = [(5, "http://a b", big), (2, None, big), (9, "u", "small"), (1, "u", "small"), (7, "u", None), (2, "again", big), (None, "n", big), (8, "u", "")]
@@ -266,3 +285,172 @@ def test_warc(spark, tmp_path):
     payloads = {r.page_id: r.payload for r in warc.read_archives(spark, str(tmp_path / "w")).collect() if r.record_type == "response"}
     assert payloads[2] == big and payloads[7] == ""
     assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_equal_texts_get_equal_scores_wherever_they_are(spark, monkeypatch):
+    """Copies at every place of a batch, in short and in long slices, in stretches or whole."""
+    import pyarrow as pa
+
+    from ledgerloom.llm import textbytes
+
+    rng = random.Random(8)
+    copy = "Das Haus ist schön, and the end of it is near."
+    others = [" ".join(rng.choices(["the", "und", "house", "Weg", "!!", "7"], k=rng.randint(0, 40))) for _ in range(40)]
+    texts = [copy, *others[:7], copy, copy, None, *others[7:], "", copy]
+    w = np.random.default_rng(1).normal(size=quality.FEATURES)
+    want = None
+    for size in (17, 64, 301, 400_000):
+        monkeypatch.setattr(textbytes, "SLICE_BYTES", size)
+        s = quality.batch_scores(pa.array(texts, pa.string()), w, 0.3)
+        assert len({s[k] for k, t in enumerate(texts) if t == copy}) == 1
+        assert want is None or (s == want).all()
+        want = s
+    counts, _ = quality.text_counts(pa.array(texts, pa.string()))
+    for k, text in enumerate(texts):
+        assert counts[k].tolist() == np.bincount(quality.CLASS_OF[list((text or "").encode())], minlength=quality.CLASSES).tolist()
+    table = np.log(np.random.default_rng(2).random((2 * langid.BUCKETS, 3))).astype("float32")
+    found = [langid.text_likelihoods(t, table) for t in (copy, copy[:9] + copy[9:])]
+    assert (found[0] == found[1]).all()
+    whole = langid.sparse_counts("über alles " * 300)
+    monkeypatch.setattr(langid, "STRETCH", 13)
+    assert all((a == b).all() for a, b in zip(whole, langid.sparse_counts("über alles " * 300), strict=True))
+
+
+@pytest.mark.parametrize("block", [32, 2])
+def test_language_equals_naive_bayes_by_hand(spark, monkeypatch, block):
+    """Probabilities of every row against counts in plain Python, with several blocks of languages."""
+    monkeypatch.setattr(langid, "LANGUAGES", block)
+    rng = random.Random(9)
+    alphabets = {"a": "abcde ", "b": "bcdef ", "c": "héllo ", "d": "жзик ", "e": "cdefg "}
+    rows = [(i, "".join(rng.choices(alphabets["abcde"[i % 5]], k=rng.randint(1, 30))), "abcde"[i % 5]) for i in range(150)]
+    rows += [(200, None, "a"), (201, "12 3", "b"), (None, "abc de", "a"), (3, rows[3][1], rows[3][2]), (203, "abc", None)]
+    grams = lambda t: [g for p in langid.gram_buckets(t) for g in p.tolist()]
+    learned = [r for r in rows if r[0] is not None and r[1] is not None and r[2] and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    counts = {lang: Counter(g for _, t, own in learned if own == lang for g in grams(t)) for lang in alphabets}
+    size = {(lang, part): sum(n for g, n in c.items() if (g >= langid.BUCKETS) == part) + langid.SMOOTH * langid.BUCKETS for lang, c in counts.items() for part in (False, True)}
+    got = {(r.doc_id, k): r for k, r in enumerate(langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)).collect())}
+    for k, (i, text, _) in enumerate(rows):
+        r = got[i, k]
+        assert r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)
+        if text is None or not any(x.isalpha() for x in text):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        log = {lang: sum(np.log((c[g] + langid.SMOOTH) / size[lang, g >= langid.BUCKETS]) for g in grams(text)) for lang, c in counts.items()}
+        best = max(sorted(log), key=log.get)
+        assert abs(r.score - 1 / sum(np.exp(v - log[best]) for v in log.values())) < 1e-4
+        assert r.lang_pred == best or abs(log[best] - log[r.lang_pred]) < 1e-4
+
+
+def test_quality_equals_expectation_maximisation_and_scores_by_hand(spark):
+    """The counted patterns against one row a document, and scores against loops over bytes."""
+    rng = np.random.default_rng(3)
+    patterns = rng.choice(3 ** len(quality.LABELLERS), 6)
+    n = rng.integers(1, 9, 6)
+    good, accuracy, share = quality.expectation_maximisation(patterns, n)
+    rows = np.repeat(patterns, n)
+    good_rows, accuracy_rows, share_rows = quality.expectation_maximisation(rows, np.ones(len(rows), "int64"))
+    assert np.allclose(np.repeat(good, n), good_rows) and np.allclose(accuracy, accuracy_rows) and np.isclose(share, share_rows)
+    votes = patterns[:, None] // 3 ** np.arange(len(quality.LABELLERS)) % 3
+    assert all(good[k] > 0.5 for k in range(6) if not (votes[k] == 0).any()) or share < 0.5
+
+    texts = ["The end. Of the END!", "", None, "  \n", "aé|b " * 30, "so so so so so"]
+    w, b = rng.normal(size=quality.FEATURES), 0.2
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for r in quality.score(df, (w, b, None)).collect():
+        body = (texts[r.doc_id] or "").encode()
+        if not body.strip():
+            assert r.score == 0 and not r.keep
+            continue
+        classes = [int(quality.CLASS_OF[x]) for x in b"\n\n" + body + b"\n\n"]
+        grams = Counter(((x * 32 + y) * 32 + z) * 2654435761 % 2**32 >> 22 for x, y, z in zip(classes, classes[1:], classes[2:], strict=False))
+        total = sum(grams.values())
+        value = b + sum(w[g] * np.sqrt(c / total) * total / (total + quality.PRIOR_GRAMS) for g, c in grams.items())
+        words = (texts[r.doc_id] or "").split()
+        repeated = sum(x == y for x, y in zip(words, words[1:], strict=False)) / len(words) if len(words) > 3 else 0
+        value += 0.5 * w[quality.HASHED + min(int(repeated * 2 * quality.REPEATS), quality.REPEATS - 1)]
+        assert abs(r.score - 1 / (1 + np.exp(-value))) < 1e-5 and r.keep == (r.score >= quality.REJECT_BELOW)
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)]
+    a, b, c = (" ".join(rng.choices(words, k=60)) for _ in range(3))
+    rows = [(7, a), (3, a), (7, b), (9, b), (9, b), (5, c), (None, c), (None, None), (11, None), (12, " "), (4, c)]
+    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect() if r.doc_id)
+    assert got == sorted([(7, 3, False), (3, 3, True), (7, 3, False), (9, 3, False), (9, 3, False), (5, 4, False), (4, 4, True), (11, 11, True), (12, 12, True)])
+    wide = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component_id string")
+    assert sorted(str(tuple(r)) for r in neardup.keep_one(wide, 2).collect()) == sorted(str((*r, "x")) for r in rows if r[0] in (3, 4, 11, 12, None))
+
+
+def test_near_duplicates_at_the_threshold_are_found(spark):
+    """Pairs of similarity 0.80 to 0.85 by full sets, among other texts: all are linked, and nothing else is."""
+    rng = np.random.default_rng(13)
+    word = iter(range(10**9))
+    rows, pairs = [], []
+    for k in range(300):
+        one = [f"w{next(word)}" for _ in range(int(rng.integers(120, 400)))]
+        two = list(one)
+        changed = int(len(one) * rng.uniform(0.083, 0.11))  # an end of the text: one shingle goes and comes a word
+        two[len(two) - changed :] = [f"w{next(word)}" for _ in range(changed)]
+        s, t = neardup.shingle_set(" ".join(one)), neardup.shingle_set(" ".join(two))
+        both = len(np.intersect1d(s, t))
+        if 80 <= 100 * both / (len(s) + len(t) - both) <= 85:
+            pairs.append((2 * k, 2 * k + 1))
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    assert len(pairs) > 100
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[b] == a for a, b in pairs)
+    want = brute_pairs = {b for a, b in zip(range(0, 600, 2), range(1, 600, 2), strict=True) if found[b] == a}
+    texts = dict(rows)
+    for b in brute_pairs:
+        s, t = neardup.shingle_set(texts[b - 1]), neardup.shingle_set(texts[b])
+        both = len(np.intersect1d(s, t))
+        assert 100 * both >= 80 * (len(s) + len(t) - both)
+    assert all(found[i] == i for i in texts if i not in want)
+
+
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4_000)
+    monkeypatch.setattr(warc, "SIZE_CLASSES", (200, 1_000, 4_000))
+    rows = [(i, "u", f"{i} " + "x" * n) for i, n in enumerate([50] * 90 + [700] * 9 + [3_000] * 3 + [9_000])] + [(500, "u", "3 " + "x" * 50), (501, "u", "102 " + "x" * 9_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(df, str(tmp_path / "w")).collect()}
+    assert got == {i: (len(h), "revisit" if i == 501 else "response", 102 if i == 501 else None) for i, _, h in rows}
+    sizes = [sum(len(p) for _, p in warc.parse(zlib.decompress(f.read_bytes(), 47))) for f in (tmp_path / "w").rglob("*.gz")]
+    assert all(n <= 4_000 or n > 9_000 and n < 9_010 for n in sizes) and len(sizes) > 7
+
+
+def test_null_ids_repeated_rows_and_ties(spark):
+    """Packing, sharding, quality, language and BPE on rows without id, rows twice and equal lengths."""
+    rows = [(None, "one two three"), (1, "one two three"), (1, "one two three"), (1, "three two one"), (2, None), (2, ""), (None, None), (3, "x " * 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model, end = bpe.model(bpe.default_vocabulary()), np.array([1], "<u4").tobytes()
+    packed = packing.pack(packing.pieces_of(df, capacity=64), 64).collect()
+    want = Counter()
+    for i, text in rows:
+        ids = model.encode(text) + end
+        for k in range(0, len(ids), 256):
+            want[i, k // 256, k // 4, len(ids[k : k + 256]) // 4, zlib.crc32(ids[k : k + 256])] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == want
+    bins = defaultdict(list)
+    for r in packed:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for placed in bins.values():
+        assert [o for o, _ in sorted(placed)] == np.cumsum([0, *[n for _, n in sorted(placed)]])[:-1].tolist() and sum(n for _, n in placed) <= 64
+    dealt = sharding.shard(df, shards=3).collect()
+    assert Counter((r.doc_id, r.size) for r in dealt) == Counter((i, len(t or "") + 8) for i, t in rows)
+    assert sorted((r.shard, r.slot) for r in dealt) == sorted((p % 3, p // 3) for p in range(len(rows)))
+    assert Counter((r.doc_id, r.n_tokens) for r in bpe.digests(df).collect()) == Counter((i, len(model.encode(t)) // 4) for i, t in rows)
+    scores = defaultdict(set)
+    for r in quality.score(df.withColumn("score", df.doc_id)).collect():
+        scores[r.doc_id].add(r.score)
+    assert len(scores[1]) <= 2 and scores[2] == {0.0} and scores[None] == {0.0, max(scores[None])}
+    learned = spark.createDataFrame([(k, t, lang) for k in range(40) for t, lang in (("one two", "a"), ("one two", "b"))], "doc_id long, text string, lang string")
+    found = langid.identify(learned).collect()
+    assert {(r.lang_pred, r.score) for r in found} == {("a", 0.5)}  # equal likelihoods: the language that sorts first
+
+
+def test_filters_and_cuts_of_empty_tables(spark):
+    for keep in (quality.keep_good, langid.keep_identified, neardup.keep_one, suffixes.cut_repeats):
+        out = keep(empty(spark))
+        assert out.count() == 0 and out.columns == [c.split()[0] for c in DOCS.split(", ")]
