@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, neardup, packing, quality, sharding, suffixes, topk, warc
+from . import ann, bpe, langid, merkle, neardup, packing, quality, sharding, simhash, suffixes, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,65 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression of the unsigned CRC-32 of a text in ASCII, bit by bit (SQL has no such function)."""
+    bit = "lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    step = f"lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), {step}), 4294967295)"
+
+
+def merkle_sql(heights: int = 8) -> str:
+    """Levels one by one, up to 8^heights rows a group; the tree over groups likewise."""
+    counted = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(counted(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        f"""d AS (
+          SELECT doc_id, lang, {leaf("text")} AS leaf,
+            CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {leaf(lowered)} ELSE {leaf("text")} END AS tampered
+          FROM documents)""",
+        "g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS grp, count(*) AS size FROM d GROUP BY lang)",
+        """r AS (
+          SELECT d.*, grp, size, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank
+          FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang)""",
+        "a0 AS (SELECT grp, rank AS pos, size AS n, leaf AS digest FROM r)",
+    ]
+    climb = lambda below: f"SELECT grp, pos // 8 AS pos, (n + 7) // 8 AS n, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM {below} WHERE n > 1 GROUP BY grp, pos // 8, n"
+    for h in range(1, heights + 1):
+        ctes.append(f"a{h} AS ({climb(f'a{h - 1}')})")
+    ends = " UNION ALL ".join(f"SELECT grp, digest FROM a{h} WHERE n = 1" for h in range(heights + 1))
+    ctes += [f"s AS ({ends})", "b0 AS (SELECT 0 AS grp, grp AS pos, count(*) OVER () AS n, digest FROM s)"]
+    for h in range(1, heights + 1):
+        ctes.append(f"b{h} AS ({climb(f'b{h - 1}')})")
+    ctes.append("root AS (" + " UNION ALL ".join(f"SELECT digest AS root FROM b{h} WHERE n = 1" for h in range(heights + 1)) + ")")
+    ctes.append("p0 AS (SELECT r.*, s.digest AS subroot, root, tampered AS folded, '' AS proof, rank AS pos FROM r JOIN s USING (grp), root)")
+    last = "p0"
+    for tree, own in (("a", "grp"), ("b", "0")):
+        for h in range(heights):
+            if tree == "b" and h == 0:
+                ctes.append(f"q AS (SELECT * REPLACE (grp AS pos) FROM {last})")
+                last = "q"
+            name = f"p{tree}{h}"
+            side = lambda op: f"coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos {op} p.pos), '')"  # noqa: B023, E731
+            ctes.append(f"""{name}_f AS (
+              SELECT p.grp, p.pos, {side("<")} AS lo, {side(">")} AS hi
+              FROM (SELECT DISTINCT grp, pos FROM {last}) p JOIN {tree}{h} x ON x.grp = {"p.grp" if own == "grp" else 0} AND x.pos // 8 = p.pos // 8 AND x.n > 1 GROUP BY p.grp, p.pos)""")
+            ctes.append(f"""{name} AS (
+              SELECT p.* REPLACE (CASE WHEN f.lo IS NULL THEN folded ELSE sha256(lo || folded || hi) END AS folded, proof || coalesce(lo || hi, '') AS proof, p.pos // 8 AS pos)
+              FROM {last} p LEFT JOIN {name}_f f ON f.grp = p.grp AND f.pos = p.pos)""")
+            last = name
+    return f"""WITH {", ".join(ctes)}
+      SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM {last}"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -64,6 +123,8 @@ def queries() -> dict[str, Query]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_warc": op9_warc,
         "op10_bpe": op10_bpe,
+        "op12_simhash": op12_simhash,
+        "op13_merkle": op13_merkle,
     }
 
 
@@ -96,4 +157,5 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN original IS NOT NULL AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
               CASE WHEN original IS NOT NULL AND page_id <> original THEN original END AS refers_to
             FROM p LEFT JOIN o USING (digest)""",
+        "op13_merkle": merkle_sql(),
     }
