@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, merkle, neardup, packing, quality, sharding, simhash, suffixes, topk, warc
+from . import ann, bpe, langid, merkle, neardup, packing, quality, sharding, simhash, suffixes, topk, trie, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -123,6 +127,7 @@ def queries() -> dict[str, Query]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_warc": op9_warc,
         "op10_bpe": op10_bpe,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_simhash": op12_simhash,
         "op13_merkle": op13_merkle,
     }
@@ -157,5 +162,33 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN original IS NOT NULL AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
               CASE WHEN original IS NOT NULL AND page_id <> original THEN original END AS refers_to
             FROM p LEFT JOIN o USING (digest)""",
+        "op11_prefix_trie": f"""
+            WITH t AS (
+              SELECT conv_id, turn, coalesce(text, '') AS text, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+              FROM conversations WHERE conv_id IS NOT NULL),
+            o AS (
+              SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, digest) AS digests,
+                list(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) ORDER BY turn NULLS FIRST, digest) AS words
+              FROM t GROUP BY conv_id),
+            c AS (SELECT *, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM o),
+            r AS (
+              SELECT c.conv_id, list_concat(coalesce(b.digests[1:h], []), c.digests[h + 1:]) AS digests, list_concat(coalesce(b.words[1:h], []), c.words[h + 1:]) AS words
+              FROM c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 20),
+            p AS (
+              SELECT conv_id, depth, len(digests) AS n, md5(array_to_string(digests[1:depth], '')) AS prefix, CASE WHEN depth > 0 THEN words[depth] ELSE 0 END AS words
+              FROM (SELECT *, unnest(range(0, len(digests) + 1)) AS depth FROM r)),
+            v AS (
+              SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+              FROM p GROUP BY depth, prefix),
+            e AS (
+              SELECT v.depth, v.prefix, u.conv_id AS parent_conv_id, u.depth AS up_depth, u.prefix AS up_prefix
+              FROM v JOIN p ON p.conv_id = v.conv_id AND p.depth = v.depth - 1 JOIN v u ON u.depth = p.depth AND u.prefix = p.prefix),
+            k AS (SELECT up_depth AS depth, up_prefix AS prefix, count(*) AS n_children FROM e GROUP BY ALL),
+            w AS (SELECT v.*, parent_conv_id, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN e USING (depth, prefix) LEFT JOIN k USING (depth, prefix)),
+            s AS (
+              SELECT p.depth, p.prefix, count(*) FILTER (w.n_children = 0) AS n_leaves, CAST(sum(w.saved) AS BIGINT) AS saved_tokens
+              FROM w JOIN p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY p.depth, p.prefix)
+            SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM w JOIN s USING (depth, prefix)""",
         "op13_merkle": merkle_sql(),
     }
