@@ -14,6 +14,9 @@ from ..operators.refresh import Refreshed, refresh_changes
 from ..operators.scan import scan_actions, scan_cycle
 from ..sources import layouts as ly
 from ..sources import readers as rd
+from ..sources import versions as vs
+from ..streaming import jobs
+from ..streaming import keyed as ky
 from ..streaming import streams as st
 from .queries import ANALYZED, NOW, PUBLISHED, c, now, query, scalar, table
 
@@ -60,6 +63,14 @@ def a14(spark, sf_dir):
     return rd.read_snapshot(spark, path, 1)
 
 
+@query("A14_latest_pointer", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0")
+def a14_latest(spark, sf_dir):
+    path, o = shared_folder(spark, "versions"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    for part in (o, o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 3 = 0")):
+        vs.publish(part, path, keep=2)
+    return vs.read_latest(spark, path)
+
+
 @query("B06_qa_verdict", "SELECT CASE WHEN count_if(p_size > 49) > 0 THEN 'NO_OK' WHEN count_if(p_size > 40) > 0 THEN 'OK_CON_OBSERVACIONES' ELSE 'OK' END AS verdict FROM part")
 def b06(spark, sf_dir):
     findings = table(spark, sf_dir, "part").filter("p_size > 40").select(F.when(c("p_size") > 49, "CRITICO").otherwise("MENOR").alias("severity"))
@@ -98,17 +109,37 @@ def t02(spark, sf_dir):
     return spark.read.schema(first.schema).parquet(f"{path}/out")
 
 
-@query("T04_stream_changes", """WITH r AS (SELECT user_id, event_type, ts, min(value) AS new FROM events GROUP BY ALL),
+CHANGES = """WITH r AS (SELECT user_id, event_type, ts, min(value) AS new FROM events GROUP BY ALL),
   l AS (SELECT *, lag(new) OVER w AS old, row_number() OVER w = 1 AS first FROM r WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts))
-  SELECT user_id, event_type, ts, CASE WHEN first THEN 'added' ELSE 'modified' END AS kind, old, new FROM l WHERE first OR old IS DISTINCT FROM new""")
-def t04(spark, sf_dir):
+  SELECT user_id, event_type, ts, CASE WHEN first THEN 'added' ELSE 'modified' END AS kind, old, new FROM l WHERE first OR old IS DISTINCT FROM new"""
+DUE = """WITH n AS (SELECT date_trunc('second', max(ts)) AS now FROM events), i AS (SELECT user_id, date_trunc('second', max(ts)) AS checked FROM events GROUP BY user_id)
+  SELECT user_id FROM i, n WHERE epoch(checked) < epoch(now) - CASE WHEN abs(epoch(checked) + 86400 - epoch(now)) <= 172800 THEN 2700 ELSE 10800 END"""
+
+
+def _to_files(stream: DataFrame, path: str) -> DataFrame:
+    """Run a stream to its end into files in append mode."""
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table's files as a stream."""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+
+
+@query("T04_change_table", CHANGES)
+def t04_table(spark, sf_dir):
     path = _stream(spark, sf_dir, lambda p: st.change_table(p, ["user_id", "event_type"], "value", "ts"))
     return rd.read_snapshot(spark, f"{path}/changes", 0)
 
 
-@query("T05_stream_due", """WITH n AS (SELECT date_trunc('second', max(ts)) AS now FROM events), i AS (SELECT user_id, date_trunc('second', max(ts)) AS checked FROM events GROUP BY user_id)
-  SELECT user_id FROM i, n WHERE epoch(checked) < epoch(now) - CASE WHEN abs(epoch(checked) + 86400 - epoch(now)) <= 172800 THEN 2700 ELSE 10800 END""")
-def t05(spark, sf_dir):
+@query("T04_stream_changes", CHANGES.replace("min(value)", "CAST(min(CAST(value AS VARCHAR)) AS DOUBLE)"))
+def t04(spark, sf_dir):
+    return _to_files(ky.stream_changes(_events(spark, sf_dir), ["user_id", "event_type"], "value", "ts"), shared_folder(spark, "stream"))
+
+
+@query("T05_due_table", DUE)
+def t05_table(spark, sf_dir):
     def items() -> DataFrame:
         return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("checked")).withColumn("deadline", c("checked") + F.expr("INTERVAL 1 DAY"))
 
@@ -116,6 +147,35 @@ def t05(spark, sf_dir):
     return rd.read_snapshot(spark, f"{path}/due", 0).select("user_id")
 
 
+@query("T05_stream_due", """WITH n AS (SELECT epoch_ms(max(ts)) AS now FROM events), i AS (SELECT user_id, epoch_ms(max(ts)) AS checked FROM events GROUP BY user_id)
+  SELECT user_id, make_timestamp(1000 * (checked + 2700000)) AS due_at FROM i, n WHERE checked + 2700000 <= now""")
+def t05(spark, sf_dir):
+    timed = _events(spark, sf_dir).withColumn("ts", c("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
+    items = timed.withColumns({"checked": c("ts"), "deadline": c("ts") + F.expr("INTERVAL 1 DAY")}).select("user_id", "ts", "checked", "deadline")
+    return _to_files(ky.stream_due(items, ["user_id"], "checked", "deadline", watermark="ts"), shared_folder(spark, "stream"))
+
+
+@query("T06_daily_counts", """SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events
+  WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) GROUP BY 1, 2""")
+def t06_daily(spark, sf_dir):
+    return _to_files(ky.daily_counts(_events(spark, sf_dir), "ts", ["event_type"], "0 seconds"), shared_folder(spark, "stream"))
+
+
+@query("T01_run_sources", "SELECT event_type, user_id, max_by(value, ts) AS value FROM events GROUP BY ALL")
+def t01_sources(spark, sf_dir):
+    """A streaming query for each kind of event, each into its own table."""
+    path, like = shared_folder(spark, "stream"), table(spark, sf_dir, "events").select("user_id", F.lit("").alias("digest"), "value")
+    kinds = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().collect()]
+    events = _events(spark, sf_dir).withColumn("digest", F.sha2(c("value").cast("string"), 256))
+    apply = lambda name: st.upsert_table(f"{path}/{name}", ["user_id"], "digest", ["value"], [F.desc("ts")])
+    jobs.run_sources(spark, {k: events.filter(c("event_type") == k) for k in kinds}, apply, f"{path}/checkpoint")
+    out = None
+    for k in kinds:
+        own = st.read_table(like, f"{path}/{k}", 0).select(F.lit(k).alias("event_type"), "user_id", "value")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def _refreshed(spark: SparkSession, sf_dir: str) -> Refreshed:
     """Orders as watched items, their lines as documents; three of four are due, two of three have fresh rows, one of five is emptied."""
     k, hours = c("id"), lambda n: now() - F.expr(f"INTERVAL {n} HOURS")

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.feed import due_for_refresh, preferred, upsert_feed
 from ..sources.readers import read_snapshot, write_snapshot
+from ..sources.versions import delete, subfolders
 
 Batch = Callable[[DataFrame, int], None]
 BUCKETS = 64
@@ -47,17 +48,34 @@ def read_table(like: DataFrame, path: str, batch_id: int) -> DataFrame:
 
 
 def merge_into(rows: DataFrame, path: str, key: Sequence[str], batch_id: int, buckets: int, merge: Callable[[DataFrame, DataFrame], DataFrame], columns: Sequence[str]) -> None:
-    """Rewrite the buckets of ``rows`` as ``merge(old, rows)`` gives them; ``columns`` are the table's."""
+    """Rewrite the buckets of ``rows`` as ``merge(old, rows)`` gives them; ``columns`` are the table's.
+
+    Rows with a blank key take no part.  A bucket that ``merge`` leaves empty leaves the list.
+    """
     spark, bucket = rows.sparkSession, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("_bucket")
+    for k in key:
+        rows = rows.filter(F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != ""))
     before = _versions(spark, path, batch_id - 1)
     touched = [r[0] for r in rows.select(bucket).distinct().collect()]
     old = _read_buckets(rows.select(*columns), path, {b: before[b] for b in touched if b in before})
     merged = merge(old, rows).select(*columns, bucket)
     merged.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/v={batch_id}")
-    after = before | dict.fromkeys(touched, batch_id)
+    written = [int(name.removeprefix("_bucket=")) for name in subfolders(spark, f"{path}/data/v={batch_id}", "_bucket=")]
+    after = {b: v for b, v in before.items() if b not in touched} | dict.fromkeys(written, batch_id)
     write_snapshot(spark.createDataFrame(sorted(after.items()), "bucket int, v long"), f"{path}/list", batch_id)
 
 
+def drop_old_batches(spark: SparkSession, path: str, batch_id: int, keep: int = 1) -> list[str]:
+    """Delete what none of the last ``keep`` batches up to ``batch_id`` needs of a merged table; the names of the folders that went."""
+    lists = [v for v in sorted((int(x.removeprefix("v=")) for x in subfolders(spark, f"{path}/list", "v=")), reverse=True) if v <= batch_id]
+    needed = {v for n in lists[:keep] for v in _versions(spark, path, n).values()}
+    gone = [f"list/v={v}" for v in lists[keep:]]
+    gone += [f"data/{x}" for x in subfolders(spark, f"{path}/data", "v=") if int(x.removeprefix("v=")) not in needed and int(x.removeprefix("v=")) <= batch_id]
+    for name in gone:
+        delete(spark, f"{path}/{name}")
+    return gone
+
+
 def upsert_table(path: str, key: Sequence[str], digest: str, values: Sequence[str], order: Sequence[Column], buckets: int = BUCKETS) -> Batch:
     """For ``stream_upsert``: the feed at ``path`` (see ``read_table``) as of a batch has it merged in."""
     columns = [*key, digest, *values]
