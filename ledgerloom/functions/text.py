@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,11 +83,20 @@ def parse_prefix_ts(c: Column) -> Column:
 
 
 def int_or_zero(c: Column) -> Column:
-    return F.coalesce(F.when(F.trim(c).rlike("^[0-9]+$"), F.trim(c).try_cast("bigint")), F.lit(0))
+    """The digits of a text as one number, whatever stands between them; 0 without any, and for numbers beyond 64 bits."""
+    return F.coalesce(F.regexp_replace(c, r"\D", "").try_cast("bigint"), F.lit(0))
+
+
+NUMBER = r"^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+)?$"
 
 
 def float_or_zero(c: Column) -> Column:
-    return F.coalesce(F.regexp_replace(F.trim(c), ",", "").try_cast("double"), F.lit(0.0))
+    """A decimal number without its commas; ``nan`` and ``inf`` are numbers, a type's letter after the digits makes none."""
+    text = F.lower(F.replace(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(",")))
+    number = F.when(text.rlike(NUMBER), F.replace(text, F.lit("_")).try_cast("double"))
+    sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
+    odd = F.when(text.rlike(r"^[+-]?nan$"), F.lit(float("nan"))).when(text.rlike(r"^[+-]?inf(inity)?$"), sign * F.lit(float("inf")))
+    return F.coalesce(number, odd, F.lit(0.0))
 
 
 def nid_int(c: Column) -> Column:
@@ -216,8 +225,15 @@ def normalize_for_clustering(c: Column) -> Column:
     return F.trim(rewrite(c, CLUSTER_RULES))
 
 
+# Words that mark a page number, what must stand after them, and the word before the number of pages.
+PAGE_MARKS = (("p[aá]gina", r"\s+", "de"), ("p[aá]g\\.?", r"\s*", "de"), ("page", r"\s+", "of"), ("hoja", r"\s+", "de"), ("sheet", r"\s+", "of"))
+AROUND_MARK = r"[-–—\s]*"
+
+
 def is_page_number(c: Column) -> Column:
-    return fold_text(F.trim(c)).rlike(r"^(pagina|pag\.?|page|folio)\s*[0-9]+(\s*(de|of|/)\s*[0-9]+)?$")
+    """A mark with its number, and perhaps the number of pages, between dashes or blanks; a number alone is none."""
+    forms = "|".join(rf"{mark}{gap}\d+(\s+{of}\s+\d+)?" for mark, gap, of in PAGE_MARKS)
+    return F.coalesce(c.rlike(f"(?iU)^{AROUND_MARK}({forms}){AROUND_MARK}$"), F.lit(False))
 
 
 def slugify(c: Column, n: int = 60) -> Column:
@@ -311,8 +327,14 @@ def valid_bbox(box: Column) -> Column:
     return F.coalesce((F.size(box) == 4) & finite & (w >= 0.01) & (h >= 0.01) & (w * h <= 0.70), F.lit(False))
 
 
-def parse_json_list(c: Column, fields: Sequence[str]) -> Column:
-    """Objects of a JSON list as structs of strings; anything else in it goes, bad text gives []."""
-    schema = ", ".join(f"`{f}` string" for f in fields)
-    texts = F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
-    return F.transform(F.filter(texts, lambda x: x.startswith("{")), lambda x: F.from_json(x, schema))
+def parse_json_list(c: Column, fields: Sequence[str] | Mapping[str, str]) -> Column:
+    """Objects of a JSON list as structs of trimmed strings; anything else in it goes, bad text and other JSON give [].
+
+    ``fields`` may give each key the default that stands for it where it is missing or null, else the empty text.
+    """
+    defaults = dict(fields) if isinstance(fields, Mapping) else dict.fromkeys(fields, "")
+    parsed = F.try_parse_json(c)
+    items = F.coalesce(F.when(F.schema_of_variant(parsed).startswith("ARRAY"), parsed).cast("array<variant>"), F.array().cast("array<variant>"))
+    text = lambda x, f: F.trim(F.coalesce(F.try_variant_get(x, f"$['{f}']", "string"), F.lit(defaults[f])))
+    objects = F.filter(items, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
+    return F.transform(objects, lambda x: F.struct(*[text(x, f).alias(f) for f in defaults]))

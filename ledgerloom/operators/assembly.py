@@ -6,7 +6,7 @@ results (or one row of zeros where the result is a total).
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..sources.layouts import VALIDITY
 from . import corpus as cp
+from .chunks import close_gaps, holding, pack_chunks, tied
 from .ranking import materialise
 from .upkeep import blank, flag
 
@@ -80,37 +81,23 @@ def valid_line_ranges(sections: DataFrame, start: str = "line_start", end: str =
 
 def leaf_sections(sections: DataFrame, doc: str, tie: str) -> DataFrame:
     """Sections without chapters that others fill (level 1 or over 250 lines); of equal ranges the deepest."""
-    a, b = sections.alias("a"), sections.alias("b")
-    inside = (F.col(f"a.{doc}") == F.col(f"b.{doc}")) & (F.col("b.level") > F.col("a.level")) & (F.col("b.line_start") >= F.col("a.line_start")) & (F.col("b.line_end") <= F.col("a.line_end"))
-    large = (F.col("a.level") <= 1) | (F.col("a.line_end") - F.col("a.line_start") + 1 > 250)
-    kept = a.join(b, inside & large, "left_anti")
-    place = F.row_number().over(Window.partitionBy(doc, "line_start", "line_end").orderBy(F.desc("level"), tie))
-    return kept.withColumn("_n", place).filter("_n = 1").drop("_n")
+    large = (F.col("level") <= 1) | (F.col("line_end") - F.col("line_start") + 1 > 250)
+    return tied(holding(sections, doc, False, large), doc, [F.col(tie)])
 
 
-def close_gaps(chunks: DataFrame, doc: str, total: str, split: str | None = None) -> DataFrame:
-    """Chunks stretched over gaps from line 1 to ``total``; overlaps are trimmed unless ``split`` marks a forced cut.
+def chunk_documents(sections: DataFrame, doc: str, tie: str, target: int = 500, hard: int = 750, overlap: int = 50, totals: DataFrame | None = None) -> DataFrame:
+    """Valid leaf sections packed into chunks without gaps, with the lines that each document's chunks cover.
 
-    Ends depend only on the next start and starts only on the previous new end,
-    so two windows give the sequential result.
+    ``totals`` (doc, total): the lines of each document; without it a document ends
+    with its last section.  A document without sections becomes chunks of ``target``
+    lines.  Pieces of a forced cut (``split``) keep their overlap.
     """
-    w = Window.partitionBy(doc).orderBy("line_start", "line_end")
-    out = chunks.withColumn("_next", F.lead("line_start").over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    last = F.greatest("line_end", F.coalesce(F.col(total), F.lit(0)))
-    out = out.withColumn("_end", F.when(F.col("_next").isNull(), last).otherwise(F.greatest("line_end", F.col("_next") - 1)))
-    out = out.withColumn("_prev", F.lag("_end").over(w))
-    keep = flag(split) if split else F.lit(False)
-    start = F.when(F.col("_first"), F.least("line_start", F.lit(1))).when(keep & (F.col("line_start") <= F.col("_prev")), F.col("line_start")).otherwise(F.col("_prev") + 1)
-    return out.withColumns({"line_start": start, "line_end": F.col("_end")}).drop("_next", "_first", "_end", "_prev")
-
-
-def chunk_documents(sections: DataFrame, doc: str, tie: str, target: int = 500, hard: int = 750, overlap: int = 50) -> DataFrame:
-    """Valid leaf sections packed into chunks without gaps, with the lines that each document's chunks cover."""
     good = valid_line_ranges(sections)
-    totals = good.groupBy(doc).agg(F.max("line_end").alias("total"))
-    chunks = cp.pack_chunks(leaf_sections(good, doc, tie), doc, target, hard, overlap)
-    closed = close_gaps(chunks.join(totals, doc), doc, "total")
-    return closed.join(cp.coverage(closed, [doc], "line_start", "line_end"), doc, "left").select(doc, "chunk", "line_start", "line_end", "covered")
+    ends = good.groupBy(doc).agg(F.max("line_end").alias("_end"))
+    known = ends.withColumnRenamed("_end", "total") if totals is None else totals.select(doc, F.col("total").cast("long").alias("total"))
+    chunks = pack_chunks(leaf_sections(good, doc, tie), doc, target, hard, overlap, known)
+    closed = close_gaps(chunks.join(known, doc, "left"), doc, "total", "split")
+    return closed.join(cp.coverage(closed, [doc], "line_start", "line_end"), doc, "left").select(doc, "chunk", "line_start", "line_end", "split", "covered")
 
 
 def number_candidates(rows: DataFrame, item: str, accepted: Column, order: Sequence[Column]) -> DataFrame:
@@ -301,11 +288,12 @@ def clean_corpus(lines: DataFrame, noise: DataFrame, on: Sequence[str], doc: str
     return kept.groupBy(doc).agg(joined_in_order(F.col(line), [F.col(pos)], "\n").alias("body"))
 
 
-def assemble_markdown(chunks: DataFrame, doc: str, key: Sequence[str], pos: str, kind: str, text: str, drop: Sequence[str], glue: str = "\n\n---\n\n") -> DataFrame:
-    """(doc, body): the first chunk of each key, without the dropped kinds and blanks, joined by rules."""
+def assemble_markdown(chunks: DataFrame, doc: str, key: Sequence[str], pos: str, kind: str, text: str, drop: Sequence[str], glue: str = "\n\n---\n\n", rewrite: Callable[[Column], Column] = tx.fix_spacing, finish: Callable[[Column], Column] = tx.fix_ligatures) -> DataFrame:
+    """(doc, body): the first chunk of each key, without the dropped kinds and blanks, its spacing mended, joined by rules; ligatures are mended in the whole."""
     wanted = chunks.filter(~F.coalesce(F.col(kind), F.lit("")).isin(*drop) & ~blank(F.col(text)))
-    first = wanted.groupBy(doc, *key).agg(F.min_by(F.struct(F.col(pos).alias("p"), F.trim(text).alias("t")), F.col(pos)).alias("x"))
-    return first.groupBy(doc).agg(joined_in_order(F.col("x.t"), [F.col("x.p")], glue).alias("body"))
+    first = wanted.groupBy(doc, *key).agg(F.min_by(F.struct(F.col(pos).alias("p"), F.col(text).alias("t")), F.col(pos)).alias("x"))
+    ready = first.select(doc, F.col("x.p").alias("p"), rewrite(F.trim("x.t")).alias("t"))
+    return ready.groupBy(doc).agg(finish(joined_in_order(F.col("t"), [F.col("p")], glue)).alias("body"))
 
 
 def pick_section(sections: DataFrame, doc: str, pos: str, keywords: Sequence[str], most: int = 8000) -> DataFrame:
@@ -318,16 +306,33 @@ def pick_section(sections: DataFrame, doc: str, pos: str, keywords: Sequence[str
     return sections.groupBy(doc).agg(F.substring(F.coalesce(found, intro, F.lit("")), 1, most).alias("picked"))
 
 
-def validate_entries(entries: DataFrame, totals: DataFrame, doc: str, entry: str, most: int = 400) -> DataFrame:
-    """(doc, entry, error), one row an error: repeated id, bad range, end past the document, evidence missing or too long."""
+def validate_entries(entries: DataFrame, totals: DataFrame, doc: str, entry: str, most: int = 400, plan: DataFrame | None = None, read: DataFrame | None = None) -> DataFrame:
+    """(doc, entry, error), one row an error: repeated id, bad range, end past the document, evidence missing or too long.
+
+    ``plan`` (doc, line_start, line_end): the ranges that were to be read; a document
+    whose plan leaves lines of its total out has one error of its own (entry null), and,
+    with ``read`` (the same columns), every planned range that was not read has one.
+    """
     counts = entries.groupBy(doc, entry).agg(F.count("*").alias("_n"))
-    e = entries.join(counts, [doc, entry], "left").join(totals.select(doc, F.col("total").alias("_total")), doc, "left")
+    total = totals.groupBy(doc).agg(F.max("total").alias("_total"))
+    e = entries.join(counts, [doc, entry], "left").join(total, doc, "left")
     start, end = F.col("line_start"), F.col("line_end")
     errors = F.array(
         F.when(F.col("_n") > 1, "duplicate id"), F.when(start.isNull() | end.isNull() | (start > end), "bad range"), F.when(end > F.col("_total"), "past the end"),
         F.when(blank(F.col("evidence")), "no evidence").when(F.length("evidence") > most, "long evidence"),
     )
-    return e.select(doc, entry, F.explode(F.array_compact(errors)).alias("error"))
+    out = e.select(doc, entry, F.explode(F.array_compact(errors)).alias("error"))
+    if plan is None:
+        return out
+    whole = lambda df, error: df.select(doc, F.lit(None).cast(entries.schema[entry].dataType).alias(entry), error.alias("error"))
+    ranges = plan.select(doc, "line_start", "line_end").distinct()
+    inside = ranges.join(total, doc).select(doc, F.greatest("line_start", F.lit(1)).alias("line_start"), F.least("line_end", "_total").alias("line_end")).filter("line_start <= line_end")
+    covered = total.join(cp.coverage(inside, [doc], "line_start", "line_end"), doc, "left")
+    out = out.unionByName(whole(covered.filter("coalesce(covered, 0) < _total"), F.lit("plan leaves lines out")))
+    if read is None:
+        return out
+    missing = ranges.join(read.select(doc, "line_start", "line_end").distinct(), [doc, "line_start", "line_end"], "left_anti")
+    return out.unionByName(whole(missing, F.concat_ws(" ", F.lit("not read:"), F.concat_ws("-", "line_start", "line_end"))))
 
 
 def entry_report(entries: DataFrame, doc: str, phase: str, order: str, text: str) -> DataFrame:

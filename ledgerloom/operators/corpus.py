@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import holding, pack_chunks  # noqa: F401  packing is an operator on sections too
 from .ranking import materialise
 
 
@@ -29,11 +30,16 @@ def repeated_lines(lines: DataFrame, group: str, page: str, norm: str, threshold
 
 
 def page_repeats(pages: DataFrame, group: str, text: str, clean: Callable[[Column], Column], threshold: float, min_pages: int) -> DataFrame:
-    """``repeated_lines`` of whole pages, one row a page: lines are made distinct inside the page, so plain counts suffice."""
-    own = pages.select(group, F.array_distinct(F.transform(long_lines(F.col(text)), clean)).alias("_norms")).filter(F.size("_norms") > 0)
-    totals = own.groupBy(group).agg(F.count("*").alias("total"))
-    counts = own.select(group, F.explode("_norms").alias("norm")).groupBy(group, "norm").agg(F.count("*").alias("pages"))
-    return counts.join(totals, group).filter((F.col("pages") >= min_pages) & (F.col("pages") >= threshold * F.col("total")))
+    """``repeated_lines`` of whole pages, one row a page: lines are made distinct inside the page, so plain counts suffice.
+
+    Each page also counts once under a null line, which gives the pages of its group in
+    the same pass.  A line of the group is compared with that total by a join of the counts, not of the lines.
+    """
+    norms = F.array_distinct(F.transform(long_lines(F.col(text)), clean))
+    lines = pages.select(group, norms.alias("_norms")).filter(F.size("_norms") > 0).select(group, F.explode(F.concat("_norms", F.array(F.lit(None).cast("string")))).alias("norm"))
+    counts = materialise(lines.groupBy(group, "norm").agg(F.count("*").alias("pages")).filter((F.col("pages") >= min_pages) | F.col("norm").isNull()), "line-counts")
+    totals = counts.filter("norm IS NULL").select(group, F.col("pages").alias("total"))
+    return counts.filter("norm IS NOT NULL").join(totals, group).filter(F.col("pages") >= threshold * F.col("total"))
 
 
 def line_report(lines: DataFrame, groups: Sequence[str], page: str, norm: str, line: str, page_number: Column, threshold: float, min_pages: int, samples: int = 3, pages: int = 10) -> DataFrame:
@@ -91,9 +97,7 @@ def coverage(ranges: DataFrame, groups: Sequence[str], start: str, end: str) ->
 
 def range_contains(sections: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Sections that hold a deeper section of the same document."""
-    a, b = sections.alias("a"), sections.alias("b")
-    inside = (F.col(f"a.{doc}") == F.col(f"b.{doc}")) & (F.col("b.level") > F.col("a.level")) & (F.col("b.line_start") >= F.col("a.line_start")) & (F.col("b.line_end") <= F.col("a.line_end"))
-    return a.join(b, inside, "left_semi")
+    return holding(sections, doc, True)
 
 
 def multi_counts(df: DataFrame, dims: Sequence[str]) -> DataFrame:
@@ -154,10 +158,11 @@ def ancestors(tree: DataFrame, item: str = "item_id", parent: str = "parent_id")
 
     Pointers are doubled: after round k every pair up to a distance of 2^k is
     known, so a tree of depth d takes log2(d) written rounds.  In a cycle of parents an item is its own
-    ancestor once, at distance 0.
+    ancestor once, at distance 0.  Repeated rows count once.
     """
     spark = tree.sparkSession
-    jump = materialise(tree.filter(F.col(parent).isNotNull()).select(F.col(item).alias("_from"), F.col(parent).alias("_to"), F.lit(1).cast("long").alias("_step")), "jump")
+    edges = tree.filter(F.col(parent).isNotNull()).select(F.col(item).alias("_from"), F.col(parent).alias("_to"), F.lit(1).cast("long").alias("_step"))
+    jump = materialise(edges.distinct(), "jump")
     known = tree.select(F.col(item).alias("item_id"), F.col(item).alias("source"), F.lit(0).cast("long").alias("distance")).distinct()
     exists = tree.select(F.col(item).alias("_to")).distinct()
     count = -1
@@ -166,7 +171,7 @@ def ancestors(tree: DataFrame, item: str = "item_id", parent: str = "parent_id")
         further = jump.join(known.withColumnRenamed("item_id", "_to"), "_to").select(F.col("_from").alias("item_id"), "source", (F.col("_step") + F.col("distance")).alias("distance"))
         known = materialise(known.unionByName(further).groupBy("item_id", "source").agg(F.min("distance").alias("distance")), "known")
         onward = jump.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"), F.col("_step").alias("_more"))
-        jump = materialise(jump.join(onward, "_to").select("_from", F.col("_next").alias("_to"), (F.col("_step") + F.col("_more")).alias("_step")).join(exists, "_to", "left_semi"), "jump")
+        jump = materialise(jump.join(onward, "_to").select("_from", F.col("_next").alias("_to"), (F.col("_step") + F.col("_more")).alias("_step")).join(exists, "_to", "left_semi").distinct(), "jump")
     return spark.createDataFrame([], known.schema).unionByName(known)
 
 
@@ -279,40 +284,6 @@ def split_sections(docs: DataFrame, doc: str, text: str, heading: str) -> DataFr
     return lines.groupBy(doc, "section").agg(F.coalesce(F.max(F.when(F.col("_head"), F.lower("line"))), F.lit("_intro")).alias("title"), body.alias("body"))
 
 
-def pack_chunks(sections: DataFrame, doc: str, target: int = 500, hard: int = 750, overlap: int = 50) -> DataFrame:
-    """Greedy packing of a document's sections in line order into chunks; oversize ones are cut with an overlap.
-
-    Sequential by nature, so a group of pandas rows a document.
-    """
-
-    def chunks(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held = [], None
-        for a, b in pdf.sort_values(["line_start", "line_end"])[["line_start", "line_end"]].itertuples(index=False):
-            if b - a + 1 > hard:
-                if held:
-                    out.append(held)
-                    held = None
-                while True:
-                    end = min(a + target - 1, b)
-                    out.append((a, end))
-                    if end == b:
-                        break
-                    a = max(end - overlap + 1, a + 1)
-                continue
-            if held:
-                proposed = b - held[0] + 1
-                if proposed > hard or held[1] - held[0] + 1 >= 0.75 * target and proposed > target:
-                    out.append(held)
-                    held = None
-            held = (held[0], max(b, held[1])) if held else (a, b)
-        if held:
-            out.append(held)
-        return pd.DataFrame([(pdf[doc].iloc[0], k, a, b) for k, (a, b) in enumerate(out, 1)], columns=[doc, "chunk", "line_start", "line_end"])
-
-    kind = sections.schema[doc].dataType.simpleString()
-    return sections.select(doc, "line_start", "line_end").groupBy(doc).applyInPandas(chunks, f"{doc} {kind}, chunk int, line_start long, line_end long")
-
-
 def rescue_json_objects(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, place, object): every complete top-level object of a list that may be cut off."""
     import json

@@ -49,10 +49,12 @@ def by_status(feed: DataFrame, statuses: Sequence[str], regime: str = "all") ->
     return out if regime == "all" else out.filter(F.col("promoted_at").isNull() if regime == "feed_pure" else F.col("promoted_at").isNotNull())
 
 
-def due_for_refresh(df: DataFrame, now: Column, checked: str, deadline: str, base_s: int = 10_800, urgent_s: int = 2_700, horizon_s: int = 172_800) -> DataFrame:
-    """Never checked, or checked longer ago than the item's patience, which is short near a deadline."""
+def due_for_refresh(df: DataFrame, now: Column, checked: str, deadline: str | Sequence[str], base_s: int = 10_800, urgent_s: int = 2_700, horizon_s: int = 172_800) -> DataFrame:
+    """Never checked, or checked longer ago than the item's patience, which is short near any of its deadlines, before or after it."""
     seconds = lambda c: F.unix_timestamp(c)
-    near = F.coalesce(F.abs(seconds(F.col(deadline)) - seconds(now)) <= horizon_s, F.lit(False))
+    near = F.lit(False)
+    for d in [deadline] if isinstance(deadline, str) else deadline:
+        near = near | F.coalesce(F.abs(seconds(F.col(d)) - seconds(now)) <= horizon_s, F.lit(False))
     patience = F.when(near, urgent_s).otherwise(base_s)
     return df.filter(F.col(checked).isNull() | (seconds(F.col(checked)) < seconds(now) - patience))
 
@@ -97,12 +99,20 @@ def append_rank(listed: DataFrame, arrivals: DataFrame, groups: Sequence[str], r
     return placed.withColumn(rank, F.coalesce("_last", F.lit(0)) + F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).drop("_last")
 
 
-def upsert_decisions(decisions: DataFrame, new: DataFrame) -> DataFrame:
-    """Next decisions; an exemption is never overwritten by a rejection."""
+def upsert_decisions(decisions: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Next decisions, one row a (tenant, item); an exemption is never overwritten by a rejection.
+
+    New rows that repeat a key count in ``order``, each upon what those before it left:
+    the last one, or, if that is a rejection, an exemption that only rejections follow.
+    Without ``order``, and for ties, the greater decision counts as the later.
+    """
     key = ["tenant_id", "feed_item_id"]
-    joined = decisions.select(*key, "decision").join(new.select(*key, F.col("decision").alias("_new")), key, "full_outer")
-    kept = (F.col("decision") == "exempt") & (F.col("_new") == REJECTED)
-    return joined.select(*key, F.when(kept, F.col("decision")).otherwise(F.coalesce("_new", "decision")).alias("decision"))
+    place = F.struct(F.lit(0) if order is None else F.col(order), F.col("decision"))
+    other = F.col("decision") != REJECTED
+    last = new.groupBy(*key).agg(F.max_by("decision", place).alias("_last"), F.max_by("decision", F.when(other, place)).alias("_other"))
+    joined = decisions.select(*key, "decision").join(last, key, "full_outer")
+    kept = F.coalesce("_other", "decision") == "exempt"
+    return joined.select(*key, F.when((F.col("_last") == REJECTED) & kept, "exempt").otherwise(F.coalesce("_last", "decision")).alias("decision"))
 
 
 def promote(feed: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
@@ -165,8 +175,13 @@ def upsert_feed(feed: DataFrame, snapshot: DataFrame, key: Sequence[str], digest
     return nxt, joined.select(*key, "action")
 
 
-def sync_catalog(known: DataFrame, rows: DataFrame, key: str, values: Sequence[str], active: str) -> DataFrame:
-    """Known keys take non-blank values; unknown active ones come in; nothing is deleted."""
+def sync_catalog(known: DataFrame, rows: DataFrame, key: str, values: Sequence[str], active: str, order: str | None = None) -> DataFrame:
+    """Known keys take non-blank values; unknown active ones come in; nothing is deleted.
+
+    Of rows that repeat a key the last in ``order`` counts; without it, and for ties, the greatest values.
+    """
+    place = F.struct(F.lit(0) if order is None else F.col(order), F.col(active), *values)
+    rows = rows.groupBy(key).agg(F.max_by(F.struct(*values, active), place).alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in [*values, active]])
     a = known.select(key, *[F.col(v).alias(f"_o_{v}") for v in values], F.lit(True).alias("_known"))
     b = rows.select(key, *[F.col(v).alias(f"_n_{v}") for v in values], F.col(active).alias("_active"), F.lit(True).alias("_seen"))
     joined = a.join(b, key, "full_outer").filter(F.col("_known").isNotNull() | F.col("_active"))

@@ -66,14 +66,20 @@ def w12(spark, sf_dir):
     return am.close_gaps(s, "conv_id", "total", "cut").select("conv_id", "turn", "line_start", "line_end")
 
 
-@query("D05_chunk_documents", f"""WITH RECURSIVE {LEAF_SQL}, {packed_sql('leaf')}, totals AS (SELECT doc_id, CAST(max(line_end) AS BIGINT) AS total FROM s WHERE line_start > 0 AND line_end >= line_start GROUP BY doc_id),
-  e AS (SELECT *, row_number() OVER w AS k, lead(line_start) OVER w AS nx FROM packed JOIN totals USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY line_start, line_end)),
+CHUNK_SQL = f"""{LEAF_SQL.replace("leaf AS (SELECT * FROM l", "leaf AS (SELECT * FROM l WHERE doc_id % 7 > 0")},
+  {packed_sql("leaf")}, totals AS (SELECT conv_id AS doc_id, CAST(sum(length(text)) + 7 AS BIGINT) AS total FROM conversations GROUP BY conv_id),
+  bare AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) AS INTEGER) AS chunk, a AS line_start, least(a + 499, total) AS line_end, FALSE AS split
+    FROM (SELECT *, unnest(range(1, total + 1, 500)) AS a FROM totals) WHERE doc_id NOT IN (SELECT doc_id FROM packed)),
+  e AS (SELECT *, row_number() OVER w AS k, lead(line_start) OVER w AS nx FROM (SELECT * FROM packed UNION ALL SELECT * FROM bare) JOIN totals USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY line_start, line_end)),
   f AS (SELECT *, greatest(line_end, coalesce(nx - 1, total)) AS fb FROM e), g AS (SELECT *, lag(fb) OVER (PARTITION BY doc_id ORDER BY k) AS pv FROM f),
-  h AS (SELECT doc_id, chunk, k, CASE WHEN pv IS NULL THEN least(line_start, 1) ELSE pv + 1 END AS a, fb AS b FROM g),
-  v AS (SELECT *, greatest(b - greatest(coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a - 1), a - 1), 0) AS fresh FROM h)
-  SELECT doc_id, chunk, a AS line_start, b AS line_end, CAST(sum(fresh) OVER (PARTITION BY doc_id) AS BIGINT) AS covered FROM v""")
+  h AS (SELECT doc_id, chunk, k, split, CASE WHEN pv IS NULL THEN least(line_start, 1) WHEN split AND line_start <= pv THEN line_start ELSE pv + 1 END AS a, fb AS b FROM g),
+  v AS (SELECT *, greatest(b - greatest(coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a - 1), a - 1), 0) AS fresh FROM h)"""
+
+
+@query("D05_chunk_documents", f"WITH RECURSIVE {CHUNK_SQL} SELECT doc_id, chunk, a AS line_start, b AS line_end, split, CAST(sum(fresh) OVER (PARTITION BY doc_id) AS BIGINT) AS covered FROM v")
 def d05(spark, sf_dir):
-    return am.chunk_documents(_nested(spark, sf_dir), "doc_id", "turn")
+    totals = table(spark, sf_dir, "conversations").groupBy(c("conv_id").alias("doc_id")).agg((F.sum(F.length("text")) + 7).alias("total"))
+    return am.chunk_documents(_nested(spark, sf_dir).filter("doc_id % 7 > 0"), "doc_id", "turn", totals=totals)
 
 
 @query("W14_number_candidates", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_returnflag <> 'R' THEN CAST(row_number() OVER (PARTITION BY l_orderkey, l_returnflag <> 'R' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) ELSE 0 END AS number FROM lineitem")
@@ -142,9 +148,11 @@ def d01(spark, sf_dir):
     return am.clean_corpus(lines, noise, ["source", "norm"], "doc_id", "pos", "line", c("line").rlike("^[0-9]+$")).select("doc_id", F.md5("body").alias("body"))
 
 
-@query("D02_assemble_markdown", "WITH f AS (SELECT conv_id, text, min(turn) AS p FROM conversations WHERE role <> 'system' AND trim(text) <> '' GROUP BY ALL) SELECT conv_id, md5(string_agg(trim(text), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY p)) AS body FROM f GROUP BY conv_id")
+@query("D02_assemble_markdown", """WITH f AS (SELECT conv_id, text, min(turn) AS p FROM conversations WHERE role <> 'system' AND trim(text) <> '' GROUP BY ALL)
+  SELECT conv_id, md5(string_agg('x' || chr(10) || chr(10) || '# ' || trim(text) || ' offin', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY p)) AS body FROM f GROUP BY conv_id""")
 def d02(spark, sf_dir):
-    out = am.assemble_markdown(table(spark, sf_dir, "conversations"), "conv_id", ["text"], "turn", "role", "text", ["system"])
+    marked = table(spark, sf_dir, "conversations").withColumn("text", F.when(F.trim("text") != "", F.concat(F.lit("x# "), F.trim("text"), F.lit(" o\ufb00in "))))
+    out = am.assemble_markdown(marked, "conv_id", ["text"], "turn", "role", "text", ["system"])
     return out.select("conv_id", F.md5("body").alias("body"))
 
 
@@ -155,11 +163,16 @@ def d04(spark, sf_dir):
 
 
 @query("D06_validate_entries", """WITH e AS (SELECT conv_id, turn // 2 AS entry, length(text) % 50 AS a, 40 AS b, CASE WHEN turn % 5 > 0 THEN text END AS v FROM conversations), n AS (SELECT *, count(*) OVER (PARTITION BY conv_id, entry) AS n FROM e)
-  SELECT conv_id, entry, 'duplicate id' AS error FROM n WHERE n > 1 UNION ALL SELECT conv_id, entry, 'bad range' FROM n WHERE a > b UNION ALL SELECT conv_id, entry, 'past the end' FROM n WHERE b > conv_id % 60 UNION ALL SELECT conv_id, entry, CASE WHEN coalesce(trim(v), '') = '' THEN 'no evidence' ELSE 'long evidence' END FROM n WHERE coalesce(trim(v), '') = '' OR length(v) > 400""")
+  SELECT conv_id, entry, 'duplicate id' AS error FROM n WHERE n > 1 UNION ALL SELECT conv_id, entry, 'bad range' FROM n WHERE a > b UNION ALL SELECT conv_id, entry, 'past the end' FROM n WHERE b > conv_id % 60
+  UNION ALL SELECT conv_id, entry, CASE WHEN coalesce(trim(v), '') = '' THEN 'no evidence' ELSE 'long evidence' END FROM n WHERE coalesce(trim(v), '') = '' OR length(v) > 400
+  UNION ALL SELECT conv_id, NULL, 'plan leaves lines out' FROM conversations WHERE conv_id % 60 > 0 GROUP BY conv_id HAVING 10 * count(DISTINCT turn) FILTER (turn % 3 > 0 AND 10 * turn + 10 <= conv_id % 60) + count(DISTINCT turn) FILTER (turn % 3 > 0 AND 10 * turn < conv_id % 60 AND 10 * turn + 10 > conv_id % 60) * (conv_id % 10) < conv_id % 60
+  UNION ALL SELECT DISTINCT conv_id, NULL, 'not read: ' || (10 * turn + 1) || '-' || (10 * turn + 10) FROM conversations WHERE turn % 3 = 1""")
 def d06(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
     entries = conv.select("conv_id", F.expr("turn div 2").alias("entry"), (F.length("text") % 50).alias("line_start"), F.lit(40).alias("line_end"), F.when(c("turn") % 5 > 0, c("text")).alias("evidence"))
-    return am.validate_entries(entries, conv.select("conv_id", (c("conv_id") % 60).alias("total")).distinct(), "conv_id", "entry")
+    plan = conv.filter("turn % 3 > 0").select("conv_id", (10 * c("turn") + 1).alias("line_start"), (10 * c("turn") + 10).alias("line_end"))
+    read = plan.filter("line_start % 30 <> 11")
+    return am.validate_entries(entries, conv.select("conv_id", (c("conv_id") % 60).alias("total")), "conv_id", "entry", plan=plan, read=read)
 
 
 @query("D07_entry_report", "WITH p AS (SELECT conv_id, CASE WHEN turn % 3 = 0 THEN 'unclear' ELSE role END AS phase, string_agg('- ' || text, chr(10) ORDER BY turn) AS b FROM conversations GROUP BY ALL) SELECT conv_id, md5(string_agg('## ' || phase || chr(10) || b, chr(10) ORDER BY phase)) AS report FROM p GROUP BY conv_id")

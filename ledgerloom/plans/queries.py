@@ -63,8 +63,24 @@ scalar("E05_parse_local_ts", "orders", "o_orderkey", lambda: tx.parse_local_ts(F
 scalar("E06_parse_ddmmyy", "orders", "o_orderkey", lambda: tx.parse_ddmmyy(F.date_format("o_orderdate", "dd/MM/yy")), "CAST(o_orderdate AS DATE)")
 scalar("E07_default_since", "orders", "o_orderkey", lambda: tx.default_since(F.to_date("o_orderdate")), "CAST(CAST(o_orderdate AS DATE) - INTERVAL 12 MONTH AS DATE)")
 scalar("E08_parse_prefix_ts", "events", "event_id", lambda: tx.parse_prefix_ts(F.concat(F.date_format("ts", "dd/MM/yyyy HH:mm:ss"), F.lit(" tail"))), "date_trunc('second', ts)")
-scalar("E09_int_or_zero", "part", "p_partkey", lambda: tx.int_or_zero(F.when(c("p_size") % 3 == 0, F.lit("n/a")).otherwise(c("p_size").cast("string"))), "CAST(CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size END AS BIGINT)")
-scalar("E09_float_or_zero", "part", "p_partkey", lambda: tx.float_or_zero(F.when(c("p_size") % 3 == 0, F.lit("n/a")).otherwise(F.format_number("p_retailprice", 2))), "CASE WHEN p_size % 3 = 0 THEN 0.0 ELSE round(p_retailprice, 2) END")
+_DIRTY = """CASE p_partkey % 6 WHEN 0 THEN 'n/a' WHEN 1 THEN p_size || ',2' || p_size || ' a' WHEN 2 THEN ' ' || p_size || 'd' WHEN 3 THEN '-' || p_size || '.50' WHEN 4 THEN p_size || 'e2' ELSE NULL END"""
+
+
+def _dirty() -> Column:
+    """Numbers as people write them, and what only looks like one."""
+    k, n = c("p_partkey") % 6, c("p_size").cast("string")
+    forms = [F.lit("n/a"), F.concat(n, F.lit(",2"), n, F.lit(" a")), F.concat(F.lit(" "), n, F.lit("d")), F.concat(F.lit("-"), n, F.lit(".50")), F.concat(n, F.lit("e2"))]
+    out = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        out = F.when(k == i, form).otherwise(out)
+    return out
+
+
+scalar("E09_int_or_zero", "part", "p_partkey", lambda: tx.int_or_zero(_dirty()), f"coalesce(CAST(nullif(regexp_replace({_DIRTY}, '[^0-9]', '', 'g'), '') AS BIGINT), 0)")
+scalar(
+    "E09_float_or_zero", "part", "p_partkey", lambda: tx.float_or_zero(F.when(c("p_size") % 5 == 0, F.format_number("p_retailprice", 2)).otherwise(_dirty())),
+    "CASE WHEN p_size % 5 = 0 THEN round(p_retailprice, 2) WHEN p_partkey % 6 = 3 THEN -p_size - 0.5 WHEN p_partkey % 6 = 4 THEN 100.0 * p_size ELSE 0.0 END",
+)
 scalar("E10_nid_advances", "orders", "o_orderkey", lambda: tx.nid_advances(F.when(c("o_orderkey") % 5 == 0, F.lit("-")).otherwise(c("o_custkey").cast("string")), c("o_orderkey").cast("string")), "CASE WHEN o_orderkey % 5 = 0 THEN TRUE ELSE o_orderkey > o_custkey END")
 scalar("E11_extract_year", "orders", "o_orderkey", lambda: tx.extract_year(F.concat(F.lit("LP-1-"), F.date_format("o_orderdate", "yyyy")), F.lit(1900)), "CASE WHEN year(o_orderdate) >= 2000 THEN CAST(year(o_orderdate) AS INTEGER) ELSE 1900 END")
 scalar("E12_clean_stage", "part", "p_partkey", lambda: tx.remove_phrases(F.concat(c("p_type"), F.lit(" (SEE Notes)  "), c("p_brand")), ["(see notes)", "n/d"]), "trim(regexp_replace(p_type || '   ' || p_brand, '\\s+', ' ', 'g'))")
@@ -110,7 +126,17 @@ scalar(
     "md5('caso.' || chr(10) || chr(10) || '1.2. ALCANCE' || chr(10) || chr(10) || 'La obra' || chr(10) || chr(10) || 'ANEXO x' || chr(10) || chr(10) || '# y' || md5(text))",
 )
 scalar("E21_normalize_for_clustering", "documents", "doc_id", lambda: F.md5(tx.normalize_for_clustering(c("text"))), "md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}', 'DATE', 'g'), '[0-9]{1,2}:[0-9]{2}', 'TIME', 'g'), '[0-9]{1,4}', 'N', 'g')))")
-scalar("E22_is_page_number", "part", "p_partkey", lambda: tx.is_page_number(F.when(c("p_partkey") % 2 == 0, F.concat(F.lit("Página "), c("p_size").cast("string"), F.lit(" de 99"))).otherwise(c("p_name"))), "p_partkey % 2 = 0")
+_MARKS = ["Página {} de 99", "Hoja {} de 9", "Sheet {} of 9", "- Página {} -", "pág.{}", "PAGE {}", "folio {}", "{}", "page {} de 9", "Hoja {} x", "– PÁG {} —"]  # the first six and the last are page numbers
+
+
+def _mark() -> Column:
+    out = F.lit(None).cast("string")
+    for i, form in enumerate(_MARKS):
+        out = F.when(c("p_partkey") % 12 == i, F.format_string(form.replace("{}", "%s"), c("p_size").cast("string"))).otherwise(out)
+    return out
+
+
+scalar("E22_is_page_number", "part", "p_partkey", lambda: tx.is_page_number(_mark()), "p_partkey % 12 < 6 OR p_partkey % 12 = 10")
 scalar("E23_slugify", "part", "p_partkey", lambda: tx.slugify(c("p_name"), 20), "substr(replace(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ', '_'), 1, 20)")
 scalar("E24_format_ts", "events", "event_id", lambda: tx.format_ts(F.when(c("event_id") % 3 == 0, F.lit("soon")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")), "America/Lima"), "CASE WHEN event_id % 3 = 0 THEN 'soon' ELSE strftime(ts - INTERVAL 5 HOUR, '%d/%m/%Y %H:%M') END")
 scalar("E26_row_hash", "part", "p_partkey", lambda: tx.row_hash(c("p_name"), c("p_brand"), c("p_size")), "sha256(p_name || chr(1) || p_brand || chr(1) || p_size)")
@@ -207,10 +233,14 @@ def f06(spark, sf_dir):
 
 
 @query("F07_due_for_refresh", f"""SELECT event_id FROM events WHERE CASE WHEN event_id % 11 = 0 THEN TRUE ELSE
-  epoch(date_trunc('second', ts)) < epoch(TIMESTAMP '{NOW}') - CASE WHEN abs(epoch(date_trunc('second', ts + INTERVAL 1 DAY)) - epoch(TIMESTAMP '{NOW}')) <= 172800 THEN 2700 ELSE 10800 END END""")
+  epoch(date_trunc('second', ts)) < epoch(TIMESTAMP '{NOW}') - CASE WHEN abs(epoch(date_trunc('second', ts + INTERVAL 1 DAY)) - epoch(TIMESTAMP '{NOW}')) <= 172800
+    OR event_id % 5 = 0 AND abs(epoch(date_trunc('second', ts - INTERVAL 90 DAY)) - epoch(TIMESTAMP '{NOW}')) <= 172800 THEN 2700 ELSE 10800 END END""")
 def f07(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.when(c("event_id") % 11 != 0, c("ts")).alias("checked"), (c("ts") + F.expr("INTERVAL 1 DAY")).alias("deadline"))
-    return fd.due_for_refresh(e, now(), "checked", "deadline").select("event_id")
+    e = table(spark, sf_dir, "events").select(
+        "event_id", F.when(c("event_id") % 11 != 0, c("ts")).alias("checked"), (c("ts") + F.expr("INTERVAL 1 DAY")).alias("deadline"),
+        F.when(c("event_id") % 5 == 0, c("ts") - F.expr("INTERVAL 90 DAY")).alias("queries"),
+    )
+    return fd.due_for_refresh(e, now(), "checked", ["queries", "deadline"]).select("event_id")
 
 
 @query("F08_stale", f"SELECT event_id FROM events WHERE epoch(date_trunc('second', ts)) < epoch(TIMESTAMP '{NOW}') - 86400")
@@ -313,11 +343,15 @@ def m01(spark, sf_dir):
     return nxt.join(actions, key).select(*key, "action", "value")
 
 
-@query("M03_upsert_decisions", f"""WITH {DECISIONS_SQL}, new AS (SELECT 't1' AS tenant_id, o_orderkey AS feed_item_id, 'autorejected' AS decision FROM orders WHERE o_orderkey % 5 = 0)
-  SELECT tenant_id, feed_item_id, CASE WHEN d.decision = 'exempt' THEN 'exempt' ELSE coalesce(new.decision, d.decision) END AS decision FROM decisions d FULL JOIN new USING (tenant_id, feed_item_id)""")
+@query("M03_upsert_decisions", f"""WITH {DECISIONS_SQL}, raw AS (SELECT 't1' AS tenant_id, l_orderkey AS feed_item_id, l_linenumber AS n,
+    CASE WHEN (l_orderkey + l_linenumber) % 4 = 0 THEN 'exempt' WHEN l_linenumber % 3 = 0 THEN 'pending' ELSE 'autorejected' END AS decision FROM lineitem WHERE l_orderkey % 5 = 0),
+  new AS (SELECT tenant_id, feed_item_id, max_by(decision, n) AS last, max_by(decision, n) FILTER (decision <> 'autorejected') AS other FROM raw GROUP BY ALL)
+  SELECT tenant_id, feed_item_id, CASE WHEN last = 'autorejected' AND coalesce(other, d.decision) = 'exempt' THEN 'exempt' ELSE coalesce(last, d.decision) END AS decision FROM decisions d FULL JOIN new USING (tenant_id, feed_item_id)""")
 def m03(spark, sf_dir):
-    new = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select(F.lit("t1").alias("tenant_id"), c("o_orderkey").alias("feed_item_id"), F.lit(fd.REJECTED).alias("decision"))
-    return fd.upsert_decisions(decisions(spark, sf_dir), new)
+    line, item = c("l_linenumber"), c("l_orderkey")
+    decision = F.when((item + line) % 4 == 0, "exempt").when(line % 3 == 0, "pending").otherwise(fd.REJECTED)
+    new = table(spark, sf_dir, "lineitem").filter("l_orderkey % 5 = 0").select(F.lit("t1").alias("tenant_id"), item.alias("feed_item_id"), line.alias("n"), decision.alias("decision"))
+    return fd.upsert_decisions(decisions(spark, sf_dir), new, "n")
 
 
 @query("M04_promote", f"WITH {FEED_SQL} SELECT id, coalesce(promoted_at, CASE WHEN id % 3 = 0 THEN TIMESTAMP '{NOW}' END) AS promoted_at FROM feed")
@@ -326,13 +360,17 @@ def m04(spark, sf_dir):
     return fd.promote(items, items.filter("id % 3 = 0").select("id"), now()).select("id", "promoted_at")
 
 
-@query("M06_sync_catalog", """WITH k AS (SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0), r AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE upper(s_name) END AS name, s_acctbal > 0 AS active FROM supplier WHERE s_suppkey % 5 <> 0)
+@query("M06_sync_catalog", """WITH k AS (SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0),
+  r AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 4 = 1 THEN lower(s_name) ELSE upper(s_name) END AS name, CASE WHEN s_suppkey % 4 = 1 THEN s_acctbal < 5000 ELSE s_acctbal > 0 END AS active FROM supplier WHERE s_suppkey % 5 <> 0)
   SELECT id, coalesce(nullif(r.name, ''), k.name) AS name, CASE WHEN k.name IS NULL THEN 'added' WHEN r.name IS NULL THEN 'kept' ELSE 'updated' END AS action FROM k FULL JOIN r USING (id) WHERE k.name IS NOT NULL OR active""")
 def m06(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    known = s.filter("s_suppkey % 2 = 0").select(c("s_suppkey").alias("id"), c("s_name").alias("name"))
-    rows = s.filter("s_suppkey % 5 <> 0").select(c("s_suppkey").alias("id"), F.when(c("s_suppkey") % 3 == 0, "").otherwise(F.upper("s_name")).alias("name"), (c("s_acctbal") > 0).alias("active"))
-    return fd.sync_catalog(known, rows, "id", ["name"], "active")
+    """Every fourth supplier has a second row later in the catalog, which counts."""
+    s, k = table(spark, sf_dir, "supplier"), c("s_suppkey")
+    known = s.filter("s_suppkey % 2 = 0").select(k.alias("id"), c("s_name").alias("name"))
+    name = lambda case: F.when(k % 3 == 0, "").otherwise(case("s_name")).alias("name")
+    first = s.filter("s_suppkey % 5 <> 0").select(k.alias("id"), name(F.upper), (c("s_acctbal") > 0).alias("active"), F.lit(1).alias("n"))
+    again = s.filter("s_suppkey % 5 <> 0 AND s_suppkey % 4 = 1").select(k.alias("id"), name(F.lower), (c("s_acctbal") < 5000).alias("active"), F.lit(2).alias("n"))
+    return fd.sync_catalog(known, again.unionByName(first), "id", ["name"], "active", "n")
 
 
 @query("M09_backfill_defaults", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'none' ELSE p_brand END AS brand FROM part")
@@ -458,20 +496,32 @@ def j12(spark, sf_dir):
 
 
 def packed_sql(atoms: str, target: int = 500, hard: int = 750, overlap: int = 50) -> str:
-    """Recursive SQL of greedy packing: ``packed`` (doc_id, chunk, line_start, line_end) of the rows of ``atoms`` (doc_id, line_start, line_end)."""
+    """Recursive SQL of greedy packing: ``packed`` (doc_id, chunk, line_start, line_end, split) of the rows of ``atoms`` (doc_id, line_start, line_end).
+
+    The open chunk is (ha, hl, hb): its start, the end of its last section and its farthest end.
+    """
     step = target - overlap
-    pieces = f"list_transform(range(0, 1 + CAST(ceil((b - a + 1 - {target}) / {step}.0) AS BIGINT)), lambda k: {{'a': a + {step} * k, 'b': least(a + {step} * k + {target - 1}, b)}})"
-    held = "CASE WHEN ha IS NULL THEN [] ELSE [{'a': ha, 'b': hb}] END"
-    large, full = f"b - a + 1 > {hard}", f"ha IS NOT NULL AND (b - ha + 1 > {hard} OR (hb - ha + 1 >= {0.75 * target} AND b - ha + 1 > {target}))"
-    return f"""atoms AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_start, line_end) AS i, CAST(line_start AS BIGINT) AS a, CAST(line_end AS BIGINT) AS b FROM {atoms}),
-  walk AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ha, CAST(NULL AS BIGINT) AS hb, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) AS done FROM atoms
-    UNION ALL SELECT walk.doc_id, atoms.i, CASE WHEN {large} THEN NULL WHEN {full} OR ha IS NULL THEN a ELSE ha END, CASE WHEN {large} THEN NULL WHEN {full} OR ha IS NULL THEN b ELSE greatest(b, hb) END,
-      CASE WHEN {large} THEN list_concat(list_concat(done, {held}), {pieces}) WHEN {full} THEN list_concat(done, {held}) ELSE done END FROM walk JOIN atoms ON atoms.doc_id = walk.doc_id AND atoms.i = walk.i + 1),
+    cuts = f"range(0, 1 + CAST(ceil(greatest(b - a + 1 - {target}, 0) / {step}.0) AS BIGINT))"
+    pieces = f"list_transform({cuts}, lambda k: {{'a': a + {step} * k, 'b': least(a + {step} * k + {target - 1}, b), 'split': TRUE}})"
+    held = "CASE WHEN ha IS NULL THEN [] ELSE [{'a': ha, 'b': hb, 'split': FALSE}] END"
+    large = f"b - a + 1 > {hard}"
+    full = f"ha IS NOT NULL AND (greatest(hl, b) - ha + 1 > {hard} OR (hl - ha + 1 >= {int(0.75 * target)} AND greatest(hl, b) - ha + 1 > {target}))"
+    return f"""atoms AS (
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_start, line_end) AS i, CAST(line_start AS BIGINT) AS a, CAST(line_end AS BIGINT) AS b FROM {atoms}),
+  walk AS (
+    SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ha, CAST(NULL AS BIGINT) AS hl, CAST(NULL AS BIGINT) AS hb, CAST([] AS STRUCT(a BIGINT, b BIGINT, split BOOLEAN)[]) AS done FROM atoms
+    UNION ALL
+    SELECT walk.doc_id, atoms.i, CASE WHEN {large} THEN NULL WHEN {full} OR ha IS NULL THEN a ELSE ha END, CASE WHEN {large} THEN NULL ELSE b END,
+      CASE WHEN {large} THEN NULL WHEN {full} OR ha IS NULL THEN b ELSE greatest(b, hb) END,
+      CASE WHEN {large} THEN list_concat(list_concat(done, {held}), {pieces}) WHEN {full} THEN list_concat(done, {held}) ELSE done END
+    FROM walk JOIN atoms ON atoms.doc_id = walk.doc_id AND atoms.i = walk.i + 1),
   ends AS (SELECT doc_id, list_concat(done, {held}) AS done FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS last FROM walk) WHERE last = 1),
-  packed AS (SELECT doc_id, CAST(k AS INTEGER) AS chunk, done[k].a AS line_start, done[k].b AS line_end FROM (SELECT *, unnest(range(1, len(done) + 1)) AS k FROM ends))"""
+  packed AS (
+    SELECT doc_id, CAST(k AS INTEGER) AS chunk, done[k].a AS line_start, done[k].b AS line_end, done[k].split AS split
+    FROM (SELECT *, unnest(range(1, len(done) + 1)) AS k FROM ends))"""
 
 
-@query("W11_pack_chunks", f"WITH RECURSIVE {SECTIONS_SQL}, {packed_sql('sections')} SELECT doc_id, chunk, line_start, line_end FROM packed")
+@query("W11_pack_chunks", f"WITH RECURSIVE {SECTIONS_SQL}, {packed_sql('sections')} SELECT doc_id, chunk, line_start, line_end, split FROM packed")
 def w11(spark, sf_dir):
     return cp.pack_chunks(sections(spark, sf_dir), "doc_id")
 
@@ -661,10 +711,16 @@ def a09(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", rd.triage(name, {"pdf": "pdf", "docx": "office"}).alias("branch"))
 
 
-@query("A07_parse_json_list", "SELECT event_id, CAST(1 AS INTEGER) AS n FROM events")
+@query("A07_parse_json_list", """WITH e AS (SELECT *, props LIKE '{%' AS own FROM events),
+  r AS (SELECT event_id, 1 AS pos, trim(json_extract_string(props, '$.k')) AS k, '3' AS kind FROM e WHERE own AND event_id % 7 > 0
+    UNION ALL SELECT event_id, CASE WHEN own THEN 2 ELSE 1 END, user_id || ' x', CAST(value AS VARCHAR) FROM e WHERE event_id % 7 > 0)
+  SELECT event_id, CAST(pos AS INTEGER) AS pos, k, kind FROM r""")
 def a07(spark, sf_dir):
-    parsed = tx.parse_json_list(F.concat(F.lit("["), c("props"), F.lit(",3]")), ["k"])
-    return table(spark, sf_dir, "events").select("event_id", F.size(parsed).alias("n"))
+    """The list of an event: its object, if any, then texts and numbers that look like one, then one with all keys; every seventh is cut off."""
+    second = F.concat(F.lit('{"k": "  '), c("user_id").cast("string"), F.lit(' x ", "kind": "'), c("value").cast("string"), F.lit('"}'))
+    text = F.concat(F.lit("["), F.coalesce("props", F.lit("7")), F.lit(', "{\\"k\\": 1}", 3, null, '), second, F.when(c("event_id") % 7 > 0, "]").otherwise(""))
+    parsed = tx.parse_json_list(text, {"k": "", "kind": "3"})
+    return table(spark, sf_dir, "events").select("event_id", F.posexplode(parsed).alias("pos", "o")).select("event_id", (c("pos") + 1).alias("pos"), "o.k", "o.kind")
 
 
 @query("T03_first_last_seen", "SELECT user_id, event_type, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY ALL")

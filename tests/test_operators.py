@@ -43,7 +43,7 @@ def test_scalars(spark, column, value, want):
 
 def test_json_list_keeps_objects_only(spark):
     column = lambda c: F.to_json(tx.parse_json_list(c, ["k"]))
-    assert one(spark, column, '[{"k": 1}, 3, "x", {"j": 2}]') == '[{"k":"1"},{}]'
+    assert one(spark, column, '[{"k": 1}, 3, "x", {"j": 2}]') == '[{"k":"1"},{"k":""}]'  # a missing key has its default
     assert one(spark, column, "not json") == "[]"
 
 
