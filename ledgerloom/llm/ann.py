@@ -5,7 +5,7 @@ tile (query block x candidate block).  Unit vectors are quantised to int8, a til
 of integer products gives every cosine up to an error that the quantisation
 residuals bound, and only pairs whose upper bound reaches the k-th best lower
 bound are computed again in double precision from the original vectors.  The k
-best of each tile are merged by rank, so the result is exact.
+best of each tile meet in a heap of k a query, so the result is exact.
 
 The zero vector takes no part; components of any finite size are scaled by powers
 of two first; see ``vectors`` for nulls, ties and repeated rows.  Further columns,
@@ -14,12 +14,15 @@ whatever their names, are not read.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import CANDIDATE_BLOCK, CANDIDATE_BYTES, EVERY, QUERY_BLOCK, QUERY_BYTES, K, block_count, block_rows, query_rows, ranked, usable
+from .common import tidy
+from .vectors import CANDIDATE_BLOCK, CANDIDATE_BYTES, EVERY, QUERY_BLOCK, QUERY_BYTES, K, block_count, block_rows, query_rows, usable
 
 STEP = 128  # queries whose products are held at once
 
@@ -80,6 +83,43 @@ def tile(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFram
     return pd.concat(out) if out else empty
 
 
+def merged_by_heaps(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of each query's rows, of which each tile has sent k at most; a task holds one heap of k."""
+
+    def run(it):
+        import pyarrow as pa
+
+        now, heap, out = None, [], []
+
+        def close():
+            for place, (score, neg_id) in enumerate(sorted(heap, reverse=True), 1):
+                out.append((now, place, -neg_id, score))
+            heap.clear()
+
+        def batch_of(rows):
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "rank", "vec_id", "score"])
+
+        for batch in it:
+            for query, vec, score in zip(*[batch.column(c).to_pylist() for c in ("query_id", "vec_id", "score")], strict=True):
+                if query != now:
+                    if now is not None:
+                        close()
+                    now = query
+                if len(heap) < k:
+                    heapq.heappush(heap, (score, -vec))
+                else:
+                    heapq.heappushpop(heap, (score, -vec))
+            yield batch_of(out)
+            out.clear()
+        if now is not None:
+            close()
+            yield batch_of(out)
+
+    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(tidy(run), "query_id long, rank int, vec_id long, score double")
+
+
 def nearest(df: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest."""
     rows = usable(df, vec_id, embedding).filter(F.exists("v", lambda x: x != 0))
@@ -91,7 +131,8 @@ def nearest(df: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec_id
     spread = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = rows.withColumn("across", spread(across)).withColumn("down", each(down))
-    right = queries.withColumn("down", spread(down)).withColumn("across", each(across))
+    # a query's block follows from its id: rows of an aggregate come in any order when they are computed again
+    right = queries.withColumn("down", F.pmod(F.xxhash64("vec_id"), F.lit(down))).withColumn("across", each(across))
     key = ["dim", "across", "down"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: tile(a, b, k), "query_id long, vec_id long, score double")
-    return ranked(found, k)
+    return merged_by_heaps(found, k)

@@ -3,9 +3,9 @@
 Training counts 2- and 3-grams of the characters of lower-cased whole texts in
 every task and adds them up by (language, bucket).  The log-probability matrix
 reaches the driver and is broadcast in blocks of ``LANGUAGES`` languages, each
-``LANGUAGES`` x ``2 * BUCKETS`` floats at most whatever the input.  Scoring counts
-a document's n-grams sparsely in numpy and multiplies the counts with the rows of
-the matrix that they name; one pass over the batch a block, each carrying the
+``LANGUAGES`` x ``2 * BUCKETS`` floats at most whatever the input.  Scoring makes
+the n-grams of a batch of documents one sparse matrix in numpy and multiplies it with the log
+probabilities; one pass over the batch a block, each carrying the
 best language so far and the sum of likelihoods, so any number of languages works.
 
 Learning uses text and non-null lang of documents whose crc32(doc_id) mod 4 is
@@ -35,6 +35,7 @@ BUCKETS = 1 << 15
 SMOOTH = 0.5
 LANGUAGES = 32  # of a block
 UNKNOWN = "und"
+BATCH_GRAMS = 1 << 16  # entries of the sparse matrix at once
 STRETCH = 500_000  # characters that are hashed at once
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -117,10 +118,42 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return blocks
 
 
+def batch_likelihoods(texts: list[str], table: np.ndarray, most: int = BATCH_GRAMS) -> np.ndarray:
+    """Log likelihoods, texts x languages: a sparse matrix of counts, a row a text, times the table.
+
+    The matrix is held as the buckets and counts of its entries and where each row
+    begins, about ``most`` entries at a time.  A short text's grams are entries as they
+    come, of a longer one equal grams are one entry; either follows from the text alone.
+    """
+    out = np.zeros((len(texts), table.shape[1]))
+    held, counts, rows, n = [], [], [], 0
+
+    def multiply():
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in held[:-1]])]).astype("int64")
+        entries = table[np.concatenate(held)].astype("float64")
+        entries *= np.concatenate(counts)[:, None]
+        out[rows] = np.add.reduceat(entries, starts, axis=0)
+        for x in (held, counts, rows):
+            x.clear()
+
+    for row, text in enumerate(texts):
+        at, count = (next(gram_buckets(text)), None) if len(text) < BUCKETS // 4 else sparse_counts(text)
+        if len(at):
+            held.append(at)
+            counts.append(np.ones(len(at)) if count is None else count.astype("float64"))
+            rows.append(row)
+            n += len(at)
+        if n >= most:
+            multiply()
+            n = 0
+    if held:
+        multiply()
+    return out
+
+
 def text_likelihoods(text: str, table: np.ndarray) -> np.ndarray:
-    """Log likelihood of a text in each language: the product of its sparse counts with their rows of the table."""
-    at, n = sparse_counts(text)
-    return (n[:, None] * table[at].astype("float64")).sum(axis=0)
+    """Log likelihood of a text in each language."""
+    return batch_likelihoods([text], table)[0]
 
 
 def _scored(df: DataFrame, blocks: list[Block], text: str) -> DataFrame:
@@ -137,11 +170,9 @@ def _scored(df: DataFrame, blocks: list[Block], text: str) -> DataFrame:
             names, table = shared.value
             for batch in it:
                 best, log, rest = (batch.column(kept + k).to_pylist() for k in range(3))
-                for row, value in enumerate(batch.column(column)):
-                    own = value.as_py()
-                    if own is None or not LETTER.search(own):
-                        continue
-                    found = text_likelihoods(own, table)
+                texts = batch.column(column).to_pylist()
+                lettered = [row for row, own in enumerate(texts) if own is not None and LETTER.search(own)]
+                for row, found in zip(lettered, batch_likelihoods([texts[row] for row in lettered], table), strict=True):
                     k = int(found.argmax())
                     top = max(found[k], log[row])
                     rest[row] = float(rest[row] * np.exp(log[row] - top) + np.exp(found - top).sum())

@@ -16,9 +16,12 @@ stops where the bound falls below the k-th score.  Large annuli are dealt into
 several groups.  A group of annuli is copied only to the blocks of queries that
 the bounds route to it.  Each vector length is an index of its own.
 
-Sums run in doubles where they are exact and in Python integers elsewhere.  See
-``vectors`` for nulls, ties and repeated rows; further columns, whatever their
-names, are not read; an empty table gives an empty result.
+Sums run in doubles where they are exact and in 64-bit integers elsewhere, where no
+partial sum can overflow: it is at most the product of two lengths.  Rows whose squared
+length could reach 2^63 raise an error before the search.  Scores and thresholds are
+integers; bounds are doubles, with a slack in proportion to the squares that they are
+made of.  See ``vectors`` for nulls, ties and repeated rows; further columns,
+whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from .vectors import CANDIDATE_BLOCK, CANDIDATE_BYTES, EVERY, QUERY_BLOCK, QUERY
 PIVOTS = 48
 RINGS = 256
 UNITS = 256
+NONE = -(2**63)  # threshold of a query without one
 
 
 def integers(v: np.ndarray) -> np.ndarray:
@@ -43,7 +47,7 @@ def integers(v: np.ndarray) -> np.ndarray:
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products of integer-valued rows."""
     if len(q) and len(x) and np.abs(q).max() * np.abs(x).max() * q.shape[1] >= 2**53:
-        return q.astype(object).dot(x.astype(object).T)
+        return q.astype("int64") @ x.astype("int64").T
     return q @ x.T
 
 
@@ -72,8 +76,9 @@ class Bounds:
         """Queries x annuli: no row of the annulus scores higher."""
         squares = (q * q).sum(axis=1)
         d = pivot_distances(q, squares, np.zeros(len(q)), self.pivots, self.squares, self.lift)[:, pivot]
-        gap = np.maximum(np.maximum(low - d, d - high) * (1 - 1e-9) - 1e-6 * (1 + np.sqrt(self.largest)), 0)
-        return (squares[:, None] + self.largest - gap * gap) / 2 * (1 + 1e-12) + 1e-3
+        gap = np.maximum(np.maximum(low - d, d - high) * (1 - 1e-9) - 1e-6 * (1 + np.sqrt(self.largest)) * max(1, np.sqrt(q.shape[1] / 256)), 0)
+        both = squares[:, None] + self.largest
+        return (both - gap * gap) / 2 + 1e-11 * both + 1
 
 
 def expand(rows: pd.DataFrame, queries: pd.DataFrame, bounds: Bounds, k: int) -> pd.DataFrame:
@@ -90,7 +95,7 @@ def expand(rows: pd.DataFrame, queries: pd.DataFrame, bounds: Bounds, k: int) ->
     q, q_id = np.stack(queries["v"].to_numpy()), queries["vec_id"].to_numpy()
     low, high = np.minimum.reduceat(distance, starts), np.maximum.reduceat(distance, starts)
     best = bounds.best_scores(q, rows["pivot"].to_numpy()[starts], low, high)
-    kth = queries["threshold"].fillna(-np.inf).to_numpy().astype("float64")
+    kth = queries["threshold"].to_numpy().copy()
     held: list[list[tuple]] = [[] for _ in q_id]
     for ring in np.argsort(-best.max(axis=0)):
         asks = np.flatnonzero(best[:, ring] >= kth)
@@ -113,6 +118,9 @@ def expand(rows: pd.DataFrame, queries: pd.DataFrame, bounds: Bounds, k: int) ->
 
 def _search_dim(rows: DataFrame, dim: int, k: int, every: int) -> DataFrame:
     spark = rows.sparkSession
+    far = F.aggregate("v", F.lit(0.0), lambda a, x: a + (F.abs(x * UNITS) + 1) * (F.abs(x * UNITS) + 1))
+    if (farthest := rows.filter(F.col("dim") == dim).agg(F.max(far)).first()[0]) >= 2.0**63:
+        raise ValueError(f"inner products of vectors with {dim} components may exceed 64 bits: the largest squared length is {farthest:.3g}")
     whole = rows.filter(F.col("dim") == dim).select("vec_id", F.transform("v", lambda x: F.floor(x * UNITS).cast("double")).alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     total, largest = whole.agg(F.count("*"), F.max(square)).first()
@@ -154,10 +162,10 @@ def _search_dim(rows: DataFrame, dim: int, k: int, every: int) -> DataFrame:
                 best = bounds.value.best_scores(np.stack(part["v"].to_numpy()), pivot, low, high)
                 if first:
                     part["group"] = begin[best.argmax(axis=1)]
-                    part["threshold"] = np.nan
+                    part["threshold"] = NONE
                     yield part[["vec_id", "v", "block", "group", "threshold"]]
                     continue
-                hit = best >= part["threshold"].fillna(-np.inf).to_numpy()[:, None]
+                hit = best >= part["threshold"].to_numpy().astype("float64")[:, None]
                 reach = np.zeros((len(part), groups), bool)
                 for ring in range(len(begin)):
                     for p in range(parts[ring]):
@@ -169,7 +177,7 @@ def _search_dim(rows: DataFrame, dim: int, k: int, every: int) -> DataFrame:
 
         return run
 
-    schema = "vec_id long, v array<double>, block long, group long, threshold double"
+    schema = "vec_id long, v array<double>, block long, group long, threshold long"
 
     def visit(asked: DataFrame) -> DataFrame:
         """The best rows of each group for the queries that are routed to it; a group is copied only to blocks with such queries."""
@@ -180,9 +188,9 @@ def _search_dim(rows: DataFrame, dim: int, k: int, every: int) -> DataFrame:
         return left.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(lambda a, b: expand(a, b, bounds.value, k), "query_id long, vec_id long, score long")
 
     near = visit(queries.mapInPandas(routed(True), schema))
-    reached = ranked(near, k).groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").cast("double").alias("_least"))
+    reached = ranked(near, k).groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("_least"))
     thresholds = materialise(reached.filter(F.col("_n") >= k).select(F.col("query_id").alias("vec_id"), F.col("_least").alias("threshold")), "thresholds")
-    known = queries.join(thresholds, "vec_id", "left")
+    known = queries.join(thresholds, "vec_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(NONE).cast("long")))
     return ranked(visit(known.mapInPandas(routed(False), schema)), k)
 
 

@@ -96,15 +96,13 @@ def record_text() -> Column:
 
 
 def write_archives(records: DataFrame, path: str) -> None:
-    """Write assigned pages as gzip-compressed WARC files, a folder for each class of size that occurs."""
+    """Write assigned pages as gzip-compressed WARC files, in folders by class of size and by file of a task, in one pass."""
     size = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))
     bounds = F.array(*[F.lit(b) for b in SIZE_CLASSES])
-    kind = F.size(F.filter(bounds, lambda b: b < size))
-    kinds = [r[0] for r in records.select(kind.alias("kind")).distinct().orderBy("kind").collect()]
-    for k in kinds or [0]:
-        most = max(1, FILE_BYTES // SIZE_CLASSES[k]) if k < len(SIZE_CLASSES) else 1
-        own = records.filter(kind == k) if len(kinds) > 1 else records
-        own.select(record_text().alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/size={k}")
+    placed = records.select(record_text().alias("value"), F.size(F.filter(bounds, lambda b: b < size)).alias("size"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    # a task's rows are numbered, so that a file number stands for as many rows as a file of its class may hold
+    filed = placed.select("value", "size", F.expr(f"_at div element_at(array({', '.join(str(max(1, FILE_BYTES // b)) for b in SIZE_CLASSES)}, 1), size + 1)").alias("file"))
+    filed.write.partitionBy("size", "file").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parse(data: bytes):
