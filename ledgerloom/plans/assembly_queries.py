@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assembly as am
 from ..operators import corpus as cp
+from ..operators import variants as va
 from ..operators import ranking as rk
 from .queries import NOISE_SQL, SECTIONS_SQL, _lines, c, packed_sql, query, sections, table
 
@@ -258,3 +259,31 @@ def b09(spark, sf_dir):
 def b10(spark, sf_dir):
     entries = table(spark, sf_dir, "part").select(c("p_name").alias("name"), c("p_type").alias("type"), (c("p_partkey") % 3).alias("doc"), c("p_partkey").alias("entry"), F.concat("p_brand", c("p_size").cast("string")).alias("text"))
     return am.merge_cross_document(entries, ["name", "type"], "doc", "entry", "text")
+
+
+MERGED_SQL = """SELECT 'EXP-' || lpad(CAST(row_number() OVER (ORDER BY p_type, p_brand, description, last) AS VARCHAR), 3, '0') AS new_id, p_type, p_brand, description, quantity, variants, notes, CAST(items AS BIGINT) AS items FROM m"""
+_ITEMS_SQL = "i AS (SELECT p_partkey, p_type, p_brand, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS name, lower(p_name) AS norm, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE 'some' END AS q, p_partkey % 4 AS v, CASE WHEN p_size % 3 = 0 THEN 'n' || p_size END AS note FROM part)"
+_MERGE_SQL = """max_by(name, (length(name), name)) AS description, coalesce(max(q) FILTER (q <> 'some'), max(q)) AS quantity, string_agg(DISTINCT CAST(v AS VARCHAR), ',' ORDER BY CAST(v AS VARCHAR)) AS variants, coalesce(string_agg(DISTINCT note, '; ' ORDER BY note), '') AS notes, count(*) AS items"""
+
+
+def _items(spark, sf_dir):
+    """Parts as items of four variants: some names in capitals, some quantities as text."""
+    k, size = c("p_partkey"), c("p_size")
+    return table(spark, sf_dir, "part").select(
+        "p_type", "p_brand", F.when(k % 3 == 0, F.upper("p_name")).otherwise(c("p_name")).alias("name"), F.when(size % 2 == 0, size.cast("string")).otherwise("some").alias("q"),
+        (k % 4).alias("v"), F.when(size % 3 == 0, F.concat(F.lit("n"), size.cast("string"))).alias("note"),
+    )
+
+
+@query("B01_merge_variants", f"WITH {_ITEMS_SQL}, m AS (SELECT p_type, p_brand, norm AS last, {_MERGE_SQL} FROM i GROUP BY p_type, p_brand, norm) {MERGED_SQL}")
+def b01_merge(spark, sf_dir):
+    return va.merge_variants(_items(spark, sf_dir), ["p_type", "p_brand"], "name", "q", "v", "note")
+
+
+@query("B01_fuzzy_variants", f"""WITH RECURSIVE {_ITEMS_SQL}, t AS (SELECT DISTINCT p_type, p_brand, norm FROM i),
+  e AS (SELECT a.p_type, a.p_brand, a.norm AS x, b.norm AS y FROM t a JOIN t b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND levenshtein(a.norm, b.norm) <= 0.25 * greatest(length(a.norm), length(b.norm)) + 1e-9),
+  w AS (SELECT p_type, p_brand, norm AS x, norm AS y FROM t UNION SELECT w.p_type, w.p_brand, w.x, e.y FROM w JOIN e ON e.p_type = w.p_type AND e.p_brand = w.p_brand AND e.x = w.y),
+  g AS (SELECT p_type, p_brand, x AS norm, min(y) AS last FROM w GROUP BY ALL), j AS (SELECT i.*, last FROM i JOIN g USING (p_type, p_brand, norm)),
+  m AS (SELECT p_type, p_brand, {_MERGE_SQL} FROM j GROUP BY p_type, p_brand, last) SELECT p_type, p_brand, description, quantity, variants, notes, CAST(items AS BIGINT) AS items FROM m""")
+def b01_fuzzy(spark, sf_dir):
+    return va.merge_variants(_items(spark, sf_dir), ["p_type", "p_brand"], "name", "q", "v", "note", least=0.75).drop("new_id")
