@@ -128,16 +128,19 @@ def plan_candidates(pages: DataFrame, doc: str, page: str) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable from each node of the edges, by repeated hooking of neighbours' labels."""
+    """(node, component): the smallest node reachable from each node of the edges, by repeated hooking of neighbours' labels.
+
+    Tables of nodes are small on disk where nodes are alike, and large in memory, so their joins are by sorting.
+    """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("_to")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("_to"))).distinct()
     both = materialise(both, "edges")
     labels = materialise(both.groupBy("node").agg(F.least("node", F.min("_to")).alias("component")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("_to"), F.col("component").alias("_c")), "_to").groupBy("node").agg(F.min("_c").alias("_c"))
-        hooked = labels.join(near, "node").select("node", F.least("component", "_c").alias("component"))
-        jumped = hooked.alias("h").join(labels.alias("l"), F.col("h.component") == F.col("l.node"), "left").select("h.node", F.least("h.component", F.coalesce("l.component", "h.component")).alias("component"), "h.component")
+        near = both.join(labels.select(F.col("node").alias("_to"), F.col("component").alias("_c")).hint("merge"), "_to").groupBy("node").agg(F.min("_c").alias("_c"))
+        hooked = labels.join(near.hint("merge"), "node").select("node", F.least("component", "_c").alias("component"))
+        jumped = hooked.alias("h").join(labels.alias("l").hint("merge"), F.col("h.component") == F.col("l.node"), "left").select("h.node", F.least("h.component", F.coalesce("l.component", "h.component")).alias("component"), "h.component")
         after = materialise(jumped.toDF("node", "component", "_own").drop("_own"), "labels")
-        if not after.join(labels.withColumnRenamed("component", "_before"), "node").filter("component <> _before").limit(1).count():
+        if not after.join(labels.withColumnRenamed("component", "_before").hint("merge"), "node").filter("component <> _before").limit(1).count():
             return after
         labels = after
 
@@ -192,24 +195,33 @@ def repeated_drawings(drawings: DataFrame, doc: str, totals: DataFrame, threshol
     keys = materialise(on_pages.select("node").distinct(), "drawings")
 
     def linked(nodes: DataFrame, values: Sequence[tuple[str, Column]]) -> DataFrame:
-        """Edges between nodes of one document and style whose values differ by ``tolerance`` at most: each in its cell, the other side in all neighbouring ones."""
+        """Edges that connect the nodes of one document and style whose values differ by ``tolerance`` at most.
+
+        Nodes of equal values are connected through the smallest of them.  Different
+        values are whole numbers and meet by cells of all of them, so that a cell holds
+        (tolerance + 1) to the power of their number at most, however many nodes there are.
+        """
         cell = tolerance + 1
+        names = [n for n, _ in values]
         named = nodes.select("node", F.col(f"node.{doc}").alias("_d"), F.col("node.style").alias("_s"), *[v.alias(n) for n, v in values])
-        here = named.withColumns({f"_c_{n}": F.floor(F.col(n) / cell) for n, _ in values})
-        around = here
-        for n, _ in values[:2]:
-            around = around.withColumn(f"_c_{n}", F.explode(F.array(*[F.col(f"_c_{n}") + k for k in (-1, 0, 1)])))
+        one = materialise(named.groupBy("_d", "_s", *names).agg(F.min("node").alias("_first")), "places")
+        n, o = named.alias("n"), one.alias("o")
+        equal = (F.col("n._d") == F.col("o._d")) & F.col("n._s").eqNullSafe(F.col("o._s"))
+        for x in names:
+            equal = equal & (F.col(f"n.{x}") == F.col(f"o.{x}"))
+        stars = n.join(o.hint("merge"), equal & (F.col("n.node") != F.col("o._first"))).select(F.col("o._first").alias("a"), F.col("n.node").alias("b"))
+        around = here = one.withColumns({f"_c_{x}": F.floor(F.col(x) / cell) for x in names})
+        for x in names:
+            around = around.withColumn(f"_c_{x}", F.explode(F.array_distinct(F.array(*[F.floor((F.col(x) + k) / cell) for k in (-tolerance, 0, tolerance)]))))
         a, b = here.alias("a"), around.alias("b")
-        near = (F.col("a._d") == F.col("b._d")) & F.col("a._s").eqNullSafe(F.col("b._s")) & (F.col("a.node") < F.col("b.node"))
-        for n, _ in values[:2]:
-            near = near & (F.col(f"a._c_{n}") == F.col(f"b._c_{n}"))
-        for n, _ in values:
-            near = near & (F.abs(F.col(f"a.{n}") - F.col(f"b.{n}")) <= tolerance)
-        return a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+        near = (F.col("a._d") == F.col("b._d")) & F.col("a._s").eqNullSafe(F.col("b._s")) & (F.col("a._first") < F.col("b._first"))
+        for x in names:
+            near = near & (F.col(f"a._c_{x}") == F.col(f"b._c_{x}")) & (F.abs(F.col(f"a.{x}") - F.col(f"b.{x}")) <= tolerance)
+        return stars.unionByName(a.join(b.hint("merge"), near).select(F.col("a._first").alias("a"), F.col("b._first").alias("b")))
 
     def fused(rows: DataFrame, edges: DataFrame) -> DataFrame:
         found = components(edges)
-        return rows.join(found, "node", "left").select(doc, "page", F.coalesce("component", "node").alias("node")).distinct()
+        return rows.join(found.hint("merge"), "node", "left").select(doc, "page", F.coalesce("component", "node").alias("node")).distinct()
 
     near = materialise(fused(on_pages, linked(keys, [(x, F.col(f"node.{x}")) for x in corners])), "near")
     size = [("w", F.col("node.x1") - F.col("node.x0")), ("h", F.col("node.y1") - F.col("node.y0"))]
