@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -318,8 +320,8 @@ def hamming_pairs(hashes: DataFrame, key: str, words: Sequence[str], most: int,
     between themselves but one each with that key (distance 0).  Different values are compared where one of
     ``most + 1`` bands is equal, then counted exactly.  Values of a band that over ``hot``
     of them share are banded again by their other bits, which differ in ``most`` places
-    at most too, and so on, ``BAND_LEVELS`` times at most; what then still shares all of
-    its bands is close to each other, and pairs of such values are the result itself.
+    at most too, and so on, ``BAND_LEVELS`` times at most; what then still shares its
+    bands is alike in most of its bits, and is compared in pairs.
     ``small``: which rows take part (images of few pixels).
     """
     rows = hashes.filter(F.coalesce(small, F.lit(False))) if small is not None else hashes
@@ -331,11 +333,10 @@ def hamming_pairs(hashes: DataFrame, key: str, words: Sequence[str], most: int,
     pairs = None
     for level in range(BAND_LEVELS):
         cut = [bits * k // bands for k in range(bands + 1)]
-        band = [
-            F.struct(F.concat_ws(",", "_key", F.lit(str(k)), F.substring("_rest", cut[k] + 1, cut[k + 1] - cut[k])).alias("key"), F.concat(F.substring("_rest", 1, cut[k]), F.substring("_rest", cut[k + 1] + 1, bits)).alias("rest"))
-            for k in range(bands)
-        ]
-        banded = todo.select("_first", *words, F.explode(F.array(*band)).alias("_b")).select("_first", *words, F.col("_b.key").alias("_key"), F.col("_b.rest").alias("_rest"))
+        band = F.array(*[F.substring("_rest", cut[k] + 1, cut[k + 1] - cut[k]) for k in range(bands)])
+        rest = [F.concat(F.substring("_rest", 1, cut[k]), F.substring("_rest", cut[k + 1] + 1, bits)) for k in range(bands)]
+        banded = todo.select("_first", *words, "_key", band.alias("_all"), F.posexplode(F.array(*rest)).alias("_k", "_rest"))
+        banded = banded.withColumn("_key", F.concat_ws(",", "_key", "_k", F.col("_all")[F.col("_k")]))
         last = level + 1 == BAND_LEVELS or bits - (cut[-1] - cut[-2]) < 2 * bands
         if last:
             own = banded
@@ -350,6 +351,10 @@ def hamming_pairs(hashes: DataFrame, key: str, words: Sequence[str], most: int,
         if last:
             break
         todo = materialise(banded.join(large, "_key", "left_semi"), "hot-bands")
+        # a group whose values all share an earlier band too is part of that band's group
+        alike = [(F.min(F.col("_all")[k]) == F.max(F.col("_all")[k])) & (F.col("_k") > k) for k in range(bands)]
+        again = todo.groupBy("_key", "_k").agg(reduce(or_, alike).alias("_again")).filter("_again").select("_key")
+        todo = todo.join(again, "_key", "left_anti").select("_first", *words, "_key", "_rest")
         if not todo.limit(1).count():
             break
         bits -= max(y - x for x, y in zip(cut, cut[1:], strict=False))  # of the shortest rest; a longer one has bits that are in no band

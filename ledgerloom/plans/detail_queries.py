@@ -168,26 +168,30 @@ def g16_risk(spark, sf_dir):
     return am.risk_summary(am.changed_regions(*_versions(spark, sf_dir), "page", "pos", "line"), "page")
 
 
-@query("G10_repeated_drawings", """WITH d AS (SELECT user_id % 7 AS doc, event_id % 40 AS page, event_type AS style, event_id % 2 AS j, event_id % 3 AS side FROM events WHERE user_id % 7 < 5), t AS (SELECT doc, count(DISTINCT page) AS total FROM d GROUP BY doc),
-  n AS (SELECT doc, style, min(side * 300 + j) AS x0, count(DISTINCT page) AS pages FROM d GROUP BY doc, style)
-  SELECT doc, CAST(x0 AS INTEGER) AS x0, CAST(10 AS INTEGER) AS y0, CAST(x0 + 50 AS INTEGER) AS x1, CAST(30 AS INTEGER) AS y1, style, pages, total FROM n JOIN t USING (doc) WHERE pages >= 10 AND pages >= 0.5 * total""")
+@query("G10_repeated_drawings", """WITH d AS (
+    SELECT user_id % 7 AS doc, CASE WHEN event_id // 300 % 3 = 0 THEN -(event_id // 300) ELSE 1 + event_id // 40 END AS page, event_type AS style, event_id % 2 AS j, event_id % 3 AS side FROM events),
+  t AS (SELECT doc, count(DISTINCT page) AS total FROM d GROUP BY doc), o AS (SELECT doc, page FROM d GROUP BY doc, page HAVING count(*) <= 30),
+  n AS (SELECT doc, style, min(side * 300 + j) AS x0, count(DISTINCT page) AS pages FROM d JOIN o USING (doc, page) GROUP BY doc, style)
+  SELECT doc, CAST(x0 AS INTEGER) AS x0, CAST(10 AS INTEGER) AS y0, CAST(x0 + 50 AS INTEGER) AS x1, CAST(30 AS INTEGER) AS y1, style, pages, total FROM n JOIN t USING (doc) WHERE pages >= 10 AND pages >= 0.4 * total""")
 def g10(spark, sf_dir):
-    """Frames that jitter by a point and stand at one of three places of the page: of one size, so one drawing."""
-    e = table(spark, sf_dir, "events").filter("user_id % 7 < 5")
-    x = (c("event_id") % 3) * 300 + c("event_id") % 2
-    d = e.select((c("user_id") % 7).alias("doc"), (c("event_id") % 40).alias("page"), (x + F.lit(0.25)).alias("x0"), F.lit(10.0).alias("y0"), (x + 50).alias("x1"), F.lit(30.0).alias("y1"), c("event_type").alias("style"))
+    """Frames that jitter by a point and stand at one of three places of the page: of one size, so one drawing; every third run of 300 is a crowded page."""
+    e, k = table(spark, sf_dir, "events"), c("event_id")
+    x = (k % 3) * 300 + k % 2
+    page = F.when(F.expr("event_id div 300 % 3 = 0"), -F.expr("event_id div 300")).otherwise(F.expr("1 + event_id div 40"))
+    d = e.select((c("user_id") % 7).alias("doc"), page.alias("page"), (x + F.lit(0.25)).alias("x0"), F.lit(10.0).alias("y0"), (x + 50).alias("x1"), F.lit(30.0).alias("y1"), c("event_type").alias("style"))
     totals = d.groupBy("doc").agg(F.countDistinct("page").alias("total"))
-    return am.repeated_drawings(d, "doc", totals, most=100_000)
+    return am.repeated_drawings(d, "doc", totals, threshold=0.4, most=30)
 
 
-_HASHES_SQL = """h AS (SELECT vec_id, label, [list_sum([(CASE WHEN embedding[i] > t THEN 1 ELSE 0 END)::HUGEINT << (i - 1) FOR i IN range(1, 65)]) FOR t IN [-0.1, 0.0, 0.1, 0.2]] AS w FROM embeddings WHERE len(embedding) = 64 AND label % 3 > 0),
+_HASHES_SQL = """h AS (SELECT vec_id, label, [coalesce(list_sum([(CASE WHEN embedding[i] > t THEN 1 ELSE 0 END)::HUGEINT << (i - 1) FOR i IN range(1, 65)]), 0) FOR t IN [-0.1, 0.0, 0.1, 0.2]] AS w FROM embeddings WHERE label % 3 > 0),
   f AS (SELECT min(vec_id) AS id, w FROM h GROUP BY w)"""
 
 
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four words of sign bits a vector, for four thresholds."""
-    word = lambda t: F.aggregate(F.transform("embedding", lambda x, i: F.when(x > t, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64).select("vec_id", "label", *[word(t).alias(f"w{k}") for k, t in enumerate((-0.1, 0.0, 0.1, 0.2))])
+    """Four words of sign bits of a vector's first 64 components, for four thresholds; what is missing is 0."""
+    first = F.slice(F.coalesce("embedding", F.array().cast("array<float>")), 1, 64)
+    word = lambda t: F.aggregate(F.transform(first, lambda x, i: F.when(x > t, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[word(t).alias(f"w{k}") for k, t in enumerate((-0.1, 0.0, 0.1, 0.2))])
 
 
 @query("J15_hamming_join", f"""WITH {_HASHES_SQL} SELECT a.id AS "left", b.id AS "right", CAST(list_sum([bit_count(xor(a.w[k], b.w[k])) FOR k IN [1, 2, 3, 4]]) AS INTEGER) AS distance FROM f a JOIN f b ON a.id < b.id AND list_sum([bit_count(xor(a.w[k], b.w[k])) FOR k IN [1, 2, 3, 4]]) <= 12
@@ -196,7 +200,7 @@ def j15(spark, sf_dir):
     return cp.hamming_pairs(_hashes(spark, sf_dir), "vec_id", ["w0", "w1", "w2", "w3"], 12, small=c("label") % 3 > 0)
 
 
-@query("G11_perceptual_duplicates", f"""WITH RECURSIVE {_HASHES_SQL.replace('WHERE len(embedding) = 64 AND label % 3 > 0', 'WHERE len(embedding) = 64')}, p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON a.vec_id <> b.vec_id AND a.label = b.label AND list_sum([bit_count(xor(a.w[k], b.w[k])) FOR k IN [1, 2, 3, 4]]) <= 12),
+@query("G11_perceptual_duplicates", f"""WITH RECURSIVE {_HASHES_SQL.replace(' WHERE label % 3 > 0', '')}, p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON a.vec_id <> b.vec_id AND a.label = b.label AND list_sum([bit_count(xor(a.w[k], b.w[k])) FOR k IN [1, 2, 3, 4]]) <= 12),
   r AS (SELECT a AS node, a AS low FROM p UNION SELECT p.b, r.low FROM r JOIN p ON p.a = r.node AND r.low < p.b), m AS (SELECT node, min(low) AS comp FROM r GROUP BY node)
   SELECT label AS doc, vec_id AS xref, CASE WHEN vec_id IN (SELECT node FROM m WHERE node <> comp) THEN 'PERCEPTUAL_DUP' ELSE 'CONTENT' END AS category FROM h""")
 def g11_perceptual(spark, sf_dir):

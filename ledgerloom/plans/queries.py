@@ -251,11 +251,13 @@ def f08(spark, sf_dir):
 _BYTES = "CASE WHEN l_linenumber % 7 = 6 THEN 0 ELSE CAST(l_quantity AS BIGINT) * 1050000 END"
 
 
-@query("F12_batch_limits", f"""SELECT l_partkey, count(*) AS files, CAST(sum({_BYTES}) AS BIGINT) AS bytes, CASE WHEN count(*) > 8 THEN 'too many files' WHEN sum({_BYTES}) <= 0 THEN 'empty batch' WHEN min({_BYTES}) <= 0 THEN 'empty file'
-  WHEN max({_BYTES}) > 52428800 THEN 'file too large' WHEN sum({_BYTES}) > 50331648 THEN 'batch too large' ELSE 'ok' END AS reason FROM lineitem WHERE l_discount > 0.05 GROUP BY l_partkey""")
+@query("F12_batch_limits", f"""SELECT CAST(l_partkey * 4 + l_linenumber % 4 AS BIGINT) AS batch, count(*) AS files, CAST(sum({_BYTES}) AS BIGINT) AS bytes,
+  CASE WHEN count(*) > 8 THEN 'too many files' WHEN sum({_BYTES}) <= 0 THEN 'empty batch' WHEN min({_BYTES}) <= 0 THEN 'empty file'
+  WHEN max({_BYTES}) > 52428800 THEN 'file too large' WHEN sum({_BYTES}) > 50331648 THEN 'batch too large' ELSE 'ok' END AS reason FROM lineitem GROUP BY 1""")
 def f12(spark, sf_dir):
     size = F.when(c("l_linenumber") % 7 == 6, F.lit(0).cast("long")).otherwise(c("l_quantity").cast("long") * 1_050_000)
-    return ls.batch_limits(table(spark, sf_dir, "lineitem").filter("l_discount > 0.05").select("l_partkey", size.alias("size")), "l_partkey", "size")
+    batch = (c("l_partkey") * 4 + c("l_linenumber") % 4).cast("long")
+    return ls.batch_limits(table(spark, sf_dir, "lineitem").select(batch.alias("batch"), size.alias("size")), "batch", "size")
 
 
 @query("J01_with_entity", f"WITH {FEED_SQL} SELECT id, c_name, c_mktsegment FROM feed LEFT JOIN customer ON entity_id = c_custkey")

@@ -71,9 +71,9 @@ def a14_latest(spark, sf_dir):
     return vs.read_latest(spark, path)
 
 
-@query("B06_qa_verdict", "SELECT CASE WHEN count_if(p_size > 49) > 0 THEN 'NO_OK' WHEN count_if(p_size > 40) > 0 THEN 'OK_CON_OBSERVACIONES' ELSE 'OK' END AS verdict FROM part")
+@query("B06_qa_verdict", "SELECT CASE WHEN count_if(p_size > 49) > 0 THEN 'NO_OK' WHEN count(*) > 0 THEN 'OK_CON_OBSERVACIONES' ELSE 'OK' END AS verdict FROM part")
 def b06(spark, sf_dir):
-    findings = table(spark, sf_dir, "part").filter("p_size > 40").select(F.when(c("p_size") > 49, "CRITICO").otherwise("MENOR").alias("severity"))
+    findings = table(spark, sf_dir, "part").select(F.when(c("p_size") > 49, "CRITICO").otherwise("MENOR").alias("severity"))
     return cp.qa_verdict(findings)
 
 

@@ -24,7 +24,10 @@ from .layouts import DATE_START, DOWNLOAD, LISTING_CELLS, LISTING_PARAMETERS, OP
 TAGS = ("table", "tbody", "tr", "td", "th", "a", "li", "div", "span")
 TEXT = "#text"
 # Which open elements a tag ends, and where that stops.
-ENDS = {"td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}), "tbody": ({"tbody", "tr", "td", "th"}, {"table"}), "li": ({"li"}, {"ul", "ol"})}
+ENDS = {
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}),
+    "tbody": ({"tbody", "tr", "td", "th"}, {"table"}), "li": ({"li"}, {"ul", "ol"}),
+}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -81,10 +84,20 @@ def elements(pages: DataFrame, page: str, html: str, tags: Sequence[str] = TAGS,
     With ``texts`` pieces of text are rows too, of the tag ``TEXT``.
     """
     kept = frozenset(tags)
+    names = ["page", "at", "up", "tag", "attrs", "path", "text", "joined"]
 
     def run(it):
         import pyarrow as pa
 
+        def batch_of(key, kind, begin: int, part: list) -> pa.RecordBatch:
+            tag, attrs, path, pieces = zip(*part, strict=True)
+            columns = [
+                pa.array([key] * len(part), kind), pa.array(range(begin, begin + len(part)), pa.int32()), pa.array([p[-1] if p else None for p in path], pa.int32()),
+                pa.array(tag), pa.array([list(a.items()) for a in attrs], pa.map_(pa.string(), pa.string())), pa.array(path, pa.list_(pa.int32())),
+                pa.array([" ".join("".join(x).split()) for x in pieces]), pa.array(["".join(y.strip() for y in x) for x in pieces]),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in it:
             for key, value in zip(batch.column(0), batch.column(1), strict=True):
                 reader = _Reader(kept, texts)
@@ -92,18 +105,11 @@ def elements(pages: DataFrame, page: str, html: str, tags: Sequence[str] = TAGS,
                 reader.close()
                 rows = reader.found
                 for begin in range(0, len(rows), 5000):
-                    part = rows[begin : begin + 5000]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([key.as_py()] * len(part), batch.schema.field(0).type), pa.array(range(begin, begin + len(part)), pa.int32()), pa.array([p[-1] if p else None for _, _, p, _ in part], pa.int32()),
-                            pa.array([t for t, *_ in part]), pa.array([list(a.items()) for _, a, _, _ in part], pa.map_(pa.string(), pa.string())), pa.array([p for _, _, p, _ in part], pa.list_(pa.int32())),
-                            pa.array([" ".join("".join(x).split()) for *_, x in part]), pa.array(["".join(y.strip() for y in x) for *_, x in part]),
-                        ],
-                        names=["page", "at", "up", "tag", "attrs", "path", "text", "joined"],
-                    )
+                    yield batch_of(key.as_py(), batch.schema.field(0).type, begin, rows[begin : begin + 5000])
 
     kind = pages.schema[page].dataType.simpleString()
-    return pages.select(F.col(page).alias("page"), F.col(html).cast("string").alias("html")).filter("html <> ''").mapInArrow(run, f"page {kind}, at int, up int, tag string, attrs map<string, string>, path array<int>, text string, joined string")
+    schema = f"page {kind}, at int, up int, tag string, attrs map<string, string>, path array<int>, text string, joined string"
+    return pages.select(F.col(page).alias("page"), F.col(html).cast("string").alias("html")).filter("html <> ''").mapInArrow(run, schema)
 
 
 def attribute(name: str) -> Column:
@@ -143,13 +149,15 @@ def listing_rows(found: DataFrame) -> DataFrame:
     rows = found.filter("tag = 'tr'").join(body, ["page", "up"]).select("page", F.col("at").alias("row"), attribute("data-ri").try_cast("int").alias("_ri"))
     rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("page").orderBy("row")) - 1)
     cells = found.filter("tag = 'td'").groupBy("page", F.col("up").alias("row")).agg(in_order(F.col("joined")).alias("_td")).filter(F.size("_td") >= 10)
-    links = inside(found.filter((F.col("tag") == "a") & attribute("onclick").contains(OPENS_PROCESS)).select("page", "at", "path", attribute("onclick").alias("_call"), attribute("id").alias("_id")), "row")
+    links = found.filter((F.col("tag") == "a") & attribute("onclick").contains(OPENS_PROCESS))
+    links = inside(links.select("page", "at", "path", attribute("onclick").alias("_call"), attribute("id").alias("_id")), "row")
     first = links.groupBy("page", "row").agg(F.min_by(F.struct("_call", "_id"), "at").alias("_a"))
     names, values = (F.regexp_extract_all("_a._call", F.lit(PARAMETER), F.lit(k)) for k in (1, 2))
     met = rows.join(cells, ["page", "row"]).join(first, ["page", "row"]).withColumns({"_names": names, "_values": values})
     # of a name that is given twice the last value counts
     last = lambda p: F.try_element_at("_values", (F.size("_names") + 1 - F.array_position(F.reverse("_names"), p)).cast("int"))
-    own = F.try_element_at(F.filter("_names", lambda n: n.startswith("formBuscador:dtProcesos") & F.exists(F.arrays_zip("_names", "_values"), lambda p: (p["_names"] == n) & (p["_values"] == n))), F.lit(1))
+    itself = lambda n: F.exists(F.arrays_zip("_names", "_values"), lambda p: (p["_names"] == n) & (p["_values"] == n))
+    own = F.try_element_at(F.filter("_names", lambda n: n.startswith("formBuscador:dtProcesos") & itself(n)), F.lit(1))
     out = met.select(
         "page", F.coalesce("_ri", "_place").alias("row_index"), "row", *[F.col("_td")[k].alias(n) for k, n in enumerate(LISTING_CELLS)],
         *[F.when(F.array_contains("_names", p), last(p)).otherwise(F.lit(d)).alias(n) for n, (p, d) in LISTING_PARAMETERS.items()], F.coalesce(own, "_a._id").alias("link_id"),
@@ -196,7 +204,10 @@ def documents(found: DataFrame) -> DataFrame:
     cell = lambda k: F.when(F.size("cells") >= 5, F.col("cells")[k]).otherwise("")
     size = F.replace(F.regexp_replace("joined", r"^[()]+|[()]+$", ""), F.lit(" KB"))
     place = F.row_number().over(Window.partitionBy("page").orderBy("at")) - 1
-    return met.select("page", place.alias("place"), part(1).alias("uuid"), F.coalesce(F.nullif(part(3), F.lit("")), cell(2)).alias("name"), cell(1).alias("stage"), cell(2).alias("kind"), size.alias("size"), cell(4).alias("date"), part(2).alias("access"))
+    return met.select(
+        "page", place.alias("place"), part(1).alias("uuid"), F.coalesce(F.nullif(part(3), F.lit("")), cell(2)).alias("name"),
+        cell(1).alias("stage"), cell(2).alias("kind"), size.alias("size"), cell(4).alias("date"), part(2).alias("access"),
+    )
 
 
 def label_values(found: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -222,27 +233,31 @@ def nested_processes(found: DataFrame) -> DataFrame:
     columns.  A document goes if its link names no file.  ``process`` and ``place`` count
     what the markup holds, so they can have gaps.
     """
-    # The list's class names and its download link.
     def under(of: DataFrame, name: str, rows: DataFrame) -> DataFrame:
         """The first of ``rows`` in each element of ``of`` (page, name), with its ordinal."""
         return first_by(inside(rows, name).join(of.select("page", name), ["page", name], "left_semi"), ["page", name])
 
-    items = found.filter((F.col("tag") == "li") & has_class("parent-main-competition")).select("page", F.col("at").alias("li"), (F.row_number().over(Window.partitionBy("page").orderBy("at")) - 1).alias("process"))
+    place = lambda *keys: F.row_number().over(Window.partitionBy("page", *keys).orderBy("at")) - 1
+    # The list's class names and its download link.
+    items = found.filter((F.col("tag") == "li") & has_class("parent-main-competition")).select("page", F.col("at").alias("li"), place().alias("process"))
     span = lambda kind: found.filter((F.col("tag") == "span") & has_class(kind)).select("page", "at", "path", "joined")
     box = lambda *names: found.filter(has_class(*names)).select("page", "at", "path")
     head = under(items, "li", box("container-title-competition")).select("page", "li", F.col("at").alias("head"))
     words = under(head, "head", box("container-text-pdf-title")).select("page", "head", F.col("at").alias("words"))
     title = under(words, "words", span("title")).select("page", "words", F.col("joined").alias("code"))
     about = under(words, "words", span("excerpt")).select("page", "words", F.col("joined").alias("description"))
-    named = items.join(head, ["page", "li"]).join(words, ["page", "head"]).join(title, ["page", "words"]).join(about, ["page", "words"], "left").select("page", "li", "process", "code", F.coalesce("description", F.lit("")).alias("description"))
+    named = items.join(head, ["page", "li"]).join(words, ["page", "head"]).join(title, ["page", "words"]).join(about, ["page", "words"], "left")
+    named = named.select("page", "li", "process", "code", F.coalesce("description", F.lit("")).alias("description"))
     lists = under(items, "li", box("container-competition")).select("page", "li", F.col("at").alias("list"))
-    docs = inside(found.filter((F.col("tag") == "div") & has_class("container-agreements", "container-participations-item")).select("page", "at", "path"), "list").join(lists, ["page", "list"])
-    docs = docs.select("page", "li", F.col("at").alias("doc")).withColumn("place", F.row_number().over(Window.partitionBy("page", "li").orderBy("doc")) - 1)
+    docs = found.filter((F.col("tag") == "div") & has_class("container-agreements", "container-participations-item")).select("page", "at", "path")
+    docs = inside(docs, "list").join(lists, ["page", "list"]).select("page", "li", F.col("at").alias("doc"), place("li").alias("place"))
     link = found.filter((F.col("tag") == "a") & attribute("href").contains("getFile_store_competition_download")).select("page", "at", "path", F.trim(attribute("href")).alias("href"))
-    file = under(docs, "doc", link).select("page", "doc", "href").withColumn("file", _query_value(F.col("href"), "name_file")).filter("file IS NOT NULL").withColumn("name", F.coalesce(_query_value(F.col("href"), "new_name"), "file"))
+    file = under(docs, "doc", link).select("page", "doc", "href", _query_value(F.col("href"), "name_file").alias("file")).filter("file IS NOT NULL")
+    file = file.withColumn("name", F.coalesce(_query_value(F.col("href"), "new_name"), "file"))
     text = under(docs, "doc", box("container-text-pdf-title")).select("page", "doc", F.col("at").alias("words"))
     head_of = text.join(under(text, "words", span("title")).select("page", "words", F.col("joined").alias("title")), ["page", "words"], "left")
     head_of = head_of.join(under(text, "words", span("excerpt")).select("page", "words", F.col("joined").alias("_valid")), ["page", "words"], "left").drop("words")
     date = lambda n: F.nullif(F.regexp_extract("_valid", VALIDITY, n), F.lit(""))
-    whole = docs.join(file, ["page", "doc"]).join(head_of, ["page", "doc"], "left").select("page", "li", "place", F.coalesce("title", F.lit("")).alias("title"), date(1).alias("valid_from"), date(2).alias("valid_to"), "href", "file", "name")
+    whole = docs.join(file, ["page", "doc"]).join(head_of, ["page", "doc"], "left")
+    whole = whole.select("page", "li", "place", F.coalesce("title", F.lit("")).alias("title"), date(1).alias("valid_from"), date(2).alias("valid_to"), "href", "file", "name")
     return named.join(whole, ["page", "li"], "left").select("page", "process", "code", "description", "place", "title", "valid_from", "valid_to", "href", "file", "name")
