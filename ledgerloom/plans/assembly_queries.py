@@ -261,7 +261,7 @@ def b10(spark, sf_dir):
     return am.merge_cross_document(entries, ["name", "type"], "doc", "entry", "text")
 
 
-MERGED_SQL = """SELECT 'EXP-' || lpad(CAST(row_number() OVER (ORDER BY p_type, p_brand, description, last) AS VARCHAR), 3, '0') AS new_id, p_type, p_brand, description, quantity, variants, notes, CAST(items AS BIGINT) AS items FROM m"""
+MERGED_SQL = """SELECT 'EXP-' || lpad(CAST(k AS VARCHAR), CAST(greatest(3, length(CAST(k AS VARCHAR))) AS INTEGER), '0') AS new_id, p_type, p_brand, description, quantity, variants, notes, CAST(items AS BIGINT) AS items FROM (SELECT *, row_number() OVER (ORDER BY p_type, p_brand, description, last) AS k FROM m)"""
 _ITEMS_SQL = "i AS (SELECT p_partkey, p_type, p_brand, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS name, lower(p_name) AS norm, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE 'some' END AS q, p_partkey % 4 AS v, CASE WHEN p_size % 3 = 0 THEN 'n' || p_size END AS note FROM part)"
 _MERGE_SQL = """max_by(name, (length(name), name)) AS description, coalesce(max(q) FILTER (q <> 'some'), max(q)) AS quantity, string_agg(DISTINCT CAST(v AS VARCHAR), ',' ORDER BY CAST(v AS VARCHAR)) AS variants, coalesce(string_agg(DISTINCT note, '; ' ORDER BY note), '') AS notes, count(*) AS items"""
 

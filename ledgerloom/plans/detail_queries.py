@@ -183,14 +183,14 @@ def g10(spark, sf_dir):
     return am.repeated_drawings(d, "doc", totals, threshold=0.4, most=30)
 
 
-_HASHES_SQL = """h AS (SELECT vec_id, label, [coalesce(list_sum([(CASE WHEN embedding[i] > t THEN 1 ELSE 0 END)::HUGEINT << (i - 1) FOR i IN range(1, 65)]), 0) FOR t IN [-0.1, 0.0, 0.1, 0.2]] AS w FROM embeddings WHERE label % 3 > 0),
+_HASHES_SQL = """h AS (SELECT vec_id, label, [coalesce(list_sum([(CASE WHEN embedding[i] > t THEN 1 ELSE 0 END)::HUGEINT << (3 * (i - 1)) FOR i IN range(1, 21)]), 0) FOR t IN [-0.1, 0.0, 0.1, 0.2]] AS w FROM embeddings WHERE label % 3 > 0),
   f AS (SELECT min(vec_id) AS id, w FROM h GROUP BY w)"""
 
 
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four words of sign bits of a vector's first 64 components, for four thresholds; what is missing is 0."""
-    first = F.slice(F.coalesce("embedding", F.array().cast("array<float>")), 1, 64)
-    word = lambda t: F.aggregate(F.transform(first, lambda x, i: F.when(x > t, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    """Four words of sign bits of a vector's first 20 components, for four thresholds, every third bit; what is missing is 0."""
+    first = F.slice(F.coalesce("embedding", F.array().cast("array<float>")), 1, 20)
+    word = lambda t: F.aggregate(F.transform(first, lambda x, i: F.when(x > t, F.call_function("shiftleft", F.lit(1).cast("long"), 3 * i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[word(t).alias(f"w{k}") for k, t in enumerate((-0.1, 0.0, 0.1, 0.2))])
 
 
