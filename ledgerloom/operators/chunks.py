@@ -20,7 +20,8 @@ def least_inner_end(sections: DataFrame, doc: str, level: str = "level", start:
     it.  So a task holds a strip of a document, never the document, and no section
     meets another.  Sections with a null in any column take no part.
     """
-    slim = sections.select(F.col(doc).alias("doc"), F.col(level).cast("long").alias("level"), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end")).dropna()
+    named = {level: "level", start: "start", end: "end"}
+    slim = sections.select(F.col(doc).alias("doc"), *[F.col(c).cast("long").alias(n) for c, n in named.items()]).dropna()
     low, high = slim.agg(F.min("level"), F.max("level")).first()
     bits = range(max(1, ((high or 0) - (low or 0)).bit_length()))
     at = F.col("level") - F.lit(low or 0)
@@ -42,7 +43,8 @@ def least_inner_end(sections: DataFrame, doc: str, level: str = "level", start:
 def holding(sections: DataFrame, doc: str, holds: bool, among: Column | None = None) -> DataFrame:
     """Sections that hold a deeper section of their document, or the others; ``among``: only for these is it asked, the rest hold nothing."""
     inner = least_inner_end(sections, doc).toDF("_doc", "_level", "_start", "_least")
-    same = (F.col(doc) == F.col("_doc")) & (F.col("level").cast("long") == F.col("_level")) & (F.col("line_start").cast("long") == F.col("_start")) & (F.col("_least") <= F.col("line_end").cast("long"))
+    whole = lambda c: F.col(c).cast("long")
+    same = (F.col(doc) == F.col("_doc")) & (whole("level") == F.col("_level")) & (whole("line_start") == F.col("_start")) & (F.col("_least") <= whole("line_end"))
     return sections.join(inner, same if among is None else same & among, "left_semi" if holds else "left_anti")
 
 

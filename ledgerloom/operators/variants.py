@@ -48,7 +48,8 @@ def similar_texts(texts: DataFrame, keys: Sequence[str], text: str, least: float
     left = first.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     right = first.withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
     long, short = F.greatest(F.length("l._t"), F.length("r._t")), F.least(F.length("l._t"), F.length("r._t"))
-    met = left.alias("l").join(right.alias("r"), [*same("l", "r"), F.col("l._g") == F.col("r._g"), F.col("l._part") == F.col("r._part"), F.col("l.id") < F.col("r.id"), short >= long * least])
+    shared = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("_g", "_part")]
+    met = left.alias("l").join(right.alias("r"), [*same("l", "r"), *shared, F.col("l.id") < F.col("r.id"), short >= long * least])
     pairs = met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l._t").alias("_a"), F.col("r._t").alias("_b")).dropDuplicates(["a", "b"])
     longer = F.greatest(F.length("_a"), F.length("_b"))
     return pairs.filter(F.levenshtein("_a", "_b") <= (1 - least) * longer + 1e-9).select("a", "b")

@@ -67,7 +67,8 @@ class Changes(StatefulProcessor):
         out = pd.DataFrame({"at": least["at"].tolist(), "kind": kinds, "old": before, "new": new})
         for k, v in zip(self.keys, key, strict=True):
             out[k] = v
-        self.last.update((new[-1], least["at"].iloc[-1].item() if hasattr(least["at"].iloc[-1], "item") else least["at"].iloc[-1]))
+        latest = least["at"].iloc[-1]
+        self.last.update((new[-1], latest.item() if hasattr(latest, "item") else latest))
         out = out[out["kind"].notna()]
         if len(out):
             yield out[[*self.keys, "at", "kind", "old", "new"]]
@@ -91,7 +92,8 @@ def stream_changes(stream: DataFrame, keys: Sequence[str], value: str, order: st
     at = "string" if not isinstance(order_kind, TimestampType | IntegralType) else "long"
     # rows reach Python as named tuples, which take plain names only
     plain = [f"key{k}" for k in range(len(keys))]
-    slim = _filled(stream, [*keys, order]).select(*[F.col(k).alias(p) for k, p in zip(keys, plain, strict=True)], _sortable(order, order_kind).alias("at"), F.col(value).cast("string").alias("value"))
+    named = [F.col(k).alias(p) for k, p in zip(keys, plain, strict=True)]
+    slim = _filled(stream, [*keys, order]).select(*named, _sortable(order, order_kind).alias("at"), F.col(value).cast("string").alias("value"))
     schema = ", ".join(f"{p} {fields[k].dataType.simpleString()}" for k, p in zip(keys, plain, strict=True)) + f", at {at}, kind string, old string, new string"
     found = slim.groupBy(*plain).transformWithStateInPandas(Changes(plain, at), schema, "Append", "None")
     back = F.timestamp_micros("at") if isinstance(order_kind, TimestampType) else F.col("at")
