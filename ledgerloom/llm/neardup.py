@@ -8,8 +8,10 @@
    ``BIG_NODE`` items are branched inside one task: small nodes are compared
    exhaustively, items around a leader are taken out together, and what remains is
    split again by two chosen tokens.  Larger nodes are branched by joins in the
-   same way, and only what remains or surrounds a leader is dealt anew.  A node yields clusters: items connected by sketch similarities that
-   no true link can miss (five standard deviations under the threshold).
+   same way: items like the leader are its cluster, those around it are compared with
+   its core in tiles of bounded size (``_bridges``), and what is not core is dealt
+   anew.  A node of any size yields the same clusters: items connected by sketch
+   similarities that no true link can miss (five standard deviations under the threshold).
 4. Clusters that share an item are joined over all trees, so that an item is in one
    cluster.  The full sets of a cluster's items are compared exactly and confirmed
    links reported as stars; clusters of more than ``BIG_CLUSTER`` items or
@@ -25,7 +27,7 @@ threshold, and fewer above it.
 Defined results: null, empty and blank texts have empty sets, are linked with
 nothing and are their own component; rows that share a doc_id share a component,
 which links their texts; rows with a null doc_id take no part (component_id null,
-kept true); repeated rows are each reported; very long texts are used whole;
+kept true); repeated rows are each reported; very long texts are used whole, their words a stretch at a time;
 further columns, whatever their names, are kept by ``keep_one``; an empty table
 gives an empty result.
 """
@@ -33,10 +35,11 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialise, tidy
@@ -51,8 +54,12 @@ BIG_CLUSTER = 8_192
 BIG_SHINGLES = 2_000_000  # 16 MB of hashes
 DEPTH = 8
 LINK = 0.62  # sketch similarity that a linked pair reaches
-CORE, AROUND = 0.70, 0.15  # whoever is linked to an item this near a leader is at least so near it, by the triangle inequality and four standard deviations
+CORE = 0.70  # items this near a leader are taken out
+AROUND = CORE + LINK - 1  # whose sketch is LINK-like to one in the core is at least so near the leader: shares of equal bytes obey the triangle inequality
+TILE = 8_192  # items of a core, or around it, that one task holds: 1 MB of sketches
 WORD_CACHE = 200_000
+STRETCH = 1 << 20  # bytes of a text that are words at once
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _rng = np.random.default_rng(8)
@@ -76,16 +83,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """Hashes of the words of a text in order; a long text is cut at white space, so that few words are objects at once."""
+    parts, at = [np.zeros(0, "uint64")], 0
+    while at < len(data):
+        cut = _SPACE.search(data, at + STRETCH)
+        to = cut.start() if cut else len(data)
+        words = data[at:to].split()  # of bytes: ASCII white space only
+        if len(_WORDS) > WORD_CACHE:
+            _WORDS.clear()
+        parts.append(np.fromiter(map(_WORDS.__getitem__, words), "uint64", len(words)))
+        at = to
+    return parts[-1] if len(parts) == 2 else np.concatenate(parts)
+
+
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())  # of bytes: A-Z only
+    if not len(h):
         return np.zeros(0, "uint64")
-    if len(_WORDS) > WORD_CACHE:
-        _WORDS.clear()
-    h = np.fromiter(map(_WORDS.__getitem__, words), "uint64", len(words))
-    if len(words) < width:
-        width = len(words)
+    width = min(width, len(h))
     n = len(h) - width + 1
     out = np.full(n, width, "uint64")
     for k in range(width):
@@ -291,27 +308,73 @@ def node_coordinates(level: int) -> tuple[Column, Column]:
 def _branch_big(nodes: DataFrame, leaders: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     """One step for nodes too large for a task: (stars, the nodes of the next level).
 
-    Whoever is linked to a core is in the leader's surroundings too, so cores need
-    not be split on: the surroundings become a node of their own, and the rest is
-    split by two tokens.  Surroundings that are again too large for a task are one
-    cluster, which is compared in pairs of blocks later.
+    Whoever is ``LINK``-like to the leader is in its cluster.  The core leaves the node;
+    what links it to others is found by ``_bridges``.  The rest is split by two tokens.
     """
 
     def same(a, b):
         return F.aggregate(F.sequence(F.lit(1), F.lit(COORDINATES)), F.lit(0), lambda n, i: n + (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))).cast("int")) / COORDINATES
 
     near = same(F.col("sketch"), F.col("_leader"))
-    marked = materialise(nodes.join(leaders, "key").select("key", "item", "sketch", "shell", "_lead_item", near.alias("_near")), "branch")
-    stars = marked.filter(F.col("shell") & (F.col("_near") >= AROUND) & (F.col("item") != F.col("_lead_item"))).select(F.col("_lead_item").alias("a"), F.col("item").alias("b"))
-    split = [F.when(F.col("_near") < CORE, F.struct(F.xxhash64("key", c, F.substring(F.col("sketch"), c + 1, F.lit(1))).alias("key"), F.lit(False).alias("shell"))) for c in node_coordinates(level)]
-    around = F.when(~F.col("shell") & (F.col("_near") >= AROUND), F.struct(F.xxhash64("key", F.lit(-1)).alias("key"), F.lit(True).alias("shell")))
-    after = marked.select("item", "sketch", F.explode(F.array_compact(F.array(*split, around))).alias("_to"))
-    return stars, after.select("item", "sketch", F.col("_to.key").alias("key"), F.col("_to.shell").alias("shell"))
+    marked = materialise(nodes.join(leaders, "key").select("key", "item", "sketch", "_lead_item", near.alias("_near")), "branch")
+    stars = marked.filter((F.col("_near") >= LINK) & (F.col("item") != F.col("_lead_item"))).select(F.col("_lead_item").alias("a"), F.col("item").alias("b"))
+    split = F.array(*[F.xxhash64("key", c, F.substring(F.col("sketch"), c + 1, F.lit(1))) for c in node_coordinates(level)])
+    after = marked.filter(F.col("_near") < CORE).select("item", "sketch", F.explode(split).alias("key"))
+    return stars.unionByName(_bridges(marked)), after
+
+
+def _bridges(marked: DataFrame) -> DataFrame:
+    """(a, b): a node's leader and each item around it whose sketch is ``LINK``-like to an item of the leader's core, but not to the leader.
+
+    ``marked``: (key, item, sketch, _lead_item, _near).  A node's core and what is around
+    it are dealt into tiles of about ``TILE`` items; each pair of tiles is a group of its
+    own.  A node whose core is the leader alone has none.
+    """
+    core = marked.filter((F.col("_near") >= CORE) & (F.col("item") != F.col("_lead_item")))
+    around = marked.filter((F.col("_near") >= AROUND) & (F.col("_near") < LINK))
+    tiles = lambda df, name: df.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
+    sizes = materialise(tiles(core, "_cores").join(tiles(around, "_arounds"), "key"), "bridge-tiles")
+    tile = lambda n: F.pmod(F.xxhash64("item", F.lit("tile")), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cores = core.join(sizes, "key").select("key", tile("_cores").alias("_c"), every("_arounds").alias("_a"), F.lit(True).alias("core"), "_lead_item", "item", "sketch")
+    arounds = around.join(sizes, "key").select("key", every("_cores").alias("_c"), tile("_arounds").alias("_a"), F.lit(False).alias("core"), "_lead_item", "item", "sketch")
+    met = cores.unionByName(arounds).select(F.xxhash64("key", "_c", "_a").alias("key"), "core", F.col("_lead_item").alias("lead"), "item", "sketch")
+
+    def run(it):
+        import pyarrow as pa
+
+        for group in _whole_groups(it, "key"):
+            keys, ids = group.column("key").to_numpy(), group.column("item").to_numpy()
+            leads, is_core = group.column("lead").to_numpy(), group.column("core").to_numpy(zero_copy_only=False)
+            for a, b in _runs(keys):
+                inside = is_core[a:b]
+                sketches = _bytes_matrix(group.column("sketch").slice(a, b - a))
+                hit = bridged(sketches[inside], sketches[~inside])
+                found = ids[a:b][~inside][hit]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), leads[a])), pa.array(found)], names=["a", "b"])
+
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long").distinct()
+
+
+def bridged(core: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Rows of ``around`` whose sketch is ``LINK``-like to one of ``core``; whichever is the smaller is gone through one by one."""
+    least = int(np.ceil(LINK * COORDINATES))
+    if len(around) <= len(core):
+        return np.array([k for k, one in enumerate(around) if (np.count_nonzero(core == one, axis=1) >= least).any()], "int64")
+    left = np.arange(len(around))
+    hit = [np.zeros(0, "int64")]
+    for one in core:
+        like = np.count_nonzero(around[left] == one, axis=1) >= least
+        hit.append(left[like])
+        left = left[~like]
+        if not len(left):
+            break
+    return np.concatenate(hit)
 
 
 def candidate_clusters(items: DataFrame) -> DataFrame:
     """(cluster, item): each item that is like another by sketch, in the one cluster that all trees connect; ``items``: (item, sketch, keys)."""
-    nodes = items.select("item", "sketch", F.explode("keys").alias("key")).withColumn("shell", F.lit(False))
+    nodes = items.select("item", "sketch", F.explode("keys").alias("key"))
     out, level = None, 0
     while True:  # every step takes out the cores of each large node and splits the rest, down to small nodes
         leaders = _leaders(nodes, items, level)

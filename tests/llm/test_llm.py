@@ -192,6 +192,49 @@ def test_near_duplicates_of_large_nodes_are_split_independently(spark, monkeypat
     assert missed == []
 
 
+def test_items_of_one_template_do_not_become_one_cluster(spark, monkeypatch):
+    """Sketches that share 45 % of their bytes, one node in all trees, with planted groups: clusters are the groups, in several tiles of cores."""
+    for name, limit in {"BIG_NODE": 200, "TILE": 16}.items():
+        monkeypatch.setattr(neardup, name, limit)
+    rng = np.random.default_rng(9)
+    template, own = rng.integers(0, 256, neardup.COORDINATES, dtype="uint8"), np.arange(58, neardup.COORDINATES)
+    groups, rows = [1] * 1200 + [2] * 60 + [80, 40], []
+    for g, size in enumerate(groups):
+        first = template.copy()
+        first[own] = rng.integers(0, 256, len(own), dtype="uint8")
+        for k in range(size):
+            one = first.copy()
+            one[rng.choice(own, 12 if k else 0, replace=False)] += np.uint8(1 + k)  # two of a group differ in at most 24 bytes
+            rows.append((g, bytearray(one), list(range(neardup.TREES))))
+    items = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], "item long, sketch binary, keys array<long>")
+    cluster = {r.item: r.cluster for r in neardup.candidate_clusters(items).collect()}
+    of_group = {}
+    for k, (g, *_) in enumerate(rows):
+        of_group.setdefault(g, set()).add(cluster.get(k, -1 - k))
+    assert all(len(found) == 1 for found in of_group.values())
+    assert len({min(found) for found in of_group.values()}) == len(groups)
+
+
+def test_bridges_equal_all_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (5, neardup.COORDINATES), dtype="uint8")
+    for n, m in ((0, 4), (4, 0), (3, 40), (40, 3), (30, 30)):
+        sets = [base[rng.integers(0, 5, k)] for k in (n, m)]
+        for s in sets:
+            s[rng.random(s.shape) < 0.22] += 1
+        want = [j for j in range(m) if any(np.count_nonzero(c == sets[1][j]) / neardup.COORDINATES >= neardup.LINK for c in sets[0])]
+        assert sorted(neardup.bridged(*sets)) == want
+
+
+def test_words_of_a_long_text_in_stretches(monkeypatch):
+    rng = random.Random(8)
+    text = "".join(rng.choices("abC \t\n\u00a0\u00e9", k=3000)) + " " + "x" * 200
+    whole = neardup.shingle_set(text, 3)
+    for stretch in (1, 7, 64):
+        monkeypatch.setattr(neardup, "STRETCH", stretch)
+        assert (neardup.shingle_set(text, 3) == whole).all()
+
+
 def test_quality_and_language_keep_clean(spark):
     rng = random.Random(5)
     en, de = ["the", "and", "of", "with", "there", "house", "walking"], ["der", "und", "nicht", "über", "haus", "gehen", "schön"]
