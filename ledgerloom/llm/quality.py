@@ -17,6 +17,7 @@ unless their votes say bad.
 from __future__ import annotations
 
 import operator
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -40,6 +41,8 @@ PRIOR_GRAMS = 20  # a text of so few trigrams is judged half by the intercept
 REJECT_BELOW = 0.35
 PAD = b"\n\n"
 PART_ROWS = 500
+STRETCH = 1 << 20  # characters of a text whose words or lines are objects at once
+_BLANK, _LINE_END = re.compile(r"\s"), re.compile("\n")
 LABELLERS = ("symbols", "upper", "bars", "letters", "lines", "word_length", "stops", "repeats")
 
 
@@ -88,12 +91,27 @@ def repeat_share(texts: list[str]) -> np.ndarray:
     """Share of a text's words that equal the word before."""
     out = np.zeros(len(texts))
     for k, text in enumerate(texts):
-        words = text.split()
-        if len(words) > 3:
-            out[k] = sum(map(operator.eq, words, words[1:])) / len(words)
+        n, same, last = 0, 0, []
+        for part in _stretches(text, _BLANK):
+            words = last + part.split()
+            n += len(words) - len(last)
+            same += sum(map(operator.eq, words, words[1:]))
+            last = words[-1:]
+        if n > 3:
+            out[k] = same / n
     return out
 
 
+def _stretches(text: str, edge: re.Pattern):
+    """A text in parts of about ``STRETCH`` characters that end before a match of ``edge``, so that few words or lines are objects at once."""
+    at = 0
+    while at < len(text):
+        cut = edge.search(text, at + STRETCH)
+        to = cut.start() if cut else len(text)
+        yield text[at:to]
+        at = to
+
+
 def features(grams: np.ndarray, repeats: np.ndarray) -> np.ndarray:
     """Rows x FEATURES: square roots of trigram shares, shrunk for short texts, and a step of the repeats."""
     n = len(grams)
@@ -135,10 +153,14 @@ def votes(counts: np.ndarray, texts: list[str], repeats: np.ndarray) -> np.ndarr
 
 
 def _line_vote(text: str) -> int:
-    lines = [x for x in text.split("\n") if x.strip()]
-    if len(lines) < 4:
+    found = [np.zeros(0, "int64")]
+    for part in _stretches(text, _LINE_END):
+        lines = [x for x in part.split("\n") if x.strip()]
+        found.append(np.fromiter(map(hash, lines), "int64", len(lines)))
+    n = sum(map(len, found))
+    if n < 4:
         return 2
-    return 0 if len(set(lines)) < 0.4 * len(lines) else 1
+    return 0 if len(np.unique(np.concatenate(found))) < 0.4 * n else 1
 
 
 def vote_patterns(docs: DataFrame) -> DataFrame:

@@ -235,6 +235,19 @@ def test_words_of_a_long_text_in_stretches(monkeypatch):
         assert (neardup.shingle_set(text, 3) == whole).all()
 
 
+def test_words_and_lines_of_a_long_text_are_counted_in_stretches(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(["a", "b", " ", "\n", "\u2003", "\n\n"], k=n)) for n in (0, 3, 40, 400, 400)] + ["one line\n" * 50, "x" * 300]
+    lines = [[x for x in t.split("\n") if x.strip()] for t in texts]
+    want = [2 if len(x) < 4 else int(len(set(x)) >= 0.4 * len(x)) for x in lines]
+    words = [t.split() for t in texts]
+    share = [sum(a == b for a, b in zip(w, w[1:], strict=False)) / len(w) if len(w) > 3 else 0 for w in words]
+    for stretch in (1, 5, 64, 1 << 20):
+        monkeypatch.setattr(quality, "STRETCH", stretch)
+        assert [quality._line_vote(t) for t in texts] == want
+        assert quality.repeat_share(texts).tolist() == share
+
+
 def test_quality_and_language_keep_clean(spark):
     rng = random.Random(5)
     en, de = ["the", "and", "of", "with", "there", "house", "walking"], ["der", "und", "nicht", "über", "haus", "gehen", "schön"]
