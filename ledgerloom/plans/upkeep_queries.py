@@ -47,7 +47,7 @@ def j11(spark, sf_dir):
     return up.profile_for_source(table(spark, sf_dir, "documents"), [("open", ["SRC0", "src1"]), ("technical", ["src1", "src2"])], "source", "default").select("doc_id", "profile")
 
 
-@query("G03_bucket_counts", f"WITH {FEED_SQL} SELECT c_custkey AS entity_id, count_if(status = '{PUBLISHED}') AS published, count_if(status = '{DOWNLOADED}') AS downloaded, count_if(status = '{ANALYZED}') AS analyzed FROM customer LEFT JOIN feed ON entity_id = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY c_custkey")
+@query("G03_bucket_counts", f"WITH {FEED_SQL} SELECT c_custkey AS entity_id, count(*) FILTER (WHERE status = '{PUBLISHED}') AS published, count(*) FILTER (WHERE status = '{DOWNLOADED}') AS downloaded, count(*) FILTER (WHERE status = '{ANALYZED}') AS analyzed FROM (SELECT DISTINCT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') LEFT JOIN feed ON entity_id = c_custkey GROUP BY c_custkey")
 def g03(spark, sf_dir):
     ids = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(c("c_custkey").alias("entity_id"))
     return up.bucket_counts(feed(spark, sf_dir), ids, {"published": [PUBLISHED], "downloaded": [DOWNLOADED], "analyzed": [ANALYZED]})
