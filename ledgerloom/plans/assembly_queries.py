@@ -112,7 +112,7 @@ def g11(spark, sf_dir):
     return am.image_noise(refs, "doc_id")
 
 
-@query("G13_sheet_profile", "WITH g AS (SELECT source, count_if(doc_id % 3 > 0) AS texts, count_if(doc_id % 3 = 0) AS numbers, count_if(doc_id % 3 > 0 AND length(text) > 200) AS long_texts, count(*) AS f FROM documents GROUP BY source) SELECT source, texts, numbers, long_texts, CASE WHEN long_texts / f >= 0.4 THEN 'text' ELSE 'markdown' END AS representation FROM g")
+@query("G13_sheet_profile", "WITH g AS (SELECT source, count_if(doc_id % 3 > 0) AS texts, count_if(doc_id % 3 = 0) AS numbers, count(*) FILTER (WHERE doc_id % 3 > 0 AND length(text) >= 200) AS long_texts, count(*) AS f FROM documents GROUP BY source) SELECT source, texts, numbers, long_texts, CASE WHEN long_texts / f >= 0.4 THEN 'text' ELSE 'markdown' END AS representation FROM g")
 def g13(spark, sf_dir):
     cells = table(spark, sf_dir, "documents").select("source", F.when(c("doc_id") % 3 > 0, "text").otherwise("number").alias("kind"), "text", F.lit(None).cast("int").alias("merged_min_row"), c("doc_id").alias("row"), (c("doc_id") % 3 + 1).alias("col"))
     return am.sheet_profile(cells, "source").select("source", "texts", "numbers", "long_texts", "representation")

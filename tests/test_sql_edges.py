@@ -21,3 +21,9 @@ def test_bucket_counts_of_an_entity_without_items(spark, tmp_path):
     orders = "SELECT k::BIGINT AS o_orderkey, c::BIGINT AS o_custkey, s AS o_orderstatus, '1' AS o_orderpriority, DATE '2024-01-01' AS o_orderdate, 1.0 AS o_totalprice FROM (VALUES (1, 2, 'F'), (2, 2, 'O'), (3, 3, 'P')) v(k, c, s)"
     got, want = both(spark, tmp_path, "G03_bucket_counts", customer=customers, orders=orders)
     assert got == want == [(1, 0, 0, 0), (2, 1, 0, 1)]
+
+
+def test_sheet_profile_of_a_text_of_exactly_the_long_length(spark, tmp_path):
+    documents = "SELECT * FROM (VALUES (1::BIGINT, 'a', repeat('x', 200)), (3, 'a', 'x'), (4, 'b', repeat('x', 199)), (6, 'b', 'x'), (7, 'c', NULL)) v(doc_id, source, text)"
+    got, want = both(spark, tmp_path, "G13_sheet_profile", documents=documents)
+    assert got == want == [("a", 1, 1, 1, "text"), ("b", 1, 1, 0, "markdown"), ("c", 1, 0, 0, "markdown")]
