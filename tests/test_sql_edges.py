@@ -27,3 +27,16 @@ def test_sheet_profile_of_a_text_of_exactly_the_long_length(spark, tmp_path):
     documents = "SELECT * FROM (VALUES (1::BIGINT, 'a', repeat('x', 200)), (3, 'a', 'x'), (4, 'b', repeat('x', 199)), (6, 'b', 'x'), (7, 'c', NULL)) v(doc_id, source, text)"
     got, want = both(spark, tmp_path, "G13_sheet_profile", documents=documents)
     assert got == want == [("a", 1, 1, 1, "text"), ("b", 1, 1, 0, "markdown"), ("c", 1, 0, 0, "markdown")]
+
+
+def test_stream_due_of_times_between_milliseconds(spark, tmp_path):
+    events = "SELECT CAST(t AS TIMESTAMP) AS ts, u::BIGINT AS user_id FROM (VALUES ('2024-01-01 10:00:00.000700', 1), ('2024-01-01 10:15:00.000200', 2), ('2024-01-01 10:15:00.002', 3), ('2024-01-01 11:00:00.001600', 4)) v(t, u)"
+    got, want = both(spark, tmp_path, "T05_stream_due", events=events)
+    assert got == want
+    assert [(u, t.strftime("%H:%M:%S.%f")) for u, t in want] == [(1, "10:45:00.000000"), (2, "11:00:00.000000")]
+
+
+def test_stream_due_at_the_clock_itself(spark, tmp_path):
+    events = "SELECT CAST(t AS TIMESTAMP) AS ts, u::BIGINT AS user_id FROM (VALUES ('2024-01-01 10:15:00', 1), ('2024-01-01 11:00:00', 2)) v(t, u)"
+    got, want = both(spark, tmp_path, "T05_stream_due", events=events)
+    assert got == want
