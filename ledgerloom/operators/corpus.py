@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from functools import reduce
-from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import holding, pack_chunks  # noqa: F401  packing is an operator on sections too
+from .hamming import hamming_pairs  # noqa: F401  pairs of an image corpus
 from .ranking import materialise
 
 
@@ -309,58 +308,6 @@ def rescue_json_objects(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, text).mapInPandas(objects, f"{key} {kind}, place int, object string")
 
 
-HOT_BAND = 2_000
-BAND_LEVELS = 4
-
-
-def hamming_pairs(hashes: DataFrame, key: str, words: Sequence[str], most: int, small: Column | None = None, hot: int = HOT_BAND) -> DataFrame:
-    """(left, right, distance): pairs of 64-bit-word hashes within ``most`` bits.
-
-    Equal hashes are one value with its smallest key, so copies make no pairs
-    between themselves but one each with that key (distance 0).  Different values are compared where one of
-    ``most + 1`` bands is equal, then counted exactly.  Values of a band that over ``hot``
-    of them share are banded again by their other bits, which differ in ``most`` places
-    at most too, and so on, ``BAND_LEVELS`` times at most; what then still shares its
-    bands is alike in most of its bits, and is compared in pairs.
-    ``small``: which rows take part (images of few pixels).
-    """
-    rows = hashes.filter(F.coalesce(small, F.lit(False))) if small is not None else hashes
-    values = rows.groupBy(*words).agg(F.min(key).alias("_first"))
-    copies = rows.join(values, list(words)).filter(F.col(key) != F.col("_first")).select(F.col("_first").alias("left"), F.col(key).alias("right"), F.lit(0).alias("distance"))
-    bands, bits = most + 1, 64 * len(words)
-    distance = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words[1:]), F.bit_count(F.col(f"a.{words[0]}").bitwiseXOR(F.col(f"b.{words[0]}"))))
-    todo = values.select("_first", *words, F.lit("").alias("_key"), F.concat(*[F.lpad(F.bin(w), 64, "0") for w in words]).alias("_rest"))
-    pairs = None
-    for level in range(BAND_LEVELS):
-        cut = [bits * k // bands for k in range(bands + 1)]
-        band = F.array(*[F.substring("_rest", cut[k] + 1, cut[k + 1] - cut[k]) for k in range(bands)])
-        rest = [F.concat(F.substring("_rest", 1, cut[k]), F.substring("_rest", cut[k + 1] + 1, bits)) for k in range(bands)]
-        banded = todo.select("_first", *words, "_key", band.alias("_all"), F.posexplode(F.array(*rest)).alias("_k", "_rest"))
-        banded = banded.withColumn("_key", F.concat_ws(",", "_key", "_k", F.col("_all")[F.col("_k")]))
-        last = level + 1 == BAND_LEVELS or bits - (cut[-1] - cut[-2]) < 2 * bands
-        if last:
-            own = banded
-        else:
-            banded = materialise(banded, "bands")
-            large = banded.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select("_key")
-            own = banded.join(large, "_key", "left_anti")
-        a, b = own.alias("a"), own.alias("b")
-        met = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a._first") < F.col("b._first")) & (distance <= most))
-        found = met.select(F.col("a._first").alias("left"), F.col("b._first").alias("right"), distance.alias("distance"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if last:
-            break
-        todo = materialise(banded.join(large, "_key", "left_semi"), "hot-bands")
-        # a group whose values all share an earlier band too is part of that band's group
-        alike = [(F.min(F.col("_all")[k]) == F.max(F.col("_all")[k])) & (F.col("_k") > k) for k in range(bands)]
-        again = todo.groupBy("_key", "_k").agg(reduce(or_, alike).alias("_again")).filter("_again").select("_key")
-        todo = todo.join(again, "_key", "left_anti").select("_first", *words, "_key", "_rest")
-        if not todo.limit(1).count():
-            break
-        bits -= max(y - x for x, y in zip(cut, cut[1:], strict=False))  # of the shortest rest; a longer one has bits that are in no band
-    return pairs.distinct().unionByName(copies)
-
-
 def page_signals(pages: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Names of the rules that hold for each page, joined by commas."""
     return pages.withColumn("signals", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()])), ","))
