@@ -164,8 +164,7 @@ def image_noise(refs: DataFrame, doc: str, min_freq: int = 5, tiny: int = 20, wo
     if words:
         node = F.concat_ws("|", F.col(doc).cast("string"), F.col("xref").cast("string"))
         free = m.filter(~frequent & ~copied & (F.col("width") <= small) & (F.col("height") <= small)).withColumn("_node", node)
-        by_doc = free.withColumn("_doc", F.xxhash64(doc))
-        pairs = cp.hamming_pairs(by_doc, "_node", ["_doc", *words], near)
+        pairs = cp.hamming_pairs(free, "_node", words, near, by=[doc], forest=True)
         place = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("pages"), "xref"))
         drops = free.join(components(pairs, "left", "right").withColumnRenamed("node", "_node"), "_node").withColumn("_k", place).filter("_k > 1").select(doc, "xref", F.lit(True).alias("_like"))
         m = m.join(drops, [doc, "xref"], "left")
