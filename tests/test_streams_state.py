@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ledgerloom.sources import versions as vs
@@ -180,3 +181,48 @@ def test_versions_behind_a_pointer(spark, tmp_path):
     assert vs.publish(spark.range(1), path, keep=2) == 9 and vs.subfolders(spark, path, "v=") == ["v=8", "v=9"]
     with pytest.raises(ValueError):
         vs.retain(spark, path, 0)
+
+
+class Held:
+    """A state store of one key."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, t):
+        self.timers.remove(t)
+
+    def registerTimer(self, t):
+        self.timers.append(t)
+
+
+def test_keys_are_read_as_rows_without_a_frame_each():
+    held, began = Held(), time.time()
+    changes = ky.Changes(["k"], "long")
+    changes.init(held)
+    rows = lambda *pairs: iter([Row(at=a, value=v) for a, v in pairs])
+    got = [tuple(r) for r in changes.handleInputRows(("a",), rows((2, None), (1, "9"), (1, "10"), (2, "b"), (3, "b"), (4, None)), None)]
+    assert got == [("a", 1, "added", None, "10"), ("a", 2, "modified", "10", "b"), ("a", 4, "modified", "b", None)]
+    assert [tuple(r) for r in changes.handleInputRows(("a",), rows((4, "late"), (5, None)), None)] == [] and held.value == (None, 5)
+    for k in range(20_000):
+        held.value = None
+        assert len(list(changes.handleInputRows((k,), rows((2, "b"), (1, "a")), None))) == 2
+    assert time.time() - began < 5  # a frame a key took over a millisecond each
+    item = Held()
+    due = ky.Due(["k"], base=100, urgent=10, horizon=50)
+    due.init(item)
+    for checked, deadline in ((None, None), (7, 400), (7, None), (3, 20)):
+        assert list(due.handleInputRows(("a",), iter([Row(checked=checked, deadline=deadline), Row(checked=None, deadline=9)]), None)) == []
+    assert item.value == (7, None) and item.timers == [107]
