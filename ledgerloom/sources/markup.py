@@ -19,6 +19,7 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import materialise
 from .layouts import DATE_START, DOWNLOAD, LISTING_CELLS, LISTING_PARAMETERS, OPENS_PROCESS, PARAMETER, SCHEDULE_HEADER, VALIDITY, _query_value, _stage
 
 TAGS = ("table", "tbody", "tr", "td", "th", "a", "li", "div", "span")
@@ -112,6 +113,11 @@ def elements(pages: DataFrame, page: str, html: str, tags: Sequence[str] = TAGS,
     return pages.select(F.col(page).alias("page"), F.col(html).cast("string").alias("html")).filter("html <> ''").mapInArrow(run, schema)
 
 
+def read_once(found: DataFrame, wanted: Column, *columns: str | Column) -> DataFrame:
+    """The elements and columns that a rule reads, written once: what reads them again does not read the pages again."""
+    return materialise(found.filter(wanted).select("page", "at", *columns), "elements")
+
+
 def attribute(name: str) -> Column:
     return F.coalesce(F.try_element_at("attrs", F.lit(name)), F.lit(""))
 
@@ -145,6 +151,7 @@ def listing_rows(found: DataFrame) -> DataFrame:
     link may stand anywhere in it.  Rows with fewer than ten cells, without a link that
     opens a process or without its id go; of rows of a page with the same id the first stays.
     """
+    found = read_once(found, F.col("tag").isin("tbody", "tr", "td") | ((F.col("tag") == "a") & attribute("onclick").contains(OPENS_PROCESS)), "up", "tag", F.when(F.col("tag") != "td", F.col("attrs")).alias("attrs"), F.when(F.col("tag") == "a", F.col("path")).alias("path"), F.when(F.col("tag") == "td", F.col("joined")).alias("joined"))
     body = first_by(found.filter((F.col("tag") == "tbody") & (attribute("id") == "formBuscador:dtProcesos_data")), ["page"]).select("page", F.col("at").alias("up"))
     rows = found.filter("tag = 'tr'").join(body, ["page", "up"]).select("page", F.col("at").alias("row"), attribute("data-ri").try_cast("int").alias("_ri"))
     rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("page").orderBy("row")) - 1)
@@ -174,6 +181,7 @@ def _row_cells(found: DataFrame) -> DataFrame:
 
 def schedules(found: DataFrame) -> DataFrame:
     """(page, place, stage, starts, ends): the schedule table with the expected id, if it has rows, else the first with most rows, two at least."""
+    found = read_once(found, F.col("tag").isin("table", "tr", "th", "td"), "tag", "path", F.when(F.col("tag") == "table", F.col("attrs")).alias("attrs"), F.when(F.col("tag").isin("th", "td"), F.col("joined")).alias("joined"))
     tables = found.filter("tag = 'table'").select("page", F.col("at").alias("table"), attribute("id").rlike(r"tbFicha:j_idt\d+$").alias("_named"))
     heads = inside(found.filter("tag = 'th'").select("page", "at", "path", "joined"), "table").groupBy("page", "table").agg(in_order(F.col("joined")).alias("_th"))
     good = tables.join(heads, ["page", "table"]).filter(F.col("_th") == F.array(*map(F.lit, SCHEDULE_HEADER))).drop("_th")
@@ -196,6 +204,7 @@ def documents(found: DataFrame) -> DataFrame:
     Stage, kind and date are the second, third and fifth cell of the link's own row, blank
     where that has fewer than five; a link without a name is named by its kind.
     """
+    found = read_once(found, F.col("tag").isin("tr", "td", "a"), "tag", "path", F.when(F.col("tag") == "a", F.col("attrs")).alias("attrs"), F.when(F.col("tag") != "tr", F.col("joined")).alias("joined"))
     rows = found.filter("tag = 'tr'").select("page", F.col("at").alias("row"))
     part = lambda k: F.regexp_extract("_call", DOWNLOAD, k)
     links = found.filter("tag = 'a'").select("page", "at", "path", "joined", attribute("onclick").alias("_call")).filter(part(1) != "")
@@ -215,6 +224,7 @@ def label_values(found: DataFrame, labels: Sequence[str]) -> DataFrame:
 
     Labels that no row holds have no row.
     """
+    found = read_once(found, F.col("tag").isin("tr", "td", TEXT), "tag", "path", F.when(F.col("tag") != "td", F.col("text")).alias("text"), F.when(F.col("tag") == "td", F.col("joined")).alias("joined"))
     rows = found.filter("tag = 'tr'").select("page", F.col("at").alias("row"), F.col("text").alias("_whole"))
     texts = found.filter(F.col("tag") == TEXT).select("page", "at", "path", "text", F.explode(F.array(*map(F.lit, labels))).alias("label")).filter(F.contains("text", F.col("label")))
     first = first_by(texts, ["page", "label"])
@@ -233,6 +243,11 @@ def nested_processes(found: DataFrame) -> DataFrame:
     columns.  A document goes if its link names no file.  ``process`` and ``place`` count
     what the markup holds, so they can have gaps.
     """
+    marks = ("parent-main-competition", "container-title-competition", "container-text-pdf-title", "title", "excerpt", "container-competition", "container-agreements")
+    downloads = (F.col("tag") == "a") & attribute("href").contains("getFile_store_competition_download")
+    marked = F.arrays_overlap(F.split(attribute("class"), r"\s+"), F.array(*map(F.lit, marks)))
+    found = read_once(found, marked | downloads, "tag", "attrs", "path", F.when(F.col("tag") == "span", F.col("joined")).alias("joined"))
+
     def under(of: DataFrame, name: str, rows: DataFrame) -> DataFrame:
         """The first of ``rows`` in each element of ``of`` (page, name), with its ordinal."""
         return first_by(inside(rows, name).join(of.select("page", name), ["page", name], "left_semi"), ["page", name])

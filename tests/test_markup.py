@@ -89,3 +89,11 @@ def test_nested_processes(spark):
     got = sorted(tuple(r) for r in mk.nested_processes(found(spark, [(1, html), (2, ""), (3, None)])).collect())
     link = "/x/getFile_store_competition_download?name_file=a.pdf&new_name=B%20a.pdf"
     assert got == [(1, 0, "P-1", "About", 1, "Bases", "01.02.24", "03.04.24", link, "a.pdf", "B a.pdf"), (1, 1, "P-2", "About", None, None, None, None, None, None, None)]
+
+
+def test_pages_are_read_once_for_each_rule(spark):
+    pages = spark.createDataFrame([(1, "<table><tr><td>x</td></tr></table>")], "page int, html string")
+    for rule in (mk.listing_rows, mk.schedules, mk.documents, mk.nested_processes, lambda found: mk.label_values(found, ["x"])):
+        out = rule(mk.elements(pages, "page", "html", texts=True))
+        assert "MapInArrow" not in out._jdf.queryExecution().toString()  # elements come from the table that they were written to
+        assert "parquet" in out._jdf.queryExecution().toString()
