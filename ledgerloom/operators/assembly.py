@@ -268,18 +268,19 @@ def changed_regions(old: DataFrame, new: DataFrame, page: str, pos: str, line: s
     A line changed if the other version lacks it (or has it less often: the later
     ones count).  Runs of changed lines of one version are its regions; shares are of the lines of both versions.
     """
-    def against(own: DataFrame, other: DataFrame) -> DataFrame:
-        times = other.groupBy(page, line).agg(F.count("*").alias("_times"))
-        nth = F.row_number().over(Window.partitionBy(page, line).orderBy(pos))
-        rows = own.select(page, pos, line).withColumn("_nth", nth).join(times, [page, line], "left")
-        return rows.select(page, pos, (F.col("_nth") > F.coalesce("_times", F.lit(0))).alias("_changed"))
-
-    both = old.select(page).distinct().join(new.select(page).distinct(), page)
-    sides = [against(*pair).join(both, page, "left_semi") for pair in ((old, new), (new, old))]
-    runs = [cp.contiguous_ranges(s.filter("_changed"), [page], pos).select(page, (F.col("end") - F.col("start") + 1).alias("_size")) for s in sides]
-    totals = sides[0].unionByName(sides[1]).groupBy(page).agg(F.count("*").alias("_lines"), F.count_if("_changed").alias("_n"))
-    regions = runs[0].unionByName(runs[1]).groupBy(page).agg(F.count("*").alias("regions"), F.max("_size").alias("_largest"))
-    out = totals.join(regions, page, "left").na.fill(0, ["regions", "_largest"])
+    side = lambda df, k: df.select(page, pos, line, F.lit(k).alias("_side"))
+    # all windows and aggregates are by page, so its rows are dealt once
+    rows = side(old, 0).unionByName(side(new, 1)).filter(F.col(page).isNotNull()).repartition(page)
+    alike, whole = Window.partitionBy(page, line), Window.partitionBy(page)
+    times = F.count_if(F.col("_side") == 1).over(alike), F.count_if(F.col("_side") == 0).over(alike)
+    rows = rows.withColumns({"_both": F.min("_side").over(whole) < F.max("_side").over(whole), "_times": F.when(F.col(line).isNull(), 0).when(F.col("_side") == 0, times[0]).otherwise(times[1])})
+    nth = F.row_number().over(Window.partitionBy(page, line, "_side").orderBy(pos))
+    marked = rows.filter("_both").withColumn("_changed", nth > F.col("_times")).select(page, pos, "_side", "_changed")
+    place = F.row_number().over(Window.partitionBy(page, "_side", "_changed").orderBy(pos))
+    run = F.when(F.col("_changed"), F.col(pos) - place)
+    runs = marked.withColumn("_run", run).groupBy(page, "_side", "_changed", "_run").agg(F.count("*").alias("_rows"), (F.max(pos) - F.min(pos) + 1).alias("_size"))
+    changed = lambda c: F.when(F.col("_changed"), F.col(c))
+    out = runs.groupBy(page).agg(F.sum("_rows").alias("_lines"), F.coalesce(F.sum(changed("_rows")), F.lit(0)).alias("_n"), F.count(changed("_rows")).alias("regions"), F.coalesce(F.max(changed("_size")), F.lit(0)).alias("_largest"))
     share, largest = F.col("_n") / F.col("_lines"), F.col("_largest") / F.col("_lines")
     return out.select(page, share.alias("changed_share"), "regions", largest.alias("largest_share"), tx.diff_risk(share, largest, F.col("regions")).alias("risk"))
 

@@ -179,3 +179,13 @@ def test_inheritance_over_64_levels_with_every_row_twice(spark):
     reqs = spark.createDataFrame([(1, "a"), (1, "a")], "item_id long, text string")
     assert cp.inherit_requirements(bom, reqs).count() == 64
     assert time.time() - began < 600
+
+
+def test_changed_regions_deal_lines_by_page_once(spark):
+    from ledgerloom.operators import assembly as am
+
+    a = [("p", 1, "x"), ("p", 2, "x"), ("p", 3, None), ("p", 4, "y"), ("q", 1, "z"), (None, 1, "x")]
+    b = [("p", 1, "x"), ("p", 2, "w"), ("p", 3, None), ("p", 4, "y"), ("r", 1, "z"), (None, 1, "x")]
+    got = am.changed_regions(*(spark.createDataFrame(rows, "page string, pos int, line string") for rows in (a, b)), "page", "pos", "line")
+    assert [(r.page, r.changed_share, r.regions, r.largest_share, r.risk) for r in got.collect()] == [("p", 0.5, 2, 0.25, "high")]
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
