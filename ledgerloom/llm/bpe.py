@@ -15,7 +15,9 @@ earliest never uncovers a merge across the border that would have come first.
 The DataFrame side (:func:`encode`) maps Arrow batches; each Python worker
 builds the model once.  The different words of a block of texts are solved
 together in numpy: they are sorted, so that a prefix that several words share is
-solved once (:meth:`BpeModel.solve`).  Words of over ``LONG_WORD`` bytes are
+solved once (:meth:`BpeModel.solve`).  Where texts are only encoded, their words are
+split and numbered in Arrow, so that only the different words of a larger block
+become Python strings (:meth:`BpeModel.encode_all`).  Words of over ``LONG_WORD`` bytes are
 solved one by one.
 
 Defined results: null text encodes as the empty string; empty text gives no
@@ -32,6 +34,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,6 +46,7 @@ END_SYMBOL = 256
 LONG_WORD = 62
 BLOCK_WORDS = 20_000  # words that are laid out together
 BLOCK_CHARS = 3_000_000  # characters of texts whose words are solved together
+ENCODED_BYTES = 12_000_000  # bytes of texts that are only encoded, together
 PAIR_SLOTS = 1 << 20  # pairs of tokens whose compatibility is remembered
 
 
@@ -419,12 +423,42 @@ class BpeModel:
             at = end + 1
         return out
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        for block in self._blocks(texts):
-            ids_of = self.chunk_ids(self._chunks_of(block)).__getitem__
-            for parts in block:
-                yield b"".join([np.array([p], "<u4").tobytes() if isinstance(p, int) else b"".join(map(ids_of, p)) for p in parts])
+    def encode_all(self, texts) -> Iterator[bytes]:
+        """Ids of whole texts (a list or an Arrow array) as little-endian unsigned 32-bit integers."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        block = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("int64")) // (2 * ENCODED_BYTES)
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+        for a, b in pairwise(cuts):
+            yield from self._encode_block(texts.slice(a, b - a))
+
+    def _encode_block(self, texts) -> Iterator[bytes]:
+        """Words are split and numbered in Arrow, which also lays out the ids of the different ones by number."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        marked = np.zeros(len(texts), bool)
+        for special in self.special:
+            marked |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        words = pc.ascii_split_whitespace(pc.if_else(marked, "", texts) if marked.any() else texts)
+        numbered = words.flatten().dictionary_encode()
+        ids = pa.array(self._ids_of(numbered.dictionary.to_pylist()), pa.large_binary()).take(numbered.indices)
+        data, ends = ids.buffers()[2], np.frombuffer(ids.buffers()[1], "int64") if len(ids) else np.zeros(1, "int64")
+        for k, (a, b) in enumerate(pairwise(ends[words.offsets.to_numpy()].tolist())):
+            yield self._encode_marked(texts[k].as_py()) if marked[k] else data[a:b].to_pybytes() if a < b else b""
+
+    def _encode_marked(self, text: str) -> bytes:
+        """A text with special tokens."""
+        return b"".join([np.array([p], "<u4").tobytes() if isinstance(p, int) else b"".join(self._ids_of(p)) for p in self.segments(text)])
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of words without ASCII white space; those with other white space are split further."""
+        finer = {w: parts for w in words if not (w and w.isascii()) and (parts := self._chunks(w)) != [w]}
+        solved = self.chunk_ids(list({*words} - finer.keys() | {p for parts in finer.values() for p in parts}))
+        solved |= {w: b"".join([solved[p] for p in parts]) for w, parts in finer.items()}
+        return [solved[w] for w in words]
 
     @staticmethod
     def _chunks_of(block: list[list]) -> list[str]:

@@ -19,14 +19,14 @@ gives an empty result; ties in length go by doc_id and piece.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import default_vocabulary, model
+from .bpe import ENCODED_BYTES, default_vocabulary, model
 from .common import bounded_batches, input_partitions, materialise, tidy
 
 CAPACITY = 4096
@@ -148,6 +148,21 @@ def _pack_bins(bins: DataFrame, round_: int, capacity: int) -> DataFrame:
     return bins.mapInArrow(tidy(run), BIN)
 
 
+def _blocks(batches: Iterable) -> Iterator:
+    """Batches (id, text) put together up to a bounded number of bytes, so that a word of several is solved once."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= ENCODED_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _tokeniser(vocabulary: str, capacity: int):
     """Token pieces of Arrow batches (doc_id, text)."""
 
@@ -155,9 +170,9 @@ def _tokeniser(vocabulary: str, capacity: int):
         import pyarrow as pa
 
         bpe, end = model(vocabulary), np.array([END_ID], "<u4").tobytes()
-        for batch in it:
+        for batch in _blocks(it):
             rows: list[tuple] = []
-            for i, ids in zip(batch.column(0).to_pylist(), bpe.encode_all(batch.column(1).to_pylist()), strict=True):
+            for i, ids in zip(batch.column(0).to_pylist(), bpe.encode_all(batch.column(1)), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
