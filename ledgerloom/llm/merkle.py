@@ -35,6 +35,7 @@ from .common import materialise
 from .scans import prefix_sums
 
 FAN = 8
+FILE_ROWS = 2000  # a written file has about as many rows at least
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEGMENTS = "array<struct<left: binary, right: binary>>"
@@ -66,13 +67,14 @@ def digest_of(children: Column) -> Column:
 @dataclass
 class Manifest:
     """``rows``: (grp, rank, leaf) and what the leaves came with; ``groups``: (grp, name, size, subroot);
-    ``levels``, ``top``: records (grp, at, digest, children) of the groups' trees and of the tree over them, from the bottom; ``root``: its one digest."""
+    ``size``: number of rows; ``levels``, ``top``: records (grp, at, digest, children) of the groups' trees and of the tree over them, from the bottom; ``root``: its one digest."""
 
     rows: DataFrame
     groups: DataFrame
     levels: list[DataFrame]
     top: list[DataFrame]
     root: DataFrame
+    size: int
 
     def records(self) -> DataFrame:
         """The DAG: the children of every digest that has some."""
@@ -83,14 +85,20 @@ class Manifest:
         return out.dropDuplicates(["digest"])
 
 
-def tree(nodes: DataFrame, largest: int, name: str) -> tuple[list[DataFrame], DataFrame]:
-    """Records of each level over ``nodes`` (grp, at, n, digest), ``n`` nodes in its group, and (grp, digest) of what remains of each."""
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more tasks than its number of rows fills: a file costs its writer a process where the shared folder is local."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
+def tree(nodes: DataFrame, largest: int, rows: int, name: str) -> tuple[list[DataFrame], DataFrame]:
+    """Records of each level over the ``rows`` ``nodes`` (grp, at, n, digest), ``n`` nodes in its group, and (grp, digest) of what remains of each."""
     levels, ends = [], nodes.filter("n = 1").select("grp", "digest")
     while largest > 1:
         own = F.sort_array(F.collect_list(F.struct("at", "digest")))
         level = nodes.filter("n > 1").groupBy("grp", F.expr(f"at div {FAN}").alias("at"), F.expr(f"(n + {FAN - 1}) div {FAN}").alias("n")).agg(own.alias("_own"))
         level = level.withColumn("children", F.transform("_own", lambda x: x["digest"])).withColumn("digest", digest_of(F.col("children")))
-        nodes = materialise(level.select("grp", "at", "n", "digest", "children"), name)
+        rows = -(-rows // FAN)
+        nodes = materialise(gathered(level.select("grp", "at", "n", "digest", "children"), rows), name)
         levels.append(nodes)
         ends = ends.unionByName(nodes.filter("n = 1").select("grp", "digest"))
         largest = -(-largest // FAN)
@@ -103,11 +111,11 @@ def build(leaves: DataFrame, group: str, order: list[str], keep: list[str]) -> M
     groups = prefix_sums(counts, ["name"], {"grp": F.lit(1), "_start": F.col("size")}, "groups")
     placed = prefix_sums(leaves, [group, *order], {"_position": F.lit(1)}, "leaves")
     rows = placed.join(groups, placed[group].eqNullSafe(groups["name"])).select("grp", (F.col("_position") - F.col("_start")).alias("rank"), "size", "leaf", *keep)
-    largest, n_groups = groups.agg(F.max("size"), F.count("*")).first()
-    levels, ends = tree(rows.select("grp", F.col("rank").alias("at"), F.col("size").alias("n"), F.col("leaf").alias("digest")), largest or 0, "level")
-    groups = materialise(groups.join(ends, "grp").select("grp", "name", "size", F.col("digest").alias("subroot")), "subroots")
-    top, root = tree(groups.select(F.lit(0).cast("long").alias("grp"), F.col("grp").alias("at"), F.lit(n_groups).cast("long").alias("n"), F.col("subroot").alias("digest")), n_groups, "top")
-    return Manifest(rows, groups, levels, top, root.select(F.col("digest").alias("root")))
+    largest, n_groups, size = groups.agg(F.max("size"), F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    levels, ends = tree(rows.select("grp", F.col("rank").alias("at"), F.col("size").alias("n"), F.col("leaf").alias("digest")), largest or 0, size, "level")
+    groups = materialise(gathered(groups.join(ends, "grp").select("grp", "name", "size", F.col("digest").alias("subroot")), n_groups), "subroots")
+    top, root = tree(groups.select(F.lit(0).cast("long").alias("grp"), F.col("grp").alias("at"), F.lit(n_groups).cast("long").alias("n"), F.col("subroot").alias("digest")), n_groups, n_groups, "top")
+    return Manifest(rows, groups, levels, top, root.select(F.col("digest").alias("root")), size)
 
 
 def found(frontier: DataFrame, records: DataFrame) -> DataFrame:
@@ -184,9 +192,10 @@ def manifest_of(docs: DataFrame) -> Manifest:
 
 def verify(docs: DataFrame) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of each row."""
-    proved = prove(manifest_of(docs))
+    manifest = manifest_of(docs)
+    proved = prove(manifest)
     out = proved.select(
         "doc_id", hexed(F.col("leaf")).alias("leaf"), hexed(F.col("subroot")).alias("subroot"), hexed(F.col("root")).alias("root"),
         proof_digest(F.col("path")).alias("proof_sha256"), folded(hexed(F.col("tampered")), F.col("path")).alias("folded_root"),
     )
-    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+    return gathered(out.withColumn("verified", F.col("folded_root") == F.col("root")), manifest.size)
