@@ -14,8 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .feed import changelog, due_for_refresh, preferred
+from .ranking import parts_for
 from .upkeep import empty_snapshot_guard, flag, mark_unread, preserve_removed
 
+#: Rows of all tables together that a partition gets.  With over 200 partitions Spark sorts a shuffle's rows where they
+#: are written as well, in tasks as large as the files' splits, so this is not smaller than what a task sorts with ease.
+ROWS = 2_500_000
+
 
 @dataclass(frozen=True)
 class Refreshed:
@@ -31,10 +36,13 @@ def refresh_changes(items: DataFrame, fresh: DataFrame, documents: DataFrame, fr
 
     ``items`` has the values, the lists of ``contents``, previous_{value},
     unread, and the times; ``documents`` has removed, removed_at and has_file.
+    The tables are counted, and dealt over so many partitions that a task's share does not grow with them.
     """
+    parts = parts_for([items, fresh, documents, fresh_documents], ROWS)
+    items, fresh = items.repartition(parts, key), fresh.repartition(parts, key)  # joins and windows by key follow
     due = due_for_refresh(items, now, checked, deadline)
-    rows = preferred(fresh, [key], [F.asc_nulls_last(v) for v in values]).join(due.select(key).distinct(), key, "left_semi")
-    taken = empty_snapshot_guard(due, rows, key, contents).filter(~F.col("quarantined")).select(key, *values, *contents)
+    rows = preferred(fresh, [key], [F.asc_nulls_last(v) for v in values])
+    taken = empty_snapshot_guard(due, rows, key, contents, known=True).filter(~F.col("quarantined")).select(key, *values, *contents)
     ids = taken.select(key)
     changes = changelog(due.join(ids, key, "left_semi"), taken, [key], values)
 
@@ -50,7 +58,5 @@ def refresh_changes(items: DataFrame, fresh: DataFrame, documents: DataFrame, fr
     nxt = nxt.withColumn("unread", was | some)
     nxt = nxt.withColumns({c: F.when(flag("_taken"), F.col(f"_n_{c}")).otherwise(F.col(c)) for c in [*values, *contents]} | {checked: F.when(flag("_due"), now).otherwise(F.col(checked))})
 
-    mine = documents.join(ids, key, "left_semi")
-    kept = preserve_removed(mine, fresh_documents.join(ids, key, "left_semi"), key, uuid, now).select(key, uuid, "removed", "removed_at")
-    rest = documents.join(ids, key, "left_anti").select(key, uuid, flag("removed").alias("removed"), "removed_at")
-    return Refreshed(nxt.select(*items.columns), changes, kept.unionByName(rest))
+    docs = preserve_removed(documents, fresh_documents, key, uuid, now, ids, parts).select(key, uuid, "removed", "removed_at")
+    return Refreshed(nxt.select(*items.columns), changes, docs)

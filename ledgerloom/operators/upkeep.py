@@ -34,11 +34,11 @@ def should_be_promoted(statuses: Sequence[str]) -> Column:
     return flag(F.col("status").isin(*statuses)) | interest | flag("has_data") | flag("has_analysis")
 
 
-def empty_snapshot_guard(old: DataFrame, new: DataFrame, key: str, contents: Sequence[str]) -> DataFrame:
-    """``new`` with ``quarantined``: every content list is empty although the old row had something."""
+def empty_snapshot_guard(old: DataFrame, new: DataFrame, key: str, contents: Sequence[str], known: bool = False) -> DataFrame:
+    """``new`` with ``quarantined``: every content list is empty although the old row had something; with ``known`` only rows that have an old one."""
     some = lambda d: F.greatest(*[F.coalesce(F.size(F.col(c)), F.lit(0)) for c in contents], F.lit(0)) > 0
     had = old.groupBy(key).agg(F.bool_or(some(old)).alias("_had"))
-    return new.join(had, key, "left").withColumn("quarantined", flag("_had") & ~some(new)).drop("_had")
+    return new.join(had, key, "inner" if known else "left").withColumn("quarantined", flag("_had") & ~some(new)).drop("_had")
 
 
 def merge_stored(new: DataFrame, stored: DataFrame, key: str, file: str = "file", title: str = "title") -> DataFrame:
@@ -281,18 +281,27 @@ def repair_missing(feed: DataFrame, manifest: DataFrame, *, needs_data: Sequence
     return out.withColumn("next_status", nxt).withColumn("cleared", cleared).drop("_stored")
 
 
-def preserve_removed(old: DataFrame, new: DataFrame, item: str, uuid: str, now: Column) -> DataFrame:
+def preserve_removed(old: DataFrame, new: DataFrame, item: str, uuid: str, now: Column, items: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """(item, uuid, removed, removed_at, compared): current documents and vanished ones worth keeping.
 
     ``old`` has removed, removed_at and has_file.  Vanished documents stay,
     flagged, if a file is stored; flagged ones stay until they come back.
-    ``compared`` is false for rows that were flagged before.
+    ``compared`` is false for rows that were flagged before.  With ``items``
+    (one row each) their documents are compared alone: old ones of others stay as
+    they are, new ones are left out.  Both sides are dealt into ``parts``, if given.
     """
-    was = old.select(item, uuid, flag("removed").alias("_was"), F.col("removed_at").alias("_at"), flag("has_file").alias("_file"), F.lit(True).alias("_old"))
-    joined = was.join(new.select(item, uuid).distinct().withColumn("_new", F.lit(True)), [item, uuid], "full_outer")
-    here = flag("_new")
-    kept = joined.filter(here | flag("_was") | flag("_file"))
-    return kept.select(item, uuid, (~here).alias("removed"), F.when(~here, F.when(F.col("_was"), F.col("_at")).otherwise(now)).alias("removed_at"), (~flag("_was")).alias("compared"))
+    was = old.select(item, uuid, flag("removed").alias("_was"), F.col("removed_at").alias("_at"), flag("has_file").alias("_file"))
+    seen = new.select(item, uuid)
+    if parts:
+        was, seen = was.repartition(parts, item, uuid), seen.repartition(parts, item, uuid)
+    joined = was.join(seen.distinct().withColumn("_new", F.lit(True)), [item, uuid], "full_outer")
+    mine, here = F.lit(True), flag("_new")
+    if items is not None:
+        own = items.select(item, F.lit(True).alias("_mine"))
+        joined, mine = joined.join(own.hint("shuffle_hash") if parts else own, item, "left"), flag("_mine")
+    kept = joined.filter(F.when(mine, here | flag("_was") | flag("_file")).otherwise(F.col("_was").isNotNull()))
+    removed, since = F.when(mine, ~here).otherwise(flag("_was")), F.when(~mine | flag("_was"), F.col("_at")).otherwise(now)
+    return kept.select(item, uuid, removed.alias("removed"), F.when(~mine | ~here, since).alias("removed_at"), (mine & ~flag("_was")).alias("compared"))
 
 
 def retention_split(feed: DataFrame, now: Column, days: int = 90) -> DataFrame:

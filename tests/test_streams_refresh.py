@@ -1,4 +1,5 @@
 import datetime as dt
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -69,3 +70,30 @@ def test_refresh_leaves_missing_emptied_and_fresh_enough(spark):
     assert sorted((r.id, r.uuid, r.removed) for r in out.documents.collect()) == [(1, "u", True), (4, "u", False)]
     empty = refresh_changes(spark.createDataFrame([], items), spark.createDataFrame([], "id long, v string, lists array<int>"), d.limit(0), d, "id", ["v"], ["lists"], "uuid", "checked", "deadline", F.lit(now))
     assert empty.items.count() == empty.changes.count() == empty.documents.count() == 0
+
+
+def test_refresh_deals_documents_by_their_number(spark, monkeypatch):
+    from ledgerloom.operators import refresh
+
+    monkeypatch.setattr(refresh, "ROWS", 100, raising=False)
+    now, then = dt.datetime(2024, 1, 20, 12), dt.datetime(2023, 1, 1)
+    items = spark.createDataFrame([(i, "a", [1], None, False, None if i % 4 else now, None) for i in range(400)], "id long, v string, lists array<int>, previous_v string, unread boolean, checked timestamp, deadline timestamp")
+    fresh = spark.createDataFrame([(i, "b", [] if i % 5 == 0 else [2]) for i in range(440) if i % 3], "id long, v string, lists array<int>")
+    flags = lambda u: (None, None, True) if u == 1 else (True, then, False) if u == 2 else (False, None, None)
+    old = [(i, u, *flags(u)) for i in range(420) for u in range(5)] + [(7, 1, *flags(1)), (8, 1, *flags(1)), (None, 1, *flags(1)), (7, None, *flags(1))]
+    new = [(i, u) for i in range(440) for u in (1, 2, 9) if u != 1 or i % 2] * 2 + [(7, None), (None, 9)]
+    out = refresh_changes(items, fresh, spark.createDataFrame(old, "id long, uuid int, removed boolean, removed_at timestamp, has_file boolean"), spark.createDataFrame(new, "id long, uuid int"), "id", ["v"], ["lists"], "uuid", "checked", "deadline", F.lit(now)).documents
+    taken, seen, want = {i for i in range(400) if i % 4 and i % 3 and i % 5}, set(new), []
+    for i, u, removed, at, file in old:
+        if i not in taken:
+            want.append((i, u, bool(removed), at))
+        elif u is not None and (i, u) in seen:
+            want.append((i, u, False, None))
+        elif removed or file:
+            want.append((i, u, True, at if removed else now))
+    known = {x[:2] for x in old}
+    want += [(i, u, False, None) for i, u in seen if i in taken and (u is None or (i, u) not in known)]
+    got = out.withColumn("part", F.spark_partition_id()).collect()
+    assert sorted(map(str, want)) == sorted(str((r.id, r.uuid, r.removed, r.removed_at)) for r in got)
+    rows = Counter(r.part for r in got)
+    assert len(rows) > 30 and max(rows.values()) < 200
